@@ -135,9 +135,9 @@ SELECT o_orderkey AS seq,
        CASE WHEN o_orderkey%4 = 0 THEN 25e-2 WHEN o_orderkey%4 = 1 THEN 5e-1 ELSE 1e0 END AS sigma,
        CASE WHEN o_custkey%6 = 5 THEN NULL ELSE 10*(o_custkey%5) END AS rate,
        100 + o_custkey%200 AS n_samples,
-       o_totalprice * 2e-6 - 1e-1 AS cv_r2,
-       CASE WHEN o_custkey%19 = 0 THEN NULL ELSE o_totalprice * 15e-7 + (o_orderkey%7)*1e-3 END AS holdout_r2,
-       2e0 - o_totalprice * 1e-6 AS rmse, 1e0 - o_totalprice * 1e-6 AS mae
+       floor(o_totalprice) * 2e-6 - 1e-1 AS cv_r2,
+       CASE WHEN o_custkey%19 = 0 THEN NULL ELSE floor(o_totalprice) * 1e-6 + (o_orderkey%7)*1e-3 END AS holdout_r2,
+       2e0 - floor(o_totalprice) * 1e-6 AS rmse, 1e0 - floor(o_totalprice) * 1e-6 AS mae
 FROM orders
 """
 
