@@ -43,7 +43,7 @@ def imputation_counts(geno: DataFrame) -> DataFrame:
 
 
 def align_to_variants(geno: DataFrame, samples: DataFrame, variants: DataFrame,
-                      fill: int = 0) -> DataFrame:
+                      fill: int | None = 0) -> DataFrame:
     """Every sample with every given variant: unseen cells get ``fill``, extras go.
 
     The full sample x variant grid is the result itself.  It is grown one
