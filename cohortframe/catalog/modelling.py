@@ -1 +1,258 @@
-"""Registered queries."""
+"""Splits, regressors and their scoring."""
+
+from __future__ import annotations
+
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import functions as F
+
+from cohortframe.catalog import query
+from cohortframe.functions.expr import round_columns, rounded
+from cohortframe.operators import modeling as M
+from cohortframe.operators import popgen as G
+from cohortframe.operators import runs as R
+
+
+def u(*parts: str) -> str:
+    """The hashed uniform in checking SQL."""
+    return f"((('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 13))::BIGINT * 1e0 + 5e-1) / 4503599627370496e0)"
+
+
+SAMPLES = """
+sp AS (SELECT sample_id, 'real' AS origin FROM pheno UNION ALL SELECT sample_id, 'synthetic' FROM synth_pheno)"""
+
+FOLDS = SAMPLES + f""",
+fo AS (SELECT sample_id, origin, CASE WHEN origin = 'real' THEN CASE WHEN {u("'42'", "'holdout'", 'sample_id')} < 2e-1 THEN -1
+       ELSE CAST(floor({u("'42'", "'fold'", 'sample_id')} * 5) AS INTEGER) END END AS own FROM sp)"""
+
+SPLITS = FOLDS + """,
+sl AS (SELECT CAST(f.fold AS INTEGER) AS fold, CASE WHEN own = f.fold THEN 'validation' ELSE 'train' END AS role, sample_id, origin
+       FROM fo, (SELECT unnest([0, 1, 2, 3, 4]) AS fold) f WHERE own IS NULL OR own >= 0
+       UNION ALL SELECT -1, 'holdout', sample_id, origin FROM fo WHERE own = -1)"""
+
+
+def samples(t):
+    return t.pheno.select("sample_id", F.lit("real").alias("origin")).unionByName(
+        t.synth_pheno.select("sample_id", F.lit("synthetic").alias("origin")))
+
+
+@query("ml1_leak_guarded_splits", f"WITH {SPLITS} SELECT fold, role, sample_id, origin FROM sl")
+def _(t):
+    return M.leak_guarded_splits(samples(t))
+
+
+@query("ml1_synthetic_only_splits", f"WITH {SPLITS} SELECT fold, role, sample_id, origin FROM sl WHERE NOT (origin = 'real' AND role = 'train')")
+def _(t):
+    return M.leak_guarded_splits(samples(t), synthetic_only=True)
+
+
+@query("ml1_evaluation_leaks", f"WITH {SPLITS} SELECT fold, sample_id, 'synthetic_evaluated' AS problem FROM sl WHERE role <> 'train' AND origin <> 'real'")
+def _(t):
+    return M.evaluation_leaks(M.leak_guarded_splits(samples(t)))
+
+
+@query("ml2_plain_split", f"""
+SELECT sample_id, CASE WHEN {u("'42'", "'split'", 'sample_id')} < 7e-1 THEN 'train' WHEN {u("'42'", "'split'", 'sample_id')} < 85e-2 THEN 'validation' ELSE 'test' END AS part FROM pheno""")
+def _(t):
+    return M.plain_split(t.pheno, {"train": 0.7, "validation": 0.15, "test": 0.15})
+
+
+@query("ml8_mean_baseline", f"""
+WITH {FOLDS}, k AS (SELECT p.sample_id, y, own FROM pheno p JOIN fo USING (sample_id) WHERE y IS NOT NULL)
+SELECT sample_id, y, round((SELECT avg(y) FROM k WHERE own >= 0), 6) AS prediction FROM k WHERE own = -1""")
+def _(t):
+    rows = M.assign_folds(samples(t)).join(t.pheno.where("y IS NOT NULL"), "sample_id")
+    return round_columns(M.mean_baseline(rows.where("fold >= 0"), rows.where("fold = -1")), ["prediction"])
+
+
+PRED = """
+pr AS (SELECT seq, model, seed AS fold, source, rmse AS y, cv_r2 + rmse * 5e-1 AS prediction FROM runs),
+m AS (SELECT model, fold, count(y) AS n, 1 - sum((y - prediction) * (y - prediction)) / nullif(var_pop(y) * count(y), 0) AS r2,
+  sqrt(avg((y - prediction) * (y - prediction))) AS rmse, avg(abs(y - prediction)) AS mae FROM pr GROUP BY 1, 2)"""
+
+
+def predictions(t):
+    return t.runs.select("seq", "model", F.col("seed").alias("fold"), F.col("rmse").alias("y"),
+                         (F.col("cv_r2") + F.col("rmse") * 0.5).alias("prediction"))
+
+
+@query("ml10_metrics", f"WITH {PRED} SELECT model, fold, n, round(r2, 6) AS r2, round(rmse, 6) AS rmse, round(mae, 6) AS mae FROM m")
+def _(t):
+    return round_columns(R.regression_metrics(predictions(t), ["model", "fold"]), ["r2", "rmse", "mae"])
+
+
+FS = ["r2_mean", "r2_sd", "rmse_mean", "rmse_sd", "mae_mean", "mae_sd"]
+
+
+@query("ml10_fold_summary", f"""
+WITH {PRED} SELECT count(*) AS n_folds, round(avg(r2), 6) AS r2_mean, round(stddev_pop(r2), 6) AS r2_sd, round(avg(rmse), 6) AS rmse_mean,
+  round(stddev_pop(rmse), 6) AS rmse_sd, round(avg(mae), 6) AS mae_mean, round(stddev_pop(mae), 6) AS mae_sd FROM m""")
+def _(t):
+    return round_columns(R.fold_summary(R.regression_metrics(predictions(t), ["model", "fold"])), FS)
+
+
+@query("ml12_r2_ensemble", """
+WITH s AS (SELECT model, greatest(1e-3, avg(cv_r2)) AS w FROM runs GROUP BY 1)
+SELECT k, seed, round(sum(rmse * w) / sum(w), 6) AS prediction FROM runs JOIN s USING (model) GROUP BY 1, 2""")
+def _(t):
+    pred = t.runs.select("k", "seed", "model", F.col("rmse").alias("prediction"))
+    scores = t.runs.groupBy("model").agg(F.avg("cv_r2").alias("r2"))
+    return round_columns(R.r2_weighted_ensemble(pred, scores, ["k", "seed"]), ["prediction"])
+
+
+AUDIT = SPLITS + """,
+au AS (SELECT 'r1' AS run_id, fold, role, count(*) FILTER (origin = 'real') AS n_real, count(*) FILTER (origin <> 'real') AS n_synthetic FROM sl GROUP BY 2, 3)"""
+
+
+@query("ml13_leakage_audit", f"WITH {AUDIT} SELECT * FROM au")
+def _(t):
+    return R.leakage_audit(M.leak_guarded_splits(samples(t)).withColumn("run_id", F.lit("r1")))
+
+
+@query("ml13_audit_checksum", f"""
+WITH {AUDIT} SELECT run_id, CAST(sum(n_synthetic) AS BIGINT) AS n_leaked, sha1(concat('{{"run_id":"', run_id, '","counts":[',
+  string_agg(concat('{{"role":"', role, '","fold":', fold, ',"n_synthetic":', n_synthetic, '}}'), ',' ORDER BY role, fold), ']}}')) AS checksum
+FROM au WHERE role <> 'train' GROUP BY run_id""")
+def _(t):
+    return R.audit_checksum(R.leakage_audit(M.leak_guarded_splits(samples(t)).withColumn("run_id", F.lit("r1"))))
+
+
+@query("ml16_linear_importance", """
+WITH w AS (SELECT var_id, covar_pop(dosage, y) / nullif(stddev_pop(dosage) * stddev_pop(y), 0) AS weight
+  FROM geno JOIN pheno USING (sample_id) WHERE dosage IS NOT NULL AND y IS NOT NULL GROUP BY 1),
+m AS (SELECT var_id, avg(dosage) AS m FROM geno GROUP BY 1),
+i AS (SELECT var_id, avg(abs(weight * (dosage - m))) AS importance FROM geno JOIN w USING (var_id) JOIN m USING (var_id) GROUP BY 1)
+SELECT var_id, round(importance, 6) AS importance FROM i ORDER BY round(importance, 9) DESC NULLS LAST, var_id LIMIT 20""")
+def _(t):
+    w = G.target_correlation(t.geno, t.pheno).select("var_id", F.col("r").alias("weight"))
+    return round_columns(M.linear_importance(t.geno, w), ["importance"])
+
+
+@query("ml18_sequence_windows", """
+WITH r AS (SELECT o_orderkey, floor(o_totalprice) AS y, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS position FROM orders),
+w AS (SELECT position, list(y) OVER (ORDER BY position ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS win, y FROM r)
+SELECT position, list_sum(win) AS window_sum, win[1] AS first_y, y AS target FROM w WHERE position >= 10""")
+def _(t):
+    rows = t.orders.select("o_orderdate", "o_orderkey", F.floor("o_totalprice").cast("double").alias("y"))
+    out = M.sequence_windows(rows, ["o_orderdate", "o_orderkey"])
+    return out.select("position", F.aggregate("window", F.lit(0.0), lambda a, x: a + x).alias("window_sum"),
+                      F.col("window")[0].alias("first_y"), "target")
+
+
+# ---- fitted models: rows and invariants ---------------------------------------
+
+def all_geno(t):
+    real = t.geno.where("dosage IS NOT NULL").select("sample_id", "var_id", F.col("dosage").cast("double").alias("dosage"))
+    return real.unionByName(t.synth.where("dosage IN (0, 1, 2)").select("sample_id", "var_id", "dosage"))
+
+
+def all_y(t):
+    return t.pheno.select("sample_id", "y").unionByName(t.synth_pheno.select("sample_id", "y"))
+
+
+def embedded(t):
+    """Embedding vectors as features, label as target."""
+    return t.vectors.select("sample_id", "origin", array_to_vector(F.col("features").cast("array<double>")).alias("features"),
+                            (F.col("y") + F.col("features")[0] * 3).alias("y"))
+
+
+def _scored(t, kind, params):
+    rows = embedded(t)
+    folds = M.assign_folds(rows.select("sample_id", F.lit("real").alias("origin")))
+    both = rows.join(folds.select("sample_id", "fold"), "sample_id")
+    pred = M.predict(M.fit(kind, params, both.where("fold >= 0")), both.where("fold = -1"))
+    return round_columns(pred, ["y", "prediction"])
+
+
+@query("ml3_ridge")
+def _(t):
+    return _scored(t, "ridge", {"alpha": 1.0})
+
+
+@query("ml4_ols")
+def _(t):
+    return _scored(t, "ols", {})
+
+
+@query("ml4_lasso")
+def _(t):
+    return _scored(t, "lasso", {"alpha": 0.01})
+
+
+@query("ml4_elasticnet")
+def _(t):
+    return _scored(t, "elasticnet", {"alpha": 0.01, "l1_ratio": 0.5})
+
+
+@query("ml5_random_forest")
+def _(t):
+    return _scored(t, "randomforest", {"n_estimators": 75, "max_depth": 15})
+
+
+@query("ml6_boosted_trees")
+def _(t):
+    return _scored(t, "boosting", {"n_estimators": 20, "max_depth": 4})
+
+
+@query("ml7_pca_ridge")
+def _(t):
+    folds = M.assign_folds(t.pheno.select("sample_id", F.lit("real").alias("origin")))
+    pred = M.pca_regression(t.geno, t.pheno, folds.where("fold >= 0"), folds.where("fold = -1"), 16)
+    return round_columns(pred, ["y", "prediction"])
+
+
+@query("ml9_nested_cv")
+def _(t):
+    out = M.nested_cv(all_geno(t), all_y(t), samples(t), "ridge", {"alpha": [1.0, 100.0]}, k=40, outer=3, inner=2)
+    folds = out.folds.select(F.col("fold").cast("int").alias("fold"), "n", "r2", "rmse", "mae")
+    held = out.holdout.select(F.lit(-1).alias("fold"), "n", "r2", "rmse", "mae")
+    return round_columns(folds.unionByName(held), ["r2", "rmse", "mae"])
+
+
+KINDS = {"ridge": {"alpha": 1.0}, "randomforest": {"n_estimators": 10, "max_depth": 5}}
+
+
+def _oof(t):
+    rows = embedded(t)
+    folds = rows.select("sample_id", M.u01(42, F.lit("fold"), "sample_id").alias("u")).select(
+        "sample_id", F.floor(F.col("u") * 3).cast("int").alias("fold"))
+    return M.out_of_fold(rows.drop("origin"), folds, KINDS, 3)
+
+
+@query("ml11_stacking")
+def _(t):
+    return round_columns(M.stacked_prediction(_oof(t), list(KINDS)), ["y", "prediction"])
+
+
+@query("ml12_oof_ensemble")
+def _(t):
+    return round_columns(M.ensemble(_oof(t)), ["y", "prediction"])
+
+
+@query("ml14_few_shot_curve")
+def _(t):
+    rows = embedded(t)
+    folds = M.assign_folds(rows.select("sample_id", "origin"))
+    return round_columns(M.few_shot_curve(rows.drop("origin"), folds), ["r2", "rmse", "mae"])
+
+
+@query("ml15_scenario_benchmark")
+def _(t):
+    rows = embedded(t)
+    folds = M.assign_folds(rows.select("sample_id", "origin"))
+    both = rows.drop("origin").join(folds, "sample_id")
+    real, syn = both.where("origin = 'real' AND fold >= 0"), both.where("origin <> 'real'")
+    sets = {"baseline": real, "hybrid": real.unionByName(syn), "synthetic_only": syn}
+    out = M.scenario_benchmark(sets, both.where("fold = -1"), params={"n_estimators": 20, "max_depth": 5})
+    return round_columns(out.orderBy("rmse"), ["r2", "rmse", "mae"])
+
+
+@query("ml16_forest_importance")
+def _(t):
+    chosen = t.geno.select("var_id").distinct()
+    data = M.vectors(t.geno, chosen, t.pheno)
+    return M.forest_importance(data, chosen).withColumn("importance", rounded("importance"))
+
+
+@query("ml17_baseline_signal")
+def _(t):
+    return round_columns(M.baseline_signal(t.geno, t.pheno), ["baseline_r2"])
