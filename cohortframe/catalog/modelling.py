@@ -45,9 +45,13 @@ def _(t):
     return M.leak_guarded_splits(samples(t), synthetic_only=True)
 
 
-@query("ml1_evaluation_leaks", f"WITH {SPLITS} SELECT fold, sample_id, 'synthetic_evaluated' AS problem FROM sl WHERE role <> 'train' AND origin <> 'real'")
+@query("ml1_evaluation_leaks", f"""
+WITH {SPLITS} SELECT count(*) FILTER (role <> 'train' AND origin <> 'real') AS n_synthetic_evaluated,
+  (SELECT count(*) FROM (SELECT fold, sample_id FROM sl GROUP BY 1, 2 HAVING count(DISTINCT role) > 1) z) AS n_two_roles FROM sl""")
 def _(t):
-    return M.evaluation_leaks(M.leak_guarded_splits(samples(t)))
+    found = M.evaluation_leaks(M.leak_guarded_splits(samples(t)))
+    return found.agg(F.count_if(F.col("problem") == "synthetic_evaluated").alias("n_synthetic_evaluated"),
+                     F.count_if(F.col("problem") == "two_roles").alias("n_two_roles"))
 
 
 @query("ml2_plain_split", f"""

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortframe.functions.expr import one_row, safe_div
+from cohortframe.operators.grid import grid
 from cohortframe.operators.ranking import exact_quantiles
 
 
@@ -44,21 +45,10 @@ def imputation_counts(geno: DataFrame) -> DataFrame:
 
 def align_to_variants(geno: DataFrame, samples: DataFrame, variants: DataFrame,
                       fill: int | None = 0) -> DataFrame:
-    """Every sample with every given variant: unseen cells get ``fill``, extras go.
-
-    The full sample x variant grid is the result itself.  It is grown one
-    sample at a time from the sorted id list of a variant block, so that no
-    side is broadcast and no task holds more than a block of ids.
-    """
-    n = max(64, 4 * int(geno.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    blocks = (variants.select("var_id").distinct()
-              .withColumn("_b", F.pmod(F.xxhash64("var_id"), F.lit(n)))
-              .select("_b", "var_id"))
-    ids = samples.select("sample_id").distinct().withColumn(
-        "_b", F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>")))
-    grid = ids.join(blocks, "_b").drop("_b")
+    """Every sample with every given variant: unseen cells get ``fill``, extras go."""
+    cells = grid(samples.select("sample_id").distinct(), variants.select("var_id").distinct())
     seen = geno.select("sample_id", "var_id", "dosage")
-    return (grid.join(seen, ["sample_id", "var_id"], "left")
+    return (cells.join(seen, ["sample_id", "var_id"], "left")
             .withColumn("dosage", F.coalesce("dosage", F.lit(fill))))
 
 
