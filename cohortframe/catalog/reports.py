@@ -169,11 +169,11 @@ def _(t):
 
 
 @query("ag21_backfill", """
-WITH a AS (SELECT model, run_id, count(*) AS n, round(avg(cv_r2), 6) AS cv_r2 FROM runs GROUP BY 1, 2),
+WITH a AS (SELECT model, run_id, count(*) AS n, round(max(cv_r2), 6) AS cv_r2 FROM runs GROUP BY 1, 2),
 p AS (SELECT * FROM a WHERE n > 2)
 SELECT model, run_id, cv_r2, (SELECT count(*) FROM p WHERE p.model = a.model AND p.run_id = a.run_id) = 0 AS backfilled FROM a""")
 def _(t):
-    agg = round_columns(t.runs.groupBy("model", "run_id").agg(F.count(F.lit(1)).alias("n"), F.avg("cv_r2").alias("cv_r2")), ["cv_r2"])
+    agg = round_columns(t.runs.groupBy("model", "run_id").agg(F.count(F.lit(1)).alias("n"), F.max("cv_r2").alias("cv_r2")), ["cv_r2"])
     return R.backfill(agg.where("n > 2"), agg).select("model", "run_id", "cv_r2", "backfilled")
 
 
