@@ -10,14 +10,14 @@ from cohortframe.operators import align as A
 from cohortframe.operators import profile as P
 
 FIRST = """first_y AS (SELECT sample_id, y FROM (
-  SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY seq) AS r FROM pheno_rows) z WHERE r = 1)"""
+  SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY seq, y) AS r FROM pheno_rows) z WHERE r = 1)"""
 
 
 @query("j1_align_samples", f"""
 WITH {FIRST} SELECT f.sample_id, f.y, p.pc1, p.pc2 FROM first_y f JOIN pcs p USING (sample_id)
 WHERE f.sample_id IN (SELECT sample_id FROM geno)""")
 def _(t):
-    return A.align_samples(t.geno, t.pheno_rows, t.pcs)
+    return A.align_samples(t.geno, t.pheno_rows, t.pcs, order=("seq", "y"))
 
 
 @query("j2_attach_target", """

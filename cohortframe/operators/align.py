@@ -20,9 +20,9 @@ ID_TOKENS = ("IID", "Taxa", "Genotype", "ID", "Sample", "Accession", "Accession_
 
 
 def align_samples(geno: DataFrame, pheno_rows: DataFrame, pcs: DataFrame | None = None,
-                  order: str = "seq") -> DataFrame:
+                  order: Sequence[str] = ("seq",)) -> DataFrame:
     """Samples present in all tables, one row each, first phenotype record on repeats."""
-    first = first_by(pheno_rows, ["sample_id"], [F.col(order)]).drop(order)
+    first = first_by(pheno_rows, ["sample_id"], [F.col(c) for c in order]).drop("seq")
     out = first.join(geno.select("sample_id").distinct(), "sample_id")
     return out if pcs is None else out.join(pcs, "sample_id")
 

@@ -71,10 +71,14 @@ def sample_ld_blocks(samples: DataFrame, blocks: DataFrame, seed: int = 42, sigm
 
 
 def correct_maf(geno: DataFrame, targets: DataFrame, tolerance: float = 0.02, seed: int = 42) -> DataFrame:
-    """Move the MAF of each variant to its target by flipping the exact allele deficit.
-
-    Too low: 0 -> 1 first, then 1 -> 2; too high: 2 -> 1, then 1 -> 0; the cells
-    to flip are those with the smallest hash.  ``targets(var_id, maf)``.
+    """Move the MAF of each variant outside the tolerance towards its target.
+
+    With a gap of d alleles, d // 2 cells step from the far genotype (0 when the
+    MAF is too low, 2 when too high) and the cells with one allele make up
+    d - 2 (d // 2), or more where the far genotype runs out.  A far cell is counted
+    as two alleles though it moves one, so a variant with enough of them ends half
+    way.  The cells to flip are those with the smallest hash.
+    ``targets(var_id, maf)``.
     """
     n, p = F.count(F.lit(1)), F.sum("dosage") / (2.0 * F.count(F.lit(1)))
     counts = {g: F.count_if(F.col("dosage") == g) for g in (0, 1, 2)}
