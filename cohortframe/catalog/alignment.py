@@ -283,15 +283,15 @@ def _(t):
 
 
 @query("ag23_status", """
-WITH f AS (SELECT DISTINCT concat('set_', CAST(p_size AS STRING)) AS dataset,
+WITH f AS (SELECT DISTINCT concat('set_', p_brand, '_', CAST(p_size AS STRING)) AS dataset,
   CASE p_partkey%5 WHEN 0 THEN 'X' WHEN 1 THEN 'y' WHEN 2 THEN 'pca' WHEN 3 THEN 'manifest' ELSE 'notes' END AS file
-  FROM part WHERE p_brand < 'Brand#15')
+  FROM part)
 SELECT dataset, count(*) FILTER (file <> 'notes') AS n_present,
   CASE count(*) FILTER (file <> 'notes') WHEN 4 THEN 'Complete' WHEN 0 THEN 'Incomplete' ELSE 'Partial' END AS status
 FROM f GROUP BY 1""")
 def _(t):
-    found = t.part.where("p_brand < 'Brand#15'").selectExpr(
-        "concat('set_', CAST(p_size AS STRING)) AS dataset",
+    found = t.part.selectExpr(
+        "concat('set_', p_brand, '_', CAST(p_size AS STRING)) AS dataset",
         "element_at(array('X', 'y', 'pca', 'manifest', 'notes'), CAST(p_partkey % 5 AS INT) + 1) AS file")
     return A.preprocessing_status(found, ["X", "y", "pca", "manifest"])
 

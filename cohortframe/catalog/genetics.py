@@ -92,6 +92,11 @@ def _(t):
     return blocks(t)
 
 
+@query("gx6_nested_blocks", f"WITH RECURSIVE {BLOCKS} SELECT block_id, CAST(0 AS BIGINT) AS part, list(var_id ORDER BY var_id) AS variants FROM lb GROUP BY 1")
+def _(t):
+    return G.nested_blocks(blocks(t))
+
+
 @query("ag6_maf_ld_summary", f"""
 WITH RECURSIVE {BLOCKS}, {MAF}, s AS (SELECT block_id, count(*) AS n FROM lb GROUP BY 1)
 SELECT (SELECT count(*) FROM mf) AS n_variants, (SELECT round(avg(maf), 6) FROM mf) AS maf_mean, (SELECT round(quantile_cont(maf, 0.95), 6) FROM mf) AS maf_p95,

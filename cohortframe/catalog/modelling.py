@@ -142,6 +142,35 @@ def _(t):
                       F.col("window")[0].alias("first_y"), "target")
 
 
+XY = """
+xy AS (SELECT seq, rmse AS x, cv_r2 * 3e0 + seed AS y FROM runs),
+c AS (SELECT avg(x) AS mx, avg(y) AS my, covar_pop(x, y) * count(*) AS sxy, var_pop(x) * count(*) AS sxx FROM xy)"""
+
+
+def _one_feature(t):
+    return t.runs.select(F.col("seq").alias("sample_id"), array_to_vector(F.array("rmse")).alias("features"),
+                         (F.col("cv_r2") * 3.0 + F.col("seed")).alias("y"))
+
+
+@query("ml3_ridge_one_marker", f"WITH {XY} SELECT seq AS sample_id, round(my + sxy / (sxx + 500) * (x - mx), 6) + 0.0 AS prediction FROM xy, c")
+def _(t):
+    rows = _one_feature(t)
+    return round_columns(M.predict(M.fit("ridge", {"alpha": 500.0}, rows), rows).select("sample_id", "prediction"), ["prediction"])
+
+
+@query("ml4_ols_one_marker", f"WITH {XY} SELECT seq AS sample_id, round(my + sxy / sxx * (x - mx), 6) + 0.0 AS prediction FROM xy, c")
+def _(t):
+    rows = _one_feature(t)
+    return round_columns(M.predict(M.fit("ols", {}, rows), rows).select("sample_id", "prediction"), ["prediction"])
+
+
+@query("ml4_lasso_one_marker", f"""
+WITH {XY} SELECT seq AS sample_id, round(my + sign(sxy) * greatest(0, abs(sxy) - 2e-2 * (SELECT count(*) FROM xy)) / sxx * (x - mx), 5) + 0.0 AS prediction FROM xy, c""")
+def _(t):
+    rows = _one_feature(t)
+    return round_columns(M.predict(M.fit("lasso", {"alpha": 0.02}, rows), rows).select("sample_id", "prediction"), ["prediction"], 5)
+
+
 # ---- fitted models: rows and invariants ---------------------------------------
 
 def all_geno(t):

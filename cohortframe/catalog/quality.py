@@ -89,8 +89,7 @@ SELECT sample_id, CASE WHEN verdict = 'pass' THEN 'kept' ELSE 'removed' END AS s
        round(het_rate, 6) AS het_rate FROM sj""")
 def _(t):
     stats = Q.judge_samples(Q.sample_stats(Q.filter_variants(t.geno)), k=1.5)
-    rows = Q.sample_map(stats).join(stats.select("sample_id", "het_rate"), "sample_id")
-    return rows.select("sample_id", "status", F.array_join("failure_reasons", "; ").alias("reasons"),
+    return Q.sample_map(stats).select("sample_id", "status", F.array_join("failure_reasons", "; ").alias("reasons"),
                        rounded("het_rate").alias("het_rate"))
 
 
@@ -200,4 +199,4 @@ SELECT s.sample_id, v.var_id, coalesce(g.dosage, 0) AS dosage
 FROM (SELECT DISTINCT sample_id FROM synth) s CROSS JOIN (SELECT DISTINCT var_id FROM geno) v
 LEFT JOIN synth g ON g.sample_id = s.sample_id AND g.var_id = v.var_id""")
 def _(t):
-    return I.align_to_variants(t.synth, t.synth, t.geno).withColumn("dosage", F.col("dosage").cast("double"))
+    return I.align_to_variants(t.synth, variants=t.geno).withColumn("dosage", F.col("dosage").cast("double"))

@@ -247,15 +247,19 @@ def _(t):
 
 
 @query("sy12_structural_violations", """
-WITH x AS (SELECT * FROM synth WHERE context <> 'A'), y AS (SELECT sample_id, CASE WHEN context = 'C' THEN 'n/a' ELSE CAST(y AS STRING) END AS y FROM synth_pheno WHERE context <> 'B'),
+WITH x AS (SELECT CASE WHEN context = 'A' THEN concat(sample_id, '_x') ELSE sample_id END AS sample_id, var_id, dosage FROM synth),
+y AS (SELECT CASE WHEN context = 'B' THEN concat(sample_id, '_y') ELSE sample_id END AS sample_id, CASE WHEN context = 'C' THEN 'n/a' ELSE CAST(y AS STRING) END AS y FROM synth_pheno),
 i AS (SELECT DISTINCT sample_id FROM x)
 SELECT 'no_target' AS kind, sample_id, CAST(1 AS BIGINT) AS n FROM i WHERE sample_id NOT IN (SELECT sample_id FROM y)
 UNION ALL SELECT 'no_genotypes', sample_id, 1 FROM y WHERE sample_id NOT IN (SELECT sample_id FROM i)
 UNION ALL SELECT 'invalid_calls', sample_id, count(*) FROM x WHERE dosage IS NULL OR dosage NOT IN (0, 1, 2) GROUP BY sample_id
 UNION ALL SELECT 'target_not_numeric', sample_id, 1 FROM y WHERE try_cast(y AS DOUBLE) IS NULL""")
 def _(t):
-    y = t.synth_pheno.where("context <> 'B'").select("sample_id", F.when(F.col("context") == "C", "n/a").otherwise(F.col("y").cast("string")).alias("y"))
-    return S.structural_violations(t.synth.where("context <> 'A'"), y)
+    def renamed(context, tail):     # ids that the other table does not have
+        return F.when(F.col("context") == context, F.concat("sample_id", F.lit(tail))).otherwise(F.col("sample_id")).alias("sample_id")
+    x = t.synth.select(renamed("A", "_x"), "var_id", "dosage")
+    y = t.synth_pheno.select(renamed("B", "_y"), F.when(F.col("context") == "C", "n/a").otherwise(F.col("y").cast("string")).alias("y"))
+    return S.structural_violations(x, y)
 
 
 @query("sy12_set_report", """

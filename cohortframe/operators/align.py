@@ -187,7 +187,7 @@ def union_real_first(real: DataFrame, parts: Mapping[str, DataFrame]) -> DataFra
         F.min(F.struct("_o", "origin")).alias("_w")).select(
         "sample_id", F.col("_w._o").alias("_own"), F.col("_w.origin").alias("origin"))
     own_rows = rows.drop("origin").join(owner.drop("origin"), "sample_id").where("_o = _own")
-    filled = align_to_variants(own_rows.select(*cols), owner, real)
+    filled = align_to_variants(own_rows.select(*cols), variants=real)
     return filled.join(owner.select("sample_id", "origin"), "sample_id")
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from cohortframe.functions.expr import one_row, safe_div, std_normal
+from cohortframe.operators.grid import missing_cells
 from cohortframe.operators.ranking import exact_quantiles, ranked
 from cohortframe.operators.tiles import knn_donors, nearest_distance
 from cohortframe.session import cut_lineage
@@ -302,8 +303,7 @@ def impute_knn(geno: DataFrame, k: int = 5) -> DataFrame:
     present = geno.where(F.col("dosage").isNotNull()).select(
         "sample_id", "var_id", F.col("dosage").cast("double").alias("dosage"))
     known = present.unionByName(filled)
-    from cohortframe.operators.impute import align_to_variants
-    means = geno.groupBy("var_id").agg(F.avg("dosage").alias("_m"))
-    grid = align_to_variants(known, geno, geno, fill=None)
-    return grid.join(means, "var_id").select(
-        "sample_id", "var_id", F.coalesce("dosage", "_m", F.lit(0.0)).alias("dosage"))
+    means = geno.groupBy("var_id").agg(F.coalesce(F.avg("dosage"), F.lit(0.0)).alias("dosage"))
+    # cells nobody could donate to
+    orphans = missing_cells(known, geno, geno).join(means, "var_id").select("sample_id", "var_id", "dosage")
+    return known.unionByName(orphans)

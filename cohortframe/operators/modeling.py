@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 from itertools import product
 
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
@@ -87,30 +87,58 @@ def evaluation_leaks(splits: DataFrame) -> DataFrame:
 
 # ---- regressors ------------------------------------------------------------------
 
-def ridge(alpha: float, n: int, y_sd: float = 1.0, **kw) -> LinearRegression:
+MAX_NORMAL_FEATURES = 4096      # Spark solves the normal equations up to this width
+
+
+@dataclass
+class Shape:
+    """What the penalty conversion needs to know about a training table."""
+
+    n: int
+    p: int
+    sd_samp: float = 1.0
+    sd_pop: float = 1.0
+
+
+def ridge(alpha: float, shape: Shape) -> LinearRegression:
     """Ridge with the usual penalty alpha * |w|^2 against the summed squared error.
 
-    Spark divides the error by n, and its penalty by the label's sd; both are
-    undone here, and features are not rescaled.
+    Spark divides the error by n and the squared penalty by the label's sd (the
+    population sd in its direct solver, the sample sd in the iterative one); both
+    are undone here, and features are not rescaled.
     """
-    return LinearRegression(regParam=alpha / max(n, 1) * y_sd, elasticNetParam=0.0, standardization=False,
-                            featuresCol="features", labelCol="y", **kw)
+    direct = shape.p <= MAX_NORMAL_FEATURES
+    scale = shape.sd_pop if direct else shape.sd_samp
+    return LinearRegression(regParam=alpha / max(shape.n, 1) * scale, elasticNetParam=0.0, standardization=False,
+                            solver="normal" if direct else "l-bfgs", tol=1e-9, maxIter=500,
+                            featuresCol="features", labelCol="y")
+
+
+def elastic_net(alpha: float, l1_ratio: float, shape: Shape) -> LinearRegression:
+    """Error / 2n + alpha (l1_ratio |w| + (1 - l1_ratio) w^2 / 2), whatever the label's scale."""
+    lam = alpha * (l1_ratio + (1.0 - l1_ratio) * shape.sd_samp)
+    mix = alpha * l1_ratio / lam if lam else 1.0
+    return LinearRegression(regParam=lam, elasticNetParam=mix, standardization=False, solver="l-bfgs", tol=1e-9,
+                            maxIter=500, featuresCol="features", labelCol="y")
+
+
+def vector_size(column: str):
+    return F.size(vector_to_array(column))
 
 
-def estimator(kind: str, params: Mapping, n: int, y_sd: float):
+def estimator(kind: str, params: Mapping, shape: Shape):
     """A Spark ML regressor for a grid entry; unknown kinds are an error."""
     if kind == "ols":
         return LinearRegression(featuresCol="features", labelCol="y", regParam=0.0)
     if kind == "ridge":
-        return ridge(float(params.get("alpha", 1.0)), n, y_sd)
+        return ridge(float(params.get("alpha", 1.0)), shape)
     if kind in ("lasso", "elasticnet"):
-        mix = 1.0 if kind == "lasso" else float(params.get("l1_ratio", 0.5))
-        return LinearRegression(featuresCol="features", labelCol="y", regParam=float(params.get("alpha", 1.0)),
-                                elasticNetParam=mix, standardization=False, maxIter=200)
+        ratio = 1.0 if kind == "lasso" else float(params.get("l1_ratio", 0.5))
+        return elastic_net(float(params.get("alpha", 1.0)), ratio, shape)
     if kind == "randomforest":
         return RandomForestRegressor(featuresCol="features", labelCol="y", seed=42,
                                      numTrees=int(params.get("n_estimators", 75)),
-                                     maxDepth=int(params.get("max_depth", 15)),
+                                     maxDepth=min(30, int(params.get("max_depth", 15))),
                                      featureSubsetStrategy=str(params.get("max_features", "auto")))
     if kind == "boosting":
         return GBTRegressor(featuresCol="features", labelCol="y", seed=42,
@@ -135,8 +163,9 @@ def vectors(geno: DataFrame, chosen: DataFrame, pheno: DataFrame | None = None)
 
 
 def fit(kind: str, params: Mapping, train: DataFrame):
-    head = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("y").alias("sd")).first()
-    return estimator(kind, params, head.n, head.sd or 1.0).fit(train)
+    head = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("y").alias("ss"), F.stddev_pop("y").alias("sp"),
+                     F.max(vector_size("features")).alias("p")).first()
+    return estimator(kind, params, Shape(head.n, head.p or 0, head.ss or 1.0, head.sp or 1.0)).fit(train)
 
 
 def predict(model, rows: DataFrame) -> DataFrame:

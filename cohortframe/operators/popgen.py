@@ -243,9 +243,15 @@ def ld_blocks(pairs: DataFrame, variants: DataFrame, r2: float = 0.2, min_size:
         F.when(big, F.col("n")).otherwise(1).cast("long").alias("block_size"))
 
 
-def nested_blocks(blocks: DataFrame) -> DataFrame:
-    """Blocks as sorted id arrays (a block is as long as its linked stretch)."""
-    return blocks.groupBy("block_id").agg(F.sort_array(F.collect_list("var_id")).alias("variants"))
+def nested_blocks(blocks: DataFrame, size: int = 10_000) -> DataFrame:
+    """(block_id, part, variants): blocks as sorted id arrays of at most ``size`` ids.
+
+    A block longer than that goes on in its next part, so no task gathers a
+    whole chromosome.
+    """
+    r = ranked(blocks.select("block_id", "var_id"), ["var_id"], by=["block_id"], name="_r")
+    part = F.floor((F.col("_r") - 1) / size).alias("part")
+    return r.groupBy("block_id", part).agg(F.array_sort(F.collect_list("var_id")).alias("variants"))
 
 
 def relationship_matrix(geno: DataFrame) -> DataFrame:

@@ -128,7 +128,7 @@ def filter_samples(geno: DataFrame, max_missing: float = 0.10, k: float = 3.0,
 
 
 def sample_map(judged: DataFrame) -> DataFrame:
-    """Sample_map rows: status kept/removed and the failure reasons."""
+    """Sample_map rows: status kept/removed, the failure reasons and the rates behind them."""
     why = F.array_compact(F.array(
         F.when(F.col("verdict") == "missing", F.concat(
             F.lit("missing rate "), F.format_number("missing_rate", 4))),
@@ -136,7 +136,7 @@ def sample_map(judged: DataFrame) -> DataFrame:
             F.lit("heterozygosity "), F.format_number("het_rate", 4)))))
     return judged.select(
         "sample_id", F.when(F.col("verdict") == "pass", "kept").otherwise("removed").alias("status"),
-        why.alias("failure_reasons"))
+        why.alias("failure_reasons"), "missing_rate", "het_rate")
 
 
 def snp_columns(values: DataFrame) -> DataFrame:

@@ -44,6 +44,8 @@ def ranked(df: DataFrame, order: Sequence[str | Column], by: Sequence[str] = (),
     for i, k in enumerate(keys):
         cond = laid[k].eqNullSafe(counts[f"_k{i}"])
         same = cond if same is None else same & cond
+    if not by:                     # one row per sort task
+        counts = F.broadcast(counts)
     out = laid.join(counts, same).withColumn(
         name, (F.col("_at") - F.col("_first") + F.col("_before") + 1).cast("long"))
     if total:

@@ -139,10 +139,13 @@ def sample_by_class(targets: DataFrame, real_y: DataFrame, class_freqs: DataFram
     q = one_row(exact_quantiles(known, "y", cuts).select("q")).getField("q")
     classed = targets.withColumn("_q", q).withColumn(
         "cls", F.size(F.filter("_q", lambda c: c <= F.col("y"))).cast("int")).drop("_q")
+    # the frequencies of all classes ride with the variant: the grid needs no second join
+    table = class_freqs.groupBy("var_id").agg(F.map_from_entries(F.collect_list(
+        F.struct("cls", F.struct("p0", "p1")))).alias("_f")).join(variants.select("var_id").distinct(), "var_id", "left_semi")
     u = u01(seed, F.lit("class"), "sample_id", "var_id")
-    cells = grid(classed.select("sample_id", "cls"), variants.select("var_id").distinct())
-    return cells.join(class_freqs.select("var_id", "cls", "p0", "p1"), ["var_id", "cls"]).select(
-        "sample_id", "var_id", _inverse_cdf(u, "p0", "p1").alias("dosage"))
+    cells = grid(classed.select("sample_id", "cls"), table).withColumn("_p", F.try_element_at("_f", F.col("cls")))
+    return cells.where(F.col("_p").isNotNull()).select(
+        "sample_id", "var_id", _inverse_cdf(u, F.col("_p.p0"), F.col("_p.p1")).alias("dosage"))
 
 
 def real_classes(real_y: DataFrame, n_classes: int = 5) -> DataFrame:
@@ -308,13 +311,17 @@ def enforce_moments(y: DataFrame, mean: float | Column, sd: float | Column, lo:
 def top_up(rows: DataFrame, target: int = 200, by: str = "source", seed: int = 42) -> DataFrame:
     """Exactly ``target`` rows per source: a hashed subset, or the rows repeated in turn.
 
-    Only the first ``target`` rows per source can survive, so each task drops the
-    rest before the shuffle; a source that holds most rows stays cheap.
+    Only the first ``target`` rows per source can survive, so for targets up to
+    1000 each task drops the rest before the shuffle; larger ones are ranked over
+    as many tasks as they need.  A source that holds most rows costs no more.
     """
     sizes = rows.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
-    w = W.partitionBy(by).orderBy("_u", "sample_id")
-    first = rows.withColumn("_u", u01(seed, F.lit("topup"), by, "sample_id")).withColumn(
-        "_r", F.row_number().over(w)).where(F.col("_r") <= target)
+    drawn = rows.withColumn("_u", u01(seed, F.lit("topup"), by, "sample_id"))
+    if target <= 1000:
+        w = W.partitionBy(by).orderBy("_u", "sample_id")
+        first = drawn.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= target)
+    else:
+        first = ranked(drawn, ["_u", "sample_id"], by=[by], name="_r").where(F.col("_r") <= target)
     copies = F.floor((F.lit(target) - F.col("_r")) / F.col("_n"))
     out = first.join(sizes, by).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), copies)))
     new_id = F.when(F.col("copy") == 0, F.col("sample_id")).otherwise(

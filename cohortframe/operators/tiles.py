@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ROWS, COLS, SLOTS = 512, 4096, 16
+ROWS, COLS, SLOTS = 256, 4096, 16      # a tile is at most about 8 MB
 
 _TILE = "chr string, w long, rb long, cb long, ids array<string>, pos array<long>, cols array<string>, data binary"
 
@@ -99,6 +99,11 @@ def one_window(ids: DataFrame, column: str) -> DataFrame:
 # ---- nearest rows -----------------------------------------------------------
 
 QUERIES, BASES = 2048, 1024
+CELLS = 1 << 20                         # numbers per tile: wider vectors make fewer rows
+
+
+def _tile_rows(rows: int, width: int) -> int:
+    return max(1, min(rows, CELLS // max(width, 1)))
 
 
 def _metric(kind: str):
@@ -185,8 +190,9 @@ def nearest_distance(queries: DataFrame, base: DataFrame, kind: str = "euclid",
         _candidates(pivots, lo, hi, kind, 1e-6 * (1.0 + np.abs(hi[np.isfinite(hi)]).max())),
         "id string, cell long, vec array<double>")
     asked = {r.cell: r["count"] for r in cand.groupBy("cell").count().collect()}
+    per_q, per_b = _tile_rows(QUERIES, pivots.shape[1]), _tile_rows(BASES, pivots.shape[1])
     plan = spark.createDataFrame(
-        [(c, math.ceil(asked[c] / QUERIES), math.ceil(sizes[c].n / BASES)) for c in asked if c in sizes]
+        [(c, math.ceil(asked[c] / per_q), math.ceil(sizes[c].n / per_b)) for c in asked if c in sizes]
         or [(-1, 1, 1)], "cell long, nq long, nb long")
 
     def tiled(df, count, block, prefix):
@@ -253,7 +259,8 @@ def knn_donors(rows: DataFrame, p: int, n_rows: int, k: int = 5) -> DataFrame:
     """
     from pyspark.sql import Window as W
 
-    nq, nb = max(1, math.ceil(n_rows / QUERIES)), max(1, math.ceil(n_rows / BASES))
+    nq = max(1, math.ceil(n_rows / _tile_rows(QUERIES, p)))
+    nb = max(1, math.ceil(n_rows / _tile_rows(BASES, p)))
     nq = max(nq, min(SLOTS, math.ceil(n_rows / 64)))      # enough tasks on a small table
 
     def tiled(df, n, block, prefix):

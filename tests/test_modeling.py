@@ -17,12 +17,28 @@ def data(spark):
 
 
 @pytest.mark.parametrize("alpha", [0.5, 25.0])
-def test_ridge_is_the_closed_form(data, alpha):
+@pytest.mark.parametrize("widest", [4096, 2])
+def test_ridge_is_the_closed_form(data, alpha, widest, monkeypatch):
+    monkeypatch.setattr(M, "MAX_NORMAL_FEATURES", widest)       # direct and iterative solver
     x, y, df = data
     xc, yc = x - x.mean(0), y - y.mean()
     want = np.linalg.solve(xc.T @ xc + alpha * np.eye(6), xc.T @ yc)
     got = M.fit("ridge", {"alpha": alpha}, df)
-    assert np.allclose(got.coefficients.toArray(), want, rtol=1e-2, atol=1e-3)
+    assert np.allclose(got.coefficients.toArray(), want, atol=1e-6)
+
+
+@pytest.mark.parametrize("ratio", [0.3, 1.0])
+def test_elastic_net_meets_its_optimality_conditions(data, ratio):
+    x, y, df = data
+    alpha = 0.3
+    kind, params = ("lasso", {"alpha": alpha}) if ratio == 1.0 else ("elasticnet", {"alpha": alpha, "l1_ratio": ratio})
+    w = M.fit(kind, params, df).coefficients.toArray()
+    xc, yc = x - x.mean(0), y - y.mean()
+    grad = xc.T @ (yc - xc @ w) / len(y) - alpha * (1 - ratio) * w
+    on = w != 0
+    assert 0 < on.sum() < 6 or ratio < 1
+    assert np.allclose(grad[on], alpha * ratio * np.sign(w[on]), atol=1e-5)
+    assert (np.abs(grad[~on]) <= alpha * ratio + 1e-5).all()
 
 
 def test_metrics(spark):

@@ -168,3 +168,27 @@ def test_whole_preprocessing_and_run(spark, tmp_path, geno_of):
     assert experiments.comparison(rec).count() == 1
     rep = experiments.normalization_report(tables["X"], syn, pheno, syn_y).first()
     assert rep.drift_mean == 0.0 and rep.gate and rep.id_mismatches == 0 and abs(rep.overlap - 1.0) < 1e-9
+
+
+def shuffles_of_cells(df):
+    """Shuffles in the physical plan that move rows keyed on the variant."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "Exchange hashpartitioning(var_id" in line]
+
+
+def test_bucketed_table_needs_no_shuffle_per_variant(spark, tmp_path, geno_of):
+    from cohortframe.operators import impute, qc
+    from cohortframe.sources.layout import save_bucketed
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.sql("DROP TABLE IF EXISTS cells_by_variant")
+    g = geno_of({f"s{i:02d}": {f"v{j}": (i * j) % 3 for j in range(6)} for i in range(30)})
+    try:
+        plain = qc.filter_variants(g)
+        stored = save_bucketed(g, "cells_by_variant", str(tmp_path / "cells"), 4)
+        assert shuffles_of_cells(plain)
+        for make in (qc.filter_variants, impute.impute_mode, impute.standardize):
+            assert not shuffles_of_cells(make(stored))
+        assert qc.filter_variants(stored).exceptAll(plain).count() == 0
+    finally:
+        spark.sql("DROP TABLE IF EXISTS cells_by_variant")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
