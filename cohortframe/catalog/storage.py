@@ -26,9 +26,9 @@ def folder(t, name: str) -> str:
 def _line_files(t, name: str, text, header, sep: str = "\t"):
     """One text file per chromosome: its header line, then a line per variant."""
     cells = align_to_variants(t.geno, fill=None)
-    calls = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sample_id", text.alias("g")))), lambda s: s["g"]), sep)
+    calls = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("sample_id", text.alias("g")))), lambda s: s["g"]), sep)
     lines = (cells.groupBy("var_id").agg(calls.alias("calls")).join(t.variants, "var_id"))
-    names = t.geno.select("sample_id").distinct().agg(F.array_join(F.array_sort(F.collect_list("sample_id")), sep).alias("names"))
+    names = t.geno.select("sample_id").distinct().agg(F.array_join(F.sort_array(F.collect_list("sample_id")), sep).alias("names"))
     heads = t.variants.select("chr").distinct().withColumn("names", names.scalar()).select(
         "chr", header.alias("value"), F.lit(0).alias("o"))
     return lines, heads

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortframe.session import cut_lineage
+
 BLOCK = 2048      # variants per block
 
 
@@ -23,27 +25,9 @@ def grid(samples: DataFrame, variants: DataFrame) -> DataFrame:
     equi-join.  No side is broadcast unless the optimizer measures it as small.
     """
     parts = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    variants = cut_lineage(variants)            # counted here, read again below
     blocks = max(1, math.ceil(variants.count() / BLOCK))
     slices = max(1, math.ceil(4 * parts / blocks))
     v = variants.withColumn("_b", F.pmod(F.xxhash64("var_id"), F.lit(blocks))).withColumn("_s", _numbers(slices))
     ids = samples.withColumn("_s", F.pmod(F.xxhash64("sample_id"), F.lit(slices))).withColumn("_b", _numbers(blocks))
     return ids.join(v, ["_b", "_s"]).drop("_b", "_s")
-
-
-def missing_cells(cells: DataFrame, samples: DataFrame, variants: DataFrame) -> DataFrame:
-    """(sample_id, var_id) of the grid cells that ``cells`` has no row for.
-
-    Only ids travel: the variants a sample has are gathered per block and taken
-    away from the block's list, so the full grid is never shuffled.
-    """
-    ids = variants.select("var_id").distinct()
-    parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = max(1, math.ceil(ids.count() / BLOCK))
-    slices = max(1, math.ceil(4 * parts / blocks))
-    block = F.pmod(F.xxhash64("var_id"), F.lit(blocks))
-    lists = ids.groupBy(block.alias("_b")).agg(F.collect_list("var_id").alias("_all")).withColumn("_s", _numbers(slices))
-    seen = cells.groupBy("sample_id", block.alias("_b")).agg(F.collect_set("var_id").alias("_seen"))
-    each = samples.select("sample_id").distinct().withColumn("_b", _numbers(blocks))
-    left = each.join(seen, ["sample_id", "_b"], "left").withColumn("_s", F.pmod(F.xxhash64("sample_id"), F.lit(slices)))
-    gone = F.when(F.col("_seen").isNull(), F.col("_all")).otherwise(F.array_except("_all", "_seen"))
-    return left.join(lists, ["_b", "_s"]).select("sample_id", F.explode(gone).alias("var_id"))

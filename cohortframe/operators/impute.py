@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortframe.functions.expr import one_row, safe_div
-from cohortframe.operators.grid import missing_cells
+from cohortframe.operators.grid import grid
 from cohortframe.operators.ranking import exact_quantiles
 
 
@@ -49,16 +49,11 @@ def align_to_variants(geno: DataFrame, samples: DataFrame | None = None, variant
 
     Left out, the samples or the variants are those of the table itself.
     """
-    kept = geno.select("sample_id", "var_id", "dosage")
-    if samples is not None:
-        kept = kept.join(samples.select("sample_id").distinct(), "sample_id", "left_semi")
-    if variants is not None:
-        kept = kept.join(variants.select("var_id").distinct(), "var_id", "left_semi")
     samples, variants = (geno if df is None else df for df in (samples, variants))
-    present = kept.select("sample_id", "var_id", F.coalesce("dosage", F.lit(fill)).alias("dosage"))
-    kind = geno.schema["dosage"].dataType
-    absent = missing_cells(kept, samples, variants).withColumn("dosage", F.lit(fill).cast(kind))
-    return present.unionByName(absent)
+    cells = grid(samples.select("sample_id").distinct(), variants.select("var_id").distinct())
+    seen = geno.select("sample_id", "var_id", "dosage")
+    return (cells.join(seen, ["sample_id", "var_id"], "left")
+            .withColumn("dosage", F.coalesce("dosage", F.lit(fill).cast(geno.schema["dosage"].dataType))))
 
 
 def standardize(values: DataFrame, value: str = "dosage", key: str = "var_id",

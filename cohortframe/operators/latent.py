@@ -10,28 +10,37 @@ import pandas as pd
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from cohortframe.functions.expr import one_row, safe_div, std_normal
-from cohortframe.operators.grid import missing_cells
+from cohortframe.operators.grid import grid
 from cohortframe.operators.ranking import exact_quantiles, ranked
 from cohortframe.operators.tiles import knn_donors, nearest_distance
-from cohortframe.session import cut_lineage
+from cohortframe.session import cut_lineage, measured
 
 MAX_LOCAL_FEATURES = 1024      # p x p covariance and its eigenvectors on the driver
 
 
-def variant_index(variants: DataFrame) -> DataFrame:
-    """(var_id, idx): 0-based position in id order."""
+def variant_index(variants: DataFrame) -> tuple[DataFrame, int]:
+    """(var_id, idx) with 0-based positions in id order, written out, and its length."""
     out = ranked(variants.select("var_id").distinct(), ["var_id"], name="idx")
-    return out.withColumn("idx", (F.col("idx") - 1).cast("int"))
+    index = cut_lineage(out.withColumn("idx", (F.col("idx") - 1).cast("int")))
+    return measured(index), index.count()
+
+
+def selection_index(chosen: DataFrame) -> tuple[DataFrame, int]:
+    """The same for a selection of variants, which is as short as one feature vector."""
+    out = chosen.select("var_id").distinct().withColumn("idx", F.row_number().over(W.orderBy("var_id")) - 1)
+    index = cut_lineage(out)
+    return measured(index), index.count()
 
 
 def sparse_rows(cells: DataFrame, index: DataFrame, value: str) -> DataFrame:
     """(sample_id, idx, val): one sparse row per sample, as wide as the index."""
     rows = cells.where(F.col(value).isNotNull()).join(index, "var_id")
-    pairs = F.array_sort(F.collect_list(F.struct("idx", F.col(value).cast("double").alias("val"))))
+    pairs = F.sort_array(F.collect_list(F.struct("idx", F.col(value).cast("double").alias("val"))))
     return rows.groupBy("sample_id").agg(pairs.alias("_p")).select(
         "sample_id", F.col("_p.idx").alias("idx"), F.col("_p.val").alias("val"))
 
@@ -123,7 +132,7 @@ def _subspace(z: DataFrame, k: int, seed: int, rounds: int, tol: float) -> tuple
 
 def _covariance(z: DataFrame, k: int, p: int) -> tuple[DataFrame, list[float]]:
     """Spark ML PCA on one vector per sample; for a bounded number of variants."""
-    index = variant_index(z)
+    index, _ = variant_index(z)
     rows = dense_rows(sparse_rows(z, index, "z"), p).select(
         "sample_id", array_to_vector("vec").alias("v"))
     rows = cut_lineage(rows)
@@ -235,8 +244,7 @@ def nearest_hamming(synth: DataFrame, real: DataFrame) -> DataFrame:
     Over the variants both tables have; a call missing on one side differs.
     """
     shared = synth.select("var_id").distinct().join(real.select("var_id").distinct(), "var_id", "left_semi")
-    index = cut_lineage(variant_index(shared))
-    p = index.count()
+    index, p = variant_index(shared)
 
     def vectors(df):
         return dense_rows(sparse_rows(df, index, "dosage"), p, fill=-1.0).withColumnRenamed("sample_id", "id")
@@ -290,9 +298,8 @@ def impute_knn(geno: DataFrame, k: int = 5) -> DataFrame:
     Neighbours weigh 1/distance; identical ones alone count when there are any.
     A cell without a donor takes the variant's mean.
     """
-    index = cut_lineage(variant_index(geno))
+    index, p = variant_index(geno)
     rows = cut_lineage(sparse_rows(geno, index, "dosage"))
-    p = index.count()
     donors = knn_donors(rows, p, rows.count(), k)
     zero = F.max(F.when(F.col("distance") == 0, 1).otherwise(0)) == 1
     near = F.avg(F.when(F.col("distance") == 0, F.col("value")))
@@ -305,5 +312,6 @@ def impute_knn(geno: DataFrame, k: int = 5) -> DataFrame:
     known = present.unionByName(filled)
     means = geno.groupBy("var_id").agg(F.coalesce(F.avg("dosage"), F.lit(0.0)).alias("dosage"))
     # cells nobody could donate to
-    orphans = missing_cells(known, geno, geno).join(means, "var_id").select("sample_id", "var_id", "dosage")
-    return known.unionByName(orphans)
+    cells = grid(geno.select("sample_id").distinct(), means)
+    orphans = cells.join(known.select("sample_id", "var_id"), ["sample_id", "var_id"], "left_anti")
+    return known.unionByName(orphans.select("sample_id", "var_id", "dosage"))

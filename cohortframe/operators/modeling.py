@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 
 from cohortframe.functions.expr import one_row, u01
 from cohortframe.operators.impute import standardize
-from cohortframe.operators.latent import dense_rows, pca, project, sparse_rows, standard_cells, variant_index
-from cohortframe.operators.popgen import select_k_best
+from cohortframe.operators.latent import dense_rows, pca, project, selection_index, sparse_rows, standard_cells
+from cohortframe.operators.popgen import fold_sums, select_k_without
 from cohortframe.operators.ranking import ranked
 from cohortframe.operators.runs import r2_weighted_ensemble, regression_metrics
-from cohortframe.session import cut_lineage
+from cohortframe.session import MAX_BROADCAST_ROWS, cut_lineage
 
 # Hyper-parameter grids of the regressors.
 GRIDS: dict[str, dict[str, list]] = {
@@ -154,8 +154,7 @@ def vectors(geno: DataFrame, chosen: DataFrame, pheno: DataFrame | None = None)
     The vector is as long as the selection, never as the genome; missing calls
     are 0, which is the mean once the cells are standardized.
     """
-    index = cut_lineage(variant_index(chosen))
-    p = index.count()
+    index, p = selection_index(chosen)
     value = "z" if "z" in geno.columns else "dosage"
     rows = dense_rows(sparse_rows(geno, index, value), p)
     out = rows.select("sample_id", array_to_vector("vec").alias("features"))
@@ -192,9 +191,8 @@ class FoldData:
     test: DataFrame
 
 
-def fold_data(geno: DataFrame, pheno: DataFrame, train_ids: DataFrame, test_ids: DataFrame, k: int) -> FoldData:
-    """Select k variants and scale on the training samples, then vectorise both sides."""
-    chosen = cut_lineage(select_k_best(geno, pheno, k, train_ids).select("var_id"))
+def fold_data(geno: DataFrame, pheno: DataFrame, train_ids: DataFrame, test_ids: DataFrame, chosen: DataFrame) -> FoldData:
+    """Scale the chosen variants on the training samples, then vectorise both sides."""
     rows = geno.join(chosen, "var_id", "left_semi").where(F.col("dosage").isNotNull())
     z = standardize(rows, fit=rows.join(train_ids.select("sample_id"), "sample_id", "left_semi"))
     both = cut_lineage(vectors(z.select("sample_id", "var_id", "z"), chosen, pheno))
@@ -241,29 +239,38 @@ def nested_cv(geno: DataFrame, pheno: DataFrame, samples: DataFrame, kind: str =
               holdout: float = 0.2, seed: int = 42) -> NestedResult:
     """Outer folds and a holdout of real samples; selection, scaling and tuning inside each fold.
 
-    The loop runs over folds and grid entries, never over data; each step is a
-    Spark job on the whole fold.  The final model takes the parameters of the
-    fold with the smallest validation error.
+    Two passes over the cells serve all folds: one for the sums that rank the
+    variants without each fold, one to take out the cells of the variants any fold
+    chose.  The loop runs over folds and grid entries, never over data.  The final
+    model takes the parameters of the fold with the smallest validation error.
     """
     params = GRIDS[kind] if params is None else params
     known = samples.join(pheno.where(F.col("y").isNotNull()).select("sample_id"), "sample_id", "left_semi")
     known = cut_lineage(known)
     outer, inner = fold_counts(known.where("origin = 'real'").count(), outer, inner)
-    splits = cut_lineage(leak_guarded_splits(known, outer, holdout, seed))
+    own = cut_lineage(assign_folds(known, outer, holdout, seed))
+    sums = cut_lineage(fold_sums(geno, pheno, own))
+    chosen = {f: cut_lineage(select_k_without(sums, f, k)) for f in (*range(outer), -1)}
+    wanted = reduce(DataFrame.unionByName, chosen.values()).distinct()       # at most (outer + 1) k ids
+    cells = cut_lineage(geno.join(F.broadcast(wanted) if (outer + 1) * k <= MAX_BROADCAST_ROWS else wanted, "var_id", "left_semi")
+                        .select("sample_id", "var_id", "dosage"))
+    real, fold = F.col("origin") == "real", F.col("fold")
+
+    def sides(f):
+        train = own.where(~real | ((fold != f) & (fold != -1)))
+        return fold_data(cells, pheno, train, own.where(real & (fold == f)), chosen[f])
+
     parts, best, errors = [], [], []
     for f in range(outer):
-        mine = splits.where(F.col("fold") == f)
-        data = fold_data(geno, pheno, mine.where("role = 'train'"), mine.where("role = 'validation'"), k)
+        data = sides(f)
         option = tune(kind, params, data.train, known, inner, seed)
         pred = cut_lineage(predict(fit(kind, option, data.train), data.test).withColumn("fold", F.lit(f)))
         parts.append(pred)
         best.append(option)
         errors.append(_mse(pred))
-    held = splits.where("role = 'holdout'")
-    rest = known.join(held.select("sample_id"), "sample_id", "left_anti")
-    data = fold_data(geno, pheno, rest, held, k)
-    chosen = best[min(range(outer), key=errors.__getitem__)]
-    final = predict(fit(kind, chosen, data.train), data.test)
+    data = sides(-1)
+    option = best[min(range(outer), key=errors.__getitem__)]
+    final = predict(fit(kind, option, data.train), data.test)
     preds = reduce(DataFrame.unionByName, parts)
     return NestedResult(regression_metrics(preds, ["fold"]), preds, regression_metrics(final), best)
 
@@ -373,7 +380,7 @@ def forest_importance(data: DataFrame, chosen: DataFrame, trees: int = 20, depth
     model = fit("randomforest", {"n_estimators": trees, "max_depth": depth}, data)
     values = [(i, float(v)) for i, v in enumerate(model.featureImportances.toArray())]
     table = data.sparkSession.createDataFrame(values, "idx int, importance double")
-    return variant_index(chosen).join(table, "idx").select("var_id", "importance")
+    return selection_index(chosen)[0].join(table, "idx").select("var_id", "importance")
 
 
 def baseline_signal(geno: DataFrame, pheno: DataFrame, max_features: int = 1000, min_samples: int = 20,
@@ -408,7 +415,7 @@ def sequence_windows(values: DataFrame, order: Sequence[str], length: int = 10)
     r = ranked(values.select(*dict.fromkeys([*order, "y"])), list(order), name="_i", total="_n")
     ends = F.explode(F.sequence(F.col("_i"), F.least(F.col("_i") + length - 1, F.col("_n"))))
     rows = r.select("_i", "y", ends.alias("position")).where(F.col("position") >= length)
-    win = F.array_sort(F.collect_list(F.struct("_i", "y")))
+    win = F.sort_array(F.collect_list(F.struct("_i", "y")))
     return rows.groupBy("position").agg(win.alias("_w")).select(
         "position", F.col("_w.y").alias("window"), F.element_at(F.col("_w.y"), -1).alias("target"))
 

@@ -10,8 +10,8 @@ from pyspark.sql.types import DoubleType
 
 from cohortframe.functions.expr import one_row, safe_div
 from cohortframe.operators.ranking import exact_quantiles, ranked
-from cohortframe.operators.tiles import one_window, pair_dots
-from cohortframe.session import cut_lineage
+from cohortframe.operators.tiles import pair_dots
+from cohortframe.session import cut_lineage, measured
 
 
 def genotype_frequencies(geno: DataFrame) -> DataFrame:
@@ -25,7 +25,7 @@ def genotype_frequencies(geno: DataFrame) -> DataFrame:
 def class_frequencies(geno: DataFrame, classes: DataFrame, min_rows: int = 3) -> DataFrame:
     """P(dosage | class, variant); the marginal where a class has ``min_rows`` calls or fewer."""
     n = F.count("dosage")
-    per = geno.join(classes.select("sample_id", "cls"), "sample_id").groupBy("var_id", "cls").agg(
+    per = geno.join(measured(classes.select("sample_id", "cls")), "sample_id").groupBy("var_id", "cls").agg(
         n.alias("n"), *[safe_div(F.count_if(F.col("dosage") == g), n).alias(f"c{g}") for g in (0, 1, 2)])
     few = F.col("n") <= min_rows
     return per.join(genotype_frequencies(geno), "var_id").select(
@@ -114,8 +114,8 @@ def pearson_p(r: pd.Series, n: pd.Series) -> pd.Series:
 
 def target_correlation(geno: DataFrame, pheno: DataFrame) -> DataFrame:
     """Pearson r of every variant with the target; null for a constant side."""
-    rows = geno.join(pheno.where(F.col("y").isNotNull()).select("sample_id", "y"), "sample_id") \
-               .where(F.col("dosage").isNotNull())
+    known = measured(pheno.where(F.col("y").isNotNull()).select("sample_id", "y"))
+    rows = geno.where(F.col("dosage").isNotNull()).join(known, "sample_id")
     x = F.col("dosage").cast("double")
     return (rows.groupBy("var_id").agg(
         F.count(F.lit(1)).alias("n"), F.covar_pop(x, F.col("y")).alias("_c"),
@@ -148,6 +148,36 @@ def select_k_best(geno: DataFrame, pheno: DataFrame, k: int, train: DataFrame |
             .orderBy(F.desc(F.round("f_score", 9)), "var_id").limit(k))
 
 
+def fold_sums(geno: DataFrame, pheno: DataFrame, folds: DataFrame) -> DataFrame:
+    """Sums behind the correlation per (variant, fold): one pass over the cells for all folds.
+
+    ``folds(sample_id, fold)`` with -1 for the holdout and null for synthetic
+    samples.  The target is centred first, which keeps the sums well scaled.
+    """
+    known = pheno.where(F.col("y").isNotNull()).select("sample_id", "y")
+    mid = one_row(known.agg(F.avg("y").alias("m"))).getField("m")
+    side = measured(known.select("sample_id", (F.col("y") - mid).alias("y")).join(folds.select("sample_id", "fold"), "sample_id"))
+    rows = geno.where(F.col("dosage").isNotNull()).join(side, "sample_id")
+    x, y = F.col("dosage").cast("double"), F.col("y")
+    return rows.groupBy("var_id", "fold").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * x).alias("sxx"),
+        F.sum(y * y).alias("syy"), F.sum(x * y).alias("sxy"))
+
+
+def select_k_without(sums: DataFrame, fold: int, k: int) -> DataFrame:
+    """The k best variants by F score over everything but one fold and the holdout."""
+    train = sums.where(F.col("fold").isNull() | ((F.col("fold") != fold) & (F.col("fold") != -1)))
+    t = train.groupBy("var_id").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    n = F.col("n")
+    cov = F.col("sxy") - F.col("sx") * F.col("sy") / n
+    vx = F.col("sxx") - F.col("sx") * F.col("sx") / n
+    vy = F.col("syy") - F.col("sy") * F.col("sy") / n
+    r2 = F.when((vx > 1e-12 * F.col("sxx")) & (vy > 0), cov * cov / F.nullif(vx * vy, F.lit(0.0)))
+    score = safe_div(r2, 1.0 - r2) * (n - 2)
+    return (t.select("var_id", score.alias("f_score")).where(F.col("f_score").isNotNull())
+            .orderBy(F.desc(F.round("f_score", 6)), "var_id").limit(k).select("var_id"))
+
+
 def variable_variants(geno: DataFrame, min_variance: float = 0.0, min_sd: float | None = None) -> DataFrame:
     """Variants whose population variance (or sd) exceeds the threshold."""
     per = geno.groupBy("var_id").agg(F.var_pop("dosage").alias("variance"))
@@ -171,25 +201,24 @@ def unit_scaled(geno: DataFrame) -> DataFrame:
                     F.when(F.col("_ss") > 0, x).otherwise(0.0).alias("val")))
 
 
-def count_distinct_of(df: DataFrame, column: str) -> int:
-    return df.select(column).distinct().count()
+def dimensions(geno: DataFrame) -> tuple[int, int]:
+    """(samples, variants) of the table, in one aggregate."""
+    row = geno.agg(F.count_distinct("sample_id").alias("n"), F.count_distinct("var_id").alias("p")).first()
+    return row.n, row.p
 
 
 def pairwise_r2(geno: DataFrame) -> DataFrame:
     """r and r2 of every pair of variants (var1 < var2)."""
-    cells = unit_scaled(geno)
-    rows = one_window(geno.select("var_id").distinct(), "var_id")
-    dots = pair_dots(cells, rows, count_distinct_of(geno, "sample_id"))
-    return _as_pairs(dots)
+    n, p = dimensions(geno)
+    return _as_pairs(pair_dots(unit_scaled(geno), p, n))
 
 
 def windowed_r2(geno: DataFrame, variants: DataFrame, max_distance: int) -> DataFrame:
     """r and r2 of the pairs on one chromosome at most ``max_distance`` apart."""
-    rows = (geno.select("var_id").distinct().join(variants, "var_id")
-            .select(F.col("var_id").alias("row"), "chr",
-                    F.floor(F.col("pos") / max_distance).alias("w"), F.col("pos").cast("long").alias("pos")))
-    dots = pair_dots(unit_scaled(geno), rows, count_distinct_of(geno, "sample_id"), max_distance=max_distance)
-    return _as_pairs(dots)
+    n, p = dimensions(geno)
+    rows = variants.select(F.col("var_id").alias("row"), "chr", F.floor(F.col("pos") / max_distance).alias("w"),
+                           F.col("pos").cast("long").alias("pos"))
+    return _as_pairs(pair_dots(unit_scaled(geno), p, n, rows, max_distance=max_distance))
 
 
 def _as_pairs(dots: DataFrame) -> DataFrame:
@@ -251,7 +280,7 @@ def nested_blocks(blocks: DataFrame, size: int = 10_000) -> DataFrame:
     """
     r = ranked(blocks.select("block_id", "var_id"), ["var_id"], by=["block_id"], name="_r")
     part = F.floor((F.col("_r") - 1) / size).alias("part")
-    return r.groupBy("block_id", part).agg(F.array_sort(F.collect_list("var_id")).alias("variants"))
+    return r.groupBy("block_id", part).agg(F.sort_array(F.collect_list("var_id")).alias("variants"))
 
 
 def relationship_matrix(geno: DataFrame) -> DataFrame:
@@ -261,8 +290,8 @@ def relationship_matrix(geno: DataFrame) -> DataFrame:
     cells = geno.where(F.col("dosage").isNotNull()).join(freq, "var_id").select(
         F.col("sample_id").alias("row"), F.col("var_id").alias("col"),
         (F.col("dosage") - 2 * F.col("_p")).alias("val"))
-    rows = one_window(geno.select("sample_id").distinct(), "sample_id")
-    dots = pair_dots(cells, rows, count_distinct_of(geno, "var_id"), self_pairs=True)
+    n, p = dimensions(geno)
+    dots = pair_dots(cells, n, p, self_pairs=True)
     return dots.select(F.col("row1").alias("sample1"), F.col("row2").alias("sample2"),
                        safe_div("dot", c).alias("g"))
 

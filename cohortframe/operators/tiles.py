@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortframe.session import cut_lineage, measured
+
 ROWS, COLS, SLOTS = 256, 4096, 16      # a tile is at most about 8 MB
 
 _TILE = "chr string, w long, rb long, cb long, ids array<string>, pos array<long>, cols array<string>, data binary"
@@ -59,20 +61,25 @@ def _pair_kernel(self_pairs: bool, max_distance: int | None):
     return run
 
 
-def pair_dots(cells: DataFrame, rows: DataFrame, n_cols: int, self_pairs: bool = False,
+def pair_dots(cells: DataFrame, n_rows: int, n_cols: int, rows: DataFrame | None = None, self_pairs: bool = False,
               max_distance: int | None = None) -> DataFrame:
     """(row1, row2, dot) with row1 <= row2: dot products of rows over their shared columns.
 
-    ``cells(row, col, val)``; ``rows(row, chr, w, pos)`` places each row in a
-    window.  Rows meet inside a window and, when ``max_distance`` is given, with
-    the next one; a window as wide as the distance then loses no pair.  Pass one
-    window for all pairs: the result is then quadratic in the rows by definition.
+    ``cells(row, col, val)``.  Without ``rows`` every pair is wanted, and the result
+    is quadratic by definition.  ``rows(row, chr, w, pos)`` places each row in a
+    window: rows then meet inside their window and, when ``max_distance`` is given,
+    in the next one; a window as wide as the distance loses no pair.
     """
-    per = rows.groupBy("chr", "w").agg(F.ceil(F.count(F.lit(1)) / ROWS).alias("_nb"))
-    placed = rows.join(per, ["chr", "w"]).withColumn("rb", F.pmod(F.xxhash64("row"), F.col("_nb")))
     n_cb = max(1, math.ceil(n_cols / COLS))
-    tiles = (cells.join(placed.drop("_nb"), "row")
-             .withColumn("cb", F.pmod(F.xxhash64("col"), F.lit(n_cb)))
+    if rows is None:
+        placed = cells.withColumns({
+            "chr": F.lit(""), "w": F.lit(0).cast("long"), "pos": F.lit(0).cast("long"),
+            "rb": F.pmod(F.xxhash64("row"), F.lit(max(1, math.ceil(n_rows / ROWS))))})
+    else:
+        per = rows.groupBy("chr", "w").agg(F.ceil(F.count(F.lit(1)) / ROWS).alias("_nb"))
+        side = rows.join(per, ["chr", "w"]).withColumn("rb", F.pmod(F.xxhash64("row"), F.col("_nb"))).drop("_nb")
+        placed = cells.join(measured(side), "row")
+    tiles = (placed.withColumn("cb", F.pmod(F.xxhash64("col"), F.lit(n_cb)))
              .groupBy("chr", "w", "rb", "cb").applyInPandas(_densify, _TILE))
     a = tiles.withColumn("slot", F.pmod("rb", F.lit(SLOTS)))
     ahead = F.array(F.col("w_b"), F.col("w_b") - 1) if max_distance is not None else F.array("w_b")
@@ -90,12 +97,6 @@ def pair_dots(cells: DataFrame, rows: DataFrame, n_cols: int, self_pairs: bool =
     return out.groupBy("row1", "row2").agg(F.sum("dot").alias("dot"))
 
 
-def one_window(ids: DataFrame, column: str) -> DataFrame:
-    """All rows in one window: every pair is wanted."""
-    return ids.select(F.col(column).alias("row"), F.lit("").alias("chr"), F.lit(0).cast("long").alias("w"),
-                      F.lit(0).cast("long").alias("pos"))
-
-
 # ---- nearest rows -----------------------------------------------------------
 
 QUERIES, BASES = 2048, 1024
@@ -175,6 +176,7 @@ def nearest_distance(queries: DataFrame, base: DataFrame, kind: str = "euclid",
     a large part of the base is cut into as many tiles as it needs.
     """
     spark = base.sparkSession
+    base, queries = cut_lineage(base.select("id", "vec")), cut_lineage(queries.select("id", "vec"))    # read several times
     picked = base.orderBy(F.xxhash64("id"), "id").select("vec").limit(n_pivots).collect()
     if not picked:
         return queries.select("id", F.lit(None).cast("double").alias("distance"))

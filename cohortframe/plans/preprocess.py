@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cohortframe.operators import qc
 from cohortframe.operators.impute import impute_mode
 from cohortframe.operators.latent import impute_knn, pca, standard_cells
-from cohortframe.session import cut_lineage
+from cohortframe.session import cut_lineage, measured
 
 
 @dataclass
@@ -36,7 +36,7 @@ def process(geno: DataFrame, pheno: DataFrame, variants: DataFrame, settings: Se
     kept_v = qc.filter_variants(geno, s.max_missing, s.min_maf, s.min_hwe_p)
     judged = qc.judge_samples(qc.sample_stats(kept_v), s.max_sample_missing, s.het_k, s.het_dialect)
     judged = cut_lineage(judged)
-    good = judged.where("verdict = 'pass'").select("sample_id")
+    good = measured(judged.where("verdict = 'pass'").select("sample_id"))
     clean = cut_lineage(kept_v.join(good, "sample_id", "left_semi"))
     x = cut_lineage(impute_knn(clean) if s.imputation == "knn" else impute_mode(clean))
     parts = pca(standard_cells(x), s.components)

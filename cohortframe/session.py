@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(master: str = "local[8]", partitions: int = 8, **conf: str) -> SparkSession:
@@ -54,3 +55,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+MAX_BROADCAST_ROWS = 2_000_000      # of a narrow table: an id and a few numbers, about 100 MB
+
+
+def measured(df: DataFrame) -> DataFrame:
+    """A narrow per-sample table with a broadcast hint when its counted rows allow one.
+
+    It spares the join a shuffle of all cells.  Above the limit the table is
+    returned as it is and the join shuffles both sides.
+    """
+    return F.broadcast(df) if df.count() <= MAX_BROADCAST_ROWS else df

@@ -125,3 +125,18 @@ def test_best_row_tie_keeps_the_first(spark):
     r = spark.createDataFrame([("s", i, "m", "c", 0.5, 0.1, 0.2, 10) for i in (3, 1, 2)],
                               "source string, seq long, model string, context string, holdout_r2 double, rmse double, cv_r2 double, n_samples int")
     assert R.best_per_source(r).first().seq == 1
+
+
+def test_selection_from_sums_equals_selection_from_cells(spark):
+    from cohortframe.operators import popgen as G
+    rng = np.random.default_rng(8)
+    cells = spark.createDataFrame([(f"s{i:02d}", f"v{j:02d}", int(rng.integers(0, 3))) for i in range(60) for j in range(15)],
+                                  "sample_id string, var_id string, dosage int")
+    pheno = spark.createDataFrame([(f"s{i:02d}", float(rng.normal())) for i in range(60)], "sample_id string, y double")
+    who = spark.createDataFrame([(f"s{i:02d}", "real" if i < 45 else "synthetic") for i in range(60)], "sample_id string, origin string")
+    own = M.assign_folds(who, 3)
+    sums = G.fold_sums(cells, pheno, own)
+    for f in (-1, 0, 1, 2):
+        train = own.where((F.col("origin") != "real") | ((F.col("fold") != f) & (F.col("fold") != -1)))
+        want = {r.var_id for r in G.select_k_best(cells, pheno, 5, train).collect()}
+        assert {r.var_id for r in G.select_k_without(sums, f, 5).collect()} == want
