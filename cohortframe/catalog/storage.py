@@ -202,7 +202,7 @@ def _answers(t):
     land = folder(t, "answers")
     rows = t.responses.withColumn("ts", F.timestamp_seconds(F.lit(1704067200) + F.col("run_id")))
     rows.unionByName(rows.where("run_id % 2 = 0")).repartition(4, "run_id").write.parquet(land)     # half arrive twice
-    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(land)
+    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(land)
     return stream
 
 
