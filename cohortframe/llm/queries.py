@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortframe.llm import archive, decontam, dedup
+from cohortframe.llm import archive, decontam, dedup, packing, pii, quality, secrets
 from cohortframe.llm.common import scratch, table
 
 
+def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.find_personal_data(docs, pii.fit_judge(docs))
+
+
 def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "warc")
     archive.write_archive(table(spark, sf_dir, "pages"), folder)
@@ -24,6 +29,19 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.quality_scores(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_warc_archive, op4_decontaminate, op5_exact_dedup)}
+    f.__name__: f for f in (op1_personal_data, op2_warc_archive, op4_decontaminate, op5_exact_dedup, op6_secret_scan, op8_best_fit_packing, op10_quality_classifier)}
 CHECKS: dict[str, str] = {"op2_warc_archive": archive.ORACLE, "op4_decontaminate": decontam.ORACLE, "op5_exact_dedup": dedup.ORACLE}
