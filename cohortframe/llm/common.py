@@ -48,6 +48,14 @@ def byte_parts(docs: DataFrame, per_part: int, column: str = "text") -> int:
     return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // per_part))
 
 
+MAX_BROADCAST_ROWS = 500_000      # of a few numbers each: some 10 MB
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """A narrow table with a broadcast hint if it is small when counted; beyond that the join shuffles both sides."""
+    return F.broadcast(df) if df.count() <= MAX_BROADCAST_ROWS else df
+
+
 class WordHashes(dict):
     """64-bit hash of a word (bytes), remembered for the first ``LIMIT`` short words a worker meets."""
 
@@ -93,4 +101,4 @@ def shingle_hashes(found: list[bytes], size: int = 5) -> np.ndarray:
     return np.unique(out)
 
 
-__all__ = ["WS", "byte_parts", "crc_fold", "cut_lineage", "normal_text", "scratch", "shared_dir", "shingle_hashes", "stored", "table", "word_hashes", "words"]
+__all__ = ["WS", "byte_parts", "crc_fold", "cut_lineage", "normal_text", "scratch", "shared_dir", "shingle_hashes", "sized", "stored", "table", "word_hashes", "words"]

@@ -20,15 +20,10 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortframe.llm.common import WS, cut_lineage
+from cohortframe.llm.common import WS, cut_lineage, sized
 
 SHINGLE = 5
 THRESHOLD = 0.75
-MAX_BROADCAST_ROWS = 500_000      # of (hash, item) or of doc_id rows: some 10 MB; beyond, the join shuffles
-
-
-def _sized(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= MAX_BROADCAST_ROWS else df
 
 
 def _words(text: str | Column) -> Column:
@@ -71,7 +66,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> Da
     if not bounds:
         return docs.select("doc_id").join(items.select("item_id"), F.lit(False)).select(
             "doc_id", "item_id", F.lit(0).cast("long").alias("item_shingles"), F.lit(0).cast("long").alias("shared_shingles"))
-    values = _sized(sketch.select("item_id", "part", F.explode("h").alias("hash")))
+    values = sized(sketch.select("item_id", "part", F.explode("h").alias("hash")))
 
     worded = docs.select("doc_id", _words("text").alias("w"))
     top = None
@@ -83,7 +78,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> Da
               .select("doc_id", "top", F.explode(_shingles("w", _hash)).alias("hash")).where("hash <= top"))
     pairs = cut_lineage(hashes.join(values, "hash").select("doc_id", "item_id").distinct())
 
-    ids = _sized(pairs.select(F.col("doc_id").alias("_id")).distinct())
+    ids = sized(pairs.select(F.col("doc_id").alias("_id")).distinct())
     texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     found = texts.select("doc_id", _words("text").alias("w")).where(F.size("w") >= SHINGLE).select("doc_id", _shingles("w", _text).alias("d"))
     wanted = pairs.alias("p").join(sketch.select("item_id", "s").alias("i"), F.col("p.item_id").eqNullSafe(F.col("i.item_id"))).select(
@@ -98,7 +93,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> Da
 
 def without_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, all columns, whose doc_id holds no item."""
-    ids = _sized(cut_lineage(leaks(docs, items, threshold).select(F.col("doc_id").alias("_leaky")).distinct()))
+    ids = sized(cut_lineage(leaks(docs, items, threshold).select(F.col("doc_id").alias("_leaky")).distinct()))
     return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_leaky"]), "left_anti")
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortframe.llm import archive, decontam, dedup, packing, pii, quality, secrets
+from cohortframe.llm import archive, decontam, dedup, jaccard, lines, lm, packing, pii, quality, secrets
 from cohortframe.llm.common import scratch, table
 
 
@@ -21,6 +21,10 @@ def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.read_archive(spark, folder).drop("url")
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -33,15 +37,23 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.quality_scores(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_personal_data, op2_warc_archive, op4_decontaminate, op5_exact_dedup, op6_secret_scan, op8_best_fit_packing, op10_quality_classifier)}
+    f.__name__: f for f in (op1_personal_data, op2_warc_archive, op3_jaccard_join, op4_decontaminate, op5_exact_dedup, op6_secret_scan, op7_line_dedup, op8_best_fit_packing, op9_lm_scoring, op10_quality_classifier)}
 CHECKS: dict[str, str] = {"op2_warc_archive": archive.ORACLE, "op4_decontaminate": decontam.ORACLE, "op5_exact_dedup": dedup.ORACLE}

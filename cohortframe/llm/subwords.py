@@ -71,6 +71,10 @@ class Subwords:
                 held, size = [], 0
         yield from self._flush(held)
 
+    def encode_words(self, texts: list[list[str]]) -> list[bytes]:
+        """The same for texts that are cut into chunks already."""
+        return self._flush(texts)
+
     def _flush(self, held: list[list[str]]) -> list[bytes]:
         chunks = set(chain.from_iterable(held))
         if not chunks <= self.known.keys():
