@@ -326,4 +326,5 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     drop = rows.join(rows.groupBy("label").agg(first), "label").where(~F.struct("doc_id", "mark").eqNullSafe(F.col("first"))).select(
         F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct()
     drop = sized(cut_lineage(drop))
-    return docs.join(drop, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_mark")), "left_anti")
+    same_text = F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == drop["_mark"]
+    return docs.join(drop, docs["doc_id"].eqNullSafe(drop["_id"]) & same_text, "left_anti")

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from cohortframe.llm import archive, decontam, dedup, jaccard, lines, lm, packing, pii, quality, secrets
 from cohortframe.llm.common import scratch, table
 
@@ -54,6 +55,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_personal_data, op2_warc_archive, op3_jaccard_join, op4_decontaminate, op5_exact_dedup, op6_secret_scan, op7_line_dedup, op8_best_fit_packing, op9_lm_scoring, op10_quality_classifier)}
+    f.__name__: f for f in (op1_personal_data, op2_warc_archive, op3_jaccard_join, op4_decontaminate, op5_exact_dedup, op6_secret_scan, op7_line_dedup, op8_best_fit_packing, op9_lm_scoring, op10_quality_classifier, pipeline)}
 CHECKS: dict[str, str] = {"op2_warc_archive": archive.ORACLE, "op4_decontaminate": decontam.ORACLE, "op5_exact_dedup": dedup.ORACLE}
