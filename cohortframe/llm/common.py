@@ -36,6 +36,19 @@ def normal_text(text: str | Column = "text") -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), WS, " ")
 
 
+def texts_by_id(docs: DataFrame, *more: Column) -> DataFrame:
+    """``doc_id`` as a string, ``more``, and ``text`` with null as empty, for tasks in Python.
+
+    pandas has no nullable long of its own and would turn ids beside a null into floats; ``with_long_id`` turns the
+    strings back.
+    """
+    return docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), *more, F.coalesce("text", F.lit("")).alias("text"))
+
+
+def with_long_id(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
 def crc_fold(doc_id: str | Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id counts as empty text."""
     doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -101,4 +114,4 @@ def shingle_hashes(found: list[bytes], size: int = 5) -> np.ndarray:
     return np.unique(out)
 
 
-__all__ = ["WS", "byte_parts", "crc_fold", "cut_lineage", "normal_text", "scratch", "shared_dir", "shingle_hashes", "sized", "stored", "table", "word_hashes", "words"]
+__all__ = ["WS", "byte_parts", "crc_fold", "cut_lineage", "normal_text", "scratch", "shared_dir", "shingle_hashes", "sized", "stored", "table", "texts_by_id", "with_long_id", "word_hashes", "words"]

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortframe.llm.common import byte_parts, cut_lineage, shingle_hashes, sized, stored, words
+from cohortframe.llm.common import byte_parts, cut_lineage, shingle_hashes, sized, stored, texts_by_id, with_long_id, words
 from cohortframe.llm.graph import components
 
 PER_BUCKET = 16 << 20       # bytes of text whose shingles one bucket holds
@@ -39,8 +39,8 @@ LISTS = 200_000             # postings a task reads at once
 PIVOTS = 16                 # parts of the suffix filter
 NUM, DEN = 75, 100          # the threshold
 
-_SETS = "bucket int, doc_id long, mark long, class long, n long, classes binary, sizes binary, counts binary, shingles binary"
-_SHARED = "doc_id long, mark long, class long, n long, part int, classes binary, sizes binary, counts binary, shingles binary, df binary"
+_SETS = "bucket int, doc_id string, mark long, class long, n long, classes binary, sizes binary, counts binary, shingles binary"
+_SHARED = "doc_id string, mark long, class long, n long, part int, classes binary, sizes binary, counts binary, shingles binary, df binary"
 
 
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -72,30 +72,32 @@ def _sets(docs: DataFrame, buckets: int) -> DataFrame:
                 own, counts = np.unique(of[at], return_counts=True)
                 out.append((b, names[own].tobytes(), sizes[own].tobytes(), counts.astype(np.int64).tobytes(), shingles[at].tobytes()))
             return pd.DataFrame(out, columns=["bucket", "classes", "sizes", "counts", "shingles"]).assign(
-                **dict.fromkeys(("doc_id", "mark", "class"), pd.array([None] * len(out), "Int64")), n=0)[_names(_SETS)]
+                doc_id=None, mark=0, **{"class": 0}, n=0)[_names(_SETS)]
 
         for frame in frames:
-            rows = []
-            for doc_id, mark, text in zip(frame["doc_id"].astype("Int64").array, frame["mark"], frame["text"]):
+            names: list[int] = []
+            sizes: list[int] = []
+            for text in frame["text"]:
                 found = shingle_hashes(words(text))
-                name = None
+                name = 0
                 if len(found):
                     name = xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63)
                     if name not in met:
                         met.add(name)
                         held.append((name, found))
                         size += len(found)
-                rows.append((-1 - mark % buckets, doc_id, mark, name, len(found)))
+                names.append(name)
+                sizes.append(len(found))
                 if size >= FLUSH:
                     yield flush()
                     held.clear()
                     size = 0
-            out = pd.DataFrame(rows, columns=["bucket", "doc_id", "mark", "class", "n"]).astype({"doc_id": "Int64", "class": "Int64"})
-            yield out.assign(classes=None, sizes=None, counts=None, shingles=None)
+            yield pd.DataFrame({"bucket": -1 - frame["mark"] % buckets, "doc_id": frame["doc_id"], "mark": frame["mark"],
+                                "class": names, "n": sizes}).assign(classes=None, sizes=None, counts=None, shingles=None)
         if held:
             yield flush()
 
-    return docs.select(F.col("doc_id").cast("long"), _mark().alias("mark"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(read, _SETS)
+    return texts_by_id(docs, _mark().alias("mark")).mapInPandas(read, _SETS)
 
 
 def _mark() -> Column:
@@ -134,7 +136,7 @@ def _shared(frame: pd.DataFrame, parts: int) -> pd.DataFrame:
         own, n = np.unique(of[at], return_counts=True)
         out.append((p, names[own].tobytes(), sizes[own].tobytes(), n.astype(np.int64).tobytes(), shingles[at].tobytes(), df[at].astype("<u4").tobytes()))
     got = pd.DataFrame(out, columns=["part", "classes", "sizes", "counts", "shingles", "df"])
-    return got.assign(**dict.fromkeys(("doc_id", "mark", "class"), pd.array([None] * len(got), "Int64")), n=0)[_names(_SHARED)]
+    return got.assign(doc_id=None, mark=0, **{"class": 0}, n=0)[_names(_SHARED)]
 
 
 def prefix_size(n: np.ndarray) -> np.ndarray:
@@ -185,7 +187,7 @@ def _meetings(posted: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
         found.append(np.unique(np.stack([name[row[fits]], other[c[fits]]], 1), axis=0))
     pair = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
     names, first = np.unique(pair[:, 0], return_index=True)
-    return pd.DataFrame({"class": names, "others": np.split(pair[:, 1], first[1:]) if len(names) else []})
+    return pd.DataFrame({"class": names, "others": pd.Series(np.split(pair[:, 1], first[1:]) if len(names) else [], dtype=object)})
 
 
 def join_blocks(n: np.ndarray, single: np.ndarray, side: np.ndarray, cross: bool, prefixes: list[np.ndarray], sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -264,7 +266,7 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(``doc_id, mark, class, n`` per input row; links ``u, v`` between classes, enough to connect each component)."""
     buckets = byte_parts(docs, PER_BUCKET)
     shared = stored(_sets(docs, buckets).groupBy("bucket").applyInPandas(lambda f: _shared(f, buckets), _SHARED), "shingles")
-    members = shared.where("part IS NULL").select("doc_id", "mark", "class", "n")
+    members = with_long_id(shared.where("part IS NULL")).select("doc_id", "mark", F.when(F.col("n") > 0, F.col("class")).alias("class"), "n")
     classes = stored(shared.where("part IS NOT NULL").groupBy("part").applyInPandas(
         _prefixes, "class long, n long, single long, key long, prefix array<long>, shared binary"), "classes")
     # blocks: classes of one MinHash, split by hash so that a block has some BLOCK shingles

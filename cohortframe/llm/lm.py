@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from cohortframe.llm import attention
 from cohortframe.llm.attention import CONTEXT, STRIDE, WINDOW, Attention
-from cohortframe.llm.common import crc_fold, stored, words
+from cohortframe.llm.common import crc_fold, stored, texts_by_id, with_long_id, words
 from cohortframe.llm.subwords import subwords, vocabulary_path
 
 FOLDS, HELD_OUT = 7, 2
@@ -57,11 +57,10 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
             ids = []
             for block in _blocks(found, [len(f) for f in found], BLOCK // 4):
                 ids += [np.append(np.frombuffer(raw, "<u4"), end).astype("<u2") for raw in bpe.encode_words(block)]
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "n_tokens": [len(f) + 1 for f in found],
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "n_tokens": [len(f) + 1 for f in found],
                                 "n_ids": [len(i) for i in ids], "ids": [i.tobytes() for i in ids]})
 
-    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = texts.mapInPandas(encode, "doc_id long, n_tokens long, n_ids long, ids binary")
+    rows = with_long_id(texts_by_id(docs).mapInPandas(encode, "doc_id string, n_tokens long, n_ids long, ids binary"))
     return stored(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", (crc_fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"),
                               "n_tokens", "n_ids", "ids"), "tokens", compression="zstd")
 
@@ -190,11 +189,10 @@ def scored(rows: DataFrame, model: Model) -> DataFrame:
         for frame in frames:
             ids = frame.pop("ids")
             frame["score"] = np.concatenate([model.score(b) for b in _ids(ids.to_frame("ids"))]) if len(ids) else 0.0
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
             yield frame
 
-    return rows.select("row", "doc_id", "held_out", "n_tokens", "ids").mapInPandas(
-        score, "row long, doc_id long, held_out boolean, n_tokens long, score double")
+    named = rows.select("row", F.col("doc_id").cast("string"), "held_out", "n_tokens", "ids")
+    return with_long_id(named.mapInPandas(score, "row long, doc_id string, held_out boolean, n_tokens long, score double"))
 
 
 # ---- the base score

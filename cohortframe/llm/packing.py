@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortframe.llm.common import stored
+from cohortframe.llm.common import stored, texts_by_id, with_long_id
 from cohortframe.llm.subwords import subwords, vocabulary_path
 from cohortframe.operators.ranking import ranked
 
@@ -78,20 +78,20 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
-            for doc_id, ids in zip(frame["doc_id"].array, subwords(path).encode(frame["text"])):
+            rows, of = [], []
+            for r, ids in enumerate(subwords(path).encode(frame["text"])):
                 ids += end
                 n = len(ids) // 4
                 first = (n - 1) % capacity + 1
                 for k, start in enumerate([0, *range(first, n, capacity)]):
                     stop = start + (capacity if k else first)
-                    rows.append((doc_id, k, start, stop - start, zlib.crc32(memoryview(ids)[4 * start:4 * stop])))
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            out["doc_id"] = pd.array(out["doc_id"], dtype="Int64")
+                    rows.append((k, start, stop - start, zlib.crc32(memoryview(ids)[4 * start:4 * stop])))
+                    of.append(r)
+            out = pd.DataFrame(rows, columns=["piece", "start", "length", "ids_crc32"])
+            out.insert(0, "doc_id", frame["doc_id"].to_numpy(object)[of] if of else [])
             yield out
 
-    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return with_long_id(texts_by_id(docs).mapInPandas(cut, "doc_id string, piece int, start long, length long, ids_crc32 long"))
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -118,11 +118,10 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             first, copies, bin0, offset = of[np.searchsorted(keys, length << 48 | rank, "right") - 1].T
             frame["sequence_id"] = bin0 + (rank - first) // copies
             frame["offset"] = offset + (rank - first) % copies * length
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
             yield frame
 
-    placed = ranked(cut, ["doc_id", "piece"], by=["length"], name="rank")
-    return placed.mapInPandas(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    numbered = ranked(cut, ["doc_id", "piece"], by=["length"], name="rank").withColumn("doc_id", F.col("doc_id").cast("string"))
+    return with_long_id(numbered.mapInPandas(place, "doc_id string, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"))
 
 
 def packed(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:

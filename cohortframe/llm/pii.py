@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortframe.llm.boosting import Trees, precise_threshold
+from cohortframe.llm.common import texts_by_id, with_long_id
 from cohortframe.llm.secrets import joined
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -253,12 +254,12 @@ def find_personal_data(docs: DataFrame, judge: Judge) -> DataFrame:
     def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             base = [base_spans(t) for t in frame["text"]]
-            out = {"doc_id": frame["doc_id"].astype("Int64")}
+            out = {"doc_id": frame["doc_id"]}
             for k, kind in enumerate(KINDS):
                 out[f"n_{kind}"] = [sum(s[1] == k for s in spans) for spans in base]
             out["base_sha256"] = [hashlib.sha256(joined(s, KINDS).encode()).hexdigest() for s in base]
             out["spans"] = [joined(sorted(s + judge.added(t, s)), KINDS) for t, s in zip(frame["text"], base)]
             yield pd.DataFrame(out)
 
-    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.mapInPandas(find, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return with_long_id(texts_by_id(docs).mapInPandas(
+        find, "doc_id string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"))

@@ -15,9 +15,9 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from cohortframe.llm.automaton import SEPARATOR, Automaton
+from cohortframe.llm.common import texts_by_id, with_long_id
 
 
 @dataclass(frozen=True)
@@ -134,12 +134,11 @@ def find_secrets(docs: DataFrame, more: list[Rule] | None = None) -> DataFrame:
         for frame in frames:
             found = [s for held in blocks(t.encode() for t in frame["text"]) for s in scanner.scan(held)]
             own = [[x for x in s if x[1] < base] for s in found]
-            out = {"doc_id": frame["doc_id"].astype("Int64")}
+            out = {"doc_id": frame["doc_id"]}
             for k in range(base):
                 out[f"n_{kinds[k]}"] = [sum(x[1] == k for x in s) for s in own]
             out["base_sha256"] = [hashlib.sha256(joined(s, kinds).encode()).hexdigest() for s in own]
             out["spans"] = [joined(s, kinds) for s in found]
             yield pd.DataFrame(out)
 
-    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.mapInPandas(scan, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return with_long_id(texts_by_id(docs).mapInPandas(scan, "doc_id string, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"))
