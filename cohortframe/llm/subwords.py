@@ -22,7 +22,7 @@ _CUT = re.compile(f"(?<=[^{_WS}])(?=[{_WS}])")
 # letters followed by punctuation are two pieces of the pattern; the stem is met more often than the whole
 _STEM = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?*$%&#|]+)")
 SEGMENT = 1 << 20       # chars handled at once
-LIMIT = 600_000         # remembered chunks of a worker, some 150 MB
+LIMIT = 600_000         # chunks of a generation; a worker remembers two, some 250 MB at most
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -36,17 +36,28 @@ class Subwords:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True     # their strings in a text are ordinary text
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _learn(self, chunks: set[str]) -> None:
+        """Make ``chunks`` known.  A full generation becomes the older one, from which what is met again is taken over."""
         if len(self.known) + len(chunks) > LIMIT:
-            self.known.clear()
-        stems = {c: m.groups() for c in chunks - self.known.keys() if (m := _STEM.fullmatch(c))}
-        bare = [*({c for c in chunks if c not in stems} | set(chain.from_iterable(stems.values()))) - self.known.keys()]
-        for chunk, got in zip(bare, self.tokenizer.encode_batch_fast(bare, add_special_tokens=False)):
+            self.known, self.older = {}, self.known
+        unknown = self._recall(chunks)
+        stems = {c: m.groups() for c in unknown if (m := _STEM.fullmatch(c))}
+        bare = {c for c in unknown if c not in stems}.union(chain.from_iterable(stems.values()))
+        new = self._recall(bare)
+        for chunk, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
             self.known[chunk] = np.array(got.ids, "<u4").tobytes()
         for chunk, (stem, rest) in stems.items():
             self.known[chunk] = self.known[stem] + self.known[rest]
 
+    def _recall(self, chunks: set[str]) -> list[str]:
+        """Take over what the older generation knows; the chunks that neither knows."""
+        known, older = self.known, self.older
+        absent = [c for c in chunks if c not in known]
+        known.update((c, older[c]) for c in absent if c in older)
+        return [c for c in absent if c not in known]
+
     def _segments(self, text: str) -> Iterator[str]:
         at = 0
         while len(text) - at > SEGMENT and (cut := _CUT.search(text, at + SEGMENT)):
