@@ -35,8 +35,9 @@ m AS (SELECT var_id, count(*) FILTER (dosage = 0) * 1e0 / count(dosage) AS m0, c
   count(*) FILTER (dosage = 2) * 1e0 / count(dosage) AS m2 FROM geno GROUP BY 1),
 c AS (SELECT var_id, cls, count(dosage) AS n, count(*) FILTER (dosage = 0) AS k0, count(*) FILTER (dosage = 1) AS k1,
   count(*) FILTER (dosage = 2) AS k2 FROM geno JOIN yc USING (sample_id) GROUP BY 1, 2)
-SELECT var_id, cls, n, round(CASE WHEN n <= 15 THEN m0 ELSE k0 * 1e0 / n END, 6) AS p0, round(CASE WHEN n <= 15 THEN m1 ELSE k1 * 1e0 / n END, 6) AS p1,
-  round(CASE WHEN n <= 15 THEN m2 ELSE k2 * 1e0 / n END, 6) AS p2 FROM c JOIN m USING (var_id)""")
+SELECT m.var_id, z.cls, coalesce(n, 0) AS n, round(CASE WHEN coalesce(n, 0) <= 15 THEN m0 ELSE k0 * 1e0 / n END, 6) AS p0,
+  round(CASE WHEN coalesce(n, 0) <= 15 THEN m1 ELSE k1 * 1e0 / n END, 6) AS p1, round(CASE WHEN coalesce(n, 0) <= 15 THEN m2 ELSE k2 * 1e0 / n END, 6) AS p2
+FROM m CROSS JOIN (SELECT DISTINCT cls FROM yc) z LEFT JOIN c ON c.var_id = m.var_id AND c.cls = z.cls""")
 def _(t):
     return round_columns(G.class_frequencies(t.geno, yield_classes(t), min_rows=15), ["p0", "p1", "p2"])
 

@@ -88,15 +88,12 @@ def _(t):
 
 @query("sy4_maf_correction", f"""
 WITH g AS (SELECT sample_id, var_id, dosage FROM geno_full), {MAFS},
-c AS (SELECT var_id, count(*) AS n, sum(dosage) / (2e0 * count(*)) AS cur, count(*) FILTER (dosage = 0) AS n0, count(*) FILTER (dosage = 1) AS n1,
-  count(*) FILTER (dosage = 2) AS n2 FROM g GROUP BY 1),
-p AS (SELECT c.*, least(45e-2, mf.p + 6e-2) AS target, least(cur, 1 - cur) < least(45e-2, mf.p + 6e-2) AS up FROM c JOIN mf USING (var_id)),
-q AS (SELECT *, CAST(greatest(0, round_even(2e0 * n * CASE WHEN up THEN target - cur ELSE cur - target END, 0)) AS BIGINT) AS gap,
-  CASE WHEN up THEN n0 ELSE n2 END AS n_far FROM p WHERE abs(least(cur, 1 - cur) - target) > 2e-2),
-s AS (SELECT *, least(n_far, gap // 2) AS from_far FROM q), w AS (SELECT *, least(n1, greatest(0, gap - 2 * from_far)) AS from_one FROM s),
-k AS (SELECT g.sample_id, g.var_id, g.dosage, up, from_far, from_one, row_number() OVER (PARTITION BY g.var_id, g.dosage
-  ORDER BY {u("'42'", "'flip'", 'g.sample_id', 'g.var_id')}, g.sample_id) AS r FROM g JOIN w USING (var_id) WHERE dosage = 1 OR dosage = CASE WHEN up THEN 0 ELSE 2 END),
-f AS (SELECT sample_id, var_id, CASE WHEN up THEN 1 ELSE -1 END AS d FROM k WHERE r <= CASE WHEN dosage = 1 THEN from_one ELSE from_far END)
+c AS (SELECT var_id, 2 * count(*) AS al, sum(dosage) * 1e0 / (2 * count(*)) AS cur FROM g GROUP BY 1),
+p AS (SELECT c.*, least(45e-2, mf.p + 6e-2) AS target FROM c JOIN mf USING (var_id)),
+q AS (SELECT var_id, CAST(round_even(al * (CASE WHEN cur <= 5e-1 THEN target ELSE 1 - target END - cur), 0) AS BIGINT) AS d FROM p WHERE abs(least(cur, 1 - cur) - target) > 2e-2),
+k AS (SELECT g.sample_id, g.var_id, d, row_number() OVER (PARTITION BY g.var_id ORDER BY {u("'42'", "'allele'", 'g.sample_id', 'g.var_id', 'k.k')}, g.sample_id, k.k) AS r
+  FROM g JOIN q USING (var_id) CROSS JOIN (VALUES (1), (2)) AS k(k) WHERE CASE WHEN d > 0 THEN k.k > dosage ELSE k.k <= dosage END),
+f AS (SELECT sample_id, var_id, sum(sign(d)) AS d FROM k WHERE r <= abs(d) GROUP BY 1, 2)
 SELECT g.sample_id, g.var_id, CAST(g.dosage + coalesce(f.d, 0) AS INTEGER) AS dosage FROM g LEFT JOIN f USING (sample_id, var_id)""")
 def _(t):
     targets = mafs(t).select("var_id", F.least(F.lit(0.45), F.col("p") + 0.06).alias("maf"))
@@ -129,13 +126,14 @@ def _(t):
 @query("sy5_class_conditional_sampler", f"""
 WITH {NEW}, {CTX}, {YSTAT}, {RANGED}, {CLS}, {FREQ},
 k AS (SELECT var_id, cls, count(dosage) AS n, count(*) FILTER (dosage = 0) AS k0, count(*) FILTER (dosage = 1) AS k1 FROM geno JOIN yc USING (sample_id) GROUP BY 1, 2),
-kf AS (SELECT var_id, cls, CASE WHEN n <= 3 THEN p0 ELSE k0 * 1e0 / n END AS p0, CASE WHEN n <= 3 THEN p1 ELSE k1 * 1e0 / n END AS p1 FROM k JOIN fq USING (var_id)),
+kf AS (SELECT fq.var_id, z.cls, CASE WHEN coalesce(n, 0) <= 3 THEN p0 ELSE k0 * 1e0 / n END AS p0, CASE WHEN coalesce(n, 0) <= 3 THEN p1 ELSE k1 * 1e0 / n END AS p1
+  FROM fq CROSS JOIN (VALUES (0), (1), (2), (3), (4)) AS z(cls) LEFT JOIN k ON k.var_id = fq.var_id AND k.cls = z.cls),
 c AS (SELECT tc.sample_id, kf.*, {u("'42'", "'class'", 'sample_id', 'var_id')} AS u FROM tc JOIN kf USING (cls))
 SELECT sample_id, var_id, CASE WHEN u < p0 THEN 0 WHEN u < p0 + p1 THEN 1 ELSE 2 END AS dosage FROM c""")
 def _(t):
     targets = S.draw_targets(new_samples(t), t.pheno)
     freqs = G.class_frequencies(t.geno, S.real_classes(t.pheno))
-    return S.sample_by_class(targets, t.pheno, freqs, t.geno)
+    return S.sample_by_class(targets, t.pheno, freqs, G.genotype_frequencies(t.geno))
 
 
 CONTEXT_CELLS = f"""
@@ -167,9 +165,23 @@ def _(t):
     return round_columns(S.context_targets(context_cells(t), t.pheno), ["y"])
 
 
-@query("sy7_gaussian_sampler")
+# the factor of a 3 x 3 correlation matrix written out; missing calls count as the variant's mean
+@query("sy7_gaussian_sampler", f"""
+WITH {NEW}, st AS (SELECT var_id, avg(dosage) AS m, stddev_samp(dosage) AS sd FROM geno GROUP BY 1),
+nm AS (SELECT min(var_id) AS a, min(var_id) FILTER (var_id > (SELECT min(var_id) FROM st)) AS b,
+  min(var_id) FILTER (var_id > (SELECT min(var_id) FROM st WHERE var_id > (SELECT min(var_id) FROM st))) AS c FROM st),
+ce AS (SELECT sample_id, var_id, coalesce(dosage - avg(dosage) OVER (PARTITION BY var_id), 0) AS x FROM geno),
+ss AS (SELECT var_id, sqrt(sum(x * x)) AS s FROM ce GROUP BY 1),
+rr AS (SELECT l.var_id AS v1, r.var_id AS v2, sum(l.x * r.x) / (any_value(p.s) * any_value(q.s)) AS r FROM ce l JOIN ce r USING (sample_id)
+  JOIN ss p ON p.var_id = l.var_id JOIN ss q ON q.var_id = r.var_id CROSS JOIN nm WHERE l.var_id IN (nm.a, nm.b) AND r.var_id IN (nm.b, nm.c) AND l.var_id < r.var_id GROUP BY 1, 2),
+k AS (SELECT nm.*, coalesce((SELECT r FROM rr WHERE v1 = nm.a AND v2 = nm.b), 0) AS ab, coalesce((SELECT r FROM rr WHERE v1 = nm.a AND v2 = nm.c), 0) AS ac,
+  coalesce((SELECT r FROM rr WHERE v1 = nm.b AND v2 = nm.c), 0) AS bc FROM nm),
+ch AS (SELECT *, sqrt(1 - ab * ab) AS l22, (bc - ab * ac) / sqrt(1 - ab * ab) AS l32 FROM k),
+z AS (SELECT sample_id, {n01("'42'", "'gauss'", 'sample_id', 'a')} AS za, {n01("'42'", "'gauss'", 'sample_id', 'b')} AS zb, {n01("'42'", "'gauss'", 'sample_id', 'c')} AS zc, ch.* FROM ns CROSS JOIN ch)
+SELECT z.sample_id, st.var_id, round(m + sd * CASE WHEN var_id = a THEN za WHEN var_id = b THEN ab * za + l22 * zb
+  WHEN var_id = c THEN ac * za + l32 * zb + sqrt(1 - ac * ac - l32 * l32) * zc ELSE {n01("'42'", "'gauss'", 'z.sample_id', 'st.var_id')} END, 6) AS dosage FROM z CROSS JOIN st""")
 def _(t):
-    return round_columns(S.sample_gaussian(new_samples(t), t.geno), ["dosage"])
+    return round_columns(S.sample_gaussian(new_samples(t), t.geno, head=3), ["dosage"])
 
 
 @query("sy8_bootstrap_samples", f"""
@@ -209,14 +221,20 @@ def _(t):
     return round_columns(S.correlated_labels(pairs, t.pheno), ["real_y", "y"])
 
 
-@query("sy10_noisy_labels")
+@query("sy10_noisy_labels", f"""
+WITH ys AS (SELECT avg(y) AS m, stddev_samp(y) AS sd, min(y) AS lo, max(y) AS hi FROM pheno),
+a AS (SELECT sample_id, y AS real_y, {n01("'42'", "'noise'", 'sample_id')} AS e FROM pheno WHERE y IS NOT NULL),
+b AS (SELECT avg(real_y) AS am, stddev_samp(real_y) AS asd, avg(e) AS ae, covar_pop(real_y, e) / var_pop(real_y) AS k FROM a),
+f AS (SELECT sample_id, real_y, (real_y - am) / asd AS z, e - ae - k * (real_y - am) AS free FROM a, b),
+g AS (SELECT stddev_samp(free) AS s FROM f)
+SELECT sample_id, round(real_y, 6) AS real_y, round(least(hi, greatest(lo, m + sd * (z * 8e-1 + free / s * sqrt(1 - 8e-1 * 8e-1)))), 6) AS y FROM f, g, ys""")
 def _(t):
     pairs = t.pheno.where("y IS NOT NULL").select("sample_id", F.col("y").alias("real_y"))
     return round_columns(S.noisy_labels(pairs, t.pheno), ["real_y", "y"])
 
 
 TOP = f"""
-ro AS (SELECT source, concat('R', CAST(seq AS STRING)) AS sample_id, cv_r2 AS y FROM runs WHERE source <> 'gamma'
+ro AS (SELECT source, concat('R', CAST(seq AS STRING)) AS sample_id, cv_r2 AS y FROM runs
        UNION ALL SELECT 'small', sample_id, y FROM pheno),
 rk AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY {u("'42'", "'topup'", 'source', 'sample_id')}, sample_id) AS r, count(*) OVER (PARTITION BY source) AS n FROM ro),
 tu AS (SELECT source, CASE WHEN c = 0 THEN sample_id ELSE concat(sample_id, '_', CAST(c AS STRING)) END AS sample_id, y, CAST(c AS BIGINT) AS copy FROM
@@ -224,7 +242,7 @@ tu AS (SELECT source, CASE WHEN c = 0 THEN sample_id ELSE concat(sample_id, '_',
 
 
 def top_rows(t):
-    many = t.runs.where("source <> 'gamma'").select("source", F.concat(F.lit("R"), F.col("seq").cast("string")).alias("sample_id"), F.col("cv_r2").alias("y"))
+    many = t.runs.select("source", F.concat(F.lit("R"), F.col("seq").cast("string")).alias("sample_id"), F.col("cv_r2").alias("y"))
     return many.unionByName(t.pheno.select(F.lit("small").alias("source"), "sample_id", "y"))
 
 
@@ -286,12 +304,21 @@ def _call(i: int) -> str:
     return f"CAST(least(2, greatest(0, round_even(coalesce(try_cast(trim(f[{i}]) AS DOUBLE), 0), 0))) AS INTEGER)"
 
 
-@query("sy13_parse_responses", f"""
+PARSED = f"""
 WITH {LINES}, w AS (SELECT v.*, dup, row_number() OVER (PARTITION BY run_id ORDER BY pos) AS i FROM v JOIN d USING (run_id))
 SELECT run_id, pos, CASE WHEN dup THEN concat('SYNTH_', lpad(CAST(i AS STRING), 6, '0')) ELSE trim(f[1]) END AS sample_id,
-  {_call(2)} AS V1, {_call(3)} AS V2, {_call(4)} AS V3, try_cast(trim(f[5]) AS DOUBLE) AS y FROM w WHERE i <= 200""")
+  {_call(2)} AS V1, {_call(3)} AS V2, {_call(4)} AS V3, try_cast(trim(f[5]) AS DOUBLE) AS y FROM w"""
+
+
+@query("sy13_parse_responses", PARSED)
+def _(t):
+    return S.parse_responses(t.responses, ["V1", "V2", "V3"])[0]
+
+
+# the head of every answer, where a fixed number of rows is asked for
+@query("sy13_first_rows", f"{PARSED} WHERE i <= 1")
 def _(t):
-    return S.parse_responses(t.responses, ["V1", "V2", "V3"], limit=200)[0]
+    return S.parse_responses(t.responses, ["V1", "V2", "V3"], limit=1)[0]
 
 
 @query("sy13_rejected_lines", f"WITH {LINES} SELECT run_id, pos, line, reason FROM j WHERE reason IS NOT NULL AND reason <> 'header'")
@@ -299,10 +326,10 @@ def _(t):
     return S.parse_responses(t.responses, ["V1", "V2", "V3"])[1]
 
 
-@query("sy14_enforce_moments", f"""
+@query("sy14_enforce_moments", """
 WITH ys AS (SELECT avg(y) AS m, stddev_samp(y) AS sd, min(y) AS lo, max(y) AS hi FROM pheno),
 a AS (SELECT sample_id, least(hi, greatest(lo, y)) AS y FROM synth_pheno, ys), s AS (SELECT avg(y) AS am, stddev_samp(y) AS asd FROM a)
-SELECT sample_id, round(least(hi, greatest(lo, least(hi, greatest(lo, am + (y - am) * (sd / asd))) - (am - m))), 6) AS y FROM a, s, ys""")
+SELECT sample_id, round(least(hi, greatest(lo, m + sd * (y - am) / asd)), 6) AS y FROM a, s, ys""")
 def _(t):
     s = one_row(t.pheno.agg(F.avg("y").alias("m"), F.stddev_samp("y").alias("sd"), F.min("y").alias("lo"), F.max("y").alias("hi")))
     out = S.enforce_moments(t.synth_pheno, s.getField("m"), s.getField("sd"), s.getField("lo"), s.getField("hi"))

@@ -23,13 +23,15 @@ def genotype_frequencies(geno: DataFrame) -> DataFrame:
 
 
 def class_frequencies(geno: DataFrame, classes: DataFrame, min_rows: int = 3) -> DataFrame:
-    """P(dosage | class, variant); the marginal where a class has ``min_rows`` calls or fewer."""
+    """P(dosage | class, variant) for every variant and class; the marginal where a class has ``min_rows`` calls or fewer, none included."""
     n = F.count("dosage")
     per = geno.join(measured(classes.select("sample_id", "cls")), "sample_id").groupBy("var_id", "cls").agg(
         n.alias("n"), *[safe_div(F.count_if(F.col("dosage") == g), n).alias(f"c{g}") for g in (0, 1, 2)])
-    few = F.col("n") <= min_rows
-    return per.join(genotype_frequencies(geno), "var_id").select(
-        "var_id", "cls", "n", *[F.when(few, F.col(f"p{g}")).otherwise(F.col(f"c{g}")).alias(f"p{g}") for g in (0, 1, 2)])
+    names = one_row(classes.agg(F.sort_array(F.collect_set("cls")).alias("all"))).getField("all")     # a few class numbers
+    every = genotype_frequencies(geno).withColumn("cls", F.explode(names))
+    few = F.coalesce("n", F.lit(0)) <= min_rows
+    return every.join(per, ["var_id", "cls"], "left").select(
+        "var_id", "cls", F.coalesce("n", F.lit(0)).alias("n"), *[F.when(few, F.col(f"p{g}")).otherwise(F.col(f"c{g}")).alias(f"p{g}") for g in (0, 1, 2)])
 
 
 def maf_all_rows(geno: DataFrame, n_samples: Column | int | None = None) -> DataFrame:

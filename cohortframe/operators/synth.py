@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -71,39 +72,34 @@ def sample_ld_blocks(samples: DataFrame, blocks: DataFrame, seed: int = 42, sigm
 
 
 def correct_maf(geno: DataFrame, targets: DataFrame, tolerance: float = 0.02, seed: int = 42) -> DataFrame:
-    """Move the MAF of each variant outside the tolerance towards its target.
-
-    With a gap of d alleles, d // 2 cells step from the far genotype (0 when the
-    MAF is too low, 2 when too high) and the cells with one allele make up
-    d - 2 (d // 2), or more where the far genotype runs out.  A far cell is counted
-    as two alleles though it moves one, so a variant with enough of them ends half
-    way.  The cells to flip are those with the smallest hash.
-    ``targets(var_id, maf)``.
+    """Bring the MAF of each variant outside the tolerance to its target, exact to the allele.
+
+    A cell is two alleles.  A variant that is short of d alternative alleles turns the d reference alleles with the
+    smallest hash, one with d too many turns d alternative ones.  ``targets(var_id, maf)``.
     """
-    n, p = F.count(F.lit(1)), F.sum("dosage") / (2.0 * F.count(F.lit(1)))
-    counts = {g: F.count_if(F.col("dosage") == g) for g in (0, 1, 2)}
-    cur = geno.groupBy("var_id").agg(n.alias("n"), p.alias("cur"), *[c.alias(f"n{g}") for g, c in counts.items()])
-    cur = cur.join(targets.select("var_id", F.col("maf").alias("target")), "var_id")
-    maf = F.least(F.col("cur"), 1.0 - F.col("cur"))
-    up = maf < F.col("target")
-    gap = F.rint(2.0 * F.col("n") * F.abs(F.when(up, F.col("target") - F.col("cur")).otherwise(F.col("cur") - F.col("target"))))
-    signed = F.when(up, F.col("target") - F.col("cur")).otherwise(F.col("cur") - F.col("target"))
-    gap = F.when(signed > 0, gap).otherwise(0.0).cast("long")
-    plan = cur.where(F.abs(maf - F.col("target")) > tolerance).select(
-        "var_id", up.alias("up"), gap.alias("gap"), "n1", F.when(up, F.col("n0")).otherwise(F.col("n2")).alias("n_far"))
-    plan = plan.withColumn("from_far", F.least("n_far", F.floor(F.col("gap") / 2))).withColumn(
-        "from_one", F.least("n1", F.greatest(F.lit(0), F.col("gap") - 2 * F.col("from_far"))))
-    wanted = geno.join(plan, "var_id")
-    far = F.when(F.col("up"), 0).otherwise(2)
-    pool = wanted.where((F.col("dosage") == 1) | (F.col("dosage") == far)).select(
-        "sample_id", "var_id", "dosage", "up", "from_far", "from_one",
-        u01(seed, F.lit("flip"), "sample_id", "var_id").alias("_u"))
-    order = ranked(pool, ["_u", "sample_id"], by=["var_id", "dosage"], name="_r")
-    take = F.when(F.col("dosage") == 1, F.col("from_one")).otherwise(F.col("from_far"))
-    flips = order.where(F.col("_r") <= take).select(
-        "sample_id", "var_id", F.when(F.col("up"), 1).otherwise(-1).alias("_d"))
-    return geno.join(flips, ["sample_id", "var_id"], "left").select(
-        "sample_id", "var_id", (F.col("dosage") + F.coalesce("_d", F.lit(0))).cast("int").alias("dosage"))
+    alleles = F.lit(2) * F.count(F.lit(1))
+    per = geno.groupBy("var_id").agg(alleles.alias("all"), F.sum("dosage").alias("alt")).join(
+        targets.select("var_id", F.col("maf").alias("target")), "var_id")
+    p = F.col("alt") / F.col("all").cast("double")
+    want = F.when(p <= 0.5, F.col("target")).otherwise(1.0 - F.col("target"))       # stay on the side of the minor allele
+    deficit = F.rint(F.col("all") * (want - p)).cast("long")
+    plan = per.where(F.abs(F.least(p, 1.0 - p) - F.col("target")) > tolerance).select("var_id", deficit.alias("deficit"), "all", "alt") \
+        .where("deficit <> 0")
+    open_ = F.when(F.col("deficit") > 0, F.col("all") - F.col("alt")).otherwise(F.col("alt"))     # alleles that can turn
+    share = F.abs("deficit") / open_
+    plan = plan.select("var_id", "deficit", (share + 6.0 * F.sqrt(share / open_) + 10.0 / open_).alias("below"))
+    up = F.col("deficit") > 0
+    pool = geno.join(plan, "var_id").select("sample_id", "var_id", "deficit", "below", "dosage", F.explode(F.array(F.lit(1), F.lit(2))).alias("copy")) \
+        .where(F.when(up, F.col("copy") > F.col("dosage")).otherwise(F.col("copy") <= F.col("dosage"))) \
+        .withColumn("_u", u01(seed, F.lit("allele"), "sample_id", "var_id", "copy"))
+    # few alleles turn, so only those under a bound somewhat above the wanted share are sorted; too few under it: all are
+    under = pool.where("_u < below").groupBy("var_id").agg(F.count(F.lit(1)).alias("_n"))
+    few = plan.join(under, "var_id", "left").select("var_id", (F.coalesce("_n", F.lit(0)) < F.abs("deficit")).alias("_few"))
+    near = pool.join(few, "var_id").where("_few OR _u < below")
+    turned = ranked(near, ["_u", "sample_id", "copy"], by=["var_id"], name="_r").where(F.col("_r") <= F.abs("deficit")) \
+        .groupBy("sample_id", "var_id").agg(F.sum(F.sign("deficit")).alias("_d"))
+    return geno.join(turned, ["sample_id", "var_id"], "left").select(
+        "sample_id", "var_id", (F.col("dosage") + F.coalesce("_d", F.lit(0.0))).cast("int").alias("dosage"))
 
 
 # ---- class-conditional and context samplers -------------------------------------------
@@ -131,21 +127,20 @@ def draw_targets(samples: DataFrame, real_y: DataFrame, seed: int = 42, bootstra
     return samples.withColumn("_r", F.floor(u * n) + 1).join(pool.drop("_n"), "_r").drop("_r")
 
 
-def sample_by_class(targets: DataFrame, real_y: DataFrame, class_freqs: DataFrame, variants: DataFrame,
+def sample_by_class(targets: DataFrame, real_y: DataFrame, class_freqs: DataFrame, freqs: DataFrame,
                     n_classes: int = 5, seed: int = 42) -> DataFrame:
-    """Cells from P(dosage | class of the sample's target, variant)."""
+    """Cells from P(dosage | class of the sample's target, variant); the variant's marginal ``freqs`` for a class without any."""
     known = real_y.where(F.col("y").isNotNull())
     cuts = [i / n_classes for i in range(1, n_classes)]
     q = one_row(exact_quantiles(known, "y", cuts).select("q")).getField("q")
     classed = targets.withColumn("_q", q).withColumn(
         "cls", F.size(F.filter("_q", lambda c: c <= F.col("y"))).cast("int")).drop("_q")
     # the frequencies of all classes ride with the variant: the grid needs no second join
-    table = class_freqs.groupBy("var_id").agg(F.map_from_entries(F.collect_list(
-        F.struct("cls", F.struct("p0", "p1")))).alias("_f")).join(variants.select("var_id").distinct(), "var_id", "left_semi")
+    by_class = class_freqs.groupBy("var_id").agg(F.map_from_entries(F.collect_list(F.struct("cls", F.struct("p0", "p1")))).alias("_f"))
+    table = freqs.select("var_id", F.struct("p0", "p1").alias("_all")).join(by_class, "var_id", "left")
     u = u01(seed, F.lit("class"), "sample_id", "var_id")
-    cells = grid(classed.select("sample_id", "cls"), table).withColumn("_p", F.try_element_at("_f", F.col("cls")))
-    return cells.where(F.col("_p").isNotNull()).select(
-        "sample_id", "var_id", _inverse_cdf(u, F.col("_p.p0"), F.col("_p.p1")).alias("dosage"))
+    cells = grid(classed.select("sample_id", "cls"), table).withColumn("_p", F.coalesce(F.try_element_at("_f", F.col("cls")), F.col("_all")))
+    return cells.select("sample_id", "var_id", _inverse_cdf(u, F.col("_p.p0"), F.col("_p.p1")).alias("dosage"))
 
 
 def real_classes(real_y: DataFrame, n_classes: int = 5) -> DataFrame:
@@ -186,27 +181,26 @@ def context_targets(cells: DataFrame, real_y: DataFrame, seed: int = 42) -> Data
         F.col("_s.m") + F.col("_s.sd") * ((F.col("g") - 1.0) * slope + noise + extra)).alias("y"))
 
 
-def sample_gaussian(samples: DataFrame, real: DataFrame, seed: int = 42, head: int = 10, limit: float = 0.5) -> DataFrame:
-    """Normal draws per variant, correlated among the first variants.
+def sample_gaussian(samples: DataFrame, real: DataFrame, seed: int = 42, head: int = 12) -> DataFrame:
+    """Normal cells with each variant's mean and sd; the first ``head`` variants (by name) jointly normal with their real correlations.
 
-    The values are continuous on purpose: they are what ``valid_samples`` rejects.
-    The mixing touches ``head`` + 2 variants, whose correlations are plain numbers.
+    The values are continuous on purpose: they are what ``valid_samples`` rejects.  A head variant mixes the head's
+    independent draws by its row of the Cholesky factor of the correlation matrix (head x head numbers on the driver);
+    the draws are hashes, so no cell needs another cell.
     """
     stats = real.groupBy("var_id").agg(F.avg("dosage").alias("m"), F.stddev_samp("dosage").alias("sd"))
-    draw = std_normal(seed, F.lit("gauss"), "sample_id", "var_id")
-    cells = grid(samples.select("sample_id"), stats).select(
-        "sample_id", "var_id", (F.col("m") + F.col("sd") * draw).alias("dosage"))
-    names = [r.var_id for r in stats.select("var_id").orderBy("var_id").limit(head + 2).collect()]
-    near = pairwise_r2(real.where(F.col("var_id").isin(*names)))
-    r = {(x.var1, x.var2): x.r for x in near.collect()}
-    wide = cells.where(F.col("var_id").isin(*names)).groupBy("sample_id").pivot("var_id", names).agg(F.first("dosage"))
-    for j, a in enumerate(names[:head]):
-        for b in names[j + 1:j + 3]:
-            c = r.get((min(a, b), max(a, b)), 0.0)
-            if abs(c) > limit:
-                wide = wide.withColumn(b, F.col(a) * c + F.col(b) * (1 - abs(c)))
-    mixed = wide.unpivot("sample_id", names, "var_id", "dosage")
-    return cells.where(~F.col("var_id").isin(*names)).unionByName(mixed)
+    names = [r.var_id for r in stats.select("var_id").orderBy("var_id").limit(head).collect()]
+    corr = np.eye(len(names))
+    for x in pairwise_r2(real.where(F.col("var_id").isin(*names))).collect():
+        i, j = names.index(x.var1), names.index(x.var2)
+        corr[i, j] = corr[j, i] = x.r if x.r is not None else 0.0
+    factor = np.linalg.cholesky(corr + 1e-9 * np.eye(len(names))) if names else corr
+    weights = real.sparkSession.createDataFrame([(v, row.tolist()) for v, row in zip(names, factor)], "var_id string, _w array<double>")
+    table = stats.join(F.broadcast(weights), "var_id", "left")              # head rows
+    draws = F.array(*[std_normal(seed, F.lit("gauss"), "sample_id", F.lit(v)) for v in names])
+    mixed = F.aggregate(F.zip_with("_w", draws, lambda w, z: w * z), F.lit(0.0), lambda a, b: a + b)
+    z = F.when(F.col("_w").isNull(), std_normal(seed, F.lit("gauss"), "sample_id", "var_id")).otherwise(mixed)
+    return grid(samples.select("sample_id"), table).select("sample_id", "var_id", (F.col("m") + F.col("sd") * z).alias("dosage"))
 
 
 def bootstrap_samples(samples: DataFrame, real: DataFrame, real_y: DataFrame, seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -272,38 +266,34 @@ def correlated_labels(pairs: DataFrame, real_y: DataFrame, r: float = 0.8, seed:
     return rows.select("sample_id", "real_y", "y")
 
 
-def noisy_labels(pairs: DataFrame, real_y: DataFrame, r: float = 0.8, floor: float = 0.7, attempts: int = 6,
-                 seed: int = 42) -> DataFrame:
-    """Real targets plus noise, shrunk by .7 until the correlation reaches ``floor``.
+def noisy_labels(pairs: DataFrame, real_y: DataFrame, r: float = 0.8, seed: int = 42) -> DataFrame:
+    """Targets with correlation ``r`` to ``pairs(sample_id, real_y)`` and the real mean and sd, cut to the real range.
 
-    At most ``attempts`` rounds, each one aggregate; without noise afterwards.
+    The noise is freed of what it shares with the targets by chance (its regression on them) and standardised, so that
+    sd (r z + sqrt(1 - r^2) e) has the wanted correlation exactly; only the cut at the range can change it.
     """
-    s = real_y.agg(F.avg("y").alias("m"), F.stddev_samp("y").alias("sd"),
-                   F.min("y").alias("lo"), F.max("y").alias("hi")).first()
-    size = s.sd * (1.0 / (r * r) - 1.0) ** 0.5
-    for attempt in range(attempts + 1):
-        width = 0.0 if attempt == attempts else size * 0.7 ** attempt
-        raw = pairs.withColumn("g", F.col("real_y") + std_normal(seed, F.lit("try"), F.lit(attempt), "sample_id") * width)
-        m = one_row(raw.agg(F.avg("g").alias("m"), F.stddev_samp("g").alias("sd")))
-        scaled = raw.withColumn("_m", m).withColumn("y", clip(
-            (F.col("g") - F.col("_m.m")) * F.when(F.col("_m.sd") > 0, s.sd / F.nullif(F.col("_m.sd"), F.lit(0.0)))
-            .otherwise(1.0) + s.m, s.lo, s.hi)).select("sample_id", "real_y", "y")
-        got = scaled.agg((F.covar_pop("real_y", "y") / F.nullif(
-            F.stddev_pop("real_y") * F.stddev_pop("y"), F.lit(0.0))).alias("r")).first().r
-        if attempt == attempts or (got is not None and got >= floor):
-            return scaled
+    s = one_row(real_y.agg(F.avg("y").alias("m"), F.stddev_samp("y").alias("sd"), F.min("y").alias("lo"), F.max("y").alias("hi")))
+    raw = pairs.select("sample_id", "real_y", std_normal(seed, F.lit("noise"), "sample_id").alias("_e"))
+    both = one_row(raw.agg(F.avg("real_y").alias("m"), F.stddev_samp("real_y").alias("sd"), F.avg("_e").alias("me"),
+                           (F.covar_pop("real_y", "_e") / F.nullif(F.var_pop("real_y"), F.lit(0.0))).alias("slope"), F.var_samp("_e").alias("ve")))
+    rows = raw.withColumn("_s", s).withColumn("_b", both)
+    at = F.col("real_y") - F.col("_b.m")
+    free = F.col("_e") - F.col("_b.me") - F.coalesce("_b.slope", F.lit(0.0)) * at
+    left = F.sqrt(F.col("_b.ve") - F.coalesce(F.pow("_b.slope", F.lit(2.0)) * F.pow("_b.sd", F.lit(2.0)), F.lit(0.0)))
+    z = F.coalesce(at / F.nullif(F.col("_b.sd"), F.lit(0.0)), F.lit(0.0))
+    e = F.coalesce(free / F.nullif(left, F.lit(0.0)), F.lit(0.0))
+    y = F.col("_s.m") + F.col("_s.sd") * (z * r + e * float((1 - r * r) ** 0.5))
+    return rows.select("sample_id", "real_y", clip(y, F.col("_s.lo"), F.col("_s.hi")).alias("y"))
 
 
 def enforce_moments(y: DataFrame, mean: float | Column, sd: float | Column, lo: float | Column,
                     hi: float | Column) -> DataFrame:
-    """Clip, scale to the sd, clip, shift by the mean's error, clip."""
+    """The affine map that gives the values inside [lo, hi] the wanted mean and sd, cut to [lo, hi]; a null becomes the mean."""
     mean, sd = (c if isinstance(c, Column) else F.lit(c) for c in (mean, sd))
-    rows = y.withColumn("y", clip(F.coalesce("y", mean), lo, hi))
-    m = one_row(rows.agg(F.avg("y").alias("m"), F.stddev_samp("y").alias("sd")))
-    rows = rows.withColumn("_m", m)
-    ratio = sd / F.nullif(F.col("_m.sd"), F.lit(0.0))
-    scaled = F.when(F.col("_m.sd") > 0, F.col("_m.m") + (F.col("y") - F.col("_m.m")) * ratio).otherwise(F.col("y"))
-    return rows.withColumn("y", clip(clip(scaled, lo, hi) - (F.col("_m.m") - mean), lo, hi)).drop("_m")
+    inside = y.withColumn("y", clip(F.coalesce("y", mean), lo, hi))
+    have = one_row(inside.agg(F.avg("y").alias("m"), F.stddev_samp("y").alias("sd")))
+    z = F.coalesce((F.col("y") - F.col("_m.m")) / F.nullif(F.col("_m.sd"), F.lit(0.0)), F.lit(0.0))
+    return inside.withColumn("_m", have).withColumn("y", clip(mean + sd * z, lo, hi)).drop("_m")
 
 
 # ---- set size, checks, scenarios ----------------------------------------------------------
@@ -311,17 +301,11 @@ def enforce_moments(y: DataFrame, mean: float | Column, sd: float | Column, lo:
 def top_up(rows: DataFrame, target: int = 200, by: str = "source", seed: int = 42) -> DataFrame:
     """Exactly ``target`` rows per source: a hashed subset, or the rows repeated in turn.
 
-    Only the first ``target`` rows per source can survive, so for targets up to
-    1000 each task drops the rest before the shuffle; larger ones are ranked over
-    as many tasks as they need.  A source that holds most rows costs no more.
+    Rows are ranked over as many tasks as they need, so a source that holds most rows costs no more than another.
     """
     sizes = rows.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
     drawn = rows.withColumn("_u", u01(seed, F.lit("topup"), by, "sample_id"))
-    if target <= 1000:
-        w = W.partitionBy(by).orderBy("_u", "sample_id")
-        first = drawn.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= target)
-    else:
-        first = ranked(drawn, ["_u", "sample_id"], by=[by], name="_r").where(F.col("_r") <= target)
+    first = ranked(drawn, ["_u", "sample_id"], by=[by], name="_r").where(F.col("_r") <= target)
     copies = F.floor((F.lit(target) - F.col("_r")) / F.col("_n"))
     out = first.join(sizes, by).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), copies)))
     new_id = F.when(F.col("copy") == 0, F.col("sample_id")).otherwise(

@@ -29,11 +29,10 @@ def test_ld_blocks_are_correlated_and_keep_maf(spark):
 def test_maf_correction_steps(spark):
     g = spark.range(200).select(F.format_string("s%03d", "id").alias("sample_id"), F.lit("v").alias("var_id"),
                                 (F.col("id") % 10 == 0).cast("int").alias("dosage"))
-    # up by 60 alleles: 30 cells leave 0; down by 16: no 2s, so 16 cells leave 1
-    for target, reached in ((0.2, 0.125), (0.01, 0.01)):
+    for target in (0.2, 0.01, 0.5, 0.0):
         t = spark.createDataFrame([("v", target)], "var_id string, maf double")
         out = synth.correct_maf(g, t, tolerance=0.005)
-        assert abs(popgen.maf_all_rows(out).first().maf - reached) < 1e-9
+        assert abs(popgen.maf_all_rows(out).first().maf - target) < 1e-9            # exact to the allele
         assert out.where(~F.col("dosage").isin(0, 1, 2)).count() == 0 and out.count() == 200
     near = spark.createDataFrame([("v", 0.06)], "var_id string, maf double")
     assert synth.correct_maf(g, near, tolerance=0.02).exceptAll(g).count() == 0
@@ -49,6 +48,42 @@ def test_gaussian_is_rejected(spark):
     assert valid_samples(out).count() < 250
 
 
+def test_gaussian_head_has_the_real_correlations(spark):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 3, 400)
+    cols = {f"v{j}": np.where(rng.random(400) < 0.25 * j, rng.integers(0, 3, 400), base) for j in range(4)}
+    real = spark.createDataFrame([(f"r{i}", v, int(x[i])) for v, x in cols.items() for i in range(400)], "sample_id string, var_id string, dosage int")
+    out = synth.sample_gaussian(synth.numbered_samples(spark, 4000), real, head=4).toPandas().pivot(index="sample_id", columns="var_id", values="dosage")
+    assert np.allclose(np.corrcoef(out.to_numpy().T), np.corrcoef(np.array(list(cols.values()))), atol=0.06)
+    one = synth.sample_gaussian(synth.numbered_samples(spark, 4000), real, head=1).toPandas().pivot(index="sample_id", columns="var_id", values="dosage")
+    assert np.abs(np.corrcoef(one.to_numpy().T) - np.eye(4)).max() < 0.06
+
+
+def test_class_without_calls_draws_from_the_marginal(spark):
+    rows = [(f"s{i}", v, (0 if v == "a" else 2) if i >= 4 or v == "b" else None) for i in range(20) for v in "ab"]
+    geno = spark.createDataFrame(rows, "sample_id string, var_id string, dosage int")
+    y = spark.createDataFrame([(f"s{i}", float(i)) for i in range(20)], "sample_id string, y double")
+    per = popgen.class_frequencies(geno, synth.real_classes(y))
+    assert {(r.var_id, r.cls) for r in per.collect()} == {(v, c) for v in "ab" for c in range(5)}
+    assert [(r.n, r.p0) for r in per.where("var_id = 'a' AND cls = 0").collect()] == [(0, 1.0)]
+    few = per.where("cls <> 1")             # a class that has no row at all
+    targets = spark.createDataFrame([(f"n{i}", float(i)) for i in range(20)], "sample_id string, y double")
+    out = synth.sample_by_class(targets, y, few, popgen.genotype_frequencies(geno))
+    assert out.count() == 40 and {(r.var_id, r.dosage) for r in out.collect()} == {("a", 0), ("b", 2)}
+
+
+def test_noise_has_the_wanted_correlation(spark):
+    rng = np.random.default_rng(6)
+    real = spark.createDataFrame([(f"s{i}", float(v)) for i, v in enumerate(rng.normal(0, 1, 200))], "sample_id string, y double")
+    wide = real.unionByName(spark.createDataFrame([("lo", -1e6), ("hi", 1e6)], "sample_id string, y double"))
+    pairs = real.withColumnRenamed("y", "real_y")
+    for r in (0.3, 0.9):
+        p = synth.noisy_labels(pairs, wide, r).toPandas()
+        assert abs(np.corrcoef(p.real_y, p.y)[0, 1] - r) < 1e-9
+    flat = synth.noisy_labels(pairs.withColumn("real_y", F.lit(2.0)), real).toPandas()
+    assert flat.y.notna().all()
+
+
 def test_labels(spark):
     rng = np.random.default_rng(4)
     y = rng.normal(10, 2, 500)
