@@ -74,25 +74,53 @@ def _(t):
     return vcf(t)[0]
 
 
-@query("io2_read_hapmap", FULL)
-def _(t):
+def _renamed(prefix: str) -> str:
+    return f"WITH f AS ({FULL}) SELECT sample_id, concat('{prefix}', substr(var_id, 2)) AS var_id, dosage FROM f"
+
+
+def hapmap(t):
+    """Marker ids rs..., tabs in some files and commas in others, a short line per file, and one file without a header."""
     path = folder(t, "hapmap")
     call = F.when(F.col("dosage").isNull(), "N").when(F.col("dosage") == 0, "AA").when(F.col("dosage") == 1, "AG").otherwise("GG")
     head = "rs#\talleles\tchrom\tpos\tstrand\tassembly\tcenter\tprotLSID\tassayLSID\tpanel\tQCcode\t"
     lines, heads = _line_files(t, "hapmap", call, F.concat(F.lit(head), "names"))
-    body = lines.select("chr", F.concat_ws("\t", "var_id", F.concat("ref", F.lit("/"), "alt"), "chr", F.col("pos").cast("string"),
+    name = F.concat(F.lit("rs"), F.substring("var_id", 2, 100))
+    body = lines.select("chr", F.concat_ws("\t", name, F.concat("ref", F.lit("/"), "alt"), "chr", F.col("pos").cast("string"),
                         *[F.lit(x) for x in ("+", "NA", "NA", "NA", "NA", "NA", "NA")], "calls").alias("value"), F.lit(1).alias("o"))
-    _write_lines(t, body, heads, path)
-    return SG.read_hapmap(t.spark, f"{path}/*/*.txt")[1]
+    short = heads.select("chr", F.concat(F.lit("rs_short\tA/G\t"), "chr").alias("value"), F.lit(1).alias("o"))
+    all_lines = body.unionByName(short).unionByName(heads)
+    value = F.when(F.crc32("chr") % 2 == 0, F.replace("value", F.lit("\t"), F.lit(","))).otherwise(F.col("value"))
+    all_lines = all_lines.withColumn("value", value)
+    _write_lines(t, all_lines.where("o > 0"), all_lines.where("o = 0"), f"{path}/whole")
+    bare = t.region.select(F.concat_ws("\t", F.lit("rs_bare"), F.col("r_regionkey").cast("string")).alias("value"))
+    bare.write.text(f"{path}/bare/c=none")
+    return path
+
+
+@query("io2_read_hapmap", _renamed("rs"))
+def _(t):
+    return SG.read_hapmap(t.spark, f"{hapmap(t)}/whole/*/*.txt")[1]
 
 
-@query("io3_read_marker_matrix", f"WITH f AS ({FULL}) SELECT sample_id, var_id, dosage * 1e0 AS dosage FROM f")
+@query("io2_rejected_lines", """
+WITH c AS (SELECT DISTINCT v.chr FROM variants v JOIN geno g ON g.var_id = v.var_id),
+s AS (SELECT concat('rs_short', chr(9), 'A/G', chr(9), chr) AS line FROM (SELECT DISTINCT chr FROM variants) z)
+SELECT replace(line, ',', chr(9)) AS line, 'too few fields' AS reason FROM s
+UNION ALL SELECT concat('rs_bare', chr(9), CAST(r_regionkey AS STRING)), 'no header' FROM region""")
+def _(t):
+    rows = SG.rejected_lines(t.spark, f"{hapmap(t)}/*/*/*.txt", *SG.HAPMAP)
+    return rows.select(F.replace("line", F.lit(","), F.lit("\t")).alias("line"), "reason")
+
+
+@query("io3_read_marker_matrix", f"WITH f AS ({_renamed('Marker_')}) SELECT sample_id, var_id, dosage * 1e0 AS dosage FROM f")
 def _(t):
     path = folder(t, "markers")
     call = F.coalesce(F.col("dosage").cast("string"), F.lit("NA"))
     lines, heads = _line_files(t, "markers", call, F.concat(F.lit("Marker,CHROM,POS,REF,ALT,"), "names"), ",")
-    body = lines.select("chr", F.concat_ws(",", "var_id", "chr", F.col("pos").cast("string"), "ref", "alt", "calls").alias("value"), F.lit(1).alias("o"))
-    _write_lines(t, body, heads, path)
+    name = F.concat(F.lit("Marker_"), F.substring("var_id", 2, 100))
+    body = lines.select("chr", F.concat_ws(",", name, "chr", F.col("pos").cast("string"), "ref", "alt", "calls").alias("value"), F.lit(1).alias("o"))
+    value = F.when(F.crc32("chr") % 2 == 0, F.replace("value", F.lit(","), F.lit(";"))).otherwise(F.col("value"))
+    _write_lines(t, body.withColumn("value", value), heads.withColumn("value", value), path)
     return SG.read_marker_matrix(t.spark, f"{path}/*/*.txt")
 
 
@@ -123,10 +151,17 @@ def _(t):
     return ST.read_tolerant(t.spark, path, "gbs_id string, name string, y1 double", header=False)[1].select("line")
 
 
+@query("io5_headed", "SELECT gbs_id, name, y1 FROM phenos_wide WHERE y1 IS NOT NULL")
+def _(t):
+    path = folder(t, "headed")
+    t.phenos_wide.where("y1 IS NOT NULL").select("gbs_id", "name", "y1").repartition(3).write.option("header", True).csv(path)
+    return ST.read_tolerant(t.spark, path, "gbs_id string, name string, y1 double")[0]
+
+
 @query("io6_pruned_read", "SELECT sample_id, var_id, dosage FROM geno WHERE var_id IN ('V0003', 'V0042', 'V0117')")
 def _(t):
     path = folder(t, "pruned")
-    t.geno.write.parquet(path)
+    t.geno.repartitionByRange("var_id").sortWithinPartitions("var_id").write.parquet(path)      # row groups can be skipped
     return ST.read_variants(t.spark, path, ["V0003", "V0042", "V0117"]).select("sample_id", "var_id", "dosage")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from cohortframe.sources.genotypes import DELIMITERS, best_delimiter
+from cohortframe.sources.genotypes import DELIMITERS, MAX_BROADCAST_FILES, best_delimiter
 
 # Id columns by priority.
 ID_COLUMNS = ("Sample_ID", "IID")
@@ -26,11 +26,19 @@ def read_delimited(spark: SparkSession, path: str, delimiters: Sequence[str] = D
 
 def read_tolerant(spark: SparkSession, path: str, schema: str, sep: str = ",",
                   header: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(rows, malformed lines): lines that do not fit the schema are set apart, not lost."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    """(rows, malformed lines): lines that do not fit the schema are set apart, not lost.
+
+    With ``header`` the line at the very start of each file is left out, whatever it says; no other line is.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.lit(False).alias("_first"))
     if header:
-        first = spark.read.text(path).first()
-        lines = lines.where(F.col("value") != (first.value if first else ""))
+        # a read by whole files would not split them; the start of a file is the start of its first block
+        block = F.col("_metadata.file_block_start")
+        tagged = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), block.alias("_b"), F.monotonically_increasing_id().alias("_i"))
+        starts = tagged.where("_b = 0").groupBy("file").agg(F.min("_i").alias("_s"))
+        lines = tagged.join(F.broadcast(starts) if starts.count() <= MAX_BROADCAST_FILES else starts, "file").select(
+            "value", "file", (F.col("_i") == F.col("_s")).alias("_first"))
+    lines = lines.where(~F.col("_first")).drop("_first")
     options = {"sep": sep, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
     both = lines.select("file", F.from_csv("value", f"{schema}, _bad string", options).alias("_r"))
     bad = F.col("_r._bad").isNotNull()

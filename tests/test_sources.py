@@ -23,8 +23,8 @@ def test_vcf_files_with_their_own_samples(spark, tmp_path):
     variants, geno = G.read_vcf(spark, str(tmp_path / "*.vcf"))
     assert sorted(tuple(r) for r in variants.collect()) == [("1_5", "1", 5, "A", "G"), ("rs7", "2", 7, "C", "")]
     assert sorted((r.sample_id, r.var_id, r.dosage) for r in geno.collect()) == [("s1", "1_5", 1), ("s2", "1_5", None), ("s3", "rs7", 2)]
-    with pytest.raises(ValueError):
-        G.read_vcf(spark, write(tmp_path / "c.txt", "nothing\n"))
+    with pytest.raises(Exception, match="no header line found in .*c.txt"):
+        G.read_vcf(spark, write(tmp_path / "c.txt", "nothing\n"))[1].collect()
 
 
 def test_vcf_without_broadcast(spark, tmp_path, monkeypatch):
@@ -41,6 +41,21 @@ def test_hapmap_alleles(spark, tmp_path):
     assert sorted((r.sample_id, r.dosage) for r in geno.collect()) == [("s1", 1), ("s2", None)]
 
 
+def test_ids_that_look_like_headers_two_delimiters_and_rejects(spark, tmp_path):
+    names = ["rs#", "alleles", "chrom", "pos", "strand", *"abcdef", "s1"]
+    line = ["rs123", "A/G", "1", "9", "+", *"......", "GG"]
+    write(tmp_path / "h/a.txt", "\t".join(names) + "\n" + "\t".join(line) + "\nV2\tA/G\n" + "\t".join([*line, "AA"]) + "\n")
+    write(tmp_path / "h/b.txt", ",".join([*names[:-1], "s2"]) + "\n" + ",".join(["Rs_9", *line[1:]]) + "\n")
+    assert sorted((r.sample_id, r.var_id, r.dosage) for r in G.read_hapmap(spark, str(tmp_path / "h"))[1].collect()) == [("s1", "rs123", 2), ("s2", "Rs_9", 2)]
+    write(tmp_path / "h/c.txt", "rs5,A/G\n")
+    bad = {(r.file.rsplit("/", 1)[1], r.reason) for r in G.rejected_lines(spark, str(tmp_path / "h"), *G.HAPMAP).collect()}
+    assert bad == {("a.txt", "too few fields"), ("a.txt", "too many fields"), ("c.txt", "no header")}
+    write(tmp_path / "m/a.csv", "marker,s1\nMarker_1,2\nmarkers,0\n")
+    assert sorted((r.var_id, r.dosage) for r in G.read_marker_matrix(spark, str(tmp_path / "m")).collect()) == [("Marker_1", 2.0), ("markers", 0.0)]
+    x = write(tmp_path / "x.csv", "Sample_ID;v1\nSample_ID_7;1\n")
+    assert [tuple(r) for r in G.read_sample_matrix(spark, x).collect()] == [("Sample_ID_7", "v1", 1.0)]
+
+
 def test_marker_matrix_drops_metadata(spark, tmp_path):
     path = write(tmp_path / "m.csv", "Marker;POS;s1;chrom;s2\nm1;77;0/1;1;NA\n")
     assert sorted((r.sample_id, r.var_id, r.dosage) for r in G.read_marker_matrix(spark, path).collect()) == [("s1", "m1", 1.0), ("s2", "m1", None)]
@@ -60,6 +75,13 @@ def test_tolerant(spark, tmp_path):
     assert [tuple(r) for r in rows.collect()] == [(1, 2)] and [r.line for r in bad.collect()] == ["3,x,9"]
 
 
+def test_tolerant_leaves_out_the_first_line_of_each_file_only(spark, tmp_path):
+    write(tmp_path / "t/a.csv", "a,b\n1,2\na,b\n")
+    write(tmp_path / "t/b.csv", "x,y\n3,4\n")
+    rows, bad = T.read_tolerant(spark, str(tmp_path / "t"), "a int, b int")
+    assert sorted(tuple(r) for r in rows.collect()) == [(1, 2), (3, 4)] and [r.line for r in bad.collect()] == ["a,b"]
+
+
 def test_differences_count_repeats(spark):
     a = spark.createDataFrame([(1,), (1,), (2,)], "x int")
     b = spark.createDataFrame([(1,), (2,), (3,)], "x int")
