@@ -101,14 +101,15 @@ def _(t):
 WITH u AS (
   SELECT 'gbs_id' AS col, gbs_id AS v FROM phenos_wide UNION ALL SELECT 'name', name FROM phenos_wide
   UNION ALL SELECT 'segment', segment FROM phenos_wide
-  UNION ALL SELECT 'y1', CAST(y1 AS STRING) FROM phenos_wide UNION ALL SELECT 'y2', CAST(y2 AS STRING) FROM phenos_wide
-  UNION ALL SELECT 'y3', y3 FROM phenos_wide)
-SELECT col, count(try_cast(v AS DOUBLE)) AS n_numeric, count(*) AS n_rows,
-  round(count(try_cast(v AS DOUBLE)) * 1e0 / count(*), 6) AS numeric_ratio,
-  CASE WHEN col IN ('gbs_id', 'name') THEN 'id' WHEN count(try_cast(v AS DOUBLE)) >= 5 THEN 'target' ELSE 'other' END AS role
-FROM u GROUP BY col""")
+  UNION ALL SELECT 'y', CAST(y1 AS STRING) FROM phenos_wide UNION ALL SELECT 'y2', CAST(y2 AS STRING) FROM phenos_wide
+  UNION ALL SELECT 'kidney', y3 FROM phenos_wide),
+d AS (SELECT col, count(try_cast(v AS DOUBLE)) AS n_numeric, count(*) AS n_rows,
+  CASE WHEN col IN ('gbs_id', 'name') THEN 'id' WHEN count(try_cast(v AS DOUBLE)) >= 5 THEN 'target' ELSE 'other' END AS role FROM u GROUP BY col)
+SELECT *, round(n_numeric * 1e0 / n_rows, 6) AS numeric_ratio,
+  CASE WHEN role = 'target' THEN CAST(row_number() OVER (PARTITION BY role ORDER BY n_numeric * 1e0 / n_rows DESC, col) AS INTEGER) END AS target_rank FROM d""")
 def _(t):
-    return round_columns(A.detect_columns(t.phenos_wide), ["numeric_ratio"])
+    wide = t.phenos_wide.withColumnsRenamed({"y1": "y", "y3": "kidney"})      # short headers that id names contain
+    return round_columns(A.detect_columns(wide), ["numeric_ratio"])
 
 
 @query("j9_overlap_audit", """
@@ -272,7 +273,7 @@ def _(t):
 
 @query("ag10_context_summary", """
 WITH y AS (SELECT source, context, y FROM synth_pheno UNION ALL SELECT 'REAL', 'REAL', y FROM pheno),
-c AS (SELECT source, context, dosage FROM synth UNION ALL SELECT 'REAL', 'REAL', dosage FROM geno WHERE dosage IS NOT NULL),
+c AS (SELECT source, context, dosage FROM synth UNION ALL SELECT 'REAL', 'REAL', dosage FROM geno),
 i AS (SELECT source, context, count(*) FILTER (dosage IS NULL OR dosage NOT IN (0, 1, 2)) AS n_invalid FROM c GROUP BY 1, 2)
 SELECT source, context, count(*) AS n_samples, round(avg(y), 6) AS y_mean, round(stddev_samp(y), 6) AS y_sd, round(min(y), 6) AS y_min,
   round(max(y), 6) AS y_max, any_value(n_invalid) AS n_invalid, any_value(n_invalid) = 0 AS valid_calls

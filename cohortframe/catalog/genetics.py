@@ -69,14 +69,19 @@ def _(t):
     return round_columns(G.windowed_r2(t.geno_full, t.variants, 30000), ["r", "r2"])
 
 
+NEAR = LD + """,
+lw AS (SELECT ld.* FROM ld JOIN variants v ON v.var_id = var1 JOIN variants w ON w.var_id = var2 WHERE v.chr = w.chr AND abs(v.pos - w.pos) <= 30000)
+"""
+
+
 @query("gx5_high_ld_fraction", f"""
-WITH {LD} SELECT count(*) AS n_pairs, round(avg(CASE WHEN abs(r) > 2e-1 THEN 1e0 ELSE 0e0 END), 6) AS high_ld_fraction FROM ld""")
+WITH {NEAR} SELECT count(*) AS n_pairs, round(avg(CASE WHEN abs(r) > 2e-1 THEN 1e0 ELSE 0e0 END), 6) AS high_ld_fraction FROM lw""")
 def _(t):
-    return round_columns(G.high_ld_fraction(t.geno_full), ["high_ld_fraction"])
+    return round_columns(G.high_ld_fraction(t.geno_full, t.variants, 30000), ["high_ld_fraction"])
 
 
-BLOCKS = LD + """,
-e AS (SELECT var1 AS a, var2 AS b FROM ld WHERE r * r >= 3e-1 UNION ALL SELECT var2, var1 FROM ld WHERE r * r >= 3e-1),
+BLOCKS = NEAR + """,
+e AS (SELECT var1 AS a, var2 AS b FROM lw WHERE r * r >= 3e-1 UNION ALL SELECT var2, var1 FROM lw WHERE r * r >= 3e-1),
 reach AS (SELECT DISTINCT var_id AS node, var_id AS label FROM geno_full UNION SELECT e.b, reach.label FROM reach JOIN e ON e.a = reach.node),
 comp AS (SELECT node, min(label) AS label FROM reach GROUP BY 1),
 cs AS (SELECT label, count(*) AS n FROM comp GROUP BY 1),
@@ -85,7 +90,7 @@ lb AS (SELECT node AS var_id, CASE WHEN n >= 5 THEN label ELSE node END AS block
 
 
 def blocks(t):
-    return G.ld_blocks(G.pairwise_r2(t.geno_full), t.geno_full.select("var_id").distinct(), r2=0.3)
+    return G.ld_blocks(G.windowed_r2(t.geno_full, t.variants, 30000), t.geno_full.select("var_id").distinct(), r2=0.3)
 
 
 @query("gx6_ld_blocks", f"WITH RECURSIVE {BLOCKS} SELECT var_id, block_id, block_size FROM lb")
@@ -98,6 +103,13 @@ def _(t):
     return G.nested_blocks(blocks(t))
 
 
+@query("gx6_nested_parts", f"""
+WITH RECURSIVE {BLOCKS}, r AS (SELECT block_id, var_id, (row_number() OVER (PARTITION BY block_id ORDER BY var_id) - 1) // 2 AS part FROM lb)
+SELECT block_id, CAST(part AS BIGINT) AS part, list(var_id ORDER BY var_id) AS variants FROM r GROUP BY 1, 2""")
+def _(t):
+    return G.nested_blocks(blocks(t), size=2)
+
+
 @query("ag6_maf_ld_summary", f"""
 WITH RECURSIVE {BLOCKS}, {MAF}, s AS (SELECT block_id, count(*) AS n FROM lb GROUP BY 1)
 SELECT (SELECT count(*) FROM mf) AS n_variants, (SELECT round(avg(maf), 6) FROM mf) AS maf_mean, (SELECT round(quantile_cont(maf, 0.95), 6) FROM mf) AS maf_p95,

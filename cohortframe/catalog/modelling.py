@@ -6,7 +6,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from cohortframe.catalog import query
-from cohortframe.functions.expr import round_columns, rounded
+from cohortframe.functions.expr import one_row, round_columns, rounded
 from cohortframe.operators import modeling as M
 from cohortframe.operators import popgen as G
 from cohortframe.operators import runs as R
@@ -131,6 +131,17 @@ def _(t):
     return round_columns(M.linear_importance(t.geno, w), ["importance"])
 
 
+@query("ml16_importance_counts", """
+WITH w AS (SELECT var_id, covar_pop(dosage, y) / nullif(stddev_pop(dosage) * stddev_pop(y), 0) AS weight
+  FROM geno JOIN pheno USING (sample_id) WHERE dosage IS NOT NULL AND y IS NOT NULL GROUP BY 1),
+m AS (SELECT var_id, avg(dosage) AS m FROM geno GROUP BY 1),
+i AS (SELECT var_id, avg(abs(weight * (dosage - m))) AS importance FROM geno JOIN w USING (var_id) JOIN m USING (var_id) GROUP BY 1)
+SELECT count(*) AS n, count(*) FILTER (importance > 1e-2) AS above_0, count(*) FILTER (importance > 5e-2) AS above_1, count(*) FILTER (importance > 1e-1) AS above_2 FROM i""")
+def _(t):
+    w = G.target_correlation(t.geno, t.pheno).select("var_id", F.col("r").alias("weight"))
+    return M.importance_counts(M.linear_importance(t.geno, w, k=None), [0.01, 0.05, 0.1])
+
+
 @query("ml18_sequence_windows", """
 WITH r AS (SELECT o_orderkey, floor(o_totalprice) AS y, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS position FROM orders),
 w AS (SELECT position, list(y) OVER (ORDER BY position ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS win, y FROM r)
@@ -158,6 +169,42 @@ def _(t):
     return round_columns(M.predict(M.fit("ridge", {"alpha": 500.0}, rows), rows).select("sample_id", "prediction"), ["prediction"])
 
 
+# the 2 x 2 system of two markers, written out
+@query("ml3_marker_ridge_two", """
+WITH k AS (SELECT sample_id, y - avg(y) OVER () AS y FROM pheno WHERE y IS NOT NULL),
+g AS (SELECT sample_id, var_id, dosage - avg(dosage) OVER (PARTITION BY var_id) AS z FROM geno JOIN k USING (sample_id) WHERE dosage IS NOT NULL AND var_id IN ('V0003', 'V0042')),
+s AS (SELECT sample_id, y, coalesce(max(z) FILTER (var_id = 'V0003'), 0) AS a, coalesce(max(z) FILTER (var_id = 'V0042'), 0) AS b FROM k LEFT JOIN g USING (sample_id) GROUP BY 1, 2),
+m AS (SELECT alpha, sum(a * a) + alpha AS aa, sum(a * b) AS ab, sum(b * b) + alpha AS bb, sum(a * y) AS ay, sum(b * y) AS y2 FROM s CROSS JOIN (VALUES (1e0), (1e1)) AS v(alpha) GROUP BY alpha)
+SELECT 'V0003' AS var_id, alpha, round((bb * ay - ab * y2) / (aa * bb - ab * ab), 5) + 0.0 AS weight FROM m
+UNION ALL SELECT 'V0042', alpha, round((aa * y2 - ab * ay) / (aa * bb - ab * ab), 5) + 0.0 FROM m""")
+def _(t):
+    z = centred(t).where(F.col("var_id").isin("V0003", "V0042"))
+    return round_columns(M.marker_ridge(z, t.pheno, [1.0, 10.0])[0], ["weight"], 5)
+
+
+def centred(t):
+    known = t.pheno.where("y IS NOT NULL").select("sample_id")
+    cells = t.geno.where("dosage IS NOT NULL").join(known, "sample_id")
+    means = cells.groupBy("var_id").agg(F.avg("dosage").alias("m"))
+    return cells.join(means, "var_id").select("sample_id", "var_id", (F.col("dosage") - F.col("m")).alias("z"))
+
+
+# every marker and ten penalties: at the solution Z'(y - Z w) = alpha w for each marker
+@query("ml3_marker_ridge", """
+WITH g AS (SELECT DISTINCT var_id FROM geno JOIN pheno USING (sample_id) WHERE dosage IS NOT NULL AND y IS NOT NULL)
+SELECT i AS penalty, (SELECT count(*) FROM g) AS n_variants, 0e0 AS largest_gap FROM (SELECT unnest(generate_series(0, 9)) AS i) z""")
+def _(t):
+    z = centred(t)
+    alphas = [10 ** (-3 + 6 * i / 9) for i in range(10)]
+    weights, mean = M.marker_ridge(z, t.pheno, alphas, tol=1e-4)
+    left = M.marker_predictions(z, weights, mean).join(t.pheno.where("y IS NOT NULL"), "sample_id").select("alpha", "sample_id", (F.col("y") - F.col("prediction")).alias("e"))
+    slope = z.join(left, "sample_id").groupBy("alpha", "var_id").agg(F.sum(F.col("z") * F.col("e")).alias("s")).join(weights, ["alpha", "var_id"])
+    at_zero = z.join(t.pheno, "sample_id").groupBy("var_id").agg(F.sum(F.col("z") * (F.col("y") - mean)).alias("s")).agg(F.max(F.abs("s")).alias("s"))
+    gap = F.max(F.abs(F.col("s") - F.col("alpha") * F.col("weight"))) / one_row(at_zero).getField("s")      # against the slope at zero weights
+    penalty = F.round((F.log10("alpha") + 3.0) * 1.5).cast("long").alias("penalty")
+    return slope.groupBy("alpha").agg(F.count(F.lit(1)).alias("n_variants"), gap.alias("gap")).select(penalty, "n_variants", rounded("gap", 2).alias("largest_gap"))
+
+
 @query("ml4_ols_one_marker", f"WITH {XY} SELECT seq AS sample_id, round(my + sxy / sxx * (x - mx), 6) + 0.0 AS prediction FROM xy, c")
 def _(t):
     rows = _one_feature(t)
@@ -256,6 +303,20 @@ def _(t):
     return round_columns(M.stacked_prediction(_oof(t), list(KINDS)), ["y", "prediction"])
 
 
+HELD = f"""
+SELECT concat(CASE WHEN label % 2 = 0 THEN 'R' ELSE 'SYNTHETIC_' END, CAST(vec_id AS STRING)) AS sample_id FROM embeddings WHERE label % 2 = 0"""
+
+
+@query("ml11_stack_holdout", f"WITH r AS ({HELD}) SELECT sample_id, true AS scored FROM r WHERE {u("'42'", "'holdout'", 'sample_id')} < 2e-1")
+def _(t):
+    rows = embedded(t)
+    folds = M.assign_folds(rows.select("sample_id", "origin"), k=3)
+    out = M.stacked_holdout(rows.drop("origin"), folds, KINDS, 3)
+    lo, hi = (one_row(rows.where("origin = 'real'").agg(f("y").alias("v"))).getField("v") for f in (F.min, F.max))
+    inside = F.col("prediction").between(lo - (hi - lo), hi + (hi - lo))
+    return out.select("sample_id", inside.alias("scored"))
+
+
 @query("ml12_oof_ensemble")
 def _(t):
     return round_columns(M.ensemble(_oof(t)), ["y", "prediction"])
@@ -282,7 +343,7 @@ def _(t):
 @query("ml16_forest_importance")
 def _(t):
     chosen = t.geno.select("var_id").distinct()
-    data = M.vectors(t.geno, chosen, t.pheno)
+    data = M.vectors(t.imputed, chosen, t.pheno)
     return M.forest_importance(data, chosen).withColumn("importance", rounded("importance"))
 
 

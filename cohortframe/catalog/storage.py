@@ -250,6 +250,21 @@ def _(t):
     return t.spark.read.parquet(f"{ok}/batch=*").select("run_id", "sample_id", "V1", "V2", "V3", "y")
 
 
+# answers that land a day behind the watermark, in a second run of the same query
+@query("st2_late_answers", "SELECT -run_id - 1 AS run_id, 'late' AS reason FROM responses WHERE run_id % 5 = 0")
+def _(t):
+    land, ok, bad, ck = folder(t, "answers"), folder(t, "accepted"), folder(t, "rejected"), folder(t, "offsets")
+    rows = t.responses.select("run_id", "text", F.timestamp_seconds(F.lit(1704067200) + F.col("run_id")).alias("ts"))
+    late = rows.where("run_id % 5 = 0").select((-F.col("run_id") - 1).alias("run_id"), "text", F.timestamp_seconds(F.lit(946684800)).alias("ts"))
+    # a batch judges lateness by the watermark of the batch before it, so two come first
+    for part in (rows.where("run_id % 2 = 0"), rows.where("run_id % 2 = 1"), late):
+        part.write.mode("append").parquet(land)
+        stream = t.spark.readStream.schema(rows.schema).parquet(land)
+        SJ.finish(SJ.ingest_responses(stream, ["V1", "V2", "V3"], ok, bad, ck))
+    seen = t.spark.read.parquet(f"{ok}_seen/batch=*")
+    return SJ.late_answers(t.spark.read.parquet(land), seen).select("run_id", "reason")
+
+
 @query("st3_running_summary", """
 SELECT model, count(*) AS n_runs, round(avg(cv_r2), 6) AS cv_r2_mean, round(coalesce(stddev_samp(cv_r2), 0), 6) AS cv_r2_sd,
   round(avg(holdout_r2), 6) AS holdout_r2_mean, round(coalesce(stddev_samp(holdout_r2), 0), 6) AS holdout_r2_sd FROM runs GROUP BY 1""")

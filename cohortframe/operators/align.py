@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cohortframe.functions.encoding import try_double
@@ -106,25 +108,33 @@ def profile_join_keys(tables: Mapping[str, tuple[DataFrame, Sequence[str]]]) ->
 
 def top_join_keys(profile: DataFrame, k: int = 3) -> DataFrame:
     """The k best column pairs of each table pair (the profile has one row per column pair)."""
-    from pyspark.sql import Window as W
     w = W.partitionBy("table1", "table2").orderBy(F.desc("score"), "column1", "column2")
     return profile.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def is_id_header(name: str) -> bool:
-    low = name.lower()
-    return any(token.lower() in low or low in token.lower() for token in ID_TOKENS)
+    """Whether the header, or a run of its words, is one of the id names; ``y`` and ``kidney`` are not."""
+    words = _header_words(name)
+    runs = {"".join(words[i:j]) for i in range(len(words)) for j in range(i + 1, len(words) + 1)}
+    return any("".join(_header_words(token)) in runs for token in ID_TOKENS)
+
+
+def _header_words(name: str) -> list[str]:
+    """Words of a header: cut at signs and where a capital follows a small letter."""
+    return re.findall("[a-z]+|[0-9]+", re.sub("([a-z])([A-Z])", r"\1 \2", name).lower())
 
 
 def detect_columns(df: DataFrame, min_numeric: int = 5) -> DataFrame:
-    """Role of each column: id by its header, target by its numeric rows."""
+    """Role of each column: id by its header, target by its numeric rows; targets ranked by their share of numeric rows."""
     ids = [c for c in df.columns if is_id_header(c)]
     rows = as_long(df, df.columns)
     out = rows.groupBy("col").agg(F.count(try_double("v")).alias("n_numeric"),
                                   F.count(F.lit(1)).alias("n_rows"))
     role = (F.when(F.col("col").isin(*ids), "id") if ids else F.when(F.lit(False), "id"))
-    return (out.withColumn("numeric_ratio", safe_div("n_numeric", "n_rows"))
-            .withColumn("role", role.when(F.col("n_numeric") >= min_numeric, "target").otherwise("other")))
+    judged = (out.withColumn("numeric_ratio", safe_div("n_numeric", "n_rows"))
+              .withColumn("role", role.when(F.col("n_numeric") >= min_numeric, "target").otherwise("other")))
+    best = W.partitionBy("role").orderBy(F.desc("numeric_ratio"), "col")         # a row per column
+    return judged.withColumn("target_rank", F.when(F.col("role") == "target", F.row_number().over(best)))
 
 
 def presence(tables: Mapping[str, DataFrame], key: str = "sample_id") -> DataFrame:

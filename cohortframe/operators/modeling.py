@@ -19,7 +19,7 @@ from cohortframe.operators.latent import dense_rows, pca, project, selection_ind
 from cohortframe.operators.popgen import fold_sums, select_k_without
 from cohortframe.operators.ranking import ranked
 from cohortframe.operators.runs import r2_weighted_ensemble, regression_metrics
-from cohortframe.session import MAX_BROADCAST_ROWS, cut_lineage
+from cohortframe.session import MAX_BROADCAST_ROWS, cut_lineage, measured
 
 # Hyper-parameter grids of the regressors.
 GRIDS: dict[str, dict[str, list]] = {
@@ -87,7 +87,7 @@ def evaluation_leaks(splits: DataFrame) -> DataFrame:
 
 # ---- regressors ------------------------------------------------------------------
 
-MAX_NORMAL_FEATURES = 4096      # Spark solves the normal equations up to this width
+MAX_NORMAL_FEATURES = 4096      # Spark solves normal equations up to this width; ``marker_ridge`` has no such bound
 
 
 @dataclass
@@ -103,15 +103,14 @@ class Shape:
 def ridge(alpha: float, shape: Shape) -> LinearRegression:
     """Ridge with the usual penalty alpha * |w|^2 against the summed squared error.
 
-    Spark divides the error by n and the squared penalty by the label's sd (the
-    population sd in its direct solver, the sample sd in the iterative one); both
-    are undone here, and features are not rescaled.
+    Spark divides the error by n and the squared penalty by the label's population
+    sd; both are undone here, and features are not rescaled.  Vectors are bounded
+    by Spark's direct solver; whole genomes are for ``marker_ridge``.
     """
-    direct = shape.p <= MAX_NORMAL_FEATURES
-    scale = shape.sd_pop if direct else shape.sd_samp
-    return LinearRegression(regParam=alpha / max(shape.n, 1) * scale, elasticNetParam=0.0, standardization=False,
-                            solver="normal" if direct else "l-bfgs", tol=1e-9, maxIter=500,
-                            featuresCol="features", labelCol="y")
+    if shape.p > MAX_NORMAL_FEATURES:
+        raise ValueError(f"{shape.p} features; ridge on vectors takes {MAX_NORMAL_FEATURES}, use marker_ridge on the long cells")
+    return LinearRegression(regParam=alpha / max(shape.n, 1) * shape.sd_pop, elasticNetParam=0.0, standardization=False,
+                            solver="normal", featuresCol="features", labelCol="y")
 
 
 def elastic_net(alpha: float, l1_ratio: float, shape: Shape) -> LinearRegression:
@@ -136,9 +135,11 @@ def estimator(kind: str, params: Mapping, shape: Shape):
         ratio = 1.0 if kind == "lasso" else float(params.get("l1_ratio", 0.5))
         return elastic_net(float(params.get("alpha", 1.0)), ratio, shape)
     if kind == "randomforest":
+        if int(params.get("max_depth", 15)) > 30:
+            raise ValueError("Spark's trees have a depth of 30 at most")
         return RandomForestRegressor(featuresCol="features", labelCol="y", seed=42,
                                      numTrees=int(params.get("n_estimators", 75)),
-                                     maxDepth=min(30, int(params.get("max_depth", 15))),
+                                     maxDepth=int(params.get("max_depth", 15)),
                                      featureSubsetStrategy=str(params.get("max_features", "auto")))
     if kind == "boosting":
         return GBTRegressor(featuresCol="features", labelCol="y", seed=42,
@@ -206,6 +207,8 @@ class NestedResult:
     predictions: DataFrame              # fold, sample_id, y, prediction
     holdout: DataFrame                  # one row of metrics
     best: list[dict] = field(default_factory=list)
+    outer: int = 0                      # folds used
+    inner: int = 0
 
 
 def _mse(pred: DataFrame) -> float:
@@ -236,18 +239,20 @@ def fold_counts(n_real: int, outer: int, inner: int, small: int = 20) -> tuple[i
 
 def nested_cv(geno: DataFrame, pheno: DataFrame, samples: DataFrame, kind: str = "ridge",
               params: Mapping[str, Sequence] | None = None, k: int = 50, outer: int = 5, inner: int = 3,
-              holdout: float = 0.2, seed: int = 42) -> NestedResult:
+              holdout: float = 0.2, seed: int = 42, small: int | None = None) -> NestedResult:
     """Outer folds and a holdout of real samples; selection, scaling and tuning inside each fold.
 
     Two passes over the cells serve all folds: one for the sums that rank the
     variants without each fold, one to take out the cells of the variants any fold
     chose.  The loop runs over folds and grid entries, never over data.  The final
     model takes the parameters of the fold with the smallest validation error.
+    With ``small``, tables of fewer real samples get fewer folds; the result says how many.
     """
     params = GRIDS[kind] if params is None else params
     known = samples.join(pheno.where(F.col("y").isNotNull()).select("sample_id"), "sample_id", "left_semi")
     known = cut_lineage(known)
-    outer, inner = fold_counts(known.where("origin = 'real'").count(), outer, inner)
+    if small is not None:
+        outer, inner = fold_counts(known.where("origin = 'real'").count(), outer, inner, small)
     own = cut_lineage(assign_folds(known, outer, holdout, seed))
     sums = cut_lineage(fold_sums(geno, pheno, own))
     chosen = {f: cut_lineage(select_k_without(sums, f, k)) for f in (*range(outer), -1)}
@@ -272,7 +277,7 @@ def nested_cv(geno: DataFrame, pheno: DataFrame, samples: DataFrame, kind: str =
     option = best[min(range(outer), key=errors.__getitem__)]
     final = predict(fit(kind, option, data.train), data.test)
     preds = reduce(DataFrame.unionByName, parts)
-    return NestedResult(regression_metrics(preds, ["fold"]), preds, regression_metrics(final), best)
+    return NestedResult(regression_metrics(preds, ["fold"]), preds, regression_metrics(final), best, outer, inner)
 
 
 def out_of_fold(data: DataFrame, folds: DataFrame, kinds: Mapping[str, Mapping], k: int) -> DataFrame:
@@ -308,6 +313,73 @@ def ensemble(oof: DataFrame) -> DataFrame:
     return r2_weighted_ensemble(oof, scores, ["sample_id", "y"])
 
 
+def stacked_holdout(data: DataFrame, folds: DataFrame, kinds: Mapping[str, Mapping], k: int, alpha: float = 1.0) -> DataFrame:
+    """(sample_id, y, prediction) of a stack on real rows that none of its models has seen.
+
+    ``folds(sample_id, origin, fold)``: -1 the holdout, null synthetic.  The meta model learns from out-of-fold
+    predictions of the training rows; the base models are then fitted on all of them and applied to the holdout.
+    """
+    rows = cut_lineage(data.join(folds, "sample_id"))
+    real = rows.where("origin = 'real' AND fold >= 0").select("sample_id", "features", "y")
+    meta, _ = stack(out_of_fold(real, folds.select("sample_id", "fold"), kinds, k), list(kinds), alpha)
+    train = rows.where("fold IS NULL OR fold >= 0")
+    held = rows.where("origin = 'real' AND fold = -1").select("sample_id", "features", "y")
+    each = [predict(fit(kind, params, train), held).withColumn("model", F.lit(kind)) for kind, params in kinds.items()]
+    wide = reduce(DataFrame.unionByName, each).groupBy("sample_id", "y").pivot("model", list(kinds)).agg(F.first("prediction"))
+    return predict(meta, VectorAssembler(inputCols=list(kinds), outputCol="features").transform(wide))
+
+
+# ---- ridge on all markers --------------------------------------------------------
+
+def _dots(table: DataFrame, pairs: Sequence[tuple[str, str]]) -> list[float]:
+    row = table.agg(*[F.sum(F.col(a) * F.col(b)).alias(f"d{i}") for i, (a, b) in enumerate(pairs)]).first()
+    return [float(v or 0.0) for v in row]
+
+
+def marker_ridge(z: DataFrame, y: DataFrame, alphas: Sequence[float] = (1.0,), tol: float = 1e-6,
+                 rounds: int = 500) -> tuple[DataFrame, float]:
+    """Ridge weights of every marker for each penalty, and the intercept.
+
+    ``z(sample_id, var_id, z)`` holds centred cells (absent ones count as 0) of any number of variants, ``y(sample_id,
+    y)`` the targets.  With p >> n the dual (Z Z' + alpha) a = y - mean is solved by conjugate gradients, all penalties
+    at once: a round is two join-and-sum passes over the cells and one small aggregate, and nothing but scalars
+    reaches the driver.  The weights are Z'a.  Raises when ``tol`` (of the residual's length) is not reached.
+    """
+    k = range(len(alphas))
+    known = y.where(F.col("y").isNotNull())
+    mean = known.agg(F.avg("y").alias("m")).first().m or 0.0
+    z = cut_lineage(z.join(measured(known.select("sample_id")), "sample_id", "left_semi").select("sample_id", "var_id", "z"))
+    at = known.select("sample_id", (F.col("y") - mean).alias("_y"))
+    state = cut_lineage(at.select("sample_id", *[c for i in k for c in (F.lit(0.0).alias(f"x{i}"), F.col("_y").alias(f"r{i}"), F.col("_y").alias(f"p{i}"))]))
+    size = _dots(state, [(f"r{i}", f"r{i}") for i in k])
+    goal = [tol * tol * s for s in size]
+    for _ in range(rounds):
+        if all(s <= g for s, g in zip(size, goal)):
+            break
+        w = z.join(state.select("sample_id", *[f"p{i}" for i in k]), "sample_id").groupBy("var_id").agg(*[F.sum(F.col("z") * F.col(f"p{i}")).alias(f"w{i}") for i in k])
+        q = z.join(w, "var_id").groupBy("sample_id").agg(*[F.sum(F.col("z") * F.col(f"w{i}")).alias(f"_q{i}") for i in k])
+        both = state.join(q, "sample_id", "left").select("*", *[(F.coalesce(f"_q{i}", F.lit(0.0)) + F.col(f"p{i}") * float(alphas[i])).alias(f"q{i}") for i in k])
+        both = cut_lineage(both.drop(*[f"_q{i}" for i in k]))
+        curve = _dots(both, [(f"p{i}", f"q{i}") for i in k])
+        step = [s / c if c > 0 and s > g else 0.0 for s, c, g in zip(size, curve, goal)]       # a penalty that is done rests
+        moved = both.select("sample_id", *[c for i in k for c in (
+            (F.col(f"x{i}") + F.col(f"p{i}") * step[i]).alias(f"x{i}"), (F.col(f"r{i}") - F.col(f"q{i}") * step[i]).alias(f"r{i}"), F.col(f"p{i}"))])
+        new = _dots(moved, [(f"r{i}", f"r{i}") for i in k])
+        turn = [n / s if s > 0 else 0.0 for n, s in zip(new, size)]
+        state = moved.select("sample_id", *[c for i in k for c in (F.col(f"x{i}"), F.col(f"r{i}"), (F.col(f"r{i}") + F.col(f"p{i}") * turn[i]).alias(f"p{i}"))])
+        size = new
+    if any(s > g for s, g in zip(size, goal)):
+        raise RuntimeError(f"conjugate gradients: not converged in {rounds} rounds")
+    sums = z.join(state.select("sample_id", *[f"x{i}" for i in k]), "sample_id").groupBy("var_id").agg(*[F.sum(F.col("z") * F.col(f"x{i}")).alias(f"b{i}") for i in k])
+    each = F.explode(F.array(*[F.struct(F.lit(float(a)).alias("alpha"), F.col(f"b{i}").alias("weight")) for i, a in enumerate(alphas)]))
+    return cut_lineage(sums.select("var_id", each.alias("_e")).select("var_id", "_e.*")), float(mean)
+
+
+def marker_predictions(z: DataFrame, weights: DataFrame, intercept: float) -> DataFrame:
+    """(alpha, sample_id, prediction) for samples whose cells are centred as the training cells were."""
+    return z.join(weights, "var_id").groupBy("alpha", "sample_id").agg((F.sum(F.col("z") * F.col("weight")) + intercept).alias("prediction"))
+
+
 def pca_regression(geno: DataFrame, pheno: DataFrame, train_ids: DataFrame, test_ids: DataFrame, latent: int = 16,
                    kind: str = "ridge", params: Mapping | None = None) -> DataFrame:
     """Regression on the leading components of the training samples."""
@@ -343,10 +415,13 @@ def few_shot_curve(data: DataFrame, splits: DataFrame, shares: Sequence[float] =
     for share in shares:
         few = hashed_prefix(real, share)
         for mode, train in (("real_only", few), ("augmented", few.unionByName(syn))):
-            if few.limit(3).count() < 3:
-                continue
-            pred = predict(fit(kind, params or {"alpha": 1.0}, train), held)
-            parts.append(regression_metrics(pred).withColumn("share", F.lit(float(share))).withColumn("mode", F.lit(mode)))
+            n = train.agg(F.count(F.lit(1)).alias("n")).first().n
+            if n >= 3:
+                scores = regression_metrics(predict(fit(kind, params or {"alpha": 1.0}, train), held))
+            else:           # too few rows for a model: a point without scores
+                scores = regression_metrics(held.select("sample_id", "y", F.lit(None).cast("double").alias("prediction"))) \
+                    .withColumns({c: F.lit(None).cast("double") for c in ("r2", "rmse", "mae")})
+            parts.append(scores.withColumn("n_train", F.lit(n).cast("long")).withColumn("share", F.lit(float(share))).withColumn("mode", F.lit(mode)))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -362,12 +437,12 @@ def scenario_benchmark(sets: Mapping[str, DataFrame], test: DataFrame, kind: str
     return reduce(DataFrame.unionByName, parts)
 
 
-def linear_importance(cells: DataFrame, weights: DataFrame, k: int = 20) -> DataFrame:
-    """mean |w (x - mean)| per variant: the Shapley value of a linear model, largest first."""
+def linear_importance(cells: DataFrame, weights: DataFrame, k: int | None = 20) -> DataFrame:
+    """mean |w (x - mean)| per variant: the Shapley value of a linear model; the ``k`` largest first, or all."""
     stats = cells.groupBy("var_id").agg(F.avg("dosage").alias("_m"))
     per = (cells.where(F.col("dosage").isNotNull()).join(stats, "var_id").join(weights, "var_id")
            .groupBy("var_id").agg(F.avg(F.abs(F.col("weight") * (F.col("dosage") - F.col("_m")))).alias("importance")))
-    return per.orderBy(F.desc(F.round("importance", 9)), "var_id").limit(k)
+    return per if k is None else per.orderBy(F.desc(F.round("importance", 9)), "var_id").limit(k)
 
 
 def importance_counts(importance: DataFrame, thresholds: Sequence[float]) -> DataFrame:
@@ -383,26 +458,29 @@ def forest_importance(data: DataFrame, chosen: DataFrame, trees: int = 20, depth
     return selection_index(chosen)[0].join(table, "idx").select("var_id", "importance")
 
 
-def baseline_signal(geno: DataFrame, pheno: DataFrame, max_features: int = 1000, min_samples: int = 20,
-                    seed: int = 42) -> DataFrame:
-    """Holdout R2 of a plain ridge: mean fill, variance > 1e-6, at most 1000 variants, 80/20.
+def baseline_signal(geno: DataFrame, pheno: DataFrame, max_features: int | None = None, min_samples: int = 20,
+                    alpha: float = 1.0, seed: int = 42) -> DataFrame:
+    """Holdout R2 of a plain ridge on all variants of variance > 1e-6, mean fill, 80/20.
 
-    The feature limit is part of this quick probe's definition; models proper
-    use ``nested_cv``.  Null when there are too few samples.
+    ``max_features`` asks for a hashed choice of so many variants instead.  Null when there are too few samples.
     """
     from cohortframe.operators.popgen import variable_variants
     known = pheno.where(F.col("y").isNotNull()).select("sample_id", "y")
     rows = geno.join(known.select("sample_id"), "sample_id", "left_semi")
-    good = variable_variants(rows, 1e-6).orderBy(u01(seed, F.lit("feature"), "var_id"), "var_id").limit(max_features)
-    chosen = cut_lineage(good.select("var_id"))
-    z = standardize(rows.join(chosen, "var_id", "left_semi").where(F.col("dosage").isNotNull()))
-    data = cut_lineage(vectors(z.select("sample_id", "var_id", "z"), chosen, known))
-    parts = plain_split(data, {"train": 0.8, "test": 0.2}, seed)
-    n = data.count()
+    good = variable_variants(rows, 1e-6).select("var_id")
+    if max_features is not None:
+        good = good.orderBy(u01(seed, F.lit("feature"), "var_id"), "var_id").limit(max_features)
+    cells = rows.join(good, "var_id", "left_semi").where(F.col("dosage").isNotNull())
+    both = cut_lineage(known.join(cells.select("sample_id").distinct(), "sample_id", "left_semi"))
+    n = both.count()
     if n < min_samples:
-        return data.sparkSession.range(1).select(F.lit(n).cast("long").alias("n"), F.lit(None).cast("double").alias("baseline_r2"))
-    both = data.join(parts, "sample_id")
-    pred = predict(fit("ridge", {"alpha": 1.0}, both.where("part = 'train'")), both.where("part = 'test'"))
+        return both.sparkSession.range(1).select(F.lit(n).cast("long").alias("n"), F.lit(None).cast("double").alias("baseline_r2"))
+    parts = both.join(plain_split(both, {"train": 0.8, "test": 0.2}, seed), "sample_id")
+    train = parts.where("part = 'train'").select("sample_id", "y")
+    z = standardize(cells, fit=cells.join(train.select("sample_id"), "sample_id", "left_semi")).select("sample_id", "var_id", "z")
+    weights, mean = marker_ridge(z, train, [alpha])
+    pred = parts.where("part = 'test'").select("sample_id", "y").join(marker_predictions(z, weights, mean), "sample_id", "left") \
+        .withColumn("prediction", F.coalesce("prediction", F.lit(mean)))
     return regression_metrics(pred).select(F.lit(n).cast("long").alias("n"), F.col("r2").alias("baseline_r2"))
 
 

@@ -204,9 +204,9 @@ def unit_scaled(geno: DataFrame) -> DataFrame:
 
 
 def dimensions(geno: DataFrame) -> tuple[int, int]:
-    """(samples, variants) of the table, in one aggregate."""
-    row = geno.agg(F.count_distinct("sample_id").alias("n"), F.count_distinct("var_id").alias("p")).first()
-    return row.n, row.p
+    """(samples, variants) of the table."""
+    # two small distinct tables; two distinct counts in one aggregate would write every cell twice
+    return geno.select("sample_id").distinct().count(), geno.select("var_id").distinct().count()
 
 
 def pairwise_r2(geno: DataFrame) -> DataFrame:
@@ -228,12 +228,18 @@ def _as_pairs(dots: DataFrame) -> DataFrame:
                        (F.col("dot") * F.col("dot")).alias("r2"))
 
 
-def high_ld_fraction(geno: DataFrame, sample: int = 200, threshold: float = 0.2, seed: int = 42) -> DataFrame:
-    """Share of pairs with |r| above the threshold among a hashed sample of variants."""
-    from cohortframe.functions.expr import u01
+def high_ld_fraction(geno: DataFrame, variants: DataFrame, max_distance: int, threshold: float = 0.2,
+                     sample: int | None = None, seed: int = 42) -> DataFrame:
+    """Share of pairs with |r| above the threshold among all pairs at most ``max_distance`` apart.
 
-    picked = geno.select("var_id").distinct().orderBy(u01(seed, "var_id"), "var_id").limit(sample)
-    pairs = pairwise_r2(geno.join(picked, "var_id", "left_semi"))
+    ``sample`` asks for a hashed choice of so many variants instead, all pairs of them.
+    """
+    if sample is None:
+        pairs = windowed_r2(geno, variants, max_distance)
+    else:
+        from cohortframe.functions.expr import u01
+        picked = geno.select("var_id").distinct().orderBy(u01(seed, "var_id"), "var_id").limit(sample)
+        pairs = pairwise_r2(geno.join(picked, "var_id", "left_semi"))
     return pairs.agg(F.count(F.lit(1)).alias("n_pairs"),
                      F.avg(F.when(F.abs("r") > threshold, 1.0).otherwise(0.0)).alias("high_ld_fraction"))
 

@@ -135,8 +135,7 @@ def context_summary(synth: DataFrame, synth_y: DataFrame, real: DataFrame, real_
     def tag(df: DataFrame) -> DataFrame:
         return df.withColumn("source", F.lit("REAL")).withColumn("context", F.lit("REAL"))
 
-    known = real.where(F.col("dosage").isNotNull())
-    return side(synth, synth_y).unionByName(side(tag(known), tag(real_y)))
+    return side(synth, synth_y).unionByName(side(tag(real), tag(real_y)))
 
 
 def usable_target(pheno: DataFrame, value: str, min_sd: float = 1e-6, min_n: int = 100) -> DataFrame:

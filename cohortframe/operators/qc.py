@@ -145,7 +145,7 @@ def snp_columns(values: DataFrame) -> DataFrame:
         F.bool_and(F.col("dosage").isin(0, 1, 2)).alias("is_snp")).where("is_snp").select("var_id"))
 
 
-def thin_variants(variants: DataFrame, limit: int = 10000, target: int = 5000,
+def thin_variants(variants: DataFrame, limit: int, target: int,
                   dialect: str = "floor") -> DataFrame:
     """Every f-th variant along the genome when there are more than ``limit``.
 
