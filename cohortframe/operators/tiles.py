@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from cohortframe.session import cut_lineage, measured
 
-ROWS, COLS, SLOTS = 256, 4096, 16      # a tile is at most about 8 MB
+ROWS, COLS, SLOTS = 256, 4096, 16      # a tile is at most about 8 MB; least tasks of a small KNN
 
 _TILE = "chr string, w long, rb long, cb long, ids array<string>, pos array<long>, cols array<string>, data binary"
 
@@ -41,23 +41,66 @@ def _block(ids, cols, data) -> np.ndarray:
     return np.frombuffer(data).reshape(len(ids), len(cols))
 
 
+class _Pairs:
+    """Dot products of the rows of two blocks, added up over column blocks."""
+
+    def __init__(self):
+        self.ids: tuple[dict[str, int], dict[str, int]] = ({}, {})
+        self.pos: tuple[list[int], list[int]] = ([], [])
+        self.dots, self.met = np.zeros((ROWS, ROWS)), np.zeros((ROWS, ROWS), bool)
+
+    def _places(self, side: int, tile) -> np.ndarray:
+        known = self.ids[side]
+        for name, pos in zip(tile.ids, tile.pos):
+            if name not in known:
+                known[name] = len(known)
+                self.pos[side].append(int(pos))
+        while len(known) > self.dots.shape[side]:       # hashed blocks vary around ROWS
+            grow = [(0, 0), (0, 0)]
+            grow[side] = (0, self.dots.shape[side])
+            self.dots, self.met = np.pad(self.dots, grow), np.pad(self.met, grow)
+        return np.array([known[name] for name in tile.ids])
+
+    def add(self, t, u) -> None:
+        a, b = _block(t.ids, t.cols, t.data), _block(u.ids, u.cols, u.data)
+        _, ia, ib = np.intersect1d(t.cols, u.cols, assume_unique=True, return_indices=True)
+        i, j = self._places(0, t), self._places(1, u)
+        self.dots[np.ix_(i, j)] += a[:, ia] @ b[:, ib].T
+        self.met[np.ix_(i, j)] = True
+
+    def rows(self, same: bool, self_pairs: bool, max_distance: int | None) -> pd.DataFrame:
+        names = [np.array(list(x), object) for x in self.ids]
+        keep = self.met[:len(names[0]), :len(names[1])].copy()
+        if same:
+            keep &= names[0][:, None] <= names[1][None, :] if self_pairs else names[0][:, None] < names[1][None, :]
+        if max_distance is not None:
+            keep &= np.abs(np.array(self.pos[0])[:, None] - np.array(self.pos[1])[None, :]) <= max_distance
+        i, j = np.nonzero(keep)
+        return pd.DataFrame({"row1": names[0][i], "row2": names[1][j], "dot": self.dots[i, j]})
+
+
+_KEY = ["chr", "w", "w2", "low", "high"]
+
+
 def _pair_kernel(self_pairs: bool, max_distance: int | None):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Tiles sorted by block pair, column block and side; one block of sums is held at a time."""
+        key, pairs, first = None, None, None
         for pdf in batches:
             for t in pdf.itertuples(index=False):
-                a, b = _block(t.ids, t.cols, t.data), _block(t.ids_b, t.cols_b, t.data_b)
-                _, ia, ib = np.intersect1d(t.cols, t.cols_b, assume_unique=True, return_indices=True)
-                dots = a[:, ia] @ b[:, ib].T
-                keep = np.ones(dots.shape, dtype=bool)
-                if t.w == t.w_b and t.rb == t.rb_b:
-                    keep = np.triu(keep, 0 if self_pairs else 1)
-                if max_distance is not None:
-                    gap = np.abs(np.asarray(t.pos)[:, None] - np.asarray(t.pos_b)[None, :])
-                    keep &= gap <= max_distance
-                i, j = np.nonzero(keep)
-                if len(i):
-                    yield pd.DataFrame({"row1": np.asarray(t.ids, object)[i],
-                                        "row2": np.asarray(t.ids_b, object)[j], "dot": dots[i, j]})
+                now = tuple(getattr(t, c) for c in _KEY)
+                if now != key:
+                    if key is not None:
+                        yield pairs.rows(key[1] == key[2] and key[3] == key[4], self_pairs, max_distance)
+                    key, pairs, first = now, _Pairs(), None
+                if t.w == t.w2 and t.low == t.high:
+                    pairs.add(t, t)
+                elif t.side == 0:
+                    first = t
+                elif first is not None and first.cb == t.cb:
+                    pairs.add(first, t)
+        if key is not None:
+            yield pairs.rows(key[1] == key[2] and key[3] == key[4], self_pairs, max_distance)
     return run
 
 
@@ -69,32 +112,45 @@ def pair_dots(cells: DataFrame, n_rows: int, n_cols: int, rows: DataFrame | None
     is quadratic by definition.  ``rows(row, chr, w, pos)`` places each row in a
     window: rows then meet inside their window and, when ``max_distance`` is given,
     in the next one; a window as wide as the distance loses no pair.
+
+    A tile is sent to every pair of row blocks it belongs to.  All tiles of a block
+    pair reach one task in the order of their column blocks and are summed there,
+    so the number of groups grows with the square of the row blocks and a pair of
+    rows is written once.
     """
-    n_cb = max(1, math.ceil(n_cols / COLS))
+    n_cb, n_rb = max(1, math.ceil(n_cols / COLS)), max(1, math.ceil(n_rows / ROWS))
     if rows is None:
         placed = cells.withColumns({
             "chr": F.lit(""), "w": F.lit(0).cast("long"), "pos": F.lit(0).cast("long"),
-            "rb": F.pmod(F.xxhash64("row"), F.lit(max(1, math.ceil(n_rows / ROWS))))})
+            "rb": F.pmod(F.xxhash64("row"), F.lit(n_rb))})
+        counts = None
     else:
-        per = rows.groupBy("chr", "w").agg(F.ceil(F.count(F.lit(1)) / ROWS).alias("_nb"))
-        side = rows.join(per, ["chr", "w"]).withColumn("rb", F.pmod(F.xxhash64("row"), F.col("_nb"))).drop("_nb")
+        counts = rows.groupBy("chr", "w").agg(F.ceil(F.count(F.lit(1)) / ROWS).alias("_nb"))
+        side = rows.join(counts, ["chr", "w"]).withColumn("rb", F.pmod(F.xxhash64("row"), F.col("_nb"))).drop("_nb")
         placed = cells.join(measured(side), "row")
+        counts = measured(cut_lineage(counts))              # a row per window
     tiles = (placed.withColumn("cb", F.pmod(F.xxhash64("col"), F.lit(n_cb)))
              .groupBy("chr", "w", "rb", "cb").applyInPandas(_densify, _TILE))
-    a = tiles.withColumn("slot", F.pmod("rb", F.lit(SLOTS)))
-    ahead = F.array(F.col("w_b"), F.col("w_b") - 1) if max_distance is not None else F.array("w_b")
-    slots = F.sequence(F.lit(0), F.lit(SLOTS - 1)).cast("array<bigint>")
-    b = (tiles.select("chr", "cb", F.col("w").alias("w_b"), F.col("rb").alias("rb_b"),
-                      *[F.col(c).alias(f"{c}_b") for c in ("ids", "pos", "cols", "data")])
-         .withColumn("w", F.explode(ahead)).withColumn("slot", F.explode(slots)))
-    met = a.join(b, ["chr", "w", "cb", "slot"]).where(
-        (F.col("w_b") > F.col("w")) | (F.col("rb_b") >= F.col("rb")))
-    out = met.drop("slot", "cb", "chr").mapInPandas(
-        _pair_kernel(self_pairs, max_distance), "row1 string, row2 string, dot double")
-    out = out.select(F.least("row1", "row2").alias("row1"), F.greatest("row1", "row2").alias("row2"), "dot")
-    if n_cb == 1:           # every pair was finished inside one task
-        return out
-    return out.groupBy("row1", "row2").agg(F.sum("dot").alias("dot"))
+
+    def blocks(shift: int):
+        """The number of row blocks of the window ``shift`` further on; 0 if there is none."""
+        if counts is None:
+            return tiles.withColumn("_n", F.lit(n_rb).cast("long"))
+        near = counts.select("chr", (F.col("w") - shift).alias("w"), F.col("_nb").cast("long").alias("_n"))
+        return tiles.join(near, ["chr", "w"])
+
+    def sent(df: DataFrame, w, w2, low, high, side) -> DataFrame:
+        own = [c for c in tiles.columns if c not in ("w", "rb", "chr")]
+        each = df.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+        return each.select("chr", w.alias("w"), w2.alias("w2"), low.alias("low"), high.alias("high"), side.alias("side"), *own)
+
+    w, rb, o = F.col("w"), F.col("rb"), F.col("_o")
+    met = sent(blocks(0), w, w, F.least(rb, o), F.greatest(rb, o), F.when(rb <= o, 0).otherwise(1))
+    if max_distance is not None:
+        met = met.unionByName(sent(blocks(1), w, w + 1, rb, o, F.lit(0))).unionByName(sent(blocks(-1), w - 1, w, o, rb, F.lit(1)))
+    dealt = met.repartition(*_KEY).sortWithinPartitions(*_KEY, "cb", "side")
+    out = dealt.mapInPandas(_pair_kernel(self_pairs, max_distance), "row1 string, row2 string, dot double")
+    return out.select(F.least("row1", "row2").alias("row1"), F.greatest("row1", "row2").alias("row2"), "dot")
 
 
 # ---- nearest rows -----------------------------------------------------------
