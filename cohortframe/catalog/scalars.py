@@ -177,9 +177,7 @@ SELECT sample_id, var_id, round((dosage - m) / CASE WHEN sp > 0 THEN sp ELSE 1 E
        round((dosage - m) / CASE WHEN ss > 0 THEN ss ELSE 1 END, 6) + 0.0 AS z_sample
 FROM geno_full JOIN s USING (var_id)""")
 def _(t):
-    a = I.standardize(t.geno_full).withColumnRenamed("z", "zp")
-    b = I.standardize(a, sd="sample")
-    return b.select("sample_id", "var_id", rounded("zp").alias("z"), rounded("z").alias("z_sample"))
+    return round_columns(I.standardize(t.geno_full, sd="both"), ["z", "z_sample"]).select("sample_id", "var_id", "z", "z_sample")
 
 
 @query("sc14_model_names", """

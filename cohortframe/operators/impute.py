@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortframe.functions.expr import one_row, safe_div
-from cohortframe.operators.grid import grid
+from cohortframe.operators.grid import filled_grid
 from cohortframe.operators.ranking import exact_quantiles
 
 
@@ -50,21 +50,21 @@ def align_to_variants(geno: DataFrame, samples: DataFrame | None = None, variant
     Left out, the samples or the variants are those of the table itself.
     """
     samples, variants = (geno if df is None else df for df in (samples, variants))
-    cells = grid(samples.select("sample_id").distinct(), variants.select("var_id").distinct())
-    seen = geno.select("sample_id", "var_id", "dosage")
-    return (cells.join(seen, ["sample_id", "var_id"], "left")
-            .withColumn("dosage", F.coalesce("dosage", F.lit(fill).cast(geno.schema["dosage"].dataType))))
+    return filled_grid(samples.select("sample_id").distinct(), variants.select("var_id").distinct(), geno,
+                       F.lit(fill).cast(geno.schema["dosage"].dataType))
 
 
 def standardize(values: DataFrame, value: str = "dosage", key: str = "var_id",
                 fit: DataFrame | None = None, sd: str = "population") -> DataFrame:
-    """(x - mean) / sd per key, sd 0 taken as 1; statistics come from ``fit``."""
-    spread = F.stddev_pop(value) if sd == "population" else F.stddev_samp(value)
+    """(x - mean) / sd per key, sd 0 taken as 1; statistics come from ``fit``.
+
+    ``sd`` is population, sample, or both: then ``z`` and ``z_sample`` come from one aggregate and one join.
+    """
+    spread = {"population": {"z": F.stddev_pop}, "sample": {"z": F.stddev_samp}, "both": {"z": F.stddev_pop, "z_sample": F.stddev_samp}}[sd]
     stats = (fit if fit is not None else values).groupBy(key).agg(
-        F.avg(value).alias("_m"), spread.alias("_s"))
-    scale = F.when(F.col("_s") > 0, F.col("_s")).otherwise(1.0)
-    return (values.join(stats, key)
-            .withColumn("z", (F.col(value) - F.col("_m")) / scale).drop("_m", "_s"))
+        F.avg(value).alias("_m"), *[f(value).alias(f"_s_{name}") for name, f in spread.items()])
+    scaled = {name: (F.col(value) - F.col("_m")) / F.when(F.col(f"_s_{name}") > 0, F.col(f"_s_{name}")).otherwise(1.0) for name in spread}
+    return values.join(stats, key).withColumns(scaled).drop("_m", *[f"_s_{name}" for name in spread])
 
 
 def fill_nonfinite(values: DataFrame, value: str, key: str) -> DataFrame:
