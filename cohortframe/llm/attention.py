@@ -52,7 +52,8 @@ class Attention:
     def _forward(self, s: np.ndarray) -> tuple:
         w = self.w
         x = w["e"][s] + w["p"]
-        q, k, v = x @ (w["wq"] / np.float32(np.sqrt(WIDTH))), x @ w["wk"], x @ w["wv"]
+        mixed = x.reshape(-1, WIDTH) @ np.concatenate([w["wq"] / np.float32(np.sqrt(WIDTH)), w["wk"], w["wv"]], 1)
+        q, k, v = (mixed[:, i:i + WIDTH].reshape(x.shape) for i in (0, WIDTH, 2 * WIDTH))
         a = q @ k.transpose(0, 2, 1)
         if a.max(initial=0) > LARGE:
             a -= a.max(2, keepdims=True)

@@ -17,7 +17,7 @@ a word's occurrences of all rows, gives each row its share of the sum, and share
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,12 +33,13 @@ FOLDS, HELD_OUT = 7, 2
 CLASSES = 32
 FREQUENT = 2000         # ids with an embedding of their own; the others share SHARED
 SHARED = 48
-ROUNDS, EVERY = 3, 32   # rounds of averaging, and of how many windows each learns from one
-STEP = 128              # windows scored at once: their arrays stay in a core's cache
+ROUNDS, EVERY = 3, 48   # rounds of averaging, and of how many windows each learns from one
+STEP = 64               # windows scored at once: their arrays stay in a core's cache
 BATCH, RATE = 16, 0.2   # windows of a step; the first round's rate
-PER_BUCKET = 4_000_000  # subword ids of the corpus per word bucket or group of rows
+PER_BUCKET = 6_000_000  # subword ids of the corpus per word bucket
 CHUNK = 4096            # numbers of a summed vector in one row
-BLOCK = 2_000_000       # ids handled at once in a task
+BLOCK = 500_000         # ids handled at once in a task
+COUNTED = 4 * BLOCK     # ids whose words go to the buckets together
 
 
 # ---- ids of whole texts
@@ -52,20 +53,21 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = subwords(path)
         end = bpe.tokenizer.get_vocab_size() - 1
+        tail = np.array([end], "<u2").tobytes()
         for frame in frames:
-            found = [[" " + w.decode("utf-8", "surrogatepass") for w in words(t)] for t in frame["text"]]
-            ids = []
-            for block in _blocks(found, [len(f) for f in found], BLOCK // 4):
-                ids += [np.append(np.frombuffer(raw, "<u4"), end).astype("<u2") for raw in bpe.encode_words(block)]
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "n_tokens": [len(f) + 1 for f in found],
-                                "n_ids": [len(i) for i in ids], "ids": [i.tobytes() for i in ids]})
+            n_tokens, ids = [], []
+            for block in _blocks(frame["text"], frame["text"].str.len(), 2 * BLOCK):
+                found = [words(t) for t in block]
+                n_tokens += [len(f) + 1 for f in found]
+                ids += [raw + tail for raw in bpe.encode_words(found)]
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "n_tokens": n_tokens, "n_ids": [len(i) // 2 for i in ids], "ids": ids})
 
     rows = with_long_id(texts_by_id(docs).mapInPandas(encode, "doc_id string, n_tokens long, n_ids long, ids binary"))
     return stored(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", (crc_fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"),
                               "n_tokens", "n_ids", "ids"), "tokens", compression="zstd")
 
 
-def _blocks(items: list, sizes: list[int], most: int) -> Iterator[list]:
+def _blocks(items: Iterable, sizes: Iterable[int], most: int) -> Iterator[list]:
     held, n = [], 0
     for item, size in zip(items, sizes):
         held.append(item)
@@ -151,8 +153,8 @@ class Model:
 
 
 def _ids(frame: pd.DataFrame) -> Iterator[list[np.ndarray]]:
-    ids = [np.frombuffer(b, "<u2").astype(np.int64) for b in frame["ids"]]
-    return _blocks(ids, [len(i) for i in ids], BLOCK)
+    for block in _blocks(frame["ids"], frame["ids"].str.len(), 2 * BLOCK):
+        yield [np.frombuffer(b, "<u2").astype(np.int64) for b in block]
 
 
 def fit(rows: DataFrame, vocabulary: int) -> Model:
@@ -201,29 +203,43 @@ _MIX = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(
 
 
 def _word_counts(ids: list[np.ndarray], begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, word hash, count), sorted by text; a word is the ids from one that begins with a space to the next."""
+    """(text, word hash, count) of the words of each text; a word is the ids from one that begins with a space to the next."""
     lengths = np.array([len(i) - 1 for i in ids])           # without the end
-    flat = np.concatenate([i[:-1] for i in ids]).astype(np.uint64)
+    flat = np.concatenate([i[:-1] for i in ids])
     if not len(flat):
         return (np.zeros(0, np.int64), *[np.zeros(0, np.uint64)] * 2)
     starts = np.flatnonzero(begins[flat])
-    sizes = np.diff(np.append(starts, len(flat)))
-    h = flat | (np.arange(len(flat)) - np.repeat(starts, sizes)).astype(np.uint64) << np.uint64(16)
-    h = (h + np.uint64(1)) * _MIX[0]
+    place = np.arange(len(flat), dtype=np.uint64) - np.repeat(starts.astype(np.uint64), np.diff(np.append(starts, len(flat))))
+    h = (flat.astype(np.uint64) + (place << np.uint64(16)) + np.uint64(1)) * _MIX[0]
     for shift, mix in ((30, _MIX[1]), (27, _MIX[2])):
-        h = (h ^ h >> np.uint64(shift)) * mix
+        h ^= h >> np.uint64(shift)
+        h *= mix
     h ^= h >> np.uint64(31)
     h = np.add.reduceat(h, starts)
     text = np.searchsorted(np.cumsum(lengths), starts, "right")
-    order = np.lexsort((h, text))
-    text, h = text[order], h[order]
-    new = np.append(True, (h[1:] != h[:-1]) | (text[1:] != text[:-1]))
-    at = np.flatnonzero(new)
-    return text[at], h[at], np.diff(np.append(at, len(h))).astype(np.uint64)
+    key = h + (text.astype(np.uint64) + np.uint64(1)) * _MIX[1]       # of the text and the word; one sort finds the repeats
+    order = np.argsort(key)
+    key = key[order]
+    at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    first = order[at]
+    return text[first], h[first], np.diff(np.append(at, len(key)))
+
+
+def _narrow(values: np.ndarray) -> bytes:
+    """Two bytes each where that is enough, else four; ``_wide`` tells by the length."""
+    return values.astype("<u2" if values.max(initial=0) < 1 << 16 else "<u4").tobytes()
+
+
+def _wide(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4").astype(np.int64)
 
 
 def base_sums(rows: DataFrame, path: str) -> tuple[DataFrame, int]:
-    """Per row the sum of count x log10(c + 1) over its words and the known tokens among them; and the number of distinct training words."""
+    """Per row the sum of count x log10(c + 1) over its words and the known tokens among them; and the number of distinct training words.
+
+    A block of rows of a task sends each bucket its words as (row's place in the block, hash, count and fold); the bucket
+    answers the block with (place, share, known).  The block's row numbers travel once, with one of the buckets.
+    """
     spark = rows.sparkSession
     total = rows.agg(F.sum("n_ids")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PER_BUCKET))
@@ -231,56 +247,53 @@ def base_sums(rows: DataFrame, path: str) -> tuple[DataFrame, int]:
 
     def emit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            all_ids = [np.frombuffer(b, "<u2") for b in frame["ids"]]
-            number = frame["row"].to_numpy(np.int64) * 2 + (~frame["held_out"].to_numpy(bool))     # row and whether it trains
-            for pick in _blocks(list(range(len(all_ids))), [len(i) for i in all_ids], BLOCK):
-                text, h, n = _word_counts([all_ids[i] for i in pick], begins)
+            numbers, train = frame["row"].to_numpy(np.int64), ~frame["held_out"].to_numpy(bool)
+            raw = frame["ids"].array
+            for pick in _blocks(range(len(raw)), frame["ids"].str.len(), 2 * COUNTED):
+                text, h, n = _word_counts([np.frombuffer(raw[i], "<u2") for i in pick], begins)
                 if not len(h):
                     continue
-                bucket = (h >> np.uint64(20)) % np.uint64(buckets)
+                bucket = ((h >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
-                text, h, n = text[order], h[order], n[order]
-                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1).astype(np.uint64))
-                of = number[pick]
+                text, h, n = text[order], h[order], n[order] * 2 + train[pick][text[order]]
+                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
                 out = []
                 for b in np.flatnonzero(np.diff(cuts)).tolist():
                     s = slice(cuts[b], cuts[b + 1])
-                    own, local = np.unique(text[s], return_inverse=True)
-                    out.append((b, of[own].tobytes(), local.astype("<u4").tobytes(), h[s].tobytes(), n[s].astype("<u4").tobytes()))
-                yield pd.DataFrame(out, columns=["bucket", "rows", "local", "hash", "n"])
-
-    groups = buckets
+                    out.append((b, int(numbers[pick[0]]), None if out else numbers[pick].tobytes(), _narrow(text[s]), h[s].tobytes(), _narrow(n[s])))
+                yield pd.DataFrame(out, columns=["bucket", "block", "rows", "place", "hash", "n"])
 
     def count(frame: pd.DataFrame) -> pd.DataFrame:
-        sizes = [len(b) // 8 for b in frame["rows"]]
-        row = np.concatenate([np.frombuffer(b, np.int64) for b in frame["rows"]])
-        shift = np.cumsum(sizes) - sizes
-        local = np.concatenate([np.frombuffer(b, "<u4") + np.int64(s) for b, s in zip(frame["local"], shift)])
+        sizes = [len(b) // 8 for b in frame["hash"]]
         h = np.concatenate([np.frombuffer(b, np.uint64) for b in frame["hash"]])
-        n = np.concatenate([np.frombuffer(b, "<u4") for b in frame["n"]]).astype(np.float64)
+        marked = np.concatenate([_wide(b, k) for b, k in zip(frame["n"], sizes)])
         word, at = np.unique(h, return_inverse=True)
-        c = np.bincount(at, n * (row[local] & 1), len(word))
-        share = np.bincount(local, n * np.log10(c + 1)[at], len(row))
-        known = np.bincount(local, n * (c > 0)[at], len(row)).astype(np.int64)
-        row >>= 1
-        group = row % groups
-        order = np.argsort(group, kind="stable")
-        cuts = np.searchsorted(group[order], np.arange(groups + 1))
-        out = [(g, row[o].tobytes(), share[o].tobytes(), known[o].tobytes(), 0)
-               for g in np.flatnonzero(np.diff(cuts)).tolist() for o in [order[cuts[g]:cuts[g + 1]]]]
-        out.append((-1, b"", b"", b"", int((c > 0).sum())))
-        return pd.DataFrame(out, columns=["group", "rows", "share", "known", "words"])
+        n = (marked >> 1).astype(np.float64)
+        c = np.bincount(at, n * (marked & 1), len(word))
+        worth, known = n * np.log10(c + 1)[at], n * (c > 0)[at]
+        out, lo = [], 0
+        for block, numbers, raw, size in zip(frame["block"], frame["rows"], frame["place"], sizes):
+            place = _wide(raw, size)
+            share, seen = np.bincount(place, worth[lo:lo + size]), np.bincount(place, known[lo:lo + size]).astype(np.int64)
+            own = np.unique(place)
+            out.append((block, numbers, _narrow(own), share[own].tobytes(), _narrow(seen[own]), 0))
+            lo += size
+        out.append((-1, None, b"", b"", b"", int((c > 0).sum())))
+        return pd.DataFrame(out, columns=["block", "rows", "place", "share", "known", "words"])
 
     def gather(frame: pd.DataFrame) -> pd.DataFrame:
-        row, at = np.unique(np.concatenate([np.frombuffer(b, np.int64) for b in frame["rows"]]), return_inverse=True)
-        share = np.bincount(at, np.concatenate([np.frombuffer(b) for b in frame["share"]]), len(row))
-        known = np.bincount(at, np.concatenate([np.frombuffer(b, np.int64) for b in frame["known"]]), len(row)).astype(np.int64)
+        row = np.frombuffer(next(b for b in frame["rows"] if b is not None), np.int64)
+        share, known = np.zeros(len(row)), np.zeros(len(row), np.int64)
+        for raw, s, k in zip(frame["place"], frame["share"], frame["known"]):
+            place = _wide(raw, len(s) // 8)
+            share[place] += np.frombuffer(s)
+            known[place] += _wide(k, len(place))
         return pd.DataFrame({"row": row, "share": share, "known": known})
 
-    spread = rows.select("row", "held_out", "ids").mapInPandas(emit, "bucket int, rows binary, local binary, hash binary, n binary")
-    shares = stored(spread.groupBy("bucket").applyInPandas(count, "group int, rows binary, share binary, known binary, words long"), "shares", compression="zstd")
+    spread = rows.select("row", "held_out", "ids").mapInPandas(emit, "bucket int, block long, rows binary, place binary, hash binary, n binary")
+    shares = stored(spread.groupBy("bucket").applyInPandas(count, "block long, rows binary, place binary, share binary, known binary, words long"), "shares", compression="zstd")
     distinct = shares.agg(F.sum("words")).first()[0] or 0
-    return shares.where("group >= 0").groupBy("group").applyInPandas(gather, "row long, share double, known long"), distinct
+    return shares.where("block >= 0").groupBy("block").applyInPandas(gather, "row long, share double, known long"), distinct
 
 
 def _space_ids(path: str) -> np.ndarray:

@@ -37,6 +37,8 @@ class Subwords:
         self.tokenizer.encode_special_tokens = True     # their strings in a text are ordinary text
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
+        self.older_words: dict[bytes, bytes] = {}
 
     def _learn(self, chunks: set[str]) -> None:
         """Make ``chunks`` known.  A full generation becomes the older one, from which what is met again is taken over."""
@@ -82,9 +84,26 @@ class Subwords:
                 held, size = [], 0
         yield from self._flush(held)
 
-    def encode_words(self, texts: list[list[str]]) -> list[bytes]:
-        """The same for texts that are cut into chunks already."""
-        return self._flush(texts)
+    def encode_words(self, texts: list[list[bytes]]) -> list[bytes]:
+        """For texts cut into words already: the ids of a space and the word, for each word, as little-endian 16-bit bytes."""
+        words = set(chain.from_iterable(texts))
+        if len(self.words) + len(words) > LIMIT:
+            self.words, self.older_words = {}, self.words
+        known, older = self.words, self.older_words
+        absent = [w for w in words if w not in known]
+        known.update((w, older[w]) for w in absent if w in older)
+        cut = {}
+        for word in absent:
+            if word not in known:
+                text = word.decode("utf-8", "surrogatepass")
+                cut[word] = m.groups() if (m := _STEM.fullmatch(text)) else (text, "")
+        stems = {s for s, _ in cut.values() if s.encode("utf-8", "surrogatepass") not in known}
+        new = [*(" " + s for s in stems), *{r for _, r in cut.values() if r}]
+        ids = {c: np.array(got.ids, "<u2").tobytes() for c, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False))}
+        for word, (stem, rest) in cut.items():
+            start = ids.get(" " + stem)
+            known[word] = (known[stem.encode("utf-8", "surrogatepass")] if start is None else start) + ids.get(rest, b"")
+        return [b"".join(map(known.__getitem__, t)) for t in texts]
 
     def _flush(self, held: list[list[str]]) -> list[bytes]:
         chunks = set(chain.from_iterable(held))
