@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from cohortframe.llm.common import byte_parts, cut_lineage, shingle_hashes, sized, stored, texts_by_id, with_long_id, words
 from cohortframe.llm.graph import components
 
-PER_BUCKET = 16 << 20       # bytes of text whose shingles one bucket holds
+PER_BUCKET = 6 << 20        # bytes of text whose shingles one bucket holds, about a million
 FLUSH = 2_000_000           # shingles a task holds before it hands them on
 BLOCK = 1 << 18             # shingles of a block of classes
 LISTS = 200_000             # postings a task reads at once
@@ -65,12 +65,12 @@ def _sets(docs: DataFrame, buckets: int) -> DataFrame:
 
         def flush() -> pd.DataFrame:
             of = np.repeat(np.arange(len(held)), [len(s) for _, s in held])
-            names, sizes = np.array([c for c, _ in held], np.int64), np.array([len(s) for _, s in held], np.int64)
+            names, sizes = np.array([c for c, _ in held], np.int64), np.array([len(s) for _, s in held], "<u4")
             shingles = np.concatenate([s for _, s in held])
             out = []
             for b, at in _cut((shingles >> np.uint64(24)) % np.uint64(buckets), buckets):
                 own, counts = np.unique(of[at], return_counts=True)
-                out.append((b, names[own].tobytes(), sizes[own].tobytes(), counts.astype(np.int64).tobytes(), shingles[at].tobytes()))
+                out.append((b, names[own].tobytes(), sizes[own].tobytes(), counts.astype("<u4").tobytes(), shingles[at].tobytes()))
             return pd.DataFrame(out, columns=["bucket", "classes", "sizes", "counts", "shingles"]).assign(
                 doc_id=None, mark=0, **{"class": 0}, n=0)[_names(_SETS)]
 
@@ -113,28 +113,37 @@ def _load(frame: pd.DataFrame, column: str, kind) -> np.ndarray:
     return np.concatenate([np.frombuffer(b, kind) for b in frame[column]])
 
 
+def _classes(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Names, set sizes and numbers of shingles sent, of all classes of a bucket or part."""
+    return _load(frame, "classes", np.int64), _load(frame, "sizes", "<u4").astype(np.int64), _load(frame, "counts", "<u4").astype(np.int64)
+
+
 def _shared(frame: pd.DataFrame, parts: int) -> pd.DataFrame:
     """Of a bucket: its shingles that occur in two classes or more, with their document frequency, by part of classes."""
     empty = pd.DataFrame(columns=_names(_SHARED))
     if frame["bucket"].iloc[0] < 0:
         return frame[["doc_id", "mark", "class", "n"]].assign(part=None, classes=None, sizes=None, counts=None, shingles=None, df=None)[_names(_SHARED)]
-    names, sizes, counts = (_load(frame, c, np.int64) for c in ("classes", "sizes", "counts"))
+    names, sizes, counts = _classes(frame)
     shingles = _load(frame, "shingles", np.uint64)
     first = np.unique(names, return_index=True)[1]           # a class that several tasks met counts once
     starts = (np.cumsum(counts) - counts)[first]
     names, sizes, counts = names[first], sizes[first], counts[first]
     shingles = shingles[_ranges(starts, counts)]
-    of = np.repeat(np.arange(len(names)), counts)
-    inverse, df = np.unique(shingles, return_inverse=True, return_counts=True)[1:]
-    df = df[inverse]
-    twice = np.flatnonzero(df > 1)
-    if not len(twice):
+    order = np.argsort(shingles)
+    ranked = shingles[order]
+    new = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
+    size = np.diff(np.append(new, len(ranked)))
+    several = size > 1
+    at = np.sort(order[_ranges(new[several], size[several])])              # the shingles met twice or more, class by class
+    if not len(at):
         return empty
-    of, shingles, df = of[twice], shingles[twice], df[twice]
+    df = np.empty(len(shingles), np.int64)
+    df[order] = np.repeat(size, size)
+    of, shingles, df = np.searchsorted(np.cumsum(counts), at, "right"), shingles[at], df[at]
     out = []
     for p, at in _cut((names[of].view(np.uint64) >> np.uint64(8)) % np.uint64(parts), parts):
         own, n = np.unique(of[at], return_counts=True)
-        out.append((p, names[own].tobytes(), sizes[own].tobytes(), n.astype(np.int64).tobytes(), shingles[at].tobytes(), df[at].astype("<u4").tobytes()))
+        out.append((p, names[own].tobytes(), sizes[own].astype("<u4").tobytes(), n.astype("<u4").tobytes(), shingles[at].tobytes(), df[at].astype("<u4").tobytes()))
     got = pd.DataFrame(out, columns=["part", "classes", "sizes", "counts", "shingles", "df"])
     return got.assign(doc_id=None, mark=0, **{"class": 0}, n=0)[_names(_SHARED)]
 
@@ -146,7 +155,7 @@ def prefix_size(n: np.ndarray) -> np.ndarray:
 
 def _prefixes(frame: pd.DataFrame) -> pd.DataFrame:
     """The classes of a part that may have a partner, with the shared part of their prefix, rarest first."""
-    names, sizes, counts = (_load(frame, c, np.int64) for c in ("classes", "sizes", "counts"))
+    names, sizes, counts = _classes(frame)
     shingles, df = _load(frame, "shingles", np.uint64), _load(frame, "df", "<u4")
     name, of = np.unique(names, return_inverse=True)
     of = np.repeat(of, counts)
