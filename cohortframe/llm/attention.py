@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-WINDOW, CONTEXT = 32, 8         # tokens a window sees, and how many of them the window before has scored already
+WINDOW, CONTEXT = 32, 6         # tokens a window sees, and how many of them the window before has scored already
 STRIDE = WINDOW - CONTEXT
 WIDTH, HIDDEN = 16, 32
 NAMES = ["e", "p", "wq", "wk", "wv", "w1", "b1", "w2", "b2"]
@@ -49,7 +49,8 @@ class Attention:
             at += n
         return self
 
-    def _forward(self, s: np.ndarray) -> tuple:
+    def _attend(self, s: np.ndarray) -> tuple:
+        """The hidden state of each position of windows of symbols, and what led to it."""
         w = self.w
         x = w["e"][s] + w["p"]
         mixed = x.reshape(-1, WIDTH) @ np.concatenate([w["wq"] / np.float32(np.sqrt(WIDTH)), w["wk"], w["wv"]], 1)
@@ -61,26 +62,32 @@ class Attention:
         np.exp(a, out=a)
         mixed = a @ np.concatenate([v, np.ones_like(v[:, :, :1])], 2)
         h = x + mixed[:, :, :WIDTH] / mixed[:, :, WIDTH:]
-        u = h.reshape(-1, WIDTH) @ w["w1"]
+        return x, q, k, v, a, mixed[:, :, WIDTH:], h
+
+    def _judge(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hidden layer and class scores of hidden states."""
+        w = self.w
+        u = h @ w["w1"]
         u += w["b1"]
         np.maximum(u, 0, out=u)
         z = u @ w["w2"]
         z += w["b2"]
         if z.max(initial=0) > LARGE:
             z -= z.max(1, keepdims=True)
-        return x, q, k, v, a, mixed[:, :, WIDTH:], h, u, z
+        return u, z
 
-    def log_classes(self, s: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Natural log-probability of each position's target class, for windows of input symbols (both n x WINDOW)."""
-        z = self._forward(s)[-1]
-        picked = z[np.arange(len(z)), target.reshape(-1)]
+    def log_classes(self, s: np.ndarray, target: np.ndarray, scored: np.ndarray) -> np.ndarray:
+        """Natural log-probability of the target class at the scored positions, one after the other (all n x WINDOW)."""
+        z = self._judge(self._attend(s)[-1][scored])[1]
+        picked = z[np.arange(len(z)), target[scored]]
         np.exp(z, out=z)
-        return (picked - np.log(z @ np.ones(z.shape[1], np.float32))).reshape(s.shape)
+        return picked - np.log(z @ np.ones(z.shape[1], z.dtype))
 
     def learn(self, s: np.ndarray, target: np.ndarray, valid: np.ndarray, rate: float) -> None:
         """One Adagrad step on the mean cross-entropy of the valid positions."""
         w = self.w
-        x, q, k, v, a, total, h, u, z = self._forward(s)
+        x, q, k, v, a, total, h = self._attend(s)
+        u, z = self._judge(h.reshape(-1, WIDTH))
         a /= total
         p = np.exp(z)
         p /= p.sum(1, keepdims=True)

@@ -33,7 +33,7 @@ FOLDS, HELD_OUT = 7, 2
 CLASSES = 32
 FREQUENT = 2000         # ids with an embedding of their own; the others share SHARED
 SHARED = 48
-ROUNDS, EVERY = 3, 48   # rounds of averaging, and of how many windows each learns from one
+ROUNDS, EVERY = 3, 64   # rounds of averaging, and of how many windows each learns from one
 STEP = 64               # windows scored at once: their arrays stay in a core's cache
 BATCH, RATE = 16, 0.2   # windows of a step; the first round's rate
 PER_BUCKET = 6_000_000  # subword ids of the corpus per word bucket
@@ -139,8 +139,8 @@ class Model:
         symbols, target, _, scored, of = self.laid(ids)
         for i in range(0, len(of), STEP):
             s = slice(i, i + STEP)
-            logs = self.net.log_classes(symbols[s], self.of_class[target[s]]) + self.log_inside[target[s]]
-            out += np.bincount(of[s], (logs * scored[s]).sum(1, dtype=np.float64), len(ids))
+            logs = self.net.log_classes(symbols[s], self.of_class[target[s]], scored[s]) + self.log_inside[target[s][scored[s]]]
+            out += np.bincount(np.repeat(of[s], scored[s].sum(1)), logs, len(ids))
         return out / math.log(10)
 
     def learn(self, ids: list[np.ndarray], rate: float, pick: Callable[[np.ndarray], np.ndarray] | None = None) -> int:
