@@ -69,28 +69,14 @@ def sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= MAX_BROADCAST_ROWS else df
 
 
-class WordHashes(dict):
-    """64-bit hash of a word (bytes), remembered for the first ``LIMIT`` short words a worker meets."""
-
-    LIMIT = 300_000
-
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(self) < self.LIMIT and len(word) < 64:
-            self[word] = value
-        return value
-
-
-_HASHES = WordHashes()
-
-
 def words(text: str | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of the whole text with A-Z in lower case; bytes.split() cuts at just that white space."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
 def word_hashes(found: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_HASHES.__getitem__, found), np.uint64, len(found))
+    """64-bit hash of each word; hashing anew is cheaper than looking most words up."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
 
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
