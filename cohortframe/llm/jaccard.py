@@ -8,8 +8,9 @@ Two documents link when the Jaccard similarity of their sets of 5-word shingles
    rarest first, a set of n shingles must share one of its first ``n - ceil(0.75 n) + 1`` with any partner: a class
    with that many shingles of its own has no partner and is done.  The rest of the classes keep the shared part of
    their prefix, with positions.
-3. Classes are put in blocks of bounded size (by one MinHash of the set, split when large).  A posting list of a prefix
-   shingle tells which blocks its classes must meet; no pair is ever written out.
+3. Classes are put in blocks of bounded size, so that near copies share few blocks: by one MinHash over the shingles whose
+   frequency is about the median of the class, split when large.  A posting list of a prefix shingle tells which blocks
+   its classes must meet; no pair is ever written out.
 4. For each pair of blocks that meet, one task joins their classes on prefix shingles under the length, positional and
    suffix filters, and verifies a pair at most once - not at all when the two are connected already.  It returns the
    links of a spanning forest.
@@ -166,14 +167,16 @@ def _prefixes(frame: pd.DataFrame) -> pd.DataFrame:
     keep = alive[of]
     of, shingles, df = of[keep], shingles[keep], df[keep]
     order = np.lexsort((shingles, df, of))
-    of, shingles = of[order], shingles[order]
+    of, shingles, df = of[order], shingles[order], df[order].astype(np.int64)
     stops = np.searchsorted(of, np.arange(len(name)), "right")
     rows = []
     for c in np.flatnonzero(alive).tolist():
-        own = shingles[stops[c] - shared[c]:stops[c]]
+        own, often = shingles[stops[c] - shared[c]:stops[c]], df[stops[c] - shared[c]:stops[c]]
+        usual = often[len(often) // 2]                     # of the shingles its near copies have: neither chance finds nor boilerplate
+        kin = own[(2 * often >= usual) & (often <= 2 * usual)]
         single = n[c] - shared[c]
         rare = own[:int(prefix_size(n[c:c + 1])[0] - single)]
-        rows.append((int(name[c]), int(n[c]), int(single), int(own.min().view(np.int64)), rare.view(np.int64), np.sort(own).tobytes()))
+        rows.append((int(name[c]), int(n[c]), int(single), int(kin.min().view(np.int64)), rare.view(np.int64), np.sort(own).tobytes()))
     return pd.DataFrame(rows, columns=["class", "n", "single", "key", "prefix", "shared"])
 
 
@@ -284,7 +287,7 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         "class", F.xxhash64("key", F.pmod(F.xxhash64("class"), "splits")).alias("block")))
     size = classes.agg(F.sum(F.size("prefix")).alias("postings"), F.sum("n").alias("shingles"), F.count(F.lit(1)).alias("classes")).first()
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    lists = max(parts, -(-(size["postings"] or 0) // LISTS))
+    lists = max(1, -(-(size["postings"] or 0) // LISTS))         # few: a class is told a block once by each
     posted = classes.join(blocks, "class").select("class", "n", "block", F.explode("prefix").alias("token"))
     # a long posting list is dealt to several tasks; each gets the list's cells, which are counted before the shuffle
     cells = cut_lineage(posted.groupBy("token", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count(F.lit(1)).alias("size")))
@@ -339,3 +342,19 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     drop = sized(cut_lineage(drop))
     same_text = F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == drop["_mark"]
     return docs.join(drop, docs["doc_id"].eqNullSafe(drop["_id"]) & same_text, "left_anti")
+
+
+ORACLE = r"""
+WITH RECURSIVE dw AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+'),
+  lambda x: x <> '') AS w FROM documents),
+ds AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) ELSE [array_to_string(w, ' ')] END) AS s
+  FROM dw WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM ds GROUP BY 1),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS i FROM ds a JOIN ds b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT u, v FROM p JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * i >= 75 * (x.n + y.n - i)),
+b AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+reach AS (SELECT DISTINCT u AS node, u AS label FROM b UNION SELECT b.v, reach.label FROM reach JOIN b ON b.u = reach.node),
+c AS (SELECT node, min(label) AS label FROM reach GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(least(c.label, d.doc_id), d.doc_id) AS component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.node = d.doc_id
+"""

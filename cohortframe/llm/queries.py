@@ -61,4 +61,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_personal_data, op2_warc_archive, op3_jaccard_join, op4_decontaminate, op5_exact_dedup, op6_secret_scan, op7_line_dedup, op8_best_fit_packing, op9_lm_scoring, op10_quality_classifier, pipeline)}
-CHECKS: dict[str, str] = {"op2_warc_archive": archive.ORACLE, "op4_decontaminate": decontam.ORACLE, "op5_exact_dedup": dedup.ORACLE}
+CHECKS: dict[str, str] = {"op2_warc_archive": archive.ORACLE, "op3_jaccard_join": jaccard.ORACLE, "op4_decontaminate": decontam.ORACLE, "op5_exact_dedup": dedup.ORACLE}
