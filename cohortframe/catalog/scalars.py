@@ -8,6 +8,7 @@ from cohortframe.catalog import query
 from cohortframe.functions import encoding as E
 from cohortframe.functions.expr import round_columns, rounded
 from cohortframe.operators import impute as I
+from cohortframe.operators import profile as P
 
 # every genotype notation the rules must read, one per cell of geno
 GT_TEXT = """
@@ -132,6 +133,25 @@ def _(t):
     return rows.where(~E.is_meta_label("label"))
 
 
+@query("sc9_id_prefix", "SELECT c_custkey, c_name FROM customer WHERE starts_with(c_name, 'Customer#00000001')")
+def _(t):
+    return t.customer.where(E.has_id_prefix("c_name", "Customer#00000001")).select("c_custkey", "c_name")
+
+
+FIRST_ROW = """SELECT s_suppkey AS seq, 'a' AS col, CASE WHEN s_suppkey = (SELECT min(s_suppkey) FROM supplier) THEN 'REF' ELSE CAST(s_nationkey AS STRING) END AS v FROM supplier
+UNION ALL SELECT s_suppkey, 'b', CAST(s_nationkey AS STRING) FROM supplier"""
+
+
+@query("sc9_first_row", f"WITH c AS ({FIRST_ROW}) SELECT seq, col, v FROM c WHERE seq > (SELECT min(seq) FROM c)")
+def _(t):
+    return P.drop_metadata_first_row(t.sql(FIRST_ROW))
+
+
+@query("sc9_first_row_kept", "SELECT s_suppkey AS seq, 'b' AS col, CAST(s_nationkey AS STRING) AS v FROM supplier")
+def _(t):
+    return P.drop_metadata_first_row(t.supplier.select(F.col("s_suppkey").alias("seq"), F.lit("b").alias("col"), F.col("s_nationkey").cast("string").alias("v")))
+
+
 @query("sc10_numeric_columns", """
 WITH u AS (
   SELECT 'name' AS col, name AS v FROM phenos_wide UNION ALL SELECT 'segment', segment FROM phenos_wide

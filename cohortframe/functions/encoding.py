@@ -83,6 +83,11 @@ def is_meta_label(label: str | Column) -> Column:
     return F.upper(as_col(label)).isin(*META_LABELS)
 
 
+def has_id_prefix(label: str | Column, prefix: str) -> Column:
+    """Whether the id starts with the prefix; a null id does not."""
+    return F.coalesce(F.startswith(as_col(label).cast("string"), F.lit(prefix)), F.lit(False))
+
+
 def model_name_by_alias(name: str | Column, aliases: Mapping[str, str] = MODEL_ALIASES) -> Column:
     low = F.lower(F.coalesce(as_col(name), F.lit("")))
     out = low

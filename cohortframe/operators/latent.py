@@ -124,6 +124,8 @@ def _subspace(z: DataFrame, k: int, seed: int, rounds: int, tol: float) -> tuple
         if ritz_before is not None and np.max(np.abs(vals[:k] - ritz_before) / np.maximum(vals[:k], 1e-12)) < tol:
             break
         ritz_before = vals[:k]
+    else:
+        raise RuntimeError(f"power iteration: eigenvalues still move by more than {tol} after {rounds} rounds; allow more rounds or a larger tol")
     scale = np.sqrt(np.maximum(vals[:k], 0.0))
     out = [f"s{i}" for i in range(k)]
     scores = _rotate(basis, "sample_id", names, vecs[:, :k] * scale, out)
@@ -142,12 +144,13 @@ def _covariance(z: DataFrame, k: int, p: int) -> tuple[DataFrame, list[float]]:
     return scores, [float(sums[f"e{i}"]) for i in range(k)]
 
 
-def pca(z: DataFrame, k: int = 5, seed: int = 7, rounds: int = 30, tol: float = 1e-9,
+def pca(z: DataFrame, k: int = 5, seed: int = 7, rounds: int = 100, tol: float = 1e-6,
         max_local: int = MAX_LOCAL_FEATURES) -> Components:
     """Principal components of standardized cells ``z(sample_id, var_id, z)``.
 
     Absent cells count as 0, the mean.  Signs are fixed so that the loading
-    largest in size is positive.
+    largest in size is positive.  Above ``max_local`` variants the eigenvalues must
+    settle within ``rounds``; otherwise this is an error, not a poor result.
     """
     z = cut_lineage(z.select("sample_id", "var_id", "z"))
     head = z.agg(F.sum(F.col("z") * F.col("z")).alias("total"),

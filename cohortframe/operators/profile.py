@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortframe.functions.encoding import try_double
-from cohortframe.functions.expr import safe_div
+from cohortframe.functions.expr import one_row, safe_div
 
 
 def as_long(df: DataFrame, columns: Sequence[str], ids: Sequence[str] = ()) -> DataFrame:
@@ -34,7 +34,6 @@ def numeric_screen(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def target_stats(values: DataFrame, value: str) -> DataFrame:
     """Count, nulls, mean, population sd, range, exact quartiles and both skewness forms."""
-    from cohortframe.functions.expr import one_row
     from cohortframe.operators.ranking import exact_quantiles
 
     x = F.col(value)
@@ -138,6 +137,14 @@ def context_summary(synth: DataFrame, synth_y: DataFrame, real: DataFrame, real_
     return side(synth, synth_y).unionByName(side(tag(real), tag(real_y)))
 
 
+def drop_metadata_first_row(cells: DataFrame, share: float = 0.3) -> DataFrame:
+    """``cells(seq, col, v)`` without the first row when more than ``share`` of its values are not numbers (a null is not)."""
+    first = one_row(cells.agg(F.min("seq").alias("seq"))).getField("seq")
+    odd = one_row(cells.where(F.col("seq") == first).agg(
+        F.avg(F.when(try_double(F.col("v")).isNull(), 1.0).otherwise(0.0)).alias("share"))).getField("share")
+    return cells.where((F.col("seq") != first) | (odd <= share))
+
+
 def usable_target(pheno: DataFrame, value: str, min_sd: float = 1e-6, min_n: int = 100) -> DataFrame:
     return pheno.agg(F.count(value).alias("n"), F.stddev_samp(value).alias("sd")).withColumn(
         "verdict", F.when((F.coalesce("sd", F.lit(0.0)) < min_sd) | (F.col("n") < min_n), "reject")
