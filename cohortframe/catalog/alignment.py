@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortframe.catalog import query
-from cohortframe.functions.expr import round_columns, rounded
+from cohortframe.functions.expr import round_columns
 from cohortframe.operators import align as A
 from cohortframe.operators import profile as P
 
