@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cohortframe.llm.common import normal_text
+from cohortframe.llm.common import cut_lineage, normal_text, sized
 
 SALTS = 8
 
@@ -54,12 +54,28 @@ def exact_dedup(docs: DataFrame, salts: int = SALTS) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, salts: int = SALTS) -> DataFrame:
-    """The rows of ``docs``, all columns, that stay: one per distinct text, repeated rows included once."""
-    keep = copy_groups(docs, salts).select(F.col("text_sha256").alias("_digest"), F.col("keep_id").alias("_id"))
-    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), F.sha2(normal_text(), 256).alias("_digest"))
-    both = rows.alias("r").join(keep.alias("k"), (F.col("r._digest") == F.col("k._digest")) & F.col("r._id").eqNullSafe(F.col("k._id")), "left_semi")
-    first = W.partitionBy("_digest", "_id").orderBy(F.xxhash64("_row"))     # rows that repeat an id and its text
-    return both.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("_row.*")
+    """The rows of ``docs``, all columns, that stay: one per distinct text, repeated rows included once.
+
+    Only the ids and digests of the rows that go meet the texts again; a table of them that is small when counted is
+    broadcast, so the kept texts are not shuffled.
+    """
+    def rows(table: DataFrame, kind: str) -> DataFrame:
+        key = docs["doc_id"].eqNullSafe(table["_id"]) & (F.sha2(normal_text(docs["text"]), 256) == table["_digest"])
+        return docs.join(table, key, kind)
+
+    named = _digested(docs).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest"))
+    groups = copy_groups(docs, salts).select(F.col("text_sha256").alias("_digest"), "keep_id", "group_size").where("group_size > 1")
+    judged = named.join(groups, "_digest").groupBy("_id", "_digest").agg(
+        F.bool_and(F.col("_id").eqNullSafe(F.col("keep_id"))).alias("first"), F.count(F.lit(1)).alias("n"))
+    # rows that are not their group's first go; first rows that repeat id and text are put aside
+    aside = cut_lineage(judged.where("NOT first OR n > 1").select("_id", "_digest", "first"))
+    kept = rows(sized(aside.select("_id", "_digest")), "left_anti")
+    again = aside.where("first").select("_id", "_digest")
+    if again.isEmpty():
+        return kept
+    whole = rows(sized(again), "left_semi").select(F.struct("*").alias("_row"))
+    same = W.partitionBy("_row.doc_id", F.sha2(normal_text(F.col("_row.text")), 256)).orderBy(F.xxhash64("_row"))
+    return kept.unionByName(whole.withColumn("_n", F.row_number().over(same)).where("_n = 1").select("_row.*"))
 
 
 ORACLE = r"""
