@@ -22,7 +22,7 @@ _CUT = re.compile(f"(?<=[^{_WS}])(?=[{_WS}])")
 # letters followed by punctuation are two pieces of the pattern; the stem is met more often than the whole
 _STEM = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?*$%&#|]+)")
 SEGMENT = 1 << 20       # chars handled at once
-LIMIT = 600_000         # chunks of a generation; a worker remembers two, some 250 MB at most
+LIMIT = 350_000         # chunks of a generation; a worker remembers two, some 130 MB at most
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
