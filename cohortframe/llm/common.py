@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import xxhash
@@ -69,6 +70,16 @@ def sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= MAX_BROADCAST_ROWS else df
 
 
+# what tasks of one operator keep in a worker for the next task, by name: how to drop it
+REMEMBERED: dict[str, Callable[[], None]] = {}
+
+
+def begin(owner: str) -> None:
+    """At the start of an operator's task: drop what other operators' tasks have left in this reused worker."""
+    for name in [n for n in REMEMBERED if n != owner]:
+        REMEMBERED.pop(name)()
+
+
 def words(text: str | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of the whole text with A-Z in lower case; bytes.split() cuts at just that white space."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
@@ -100,4 +111,4 @@ def shingle_hashes(found: list[bytes], size: int = 5) -> np.ndarray:
     return np.unique(out)
 
 
-__all__ = ["WS", "byte_parts", "crc_fold", "cut_lineage", "normal_text", "scratch", "shared_dir", "shingle_hashes", "sized", "stored", "table", "texts_by_id", "with_long_id", "word_hashes", "words"]
+__all__ = ["REMEMBERED", "WS", "begin", "byte_parts", "crc_fold", "cut_lineage", "normal_text", "scratch", "shared_dir", "shingle_hashes", "sized", "stored", "table", "texts_by_id", "with_long_id", "word_hashes", "words"]

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortframe.llm.common import byte_parts, cut_lineage, shingle_hashes, sized, stored, texts_by_id, with_long_id, words
+from cohortframe.llm.common import begin, byte_parts, cut_lineage, shingle_hashes, sized, stored, texts_by_id, with_long_id, words
 from cohortframe.llm.graph import components
 
 PER_BUCKET = 6 << 20        # bytes of text whose shingles one bucket holds, about a million
@@ -60,6 +60,7 @@ def _cut(order_by: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
 def _sets(docs: DataFrame, buckets: int) -> DataFrame:
     """A row per document (class and set size) and, per bucket, the shingles of the classes a task met first."""
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        begin("jaccard")
         met: set[int] = set()
         held: list[tuple[int, np.ndarray]] = []
         size = 0

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from cohortframe.llm.common import crc_fold, word_hashes, words
+from cohortframe.llm.common import begin, crc_fold, word_hashes, words
 
 SAMPLE = 8_000          # labelled rows the model is fitted on, at most
 BUCKETS = 1 << 13
@@ -165,6 +165,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mac
 def scorer(model: Machine | Constant):
     """A column function (text, n_chars) -> score for the fitted model."""
     def score(text: pd.Series, n_chars: pd.Series) -> pd.Series:
+        begin("quality")
         out, held, size = [], [], 0
         for t, n in zip(text, n_chars):
             held.append(parts(t, n))

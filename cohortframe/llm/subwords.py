@@ -14,6 +14,8 @@ from itertools import chain
 
 import numpy as np
 
+from cohortframe.llm.common import REMEMBERED
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 _WS = "\x09-\x0d\x20\x85\xa0  -     　"      # Unicode white space
@@ -22,7 +24,7 @@ _CUT = re.compile(f"(?<=[^{_WS}])(?=[{_WS}])")
 # letters followed by punctuation are two pieces of the pattern; the stem is met more often than the whole
 _STEM = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?*$%&#|]+)")
 SEGMENT = 1 << 20       # chars handled at once
-LIMIT = 350_000         # chunks of a generation; a worker remembers two, some 130 MB at most
+LIMIT = 600_000         # chunks of a generation; a worker remembers two, some 250 MB at most
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -117,7 +119,8 @@ _BY_PATH: dict[str, Subwords] = {}
 
 
 def subwords(path: str) -> Subwords:
-    """The worker's own copy, loaded once."""
+    """The worker's own copy, loaded once; ``common.begin`` of another operator's task drops it."""
+    REMEMBERED["subwords"] = _BY_PATH.clear
     if path not in _BY_PATH:
         _BY_PATH[path] = Subwords(path)
     return _BY_PATH[path]
