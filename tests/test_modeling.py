@@ -17,14 +17,33 @@ def data(spark):
 
 
 @pytest.mark.parametrize("alpha", [0.5, 25.0])
-@pytest.mark.parametrize("widest", [4096, 2])
-def test_ridge_is_the_closed_form(data, alpha, widest, monkeypatch):
-    monkeypatch.setattr(M, "MAX_NORMAL_FEATURES", widest)       # direct and iterative solver
+def test_ridge_is_the_closed_form(data, alpha, monkeypatch):
     x, y, df = data
     xc, yc = x - x.mean(0), y - y.mean()
     want = np.linalg.solve(xc.T @ xc + alpha * np.eye(6), xc.T @ yc)
     got = M.fit("ridge", {"alpha": alpha}, df)
     assert np.allclose(got.coefficients.toArray(), want, atol=1e-6)
+    monkeypatch.setattr(M, "MAX_NORMAL_FEATURES", 2)
+    with pytest.raises(ValueError, match="marker_ridge"):
+        M.fit("ridge", {"alpha": alpha}, df)
+
+
+def test_marker_ridge_is_the_closed_form_with_more_markers_than_samples(spark):
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(12, 30)), rng.normal(size=12)
+    x -= x.mean(0)
+    z = spark.createDataFrame([(f"s{i}", f"v{j:02d}", float(x[i, j])) for i in range(12) for j in range(30)], "sample_id string, var_id string, z double")
+    pheno = spark.createDataFrame([(f"s{i}", float(y[i])) for i in range(12)] + [("none", None)], "sample_id string, y double")
+    weights, mean = M.marker_ridge(z, pheno, [0.5, 50.0], tol=1e-9)
+    got = weights.toPandas().pivot(index="var_id", columns="alpha", values="weight")
+    assert abs(mean - y.mean()) < 1e-12
+    for alpha in (0.5, 50.0):
+        want = np.linalg.solve(x.T @ x + alpha * np.eye(30), x.T @ (y - y.mean()))
+        assert np.allclose(got[alpha].to_numpy(), want, atol=1e-6)
+    with pytest.raises(RuntimeError, match="not converged"):
+        M.marker_ridge(z, pheno, [0.5], tol=1e-12, rounds=1)
+    with pytest.raises(ValueError, match="depth"):
+        M.estimator("randomforest", {"max_depth": 31}, M.Shape(10, 2))
 
 
 @pytest.mark.parametrize("ratio", [0.3, 1.0])
