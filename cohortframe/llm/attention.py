@@ -107,7 +107,11 @@ class Attention:
             g[name] = rows.T @ d.reshape(-1, WIDTH)
         dx = dh + dq @ w["wq"].T + dk @ w["wk"].T + dv @ w["wv"].T
         g["p"] = dx.sum(0)
-        g["e"] = np.stack([np.bincount(s.reshape(-1), dx[:, :, i].reshape(-1), len(w["e"])) for i in range(WIDTH)], 1)
         for name, d in g.items():
             self.g2[name] += d.astype(np.float32) ** 2
             w[name] = (w[name] - rate * d / np.sqrt(self.g2[name])).astype(np.float32)
+        # a symbol that does not occur has no slope and keeps its embedding
+        met, at = np.unique(s.reshape(-1), return_inverse=True)
+        d = np.stack([np.bincount(at, dx[:, :, i].reshape(-1), len(met)) for i in range(WIDTH)], 1)
+        self.g2["e"][met] += d.astype(np.float32) ** 2
+        w["e"][met] -= rate * d / np.sqrt(self.g2["e"][met])

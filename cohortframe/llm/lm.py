@@ -6,8 +6,8 @@ are cut into overlapping windows so that every token is scored once, with at lea
 the document has them.
 
 What is learned from the training rows: the counts of all ids, and the weights, in ``ROUNDS`` rounds of averaging.  In a
-round every task fits the weights of the round before on its own rows, on one window in ``EVERY`` of all of them, and
-the tasks' weights are averaged by the number of windows they saw.  Vectors of all tasks are summed by an aggregation,
+round every task fits the weights of the round before on its own rows, on one window in ``ROUNDS`` of all of them, another
+in each round, so that all windows are learned from once; the tasks' weights are averaged by the number of windows they saw.  Vectors of all tasks are summed by an aggregation,
 so the driver sees one vector.  The work grows with the corpus; nothing has a size of its own.
 
 Base: the add-one unigram score over words.  Words are counted in hash buckets that grow with the corpus; a bucket holds
@@ -33,7 +33,7 @@ FOLDS, HELD_OUT = 7, 2
 CLASSES = 32
 FREQUENT = 2000         # ids with an embedding of their own; the others share SHARED
 SHARED = 48
-ROUNDS, EVERY = 3, 64   # rounds of averaging, and of how many windows each learns from one
+ROUNDS = 3              # rounds of averaging; each learns from its share of the windows, and together from all
 STEP = 64               # windows scored at once: their arrays stay in a core's cache
 BATCH, RATE = 16, 0.2   # windows of a step; the first round's rate
 PER_BUCKET = 6_000_000  # subword ids of the corpus per word bucket
@@ -115,8 +115,11 @@ class Model:
         self.symbol = np.where(rank < FREQUENT, rank, FREQUENT + np.arange(len(counts)) % SHARED).astype(np.int32)
         self.net = Attention(FREQUENT + SHARED + 1, classes)        # the last symbol begins a text
 
-    def laid(self, ids: list[np.ndarray], pick: Callable[[np.ndarray], np.ndarray] | None = None):
-        """Windows of input symbols, target ids, positions to score, and the text of each window."""
+    def laid(self, ids: list[np.ndarray], pick: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None):
+        """Windows of input symbols, target ids, positions to score, and the text of each window.
+
+        ``pick`` takes the text and the number within it of each window and tells which to lay.
+        """
         lengths = np.array([len(i) for i in ids])
         target = np.concatenate(ids)
         symbols = np.empty(len(target) + 1, np.int32)
@@ -125,7 +128,7 @@ class Model:
         symbols[first] = FREQUENT + SHARED
         start, of = attention.windows(lengths)
         if pick is not None:
-            chosen = pick(start)
+            chosen = pick(of, (start - first[of]) // STRIDE)
             start, of = start[chosen], of[chosen]
         at = start[:, None] + np.arange(WINDOW)
         valid = at < (first + lengths)[of][:, None]
@@ -143,7 +146,7 @@ class Model:
             out += np.bincount(np.repeat(of[s], scored[s].sum(1)), logs, len(ids))
         return out / math.log(10)
 
-    def learn(self, ids: list[np.ndarray], rate: float, pick: Callable[[np.ndarray], np.ndarray] | None = None) -> int:
+    def learn(self, ids: list[np.ndarray], rate: float, pick: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> int:
         symbols, target, valid, _, of = self.laid(ids, pick)
         order = np.random.default_rng(5).permutation(len(of))
         for i in range(0, len(of), BATCH):
@@ -159,7 +162,7 @@ def _ids(frame: pd.DataFrame) -> Iterator[list[np.ndarray]]:
 
 def fit(rows: DataFrame, vocabulary: int) -> Model:
     """Counts and weights from all training rows; without any, no counts and the weights as they were drawn."""
-    train = rows.where("NOT held_out").select("ids")
+    train = rows.where("NOT held_out").select("row", "ids")
 
     def count(frames: Iterator[pd.DataFrame]) -> np.ndarray:
         total = np.zeros(vocabulary)
@@ -176,8 +179,11 @@ def fit(rows: DataFrame, vocabulary: int) -> Model:
             model.net.load(began)
             seen = 0
             for frame in frames:
+                number, at = frame["row"].to_numpy(np.int64), 0
                 for ids in _ids(frame):
-                    seen += model.learn(ids, RATE / (turn + 1), lambda at: np.flatnonzero((at // STRIDE) % EVERY == turn))
+                    own = number[at:at + len(ids)]
+                    seen += model.learn(ids, RATE / (turn + 1), lambda of, k: np.flatnonzero((own[of] + k) % ROUNDS == turn))
+                    at += len(ids)
             return np.append(model.net.flat() * seen, seen)
 
         total = summed(train, further, len(began) + 1)

@@ -118,3 +118,14 @@ def test_empty_table_and_no_training_rows(docs_of):
     held = [i for i in range(60) if folded(i)]
     got = lm.score_documents(docs.where(docs.doc_id.isin(held))).collect()
     assert len(got) == len(held) and all(r.held_out and r.train_tokens == 0 and r.n_known == 0 and r.base_score == 0 for r in got)
+
+
+def test_every_training_window_is_learned_from_once(docs_of, monkeypatch):
+    """Also those of texts shorter than a window, of which a block holds many."""
+    rows = lm.tokenised(docs_of([(i, text_of(i, 1 + i * 7 % 200)) for i in range(150)]), lm.vocabulary_path()).cache()
+    sums, add = [], lm.summed
+    monkeypatch.setattr(lm, "summed", lambda *a: sums.append(add(*a)) or sums[-1])
+    lm.fit(rows, lm.subwords(lm.vocabulary_path()).tokenizer.get_vocab_size())
+    lengths = np.array([r.n_ids for r in rows.where("NOT held_out").collect()])
+    seen = [s[-1] for s in sums[1:]]
+    assert sum(seen) == len(windows(lengths)[0]) and min(seen) > 0.2 * sum(seen)
