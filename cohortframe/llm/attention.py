@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-WINDOW, CONTEXT = 32, 6         # tokens a window sees, and how many of them the window before has scored already
+WINDOW, CONTEXT = 32, 16        # tokens a window sees, and how many of them the window before has scored already
 STRIDE = WINDOW - CONTEXT
 WIDTH, HIDDEN = 16, 32
 NAMES = ["e", "p", "wq", "wk", "wv", "w1", "b1", "w2", "b2"]

@@ -129,3 +129,9 @@ def test_every_training_window_is_learned_from_once(docs_of, monkeypatch):
     lengths = np.array([r.n_ids for r in rows.where("NOT held_out").collect()])
     seen = [s[-1] for s in sums[1:]]
     assert sum(seen) == len(windows(lengths)[0]) and min(seen) > 0.2 * sum(seen)
+
+
+def test_every_later_token_is_predicted_from_half_a_window(model):
+    _, _, _, scored, of = model.laid([np.arange(n) % 1000 for n in (5, WINDOW, WINDOW + 1, 500)])
+    later = np.append(False, of[1:] == of[:-1])
+    assert later.any() and scored[later].argmax(1).min() >= WINDOW // 2
