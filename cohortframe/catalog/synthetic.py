@@ -184,6 +184,12 @@ def _(t):
     return round_columns(S.sample_gaussian(new_samples(t), t.geno, head=3), ["dosage"])
 
 
+# the operator's own head; the SQL above says a head of three, so a test compares this with the factor by numpy
+@query("sy7_gaussian_sampler_head")
+def _(t):
+    return round_columns(S.sample_gaussian(new_samples(t), t.geno), ["dosage"])
+
+
 @query("sy8_bootstrap_samples", f"""
 WITH {NEW}, d AS (SELECT sample_id AS donor, row_number() OVER (ORDER BY sample_id) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT sample_id FROM geno) z),
 k AS (SELECT ns.sample_id, d.donor FROM ns JOIN d ON d.r = floor({u("'42'", "'donor'", 'ns.sample_id')} * d.n) + 1)

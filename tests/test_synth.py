@@ -59,6 +59,27 @@ def test_gaussian_head_has_the_real_correlations(spark):
     assert np.abs(np.corrcoef(one.to_numpy().T) - np.eye(4)).max() < 0.06
 
 
+def test_registered_gaussian_head_equals_brute_force(spark):
+    """The first twelve variants are the independent draws times the Cholesky factor of their correlations; missing calls count as the mean."""
+    from cohortframe.catalog import QUERIES, load
+    from cohortframe.catalog.synthetic import new_samples
+    from cohortframe.fixtures import Tables
+    load()
+    t = Tables(spark, "/root/testdata/sf0.001")
+
+    def wide(df):
+        return df.toPandas().pivot(index="sample_id", columns="var_id", values="dosage").sort_index(axis=1).sort_index().astype(float)
+
+    got, real = wide(QUERIES["sy7_gaussian_sampler_head"](t)), wide(t.geno)
+    apart = ((wide(synth.sample_gaussian(new_samples(t), t.geno, head=1)) - real.mean()) / real.std()).fillna(0)     # a constant variant has no spread
+    corr = np.nan_to_num(np.corrcoef(real.fillna(real.mean()).to_numpy()[:, :12].T))
+    np.fill_diagonal(corr, 1)
+    want = apart.copy()
+    want.iloc[:, :12] = apart.to_numpy()[:, :12] @ np.linalg.cholesky(corr + 1e-9 * np.eye(12)).T
+    assert got.shape[1] > 12 and np.allclose(got, real.mean() + real.std() * want, atol=2e-5)
+    assert np.abs(np.tril(corr, -1)[3:]).max() > 0.01          # beyond a head of three
+
+
 def test_class_without_calls_draws_from_the_marginal(spark):
     rows = [(f"s{i}", v, (0 if v == "a" else 2) if i >= 4 or v == "b" else None) for i in range(20) for v in "ab"]
     geno = spark.createDataFrame(rows, "sample_id string, var_id string, dosage int")
