@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import xxhash
@@ -70,6 +70,29 @@ def sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= MAX_BROADCAST_ROWS else df
 
 
+HOT_KEYS = 100_000                # of a key and a few numbers each, at most
+
+
+def join_hot(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join with a table of unique ``keys`` where a key may hold any share of the left rows.
+
+    Keys with more than a ``HOT_KEYS``-th of the left rows (so there are fewer of them than that) meet by broadcast, the
+    others by a shuffle in which no key is large.  ``left`` is read three times and should be stored; null keys meet nothing.
+    """
+    keys = list(keys)
+    counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    least = left.agg((F.greatest(F.lit(10_000), F.count(F.lit(1)) / HOT_KEYS)).alias("_least")).first()["_least"]
+    hot = cut_lineage(counts.where(F.col("_n") > F.lit(float(least))).select(*keys))
+    if hot.isEmpty():
+        return left.join(right, keys, "left")
+    named = F.broadcast(hot.select(*[F.coalesce(F.col(k).cast("string"), F.lit("")).alias(f"_{k}") for k in keys]))
+    met = F.lit(True)
+    for k in keys:
+        met &= F.coalesce(F.col(k).cast("string"), F.lit("")) == F.col(f"_{k}")
+    many = left.join(named, met, "left_semi").join(F.broadcast(right.join(F.broadcast(hot), keys, "left_semi")), keys, "left")
+    return many.unionByName(left.join(named, met, "left_anti").join(right, keys, "left"))
+
+
 # what tasks of one operator keep in a worker for the next task, by name: how to drop it
 REMEMBERED: dict[str, Callable[[], None]] = {}
 
@@ -111,4 +134,4 @@ def shingle_hashes(found: list[bytes], size: int = 5) -> np.ndarray:
     return np.unique(out)
 
 
-__all__ = ["REMEMBERED", "WS", "begin", "byte_parts", "crc_fold", "cut_lineage", "normal_text", "scratch", "shared_dir", "shingle_hashes", "sized", "stored", "table", "texts_by_id", "with_long_id", "word_hashes", "words"]
+__all__ = ["REMEMBERED", "WS", "begin", "byte_parts", "crc_fold", "cut_lineage", "join_hot", "normal_text", "scratch", "shared_dir", "shingle_hashes", "sized", "stored", "table", "texts_by_id", "with_long_id", "word_hashes", "words"]
