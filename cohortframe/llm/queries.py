@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from cohortframe.llm import archive, decontam, dedup, jaccard, lines, lm, merkle, packing, pii, quality, secrets, trie
+from cohortframe.llm import archive, decontam, dedup, jaccard, lines, lm, merkle, packing, pii, quality, secrets, sharding, trie
 from cohortframe.llm.common import scratch, table
 
 
@@ -59,6 +59,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.trie(table(spark, sf_dir, "conversations")).drop("last_turn")
 
 
+def op12_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified(table(spark, sf_dir, "documents"))
 
@@ -69,6 +73,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_personal_data, op2_warc_archive, op3_jaccard_join, op4_decontaminate, op5_exact_dedup, op6_secret_scan, op7_line_dedup, op8_best_fit_packing, op9_lm_scoring, op10_quality_classifier,
-                              op11_prefix_trie, op13_merkle_manifest, pipeline)}
+                              op11_prefix_trie, op12_balanced_shards, op13_merkle_manifest, pipeline)}
 CHECKS: dict[str, str] = {"op2_warc_archive": archive.ORACLE, "op3_jaccard_join": jaccard.ORACLE, "op4_decontaminate": decontam.ORACLE, "op5_exact_dedup": dedup.ORACLE,
                           "op11_prefix_trie": trie.ORACLE, "op13_merkle_manifest": merkle.ORACLE}
