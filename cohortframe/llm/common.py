@@ -70,7 +70,7 @@ def sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= MAX_BROADCAST_ROWS else df
 
 
-HOT_KEYS = 100_000                # of a key and a few numbers each, at most
+HOT_KEYS, HOT_LEAST = 100_000, 10_000    # keys to broadcast, at most; rows that make a key hot, at least
 
 
 def join_hot(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -81,7 +81,7 @@ def join_hot(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFram
     """
     keys = list(keys)
     counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    least = left.agg((F.greatest(F.lit(10_000), F.count(F.lit(1)) / HOT_KEYS)).alias("_least")).first()["_least"]
+    least = left.agg((F.greatest(F.lit(HOT_LEAST), F.count(F.lit(1)) / HOT_KEYS)).alias("_least")).first()["_least"]
     hot = cut_lineage(counts.where(F.col("_n") > F.lit(float(least))).select(*keys))
     if hot.isEmpty():
         return left.join(right, keys, "left")
