@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortframe.llm.boosting import Trees, precise_threshold
-from cohortframe.llm.common import texts_by_id, with_long_id
+from cohortframe.llm.common import stored, texts_by_id, with_long_id
 from cohortframe.llm.secrets import joined
 
 KINDS = ["email", "ip", "card", "phone"]
-SAMPLE_ROWS = 3_000         # rows the trees are fitted on, at most
+SAMPLE_ROWS = 750           # rows per kind the trees are fitted on, at most
 SAMPLE_SPANS = 20           # spans of one sampled row, at most
 CONTEXT = 60                # chars kept on each side of a sampled span
 PRECISION = 0.98
@@ -52,7 +52,8 @@ def _digits(text: str) -> str:
 
 
 def _octets(text: str) -> bool:
-    return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in re.findall("[0-9]+", text))
+    parts = [p.lstrip("0") for p in re.findall("[0-9]+", text)]         # of any length
+    return all(len(p) < 3 or (len(p) == 3 and p <= "255") for p in parts)
 
 
 def base_spans(text: str) -> list[Span]:
@@ -74,30 +75,39 @@ def base_spans(text: str) -> list[Span]:
 _AT = r"(?:@| ?[(\[{] ?(?:at|AT) ?[)\]}] ?| at )"
 _DOT = r"(?:\.| ?[(\[{] ?(?:dot|DOT) ?[)\]}] ?| dot )"
 _SIGN = re.compile(_AT)
-_LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
+_LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
+_STRIDE = 256               # chars looked back at first for the beginning of a local part
 _DOMAIN = re.compile(rf"[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+")
 _NUMBER = re.compile(r"[+(]{0,2}[0-9]+(?:[\x20()./_\[\]-]{1,3}[0-9]+)*")
 _GROUP = re.compile("[0-9]+")
-MAX_GROUPS = 8
-NAME_CHARS = 256            # longest local part of an address that is proposed
+MOST_DIGITS = 19            # of a card, the longest number
+
+
+def _local_part(text: str, stop: int) -> int:
+    """Where the local part that ends at ``stop`` begins, however long it is."""
+    back = _STRIDE
+    while True:
+        local = _LOCAL.match(text[max(0, stop - back):stop][::-1])
+        if local is None or local.end() < back or back >= stop:
+            return stop - (local.end() if local else 0)
+        back *= 2
 
 
 def candidates(text: str) -> Iterator[Span]:
     """Overlapping spans, generously."""
     for m in _SIGN.finditer(text):
-        local = _LOCAL.search(text[max(0, m.start() - NAME_CHARS):m.start()])
         domain = _DOMAIN.match(text, m.end())
-        if local and domain:
-            yield m.start() - len(local[0]), 0, domain.end()
+        if domain and (start := _local_part(text, m.start())) < m.start():
+            yield start, 0, domain.end()
     for m in _NUMBER.finditer(text):
         if m.end() - m.start() < 7:
             continue
         groups = [(m.start() + g.start(), m.start() + g.end()) for g in _GROUP.finditer(m[0])]
         for i in range(len(groups)):
             n = 0
-            for j in range(i, min(len(groups), i + MAX_GROUPS)):
+            for j in range(i, len(groups)):
                 n += groups[j][1] - groups[j][0]
-                if n > 19:
+                if n > MOST_DIGITS:
                     break
                 start = m.start() if i == 0 else groups[i][0] - (text[groups[i][0] - 1] in "+(")
                 if j - i == 3 and n <= 12:
@@ -165,13 +175,15 @@ def _examples(windows: list[tuple[str, int, int, int]]) -> tuple[np.ndarray, np.
     x, kinds, label, held = [], [], [], []
     for text, start, kind, stop in windows:
         fold = xxhash.xxh3_64_intdigest(text.encode()) % 4 == 0
-        for body, right in [(text[start:stop], True), *_rewritings(kind, text[start:stop])]:
-            said = text[:start] + body + text[stop:]
-            seen = {(s, k, e) for s, k, e in candidates(said) if s < start + len(body) and e > start}
+        whole, lead = text[start:stop], f"{_digits(text[start:stop])[:3]}-{_digits(text[start:stop])[3:7]} "
+        leads = [(lead, whole, True)] if kind == 2 else []             # a card's number right after another number
+        for before, body, right in [("", whole, True), *leads, *(("", b, r) for b, r in _rewritings(kind, whole))]:
+            said, at = text[:start] + before + body + text[stop:], start + len(before)
+            seen = {(s, k, e) for s, k, e in candidates(said) if s < at + len(body) and e > start}
             for span in sorted(seen):
                 x.append(features(said, span))
                 kinds.append(span[1])
-                label.append(right and span == (start, kind, start + len(body)))
+                label.append(right and span == (at, kind, at + len(body)))
                 held.append(fold)
     return np.array(x, np.int64).reshape(-1, N_FEATURES), np.array(kinds), np.array(label, np.float64), np.array(held, bool)
 
@@ -234,14 +246,26 @@ def _windows(text: str) -> list[tuple[str, int, int, int]]:
     return out
 
 
+# what a row with a base span of the kind is sure to hold
+_HINTS = ["@[A-Za-z0-9-]+[.]", "[0-9][.][0-9]+[.][0-9]+[.][0-9]", "[0-9]([ -]?[0-9]){11}", "[+][0-9][ ().0-9-]{7}"]
+
+
 def fit_judge(docs: DataFrame, sample: int = SAMPLE_ROWS) -> Judge:
-    """Fit on at most ``sample`` rows, those with the smallest hash of doc_id among rows with a digit pair or an at sign."""
+    """Fit on at most ``sample`` rows of each kind: those with the smallest hash of doc_id that may hold a base span of it.
+
+    Of a row at most ``SAMPLE_SPANS`` spans of up to 100 characters are learned from.
+    """
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             yield pd.DataFrame([w for t in frame["text"] for w in _windows(t)], columns=["text", "start", "kind", "stop"])
 
-    ids = docs.where(F.col("text").rlike("@|[0-9]{2}")).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(ids), "doc_id").select("text")     # at most ``sample`` ids
+    hints = F.array(*[F.when(F.col("text").rlike(hint), F.lit(k)) for k, hint in enumerate(_HINTS)])
+    hinted = stored(docs.where(F.col("text").rlike("@|[0-9][^A-Za-z]+[0-9]")).select("doc_id", F.explode(F.array_compact(hints)).alias("kind")), "hinted")
+    ids = None
+    for k in range(len(KINDS)):
+        own = hinted.where(F.col("kind") == k).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+        ids = own if ids is None else ids.union(own)
+    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(ids.distinct()), "doc_id").select("text")     # at most ``sample`` ids a kind
     got = rows.mapInPandas(cut, "text string, start int, kind int, stop int").collect()
     return Judge(sorted((r["text"], r["start"], r["kind"], r["stop"]) for r in got))
 

@@ -137,3 +137,26 @@ def test_boosting_learns_an_interaction_and_is_calibrated():
     assert abs(q[p > 0.5].mean() - 0.9) < 0.04
     assert precise_threshold(np.array([.9, .8, .7, .6]), np.array([1, 1, 0, 1.]), 0.9) == pytest.approx(0.75)
     assert precise_threshold(np.array([.9, .8]), np.array([0, 1.]), 0.9) == 1.1
+
+
+def test_numbers_and_names_of_any_length(docs_of):
+    texts = ["0" * 5000 + "1.1.1.1", "1." + "0" * 4400 + "255.3.4 x 256.1.1.1 1.2.3.0256", "9" * 6000 + ".1.1.1", "a" * 300 + " at mail.example.com", "b" * 70_000 + "@x.org " + "c" * 50_000 + " " + "d" * 9_000 + "(at)y.org"]
+    assert [[s[1] for s in pii.base_spans(t)] for t in texts] == [[1], [1], [], [], [0]]
+    judge = pii.Judge([])
+    got = {r.doc_id: r for r in pii.find_personal_data(docs_of(list(enumerate(texts))), judge).collect()}
+    assert [(got[i].n_email, got[i].n_ip) for i in range(5)] == [(0, 1), (0, 1), (0, 0), (0, 0), (1, 0)]
+    assert (0, 0, 300 + len(" at mail.example.com")) in set(pii.candidates(texts[3]))
+    assert {s for s in pii.candidates(texts[4]) if s[1] == 0} >= {(0, 0, 70_006), (70_007 + 50_001, 0, len(texts[4]))}
+
+
+def test_sixteen_digits_in_many_groups_are_proposed_whole():
+    said = "4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1"
+    assert (0, 2, len(said)) in set(pii.candidates(said.replace(" ", ".")))
+
+
+def test_sample_is_drawn_by_kind(docs_of, monkeypatch):
+    rows = [(i, f"write to user{i}@mail{i}.example.com now") for i in range(400)] + [(1000 + i, f"host 10.{i}.3.{i} is up") for i in range(60)]
+    seen = []
+    monkeypatch.setattr(pii, "Judge", lambda windows: seen.extend(windows))
+    pii.fit_judge(docs_of(rows), 50)
+    assert sum(w[2] == 0 for w in seen) == 50 and sum(w[2] == 1 for w in seen) == 50
