@@ -10,7 +10,8 @@ sketches of whole documents are useless for that, because the document may be a
   bound, the smaller the sketch);
 * equal values make candidates, and every candidate (document, item) is verified once on the shingles themselves.
 
-Words are lower-cased ``[^\\x20\\x09-\\x0D]+``.  Items and documents of fewer than five words have no shingle: they match nothing.
+Words are lower-cased ``[^\\x20\\x09-\\x0D]+``.  An item of one to four words has its whole sequence of words as its one
+shingle; it is looked up among the documents' runs of as many words.  Items and documents without words match nothing.
 """
 
 from __future__ import annotations
@@ -31,11 +32,11 @@ def _words(text: str | Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), WS), "")
 
 
-def _shingles(words: str, make) -> Column:
-    """``make`` of every run of five words; no run, an empty array."""
-    starts = F.sequence(F.lit(0), F.size(words) - SHINGLE)
-    runs = F.transform(starts, lambda i: make([F.get(F.col(words), i + k) for k in range(SHINGLE)]))
-    return F.when(F.size(words) >= SHINGLE, runs)
+def _shingles(words: str, make, length: int = SHINGLE) -> Column:
+    """``make`` of every run of so many words; no run, no array."""
+    starts = F.sequence(F.lit(0), F.size(words) - length)
+    runs = F.transform(starts, lambda i: make([F.get(F.col(words), i + k) for k in range(length)]))
+    return F.when(F.size(words) >= length, runs)
 
 
 def _hash(parts: list[Column]) -> Column:
@@ -50,12 +51,39 @@ def _size_class(n: Column) -> Column:
     return F.floor(F.log2(n)).cast("int")
 
 
+def _short_leaks(docs: DataFrame, items: DataFrame) -> DataFrame | None:
+    """The same for items of fewer than five words; None without such items.  Only runs of lengths that items have are made."""
+    short = cut_lineage(items.select("item_id", _words("text").alias("w")).where((F.size("w") >= 1) & (F.size("w") < SHINGLE)).select(
+        "item_id", F.size("w").alias("length"), F.array_join("w", " ").alias("said")))
+    lengths = sorted(r["length"] for r in short.select("length").distinct().collect())        # 1 to 4
+    if not lengths:
+        return None
+    worded = docs.select("doc_id", _words("text").alias("w"))
+    met = None
+    for n in lengths:
+        runs = worded.select("doc_id", F.explode(F.array_distinct(_shingles("w", _text, n))).alias("said"))
+        own = runs.join(sized(short.where(F.col("length") == n).select("item_id", "said")), "said").select("doc_id", "item_id")
+        met = own if met is None else met.unionByName(own)
+    one = F.lit(1).cast("long")
+    return met.distinct().select("doc_id", "item_id", one.alias("item_shingles"), one.alias("shared_shingles"))
+
+
 def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, item_id, item_shingles, shared_shingles``: every document that contains an item.
 
     Rows that repeat a doc_id (or item_id) are searched one by one and reported once, with the fullest match; a null id
     is an id like any other.  Null and empty texts match nothing, extra columns are ignored.
     """
+    long, short = _long_leaks(docs, items, threshold), _short_leaks(docs, items)
+    return long if short is None else _best(long.unionByName(short))
+
+
+def _best(found: DataFrame) -> DataFrame:
+    best = F.max_by(F.struct("item_shingles", "shared_shingles"), F.col("shared_shingles") / F.col("item_shingles"))
+    return found.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.*")
+
+
+def _long_leaks(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
     grams = (items.select("item_id", _words("text").alias("w")).where(F.size("w") >= SHINGLE)
              .select("item_id", F.array_distinct(_shingles("w", _text)).alias("s"), F.array_sort(F.array_distinct(_shingles("w", _hash))).alias("h"))
              .withColumn("part", _size_class(F.size("h"))))
@@ -87,8 +115,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> Da
                .select("doc_id", "item_id", F.size("s").cast("long").alias("item_shingles"),
                        F.size(F.array_intersect("s", "d")).cast("long").alias("shared_shingles"))
                .where(F.col("shared_shingles") >= F.lit(threshold) * F.col("item_shingles")))
-    best = F.max_by(F.struct("item_shingles", "shared_shingles"), F.col("shared_shingles") / F.col("item_shingles"))
-    return checked.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.*")
+    return _best(checked)
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -106,4 +133,7 @@ n AS (SELECT item_id, count(*) AS item_shingles FROM its GROUP BY item_id)
 SELECT doc_id, item_id, any_value(item_shingles) AS item_shingles, count(*) AS shared_shingles
 FROM ds JOIN its USING (s) JOIN n USING (item_id)
 GROUP BY doc_id, item_id HAVING count(*) >= 0.75 * any_value(item_shingles)
+UNION ALL
+SELECT DISTINCT doc_id, item_id, CAST(1 AS BIGINT), CAST(1 AS BIGINT)
+FROM dw JOIN iw ON len(iw.w) BETWEEN 1 AND 4 AND len(list_filter(range(1, len(dw.w) - len(iw.w) + 2), lambda i: dw.w[i:i + len(iw.w) - 1] = iw.w)) > 0
 """

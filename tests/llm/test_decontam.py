@@ -6,17 +6,22 @@ from cohortframe.llm import decontam
 from .conftest import text_of
 
 
-def shingles(text):
+def shingles(text, size=5):
     w = [x for x in re.split(r"[\x20\x09-\x0D]+", (text or "").lower()) if x]
-    return {tuple(w[i:i + 5]) for i in range(len(w) - 4)}
+    return {tuple(w[i:i + size]) for i in range(len(w) - size + 1)}
+
+
+def own(text):
+    n = len([x for x in re.split(r"[\x20\x09-\x0D]+", text or "") if x])
+    return max(1, min(n, 5))
 
 
 def brute(rows, items, threshold=0.75):
     out = {}
     for i, t in items:
-        s = shingles(t)
+        s = shingles(t, own(t))
         for d, text in rows:
-            n = len(s & shingles(text))
+            n = len(s & shingles(text, own(t)))
             if s and n >= threshold * len(s) and n * out.get((d, i), (1, 0))[0] >= out.get((d, i), (1, 0))[1] * len(s):
                 out[(d, i)] = (len(s), n)
     return out
@@ -37,7 +42,7 @@ def test_leaks_equal_brute_force(spark, docs_of):
     table = spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "1 AS h", "2 AS s", "'x' AS part")
     got = decontam.leaks(docs_of(docs), table).collect()
     assert {(r.doc_id, r.item_id): (r.item_shingles, r.shared_shingles) for r in got} == brute(docs, items)
-    assert len(got) == len(brute(docs, items)) == 8
+    assert len(got) == len(brute(docs, items)) == 9
 
 
 def test_without_leaks(spark, docs_of):
@@ -57,6 +62,15 @@ def test_many_items_are_found_at_every_size(spark, docs_of):
     assert {(r.doc_id, r.item_id): (r.item_shingles, r.shared_shingles) for r in got} == brute(docs, items)
 
 
+def test_items_of_one_to_four_words(spark, docs_of):
+    items = [(1, "Paris"), (2, "of the\n sea"), (3, "to be or not"), (4, " \t"), (5, "a b"), (5, "the sea"), (6, text_of(7, 9)), (None, "or")]
+    docs = [(1, "capital: paris is"), (2, "PARIS"), (3, "the land of the sea"), (4, "of  the\tsea"), (5, "to be"), (6, "x to be or not y"), (7, None), (8, ""),
+            (9, text_of(7, 9) + " paris"), (9, "a b"), (None, "of the seas or"), (10, "parisian a  b")]
+    got = decontam.leaks(docs_of(docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): (r.item_shingles, r.shared_shingles) for r in got} == brute(docs, items)
+    assert len(got) == len(brute(docs, items)) > 12
+
+
 def test_empty_tables(spark, docs_of):
     docs, items = cases()
     table = spark.createDataFrame(items, "item_id long, text string")
