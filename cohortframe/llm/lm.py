@@ -51,7 +51,7 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
     vocabulary must have fewer than 65,536 ids.
     """
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = subwords(path)
+        bpe = subwords(path, literal=True)
         end = bpe.tokenizer.get_vocab_size() - 1
         tail = np.array([end], "<u2").tobytes()
         for frame in frames:
@@ -304,7 +304,7 @@ def base_sums(rows: DataFrame, path: str) -> tuple[DataFrame, int]:
 
 def _space_ids(path: str) -> np.ndarray:
     """Which ids begin with a space (byte-level vocabularies write it as U+0120)."""
-    vocabulary = subwords(path).tokenizer.get_vocab()
+    vocabulary = subwords(path, literal=True).tokenizer.get_vocab()
     out = np.zeros(1 << 16, bool)
     out[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
     return out
@@ -321,7 +321,7 @@ def score_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     known = rows.where("NOT held_out").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("texts")).first()
     train_tokens, ends = known["n"] or 0, known["texts"]
     shares, distinct = base_sums(rows, path)
-    model = fit(rows, subwords(path).tokenizer.get_vocab_size())
+    model = fit(rows, subwords(path, literal=True).tokenizer.get_vocab_size())
     size = train_tokens + distinct + (ends > 0) + 1
     out = scored(rows, model).join(shares, "row", "left")
     return out.select(

@@ -1,8 +1,9 @@
 """Ids of a public byte-level BPE vocabulary for whole texts, chunk by chunk.
 
 The vocabulary's pattern never joins a visible character with white space after it, so a text may be cut before every
-white-space run and the ids of its chunks joined: same ids as encoding the text at once.  Chunks repeat, so a worker
-encodes each once and keeps its ids as little-endian unsigned 32-bit bytes.
+white-space run and the ids of its chunks joined: same ids as encoding the text at once.  Special strings of the vocabulary
+hold no white space, so a chunk has them whole.  Chunks repeat, so a worker encodes each once and keeps its ids as
+little-endian unsigned 32-bit bytes.
 """
 
 from __future__ import annotations
@@ -33,10 +34,11 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 class Subwords:
-    def __init__(self, path: str):
+    def __init__(self, path: str, literal: bool = False):
+        """``literal``: the strings of special tokens in a text are ordinary text."""
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True     # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = literal
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.words: dict[bytes, bytes] = {}
@@ -115,12 +117,12 @@ class Subwords:
         return [b"".join(map(get, chunks)) for chunks in held]
 
 
-_BY_PATH: dict[str, Subwords] = {}
+_BY_PATH: dict[tuple[str, bool], Subwords] = {}
 
 
-def subwords(path: str) -> Subwords:
+def subwords(path: str, literal: bool = False) -> Subwords:
     """The worker's own copy, loaded once; ``common.begin`` of another operator's task drops it."""
     REMEMBERED["subwords"] = _BY_PATH.clear
-    if path not in _BY_PATH:
-        _BY_PATH[path] = Subwords(path)
-    return _BY_PATH[path]
+    if (path, literal) not in _BY_PATH:
+        _BY_PATH[path, literal] = Subwords(path, literal)
+    return _BY_PATH[path, literal]

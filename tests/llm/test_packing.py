@@ -14,18 +14,16 @@ from .conftest import text_of
 @pytest.fixture(scope="module")
 def tokenizer():
     from tokenizers import Tokenizer
-    t = Tokenizer.from_file(vocabulary_path())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(vocabulary_path())        # as it comes: special strings in a text are special
 
 
-TEXTS = ["", " ", "a", "  two  spaces ", "tabs\t\tand\nlines\r\n\n x", "don't we'll 'tis", "naïve café ÑANDÚ élan", "日本語 テキスト", "a b   c", "\x1c!\x1cx \x85y", "🙂🙃 ok", "<|endoftext|> x",
+TEXTS = ["", " ", "a", "  two  spaces ", "tabs\t\tand\nlines\r\n\n x", "don't we'll 'tis", "naïve café ÑANDÚ élan", "日本語 テキスト", "a b   c", "\x1c!\x1cx \x85y", "🙂🙃 ok", "<|endoftext|> x", "hello <|endoftext|> world", "a  <|endoftext|><|endoftext|>b.<|endoftext|>", "<|endoftext", "see<|endoftext|>!",
          "x,y;z!!! ... *** a1b2 12,345.67", "　wide", "é combining", "A" * 3000, "\n" * 500, " " * 5000 + "x"]
 
 
 def test_chunks_give_the_ids_of_whole_texts(tokenizer, monkeypatch):
     rng = random.Random(4)
-    alphabet = [*" \t\n,.'!aB1é \x1c\x85日", "'s", "'ll", " the", "word"]
+    alphabet = [*" \t\n,.'!aB1é \x1c\x85日", "'s", "'ll", " the", "word", "<|endoftext|>"]
     texts = TEXTS + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(80))) for _ in range(3000)]
     want = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
     from cohortframe.llm import subwords
