@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Sequence
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -101,6 +104,17 @@ def begin(owner: str) -> None:
     """At the start of an operator's task: drop what other operators' tasks have left in this reused worker."""
     for name in [n for n in REMEMBERED if n != owner]:
         REMEMBERED.pop(name)()
+    give_back()
+
+
+def give_back() -> None:
+    """Return what earlier tasks of this reused worker have freed to the machine, which Python and Arrow do not do by themselves."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):           # another C library
+        pass
 
 
 def words(text: str | None) -> list[bytes]:
@@ -134,4 +148,4 @@ def shingle_hashes(found: list[bytes], size: int = 5) -> np.ndarray:
     return np.unique(out)
 
 
-__all__ = ["REMEMBERED", "WS", "begin", "byte_parts", "crc_fold", "cut_lineage", "join_hot", "normal_text", "scratch", "shared_dir", "shingle_hashes", "sized", "stored", "table", "texts_by_id", "with_long_id", "word_hashes", "words"]
+__all__ = ["REMEMBERED", "WS", "begin", "byte_parts", "crc_fold", "cut_lineage", "give_back", "join_hot", "normal_text", "scratch", "shared_dir", "shingle_hashes", "sized", "stored", "table", "texts_by_id", "with_long_id", "word_hashes", "words"]

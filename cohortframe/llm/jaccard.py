@@ -30,11 +30,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortframe.llm.common import begin, byte_parts, cut_lineage, shingle_hashes, sized, stored, texts_by_id, with_long_id, words
+from cohortframe.llm.common import begin, byte_parts, cut_lineage, give_back, shingle_hashes, sized, stored, texts_by_id, with_long_id, words
 from cohortframe.llm.graph import components
 
 PER_BUCKET = 6 << 20        # bytes of text whose shingles one bucket holds, about a million
-FLUSH = 2_000_000           # shingles a task holds before it hands them on
+FLUSH = 1_000_000           # shingles a task holds before it hands them on
 BLOCK = 1 << 18             # shingles of a block of classes
 LISTS = 200_000             # postings a task reads at once
 PIVOTS = 16                 # parts of the suffix filter
@@ -98,6 +98,8 @@ def _sets(docs: DataFrame, buckets: int) -> DataFrame:
                                 "class": names, "n": sizes}).assign(classes=None, sizes=None, counts=None, shingles=None)
         if held:
             yield flush()
+        held.clear()
+        give_back()
 
     return texts_by_id(docs, _mark().alias("mark")).mapInPandas(read, _SETS)
 
@@ -122,6 +124,7 @@ def _classes(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _shared(frame: pd.DataFrame, parts: int) -> pd.DataFrame:
     """Of a bucket: its shingles that occur in two classes or more, with their document frequency, by part of classes."""
+    give_back()
     empty = pd.DataFrame(columns=_names(_SHARED))
     if frame["bucket"].iloc[0] < 0:
         return frame[["doc_id", "mark", "class", "n"]].assign(part=None, classes=None, sizes=None, counts=None, shingles=None, df=None)[_names(_SHARED)]
@@ -157,6 +160,7 @@ def prefix_size(n: np.ndarray) -> np.ndarray:
 
 def _prefixes(frame: pd.DataFrame) -> pd.DataFrame:
     """The classes of a part that may have a partner, with the shared part of their prefix, rarest first."""
+    give_back()
     names, sizes, counts = _classes(frame)
     shingles, df = _load(frame, "shingles", np.uint64), _load(frame, "df", "<u4")
     name, of = np.unique(names, return_inverse=True)
@@ -265,6 +269,7 @@ def join_blocks(n: np.ndarray, single: np.ndarray, side: np.ndarray, cross: bool
 
 def _joined(frame: pd.DataFrame) -> pd.DataFrame:
     """All block pairs that share this slot."""
+    give_back()
     out = []
     for (low, high), rows in frame.groupby(["low", "high"], sort=False):
         names = rows["class"].to_numpy(np.int64)

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortframe.llm.common import stored, texts_by_id, with_long_id
+from cohortframe.llm.common import begin, stored, texts_by_id, with_long_id
 from cohortframe.llm.subwords import subwords, vocabulary_path
 from cohortframe.operators.ranking import ranked
 
@@ -77,6 +77,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
     end = np.array([END_ID], "<u4").tobytes()
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        begin("subwords")
         for frame in frames:
             rows, of = [], []
             for r, ids in enumerate(subwords(path).encode(frame["text"])):
