@@ -250,19 +250,30 @@ def _(t):
     return t.spark.read.parquet(f"{ok}/batch=*").select("run_id", "sample_id", "V1", "V2", "V3", "y")
 
 
-# answers that land a day behind the watermark, in a second run of the same query
+# answers that land years behind the mark, in a third run of the same query; those of the first two come within the delay
 @query("st2_late_answers", "SELECT -run_id - 1 AS run_id, 'late' AS reason FROM responses WHERE run_id % 5 = 0")
 def _(t):
+    return _judged(t).where("reason = 'late'").select("run_id", "reason")
+
+
+# in the second run a third of the first run's answers come again, in the third all late ones twice
+@query("st2_judged_answers", """
+SELECT run_id, 'accepted' AS reason, 1 AS n FROM responses
+UNION ALL SELECT run_id, 'repeated', 1 FROM responses WHERE run_id % 6 = 0
+UNION ALL SELECT -run_id - 1, 'late', 2 FROM responses WHERE run_id % 5 = 0""")
+def _(t):
+    return _judged(t).withColumn("n", F.col("n").cast("int"))
+
+
+def _judged(t):
     land, ok, bad, ck = folder(t, "answers"), folder(t, "accepted"), folder(t, "rejected"), folder(t, "offsets")
     rows = t.responses.select("run_id", "text", F.timestamp_seconds(F.lit(1704067200) + F.col("run_id")).alias("ts"))
     late = rows.where("run_id % 5 = 0").select((-F.col("run_id") - 1).alias("run_id"), "text", F.timestamp_seconds(F.lit(946684800)).alias("ts"))
-    # a batch judges lateness by the watermark of the batch before it, so two come first
-    for part in (rows.where("run_id % 2 = 0"), rows.where("run_id % 2 = 1"), late):
+    for part in (rows.where("run_id % 2 = 0"), rows.where("run_id % 2 = 1 OR run_id % 6 = 0"), late.unionByName(late)):
         part.write.mode("append").parquet(land)
         stream = t.spark.readStream.schema(rows.schema).parquet(land)
-        SJ.finish(SJ.ingest_responses(stream, ["V1", "V2", "V3"], ok, bad, ck))
-    seen = t.spark.read.parquet(f"{ok}_seen/batch=*")
-    return SJ.late_answers(t.spark.read.parquet(land), seen).select("run_id", "reason")
+        SJ.finish(SJ.ingest_responses(stream, ["V1", "V2", "V3"], ok, bad, ck, delay="3000 days"))
+    return SJ.judged_answers(t.spark, ok)
 
 
 @query("st3_running_summary", """

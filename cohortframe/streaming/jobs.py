@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from cohortframe.functions.expr import one_row
 from cohortframe.operators.synth import parse_responses
 
 
@@ -22,31 +23,62 @@ def ingest_genotypes(spark: SparkSession, landing: str, table: str, checkpoint:
 
 def ingest_responses(responses: DataFrame, columns: Sequence[str], accepted: str, rejected: str, checkpoint: str,
                      delay: str = "1 hour", target: str = "y") -> StreamingQuery:
-    """Streaming answers (run_id, text, ts) parsed as they arrive.
+    """Streaming answers (run_id, text, ts) judged and parsed as they arrive.
 
-    An answer delivered twice within the delay is parsed once.  Row ids carry the
-    answer's id, so numbering never depends on the batch.  A batch writes its own
-    folder and overwrites it when it is replayed, so a restart adds nothing twice.
+    The mark is the latest event time of the batches before.  An answer older than the mark less ``delay`` is ``late``; one
+    whose id was accepted within the delay is ``repeated``; the first of the others by (ts, text) is ``accepted`` and
+    parsed.  A null event time counts as the mark's.  Every answer is told in ``<accepted>_judged``, so nothing goes unseen,
+    and the verdict depends on the batches alone, not on when the engine moves its own watermark.
+
+    Row ids carry the answer's id, so numbering never depends on the batch.  The ids of the delay are the only state:
+    each batch writes them anew from those of the batch before.  A batch overwrites its own folders when it is replayed, so
+    a restart adds nothing twice.
     """
-    once = responses.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["run_id"])
+    spark, state = responses.sparkSession, f"{accepted}_state"
+    wait = F.expr(f"INTERVAL {delay}")
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.persist()
-        rows, rejects = parse_responses(batch, columns, target)
+        known = _newest(spark, state, number)
+        mark = known.agg(F.max("ts").alias("ts")).first()["ts"] if known is not None else None
+        now = batch.select("run_id", "text", F.coalesce("ts", F.lit(mark).cast("timestamp")).alias("ts"))
+        edge = F.lit(mark).cast("timestamp") - wait
+        late = F.col("ts") < edge
+        first = now.where(~F.coalesce(late, F.lit(False))).groupBy("run_id").agg(F.min_by(F.struct("ts", "text"), F.struct("ts", "text")).alias("a"))
+        if known is not None:
+            first = first.join(known.where(F.col("run_id").isNotNull()).select("run_id"), "run_id", "left_anti")
+        taken = first.select("run_id", "a.*")
+        taken.write.mode("overwrite").parquet(f"{accepted}_taken/batch={number}")
+        taken = spark.read.schema(taken.schema).parquet(f"{accepted}_taken/batch={number}")
+        rows, rejects = parse_responses(taken, columns, target)
         rows = rows.withColumn("sample_id", F.concat(
             F.lit("SYNTHETIC_"), F.col("run_id").cast("string"), F.lit("_"), F.col("pos").cast("string")))
         rows.write.mode("overwrite").parquet(f"{accepted}/batch={number}")
         rejects.write.mode("overwrite").parquet(f"{rejected}/batch={number}")
-        batch.select("run_id", "ts").write.mode("overwrite").parquet(f"{accepted}_seen/batch={number}")
-        batch.unpersist()
-
-    return (once.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+        counted = now.groupBy("run_id", F.when(late, "late").otherwise("repeated").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+        ok = taken.select("run_id", F.lit("accepted").alias("reason"), F.lit(1).cast("long").alias("n"))
+        # the accepted one of an id is not its own repetition
+        told = counted.unionByName(ok).groupBy("run_id").pivot("reason", ["accepted", "late", "repeated"]).agg(F.sum("n"))
+        each = F.stack(F.lit(3), F.lit("accepted"), "accepted", F.lit("late"), "late", F.lit("repeated"), F.col("repeated") - F.coalesce("accepted", F.lit(0))).alias("reason", "n")
+        told.select("run_id", each).where("n > 0").write.mode("overwrite").parquet(f"{accepted}_judged/batch={number}")
+        seen = taken.select("run_id", "ts")
+        top = now.agg(F.max("ts").alias("ts")).select(F.lit(None).cast(now.schema["run_id"].dataType).alias("run_id"), "ts")      # the mark, whoever brought it
+        whole = seen.unionByName(top) if known is None else seen.unionByName(top).unionByName(known)
+        latest = one_row(whole.agg(F.max("ts").alias("ts"))).getField("ts")
+        whole.where("ts IS NOT NULL").where(F.col("ts") >= latest - wait).groupBy("run_id").agg(F.max("ts").alias("ts")).write.mode("overwrite").parquet(f"{state}/turn={number % 2}")
+
+    return (responses.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
-def late_answers(landed: DataFrame, seen: DataFrame) -> DataFrame:
-    """Landed answers no batch took: they came after the watermark had passed them."""
-    return landed.join(seen.select("run_id"), "run_id", "left_anti").withColumn("reason", F.lit("late"))
+def _newest(spark: SparkSession, state: str, before: int) -> DataFrame | None:
+    """The state of the last batch before this one; every batch writes one, into two folders in turn."""
+    return spark.read.parquet(f"{state}/turn={(before - 1) % 2}") if before else None
+
+
+def judged_answers(spark: SparkSession, accepted: str) -> DataFrame:
+    """(run_id, reason, n): how often each answer was accepted, repeated and late."""
+    rows = spark.read.option("basePath", f"{accepted}_judged").parquet(f"{accepted}_judged/batch=*")
+    return rows.groupBy("run_id", "reason").agg(F.sum("n").alias("n"))
 
 
 def upsert_stream(updates: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

@@ -139,7 +139,9 @@ def test_ingest_takes_each_file_once(spark, tmp_path):
     assert sorted(tuple(r) for r in spark.read.parquet(table).collect()) == [("a", "v", 1), ("b", "v", 2)]
 
 
-def test_answers_stream_duplicates_and_late_rows(spark, tmp_path):
+@pytest.mark.parametrize("empty_batches", ["true", "false"])
+def test_answers_stream_duplicates_and_late_rows(spark, tmp_path, empty_batches):
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", empty_batches)
     land = str(tmp_path / "land")
     body = "Sample_ID,V1,V2,y\nq,1,2,3\n"
     day = dt.datetime(2024, 1, 10)
@@ -153,12 +155,15 @@ def test_answers_stream_duplicates_and_late_rows(spark, tmp_path):
     run()
     drop([(2, body, day + dt.timedelta(minutes=5)), (3, body, day + dt.timedelta(days=2))])
     run()
-    drop([(4, body, day - dt.timedelta(days=5)), (5, body, day + dt.timedelta(days=2))])
+    drop([(4, body, day - dt.timedelta(days=5)), (5, body, day + dt.timedelta(days=2)), (5, body, day + dt.timedelta(days=2)), (6, None, None), (4, body, day)])
     run()
     got = spark.read.parquet(f"{tmp_path}/ok/batch=*")
     assert sorted((r.run_id, r.sample_id) for r in got.collect()) == [(i, f"SYNTHETIC_{i}_1") for i in (1, 2, 3, 5)]
-    late = J.late_answers(spark.read.parquet(land), spark.read.parquet(f"{tmp_path}/ok_seen/batch=*"))
-    assert [(r.run_id, r.reason) for r in late.collect()] == [(4, "late")]
+    judged = {(r.run_id, r.reason): r.n for r in J.judged_answers(spark, str(tmp_path / "ok")).collect()}
+    assert judged == {(i, "accepted"): 1 for i in (1, 2, 3, 5, 6)} | {(2, "repeated"): 1, (5, "repeated"): 1, (4, "late"): 2}
+    # the state holds the ids of the delay and the mark
+    state = {r.run_id for r in spark.read.parquet(f"{tmp_path}/ok_state/turn=0").collect()}
+    assert state == {3, 5, 6, None}
 
 
 def test_stream_summary_equals_batch(spark, tmp_path):
