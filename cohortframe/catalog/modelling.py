@@ -10,6 +10,7 @@ from cohortframe.functions.expr import one_row, round_columns, rounded
 from cohortframe.operators import modeling as M
 from cohortframe.operators import popgen as G
 from cohortframe.operators import runs as R
+from cohortframe.operators import trees as T
 
 
 def u(*parts: str) -> str:
@@ -340,11 +341,136 @@ def _(t):
     return round_columns(out.orderBy("rmse"), ["r2", "rmse", "mae"])
 
 
-@query("ml16_forest_importance")
+# ---- lasso and elastic net on all markers
+
+# two markers: of the nine sign patterns the one that satisfies the optimality conditions
+@query("ml4_marker_net_two", """
+WITH k AS (SELECT sample_id, y - avg(y) OVER () AS y FROM pheno WHERE y IS NOT NULL),
+g AS (SELECT sample_id, var_id, dosage - avg(dosage) OVER (PARTITION BY var_id) AS z FROM geno JOIN k USING (sample_id) WHERE dosage IS NOT NULL AND var_id IN ('V0003', 'V0042')),
+s AS (SELECT sample_id, y, coalesce(max(z) FILTER (var_id = 'V0003'), 0) AS a, coalesce(max(z) FILTER (var_id = 'V0042'), 0) AS b FROM k LEFT JOIN g USING (sample_id) GROUP BY 1, 2),
+m AS (SELECT kind, l1, sum(a * a) / count(*) + l2 AS aa, sum(a * b) / count(*) AS ab, sum(b * b) / count(*) + l2 AS bb, sum(a * y) / count(*) AS ay, sum(b * y) / count(*) AS y2
+      FROM s CROSS JOIN (VALUES ('lasso', 2e-2, 0e0), ('net', 1e-2, 1e-2)) AS v(kind, l1, l2) GROUP BY kind, l1, l2),
+w AS (SELECT *, CASE WHEN i = 0 THEN 0 WHEN j = 0 THEN (ay - l1 * i) / aa ELSE (bb * (ay - l1 * i) - ab * (y2 - l1 * j)) / (aa * bb - ab * ab) END AS wa,
+             CASE WHEN j = 0 THEN 0 WHEN i = 0 THEN (y2 - l1 * j) / bb ELSE (aa * (y2 - l1 * j) - ab * (ay - l1 * i)) / (aa * bb - ab * ab) END AS wb
+      FROM m, (SELECT unnest([-1, 0, 1]) AS i) p, (SELECT unnest([-1, 0, 1]) AS j) q),
+o AS (SELECT * FROM w WHERE sign(wa) = i AND sign(wb) = j AND (i <> 0 OR abs(ay - ab * wb) <= l1) AND (j <> 0 OR abs(y2 - ab * wa) <= l1))
+SELECT kind, 'V0003' AS var_id, round(wa, 5) + 0.0 AS weight FROM o WHERE i <> 0 UNION ALL SELECT kind, 'V0042', round(wb, 5) + 0.0 FROM o WHERE j <> 0""")
+def _(t):
+    z = centred(t).where(F.col("var_id").isin("V0003", "V0042"))
+    parts = [M.marker_lasso(z, t.pheno, 0.02, ratio)[0].select(F.lit(kind).alias("kind"), "var_id", "weight") for kind, ratio in (("lasso", 1.0), ("net", 0.5))]
+    return round_columns(parts[0].unionByName(parts[1]), ["weight"], 5)
+
+
+def _net_gaps(t, alpha, ratio):
+    """Over every marker: by how much the optimality conditions are missed, against the slope at zero weights."""
+    z, known = centred(t), t.pheno.where("y IS NOT NULL").select("sample_id", "y")
+    weights, mean = M.marker_lasso(z, t.pheno, alpha, ratio)
+    told = M.marker_predictions(z, weights, mean).drop("alpha")
+    left = known.join(told, "sample_id", "left").select("sample_id", (F.col("y") - F.coalesce("prediction", F.lit(mean))).alias("e"), (F.col("y") - mean).alias("y"))
+    n = one_row(known.agg(F.count(F.lit(1)).alias("n"))).getField("n")
+    slope = z.join(left, "sample_id").groupBy("var_id").agg((F.sum(F.col("z") * F.col("e")) / n).alias("g"), (F.sum(F.col("z") * F.col("y")) / n).alias("g0"))
+    both = slope.join(weights, "var_id", "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
+    pull = F.col("g") - alpha * (1.0 - ratio) * F.col("weight")
+    gap = F.when(F.col("weight") == 0, F.greatest(F.lit(0.0), F.abs("g") - alpha * ratio)).otherwise(F.abs(pull - alpha * ratio * F.signum("weight")))
+    return both.agg(F.count(F.lit(1)).alias("n_variants"), (F.count_if(F.col("weight") != 0) > 0).alias("some"), (F.max(gap) / F.max(F.abs("g0"))).alias("gap"))
+
+
+NET_GAPS = "SELECT count(DISTINCT var_id) AS n_variants, true AS some, 0e0 AS largest_gap FROM geno JOIN pheno USING (sample_id) WHERE dosage IS NOT NULL AND y IS NOT NULL"
+
+
+@query("ml4_marker_lasso", NET_GAPS)
+def _(t):
+    return _net_gaps(t, 0.02, 1.0).select("n_variants", "some", rounded("gap", 4).alias("largest_gap"))
+
+
+@query("ml4_marker_elasticnet", NET_GAPS)
+def _(t):
+    return _net_gaps(t, 0.02, 0.5).select("n_variants", "some", rounded("gap", 4).alias("largest_gap"))
+
+
+# ---- trees on all markers, level by level, written out in SQL
+
+def _tree_sql(source: str, name: str, depth: int, min_leaf: int, share: float | None = None) -> str:
+    """CTEs that grow ``source (tree, sample_id, y, w, node)``: ``<name>w<level>`` has a level's splits, ``<name>s`` the rows in their leaves."""
+    parts, now = [], source
+    drawn = u("'42'", "'feature'", "tree", "node", "var_id")
+    pick = f"AND {drawn} < {share}" if share else ""
+    for level in range(depth):
+        own = f"{name}w{level}"
+        parts.append(f"""
+{name}t{level} AS (SELECT tree, node, sum(w) AS n, sum(w * y) AS s FROM {now} WHERE node >= {1 << level} GROUP BY 1, 2),
+{name}h{level} AS (SELECT tree, node, var_id, unnest([0, 1]) AS cut, unnest([sum(w), sum(CASE WHEN dosage = 2 THEN w ELSE 0 END)]) AS nr,
+  unnest([sum(w * y), sum(CASE WHEN dosage = 2 THEN w * y ELSE 0 END)]) AS sr
+  FROM {now} JOIN tcells USING (sample_id) WHERE node >= {1 << level} {pick} GROUP BY 1, 2, 3),
+{name}g{level} AS (SELECT tree, node, var_id, cut, (s - sr) * (s - sr) / (n - nr) + sr * sr / nr - s * s / n AS gain
+  FROM {name}h{level} JOIN {name}t{level} USING (tree, node) WHERE nr >= {min_leaf} AND n - nr >= {min_leaf}),
+{own} AS (SELECT tree, node, var_id, cut, gain FROM {name}g{level} WHERE gain > 1e-6
+  QUALIFY row_number() OVER (PARTITION BY tree, node ORDER BY round(gain, 6) DESC, var_id, cut) = 1),
+{name}r{level} AS ({_walked(now, own, "x.y, x.w")})""")
+        now = f"{name}r{level}"
+    parts.append(f"""
+{name}s AS (SELECT * FROM {now}), {name}v AS (SELECT tree, node, sum(w * y) / sum(w) AS value FROM {now} GROUP BY 1, 2)""")
+    return ",".join(parts)
+
+
+def _walked(rows: str, splits: str, more: str = "0 AS y") -> str:
+    return f"""SELECT x.tree, x.sample_id, {more}, CASE WHEN s.cut IS NULL THEN x.node ELSE x.node * 2 + CASE WHEN coalesce(dosage, 0) > s.cut THEN 1 ELSE 0 END END AS node
+  FROM {rows} x LEFT JOIN {splits} s ON s.tree = x.tree AND s.node = x.node LEFT JOIN tcells c ON c.sample_id = x.sample_id AND c.var_id = s.var_id"""
+
+
+CELLS = """
+tcells AS (SELECT sample_id, var_id, dosage FROM geno WHERE dosage > 0),
+tknown AS (SELECT sample_id, y FROM pheno WHERE y IS NOT NULL)"""
+DRAWS = u("'42'", "'draw'", "tree", "sample_id")
+DRAWN = " + ".join(f"CASE WHEN {DRAWS} >= {p!r} THEN 1e0 ELSE 0e0 END" for p in T.POISSON)
+FOREST_TREES, FOREST_DEPTH, BOOST_ROUNDS, BOOST_DEPTH = 12, 3, 4, 2
+FOREST = f"""{CELLS},
+f0 AS (SELECT * FROM (SELECT tree, sample_id, y, {DRAWN} AS w, 1 AS node FROM tknown, (SELECT unnest(range({FOREST_TREES})) AS tree) z) q WHERE w > 0),{_tree_sql("f0", "f", FOREST_DEPTH, 2, 0.5)}"""
+WALK = ", ".join(f"p{i + 1} AS ({_walked(f'p{i}', f'fw{i}')})" for i in range(FOREST_DEPTH))
+SPLIT = " UNION ALL ".join(f"SELECT var_id, gain FROM fw{i}" for i in range(FOREST_DEPTH))
+
+
+def _boosted_sql() -> str:
+    parts = [CELLS, "m AS (SELECT avg(y) AS m FROM tknown)", "q0 AS (SELECT 0 AS tree, sample_id, y - m AS y, 1e0 AS w, 1 AS node FROM tknown, m)"]
+    for k in range(BOOST_ROUNDS):
+        parts.append(_tree_sql(f"q{k}", f"k{k}", BOOST_DEPTH, 2))
+        parts.append(f"q{k + 1} AS (SELECT {k + 1} AS tree, sample_id, y - value * 1e-1 AS y, 1e0 AS w, 1 AS node FROM k{k}s JOIN k{k}v USING (tree, node))")
+    # what is left after all rounds tells the prediction of a training row
+    return f"WITH {', '.join(parts)} SELECT sample_id, round(tknown.y, 6) AS y, round(tknown.y - q.y, 5) + 0.0 AS prediction FROM q{BOOST_ROUNDS} q JOIN tknown USING (sample_id)"
+
+
+@query("ml5_first_level_gains", f"""
+WITH {CELLS}, f0 AS (SELECT 0 AS tree, sample_id, y, 1e0 AS w, 1 AS node FROM tknown),{_tree_sql("f0", "f", 1, 1)}
+SELECT var_id, CAST(cut AS INTEGER) AS cut, round(gain, 6) + 0.0 AS gain FROM fg0""")
+def _(t):
+    state = t.pheno.where("y IS NOT NULL").select(F.lit(0).alias("tree"), "sample_id", "y", F.lit(1.0).alias("w"), F.lit(1).cast("long").alias("node"))
+    return round_columns(T.split_gains(t.geno, state).select("var_id", "cut", "gain"), ["gain"])
+
+
+def _forest(t):
+    return T.fit_forest(t.geno, t.pheno, FOREST_TREES, FOREST_DEPTH, 0.5, 2.0)
+
+
+# every row of the table walks all trees, drawn or not
+@query("ml5_marker_forest", f"""
+WITH {FOREST}, p0 AS (SELECT DISTINCT tree, sample_id, 1 AS node FROM pheno, (SELECT DISTINCT tree FROM f0) z), {WALK}
+SELECT sample_id, round(sum(value) / {FOREST_TREES}, 6) + 0.0 AS prediction FROM p{FOREST_DEPTH} JOIN fv USING (tree, node) GROUP BY 1""")
+def _(t):
+    return round_columns(T.predict_trees(_forest(t), t.geno, t.pheno), ["prediction"])
+
+
+@query("ml6_marker_boosting", _boosted_sql())
+def _(t):
+    model = T.fit_boosting(t.geno, t.pheno, BOOST_ROUNDS, BOOST_DEPTH, 0.1, min_leaf=2.0)
+    known = t.pheno.where("y IS NOT NULL")
+    return T.predict_trees(model, t.geno, known).join(known, "sample_id").select("sample_id", rounded("y").alias("y"), rounded("prediction", 5).alias("prediction"))
+
+
+@query("ml16_forest_importance", f"""
+WITH {FOREST}, w AS ({SPLIT})
+SELECT var_id, round(sum(gain) / (SELECT sum(gain) FROM w), 6) + 0.0 AS importance FROM w GROUP BY 1""")
 def _(t):
-    chosen = t.geno.select("var_id").distinct()
-    data = M.vectors(t.imputed, chosen, t.pheno)
-    return M.forest_importance(data, chosen).withColumn("importance", rounded("importance"))
+    return round_columns(T.tree_importance(_forest(t)), ["importance"])
 
 
 @query("ml17_baseline_signal")

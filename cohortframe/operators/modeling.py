@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 from itertools import product
 
+import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -375,6 +376,83 @@ def marker_ridge(z: DataFrame, y: DataFrame, alphas: Sequence[float] = (1.0,), t
     return cut_lineage(sums.select("var_id", each.alias("_e")).select("var_id", "_e.*")), float(mean)
 
 
+def _soft_threshold(gram: np.ndarray, slope: np.ndarray, l1: float, l2: float, w: np.ndarray, tol: float, sweeps: int = 100_000) -> np.ndarray:
+    """Coordinate descent for w'Gw / 2 - slope'w + l1 |w| + l2 w^2 / 2."""
+    w, left = w.copy(), slope - gram @ w
+    for _ in range(sweeps):
+        most = 0.0
+        for j in range(len(w)):
+            if gram[j, j] <= 0:
+                continue
+            pull = left[j] + gram[j, j] * w[j]
+            new = np.sign(pull) * max(0.0, abs(pull) - l1) / (gram[j, j] + l2)
+            if new != w[j]:
+                left -= gram[:, j] * (new - w[j])
+                most = max(most, abs(new - w[j]) * np.sqrt(gram[j, j]))
+                w[j] = new
+        if most <= tol:
+            return w
+    raise RuntimeError(f"coordinate descent: not converged in {sweeps} sweeps")
+
+
+MOST_ACTIVE = 2048              # markers with a weight, at most: their products are k x k numbers on the driver
+
+
+def marker_lasso(z: DataFrame, y: DataFrame, alpha: float, l1_ratio: float = 1.0, tol: float = 1e-6, most: int = MOST_ACTIVE,
+                 step: int = 256, rounds: int = 100) -> tuple[DataFrame, float]:
+    """Lasso or elastic net over every marker: the weights that are not 0 (``alpha, var_id, weight``) and the intercept.
+
+    Error / 2n + alpha (l1_ratio |w| + (1 - l1_ratio) w^2 / 2), for ``z(sample_id, var_id, z)`` with centred cells (absent ones
+    count as 0) of any number of markers.  Screening by a working set: a round takes the slope of every marker against what
+    is left (two join-and-sum passes over the cells), lets those in that break the optimality conditions, the ``step`` worst
+    first, and solves the set alone by soft thresholding on its products.  It ends when no marker of the table breaks them
+    by more than ``tol`` of the largest slope; a solution with more than ``most`` weights is an error, not another result.
+    """
+    known = y.where(F.col("y").isNotNull())
+    stats = known.agg(F.avg("y").alias("m"), F.count(F.lit(1)).alias("n")).first()
+    mean, n = float(stats["m"] or 0.0), max(int(stats["n"]), 1)
+    l1, l2 = alpha * l1_ratio, alpha * (1.0 - l1_ratio)
+    z = cut_lineage(z.join(measured(known.select("sample_id")), "sample_id", "left_semi").select("sample_id", "var_id", "z"))
+    at = cut_lineage(known.select("sample_id", (F.col("y") - mean).alias("r")))
+    spark, names, weights, gram, slack = z.sparkSession, [], np.zeros(0), np.zeros((0, 0)), None
+
+    def table() -> DataFrame:
+        return F.broadcast(spark.createDataFrame(list(zip(names, weights.tolist())), "var_id string, weight double"))       # ``most`` rows at most
+
+    for _ in range(rounds):
+        left = at
+        if names:
+            told = z.join(table(), "var_id").groupBy("sample_id").agg(F.sum(F.col("z") * F.col("weight")).alias("_p"))
+            left = at.join(told, "sample_id", "left").select("sample_id", (F.col("r") - F.coalesce("_p", F.lit(0.0))).alias("r"))
+        slopes = cut_lineage(z.join(left, "sample_id").groupBy("var_id").agg((F.sum(F.col("z") * F.col("r")) / n).alias("g")))
+        if slack is None:
+            slack = tol * float(slopes.agg(F.max(F.abs("g")).alias("g")).first()["g"] or 0.0)
+        outside = slopes.join(table().select("var_id"), "var_id", "left_anti") if names else slopes
+        bad = outside.where(F.abs("g") > l1 + slack).orderBy(F.desc(F.abs("g")), "var_id").limit(step).collect()
+        if not bad:
+            break
+        if len(names) + len(bad) > most:
+            raise ValueError(f"more than {most} markers have a weight; take a larger alpha or marker_ridge")
+        # products of the new members with all members
+        names, weights = names + [r["var_id"] for r in bad], np.concatenate([weights, np.zeros(len(bad))])
+        place = {v: i for i, v in enumerate(names)}
+        own = z.join(table().select("var_id"), "var_id")
+        new = spark.createDataFrame([(r["var_id"],) for r in bad], "var_id string")
+        pairs = own.join(F.broadcast(new), "var_id").select("sample_id", F.col("var_id").alias("a"), F.col("z").alias("za")).join(
+            own.select("sample_id", F.col("var_id").alias("b"), F.col("z").alias("zb")), "sample_id").groupBy("a", "b").agg((F.sum(F.col("za") * F.col("zb")) / n).alias("d"))
+        gram = np.pad(gram, (0, len(bad)))
+        for r in pairs.collect():
+            gram[place[r["a"]], place[r["b"]]] = gram[place[r["b"]], place[r["a"]]] = r["d"]
+        base = own.join(at, "sample_id").groupBy("var_id").agg((F.sum(F.col("z") * F.col("r")) / n).alias("g")).collect()
+        slope = np.zeros(len(names))
+        slope[[place[r["var_id"]] for r in base]] = [r["g"] for r in base]
+        weights = _soft_threshold(gram, slope, l1, l2, weights, slack * 0.1)
+    else:
+        raise RuntimeError(f"screening: markers still break the conditions after {rounds} rounds")
+    kept = [(float(alpha), v, float(w)) for v, w in zip(names, weights) if w]
+    return spark.createDataFrame(kept, "alpha double, var_id string, weight double"), mean
+
+
 def marker_predictions(z: DataFrame, weights: DataFrame, intercept: float) -> DataFrame:
     """(alpha, sample_id, prediction) for samples whose cells are centred as the training cells were."""
     return z.join(weights, "var_id").groupBy("alpha", "sample_id").agg((F.sum(F.col("z") * F.col("weight")) + intercept).alias("prediction"))
@@ -450,14 +528,6 @@ def importance_counts(importance: DataFrame, thresholds: Sequence[float]) -> Dat
     return importance.agg(F.count(F.lit(1)).alias("n"), *cols)
 
 
-def forest_importance(data: DataFrame, chosen: DataFrame, trees: int = 20, depth: int = 5) -> DataFrame:
-    """(var_id, importance) of a random forest on vectors over the chosen variants."""
-    model = fit("randomforest", {"n_estimators": trees, "max_depth": depth}, data)
-    values = [(i, float(v)) for i, v in enumerate(model.featureImportances.toArray())]
-    table = data.sparkSession.createDataFrame(values, "idx int, importance double")
-    return selection_index(chosen)[0].join(table, "idx").select("var_id", "importance")
-
-
 def baseline_signal(geno: DataFrame, pheno: DataFrame, max_features: int | None = None, min_samples: int = 20,
                     alpha: float = 1.0, seed: int = 42) -> DataFrame:
     """Holdout R2 of a plain ridge on all variants of variance > 1e-6, mean fill, 80/20.
