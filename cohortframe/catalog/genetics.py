@@ -90,7 +90,8 @@ lb AS (SELECT node AS var_id, CASE WHEN n >= 5 THEN label ELSE node END AS block
 
 
 def blocks(t):
-    return G.ld_blocks(G.windowed_r2(t.geno_full, t.variants, 30000), t.geno_full.select("var_id").distinct(), r2=0.3)
+    ids = t.geno_full.select("var_id").distinct().join(t.variants.select("var_id", "chr", "pos"), "var_id", "left")
+    return G.ld_blocks(G.windowed_r2(t.geno_full, t.variants, 30000), ids, r2=0.3)
 
 
 @query("gx6_ld_blocks", f"WITH RECURSIVE {BLOCKS} SELECT var_id, block_id, block_size FROM lb")

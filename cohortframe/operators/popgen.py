@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -244,16 +246,31 @@ def high_ld_fraction(geno: DataFrame, variants: DataFrame, max_distance: int, th
                      F.avg(F.when(F.abs("r") > threshold, 1.0).otherwise(0.0)).alias("high_ld_fraction"))
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, label): smallest node of the component, by min-label steps with pointer jumps.
+def _joined_up(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Union-find over a task's edges: (node, root), the root being the smallest node of its piece."""
+    parent: dict[str, str] = {}
 
-    Each round takes the smallest label among the neighbours and then the label
-    of that label, so long chains shrink geometrically.  The state is written to
-    the checkpoint folder every round and the loop ends when nothing changes.
-    """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = cut_lineage(both)
-    labels = cut_lineage(nodes.select("node").distinct().withColumn("label", F.col("node")))
+    def root(x: str) -> str:
+        top = x
+        while parent.setdefault(top, top) != top:
+            top = parent[top]
+        while parent[x] != top:
+            parent[x], x = top, parent[x]
+        return top
+
+    for frame in frames:
+        for u, v in zip(frame["a"], frame["b"]):
+            u, v = root(u), root(v)
+            if u != v:
+                parent[max(u, v)] = min(u, v)
+    names = list(parent)
+    yield pd.DataFrame({"node": names, "root": [root(x) for x in names]}, dtype=object)
+
+
+def _labels(edges: DataFrame) -> DataFrame:
+    """(node, label): smallest node of the component, by min-label steps with pointer jumps; for edges between pieces."""
+    both = cut_lineage(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = cut_lineage(both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")))
     while True:
         near = (both.join(labels.withColumnRenamed("node", "b"), "b")
                 .groupBy("a").agg(F.min("label").alias("m")).withColumnRenamed("a", "node"))
@@ -266,18 +283,49 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
+def connected_components(nodes: DataFrame, edges: DataFrame, order: Sequence[str] = ()) -> DataFrame:
+    """(node, label, size): the component of every node, named by its smallest.
+
+    Edges are laid out by ``order`` (positions; else by their first node), so neighbours lie in one task, which connects what
+    it has by union-find.  Only nodes that several tasks met tie pieces together; the graph of these pieces is as small as
+    the number of tasks and the edges across their borders, and is solved by steps.  Pieces, not components, are joined
+    on afterwards, so a component as long as a chromosome makes no task larger than another.
+    """
+    spark = edges.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    laid = cut_lineage(edges.select("a", "b", *order)).repartitionByRange(parts, *(order or ["a"])).select("a", "b")
+    pieces = cut_lineage(laid.mapInPandas(_joined_up, "node string, root string"))
+    # a row per task that met the node
+    home = cut_lineage(pieces.groupBy("node").agg(F.min("root").alias("root"), F.count(F.lit(1)).alias("met")))
+    border = home.where("met > 1").select("node", F.col("root").alias("a"))
+    across = cut_lineage(pieces.join(border, "node").where("a <> root").select("a", F.col("root").alias("b")).distinct())
+    sizes = home.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    if not across.isEmpty():
+        named = sizes.join(_labels(across).withColumnRenamed("node", "root"), "root", "left").withColumn("label", F.coalesce("label", "root"))
+    else:
+        named = sizes.withColumn("label", F.col("root"))
+    named = cut_lineage(named)
+    whole = named.groupBy("label").agg(F.sum("n").alias("size"))
+    told = cut_lineage(named.join(whole, "label").select("root", "label", "size"))      # a row per piece
+    found = home.join(told, "root").select("node", "label", "size")
+    return nodes.select("node").distinct().join(found, "node", "left").select(
+        "node", F.coalesce("label", "node").alias("label"), F.coalesce("size", F.lit(1)).cast("long").alias("size"))
+
+
 def ld_blocks(pairs: DataFrame, variants: DataFrame, r2: float = 0.2, min_size: int = 5) -> DataFrame:
     """(var_id, block_id, block_size): components of linked variants.
 
-    A component smaller than ``min_size`` falls apart into blocks of one.
+    A component smaller than ``min_size`` falls apart into blocks of one.  With ``chr`` and ``pos`` in ``variants`` edges are
+    laid out along the genome.
     """
-    edges = pairs.where(F.col("r2") >= r2).select(F.col("var1").alias("a"), F.col("var2").alias("b"))
-    comp = connected_components(variants.select(F.col("var_id").alias("node")), edges)
-    sizes = comp.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    big = F.col("n") >= min_size
-    return comp.join(sizes, "label").select(
-        F.col("node").alias("var_id"), F.when(big, F.col("label")).otherwise(F.col("node")).alias("block_id"),
-        F.when(big, F.col("n")).otherwise(1).cast("long").alias("block_size"))
+    edges, order = pairs.where(F.col("r2") >= r2).select(F.col("var1").alias("a"), F.col("var2").alias("b")), []
+    if {"chr", "pos"} <= set(variants.columns):
+        order = ["chr", "pos"]
+        edges = edges.join(variants.select(F.col("var_id").alias("a"), *order), "a")
+    comp = connected_components(variants.select(F.col("var_id").alias("node")), edges, order)
+    big = F.col("size") >= min_size
+    return comp.select(F.col("node").alias("var_id"), F.when(big, F.col("label")).otherwise(F.col("node")).alias("block_id"),
+                       F.when(big, F.col("size")).otherwise(1).cast("long").alias("block_size"))
 
 
 def nested_blocks(blocks: DataFrame, size: int = 10_000) -> DataFrame:

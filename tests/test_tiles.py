@@ -139,6 +139,32 @@ def test_components_of_a_chain(spark):
     assert {labels[f"n{i:03d}"] for i in range(50)} == {"n000"} and labels["n055"] == "n055"
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_components_equal_brute_force_whatever_the_layout(spark, seed):
+    rng = np.random.default_rng(seed)
+    near = [(i, i + int(rng.integers(1, 4))) for i in range(300) if rng.random() < 0.6]
+    links = near + [(int(a), int(b)) for a, b in rng.integers(0, 300, (12, 2))] + [(7, 7)]
+    label = {i: i for i in range(305)}
+    for _ in range(305):
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    size = {i: sum(x == label[i] for x in label.values()) for i in label}
+    nodes = spark.createDataFrame([(f"n{i:03d}",) for i in range(305)], "node string")
+    edges = spark.createDataFrame([(f"n{a:03d}", f"n{b:03d}", "c", a) for a, b in links], "a string, b string, chr string, pos int")
+    for order in ([], ["chr", "pos"]):
+        got = {r.node: (r.label, r["size"]) for r in popgen.connected_components(nodes, edges, order).collect()}
+        assert got == {f"n{i:03d}": (f"n{label[i]:03d}", size[i]) for i in range(305)}
+
+
+def test_no_task_holds_a_chromosome_long_component(spark):
+    n = 4_000
+    edges = spark.range(n - 1).select(F.format_string("n%05d", "id").alias("a"), F.format_string("n%05d", F.col("id") + 1).alias("b"), F.col("id").alias("pos"))
+    parts = edges.repartitionByRange(8, "pos").select("a", "b").mapInPandas(popgen._joined_up, "node string, root string")
+    assert parts.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < n / 4
+    got = popgen.connected_components(spark.range(n).select(F.format_string("n%05d", "id").alias("node")), edges, ["pos"])
+    assert [tuple(r) for r in got.select("label", "size").distinct().collect()] == [("n00000", n)]
+
+
 def test_small_block_falls_apart(spark):
     v = spark.createDataFrame([(f"v{i}",) for i in range(9)], "var_id string")
     four = [("v0", "v1"), ("v1", "v2"), ("v2", "v3")]
