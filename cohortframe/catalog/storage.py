@@ -284,7 +284,7 @@ def _(t):
     rows = t.runs.select("model", "run_id", "cv_r2", "holdout_r2")
     rows.repartition(4).write.json(land)
     stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).json(land)
-    SJ.finish(SJ.upsert_stream(SJ.running_summary(stream), path, ck))
+    SJ.finish(SJ.upsert_stream(SJ.running_summary(stream), path, ck, ["model"], every=2))
     out = SJ.read_latest(t.spark, path, ["model"])
     return round_columns(out, ["cv_r2_mean", "cv_r2_sd", "holdout_r2_mean", "holdout_r2_sd"])
 
@@ -296,6 +296,6 @@ def _(t):
     stream = t.spark.readStream.schema(t.events.schema).parquet(f"{t.sf_dir}/event[s].parquet")
     # the files hold plain UTC times without a zone
     stream = stream.withColumn("ts", F.expr("CAST(convert_timezone('UTC', current_timezone(), ts) AS TIMESTAMP)"))
-    SJ.finish(SJ.upsert_stream(SJ.windowed_counts(stream), path, ck))
+    SJ.finish(SJ.upsert_stream(SJ.windowed_counts(stream), path, ck, ["start", "event_type"]))
     out = SJ.read_latest(t.spark, path, ["start", "event_type"])
     return out.select(F.unix_timestamp("start").alias("day_start"), "event_type", "n", rounded("total", 4).alias("total"))

@@ -81,23 +81,42 @@ def judged_answers(spark: SparkSession, accepted: str) -> DataFrame:
     return rows.groupBy("run_id", "reason").agg(F.sum("n").alias("n"))
 
 
-def upsert_stream(updates: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Changed rows of a streaming aggregate, one folder per batch (see ``read_latest``)."""
+COMPACT_EVERY = 10          # batches between two bases
+
+
+def upsert_stream(updates: DataFrame, path: str, checkpoint: str, keys: Sequence[str] = (), every: int = COMPACT_EVERY) -> StreamingQuery:
+    """Changed rows of a streaming aggregate, a folder per batch, and every so many batches the newest rows of all as a base.
+
+    Rows carry their batch number, which alone decides what is newest (``read_latest``), so a folder that is already in a
+    base does no harm.  Two bases are written in turn, and a batch's folder is used again only after the base that took
+    it in, so there are never more than ``2 * every + 2`` folders, and a batch that is replayed finds what it found before.
+    Without ``keys`` no base is written and folders are not used again.
+    """
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        spark = batch.sparkSession
+        place = number % (2 * every) if keys else number
+        batch.withColumn("_batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{path}/part={place}")
+        if keys and number % every == every - 1:
+            turn = number // every
+            parts = [f"{path}/part={n % (2 * every)}" for n in range(number - every + 1, number + 1)]
+            before = [f"{path}/base={(turn - 1) % 2}"] if turn else []
+            _newest_rows(spark.read.parquet(*parts, *before), keys).write.mode("overwrite").parquet(f"{path}/base={turn % 2}")
 
     return (updates.writeStream.outputMode("update").foreachBatch(write)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
-def read_latest(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
-    """The newest version of every key written by ``upsert_stream``."""
-    rows = spark.read.option("basePath", path).parquet(f"{path}/batch=*")
-    rest = [c for c in rows.columns if c not in (*keys, "batch")]
-    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col("batch")).alias("_v"))
+def _newest_rows(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    rest = [c for c in rows.columns if c not in keys]
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col("_batch")).alias("_v"))
     return newest.select(*keys, *[F.col(f"_v.{c}").alias(c) for c in rest])
 
 
+def read_latest(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
+    """The newest version of every key written by ``upsert_stream``; the folders are read as one table."""
+    return _newest_rows(spark.read.parquet(f"{path}/*=*"), keys).drop("_batch")
+
+
 def running_summary(runs: DataFrame) -> DataFrame:
     """Multi-seed moments per model on a stream of run records."""
     aggs = []
