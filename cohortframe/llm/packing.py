@@ -68,10 +68,11 @@ def slack_plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, dict
     return plan
 
 
-def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, remembered: int | None = None) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32``: each row's ids and the end id, cut into pieces of ``capacity``, the first may be shorter.
 
     A null text is empty and has the end id alone.  Rows that repeat a doc_id are each cut; a null doc_id is kept.
+    ``remembered`` bounds the chunks a worker knows the ids of (``subwords.LIMIT``): memory against CPU, not the result.
     """
     path = path or vocabulary_path()
     end = np.array([END_ID], "<u4").tobytes()
@@ -80,7 +81,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
         begin("subwords")
         for frame in frames:
             rows, of = [], []
-            for r, ids in enumerate(subwords(path).encode(frame["text"])):
+            for r, ids in enumerate(subwords(path, limit=remembered).encode(frame["text"])):
                 ids += end
                 n = len(ids) // 4
                 first = (n - 1) % capacity + 1
@@ -125,5 +126,5 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return with_long_id(numbered.mapInPandas(place, "doc_id string, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"))
 
 
-def packed(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    return pack(stored(pieces(docs, path, capacity), "pieces"), capacity)
+def packed(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, remembered: int | None = None) -> DataFrame:
+    return pack(stored(pieces(docs, path, capacity, remembered), "pieces"), capacity)

@@ -25,7 +25,7 @@ _CUT = re.compile(f"(?<=[^{_WS}])(?=[{_WS}])")
 # letters followed by punctuation are two pieces of the pattern; the stem is met more often than the whole
 _STEM = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?*$%&#|]+)")
 SEGMENT = 1 << 20       # chars handled at once
-LIMIT = 600_000         # chunks of a generation; a worker remembers two, some 250 MB at most
+LIMIT = 600_000         # chunks of a generation unless told otherwise; a worker remembers two, some 250 MB at most
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -39,6 +39,7 @@ class Subwords:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = literal
+        self.limit: int | None = None
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.words: dict[bytes, bytes] = {}
@@ -46,7 +47,7 @@ class Subwords:
 
     def _learn(self, chunks: set[str]) -> None:
         """Make ``chunks`` known.  A full generation becomes the older one, from which what is met again is taken over."""
-        if len(self.known) + len(chunks) > LIMIT:
+        if len(self.known) + len(chunks) > (self.limit or LIMIT):
             self.known, self.older = {}, self.known
         unknown = self._recall(chunks)
         stems = {c: m.groups() for c in unknown if (m := _STEM.fullmatch(c))}
@@ -91,7 +92,7 @@ class Subwords:
     def encode_words(self, texts: list[list[bytes]]) -> list[bytes]:
         """For texts cut into words already: the ids of a space and the word, for each word, as little-endian 16-bit bytes."""
         words = set(chain.from_iterable(texts))
-        if len(self.words) + len(words) > LIMIT:
+        if len(self.words) + len(words) > (self.limit or LIMIT):
             self.words, self.older_words = {}, self.words
         known, older = self.words, self.older_words
         absent = [w for w in words if w not in known]
@@ -120,9 +121,10 @@ class Subwords:
 _BY_PATH: dict[tuple[str, bool], Subwords] = {}
 
 
-def subwords(path: str, literal: bool = False) -> Subwords:
+def subwords(path: str, literal: bool = False, limit: int | None = None) -> Subwords:
     """The worker's own copy, loaded once; ``common.begin`` of another operator's task drops it."""
     REMEMBERED["subwords"] = _BY_PATH.clear
     if (path, literal) not in _BY_PATH:
         _BY_PATH[path, literal] = Subwords(path, literal)
+    _BY_PATH[path, literal].limit = limit
     return _BY_PATH[path, literal]
