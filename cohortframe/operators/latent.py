@@ -16,8 +16,9 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from cohortframe.functions.expr import one_row, safe_div, std_normal
 from cohortframe.operators.grid import grid
+from cohortframe.operators.planes import knn_search, nearest_mismatch
 from cohortframe.operators.ranking import exact_quantiles, ranked
-from cohortframe.operators.tiles import knn_donors, nearest_distance
+from cohortframe.operators.tiles import nearest_distance
 from cohortframe.session import cut_lineage, measured
 
 MAX_LOCAL_FEATURES = 1024      # p x p covariance and its eigenvectors on the driver
@@ -241,6 +242,12 @@ def distance_summary(rows: DataFrame, column: str) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("n"), F.avg(column).alias("mean")).withColumn("p95", p95)
 
 
+def _known(geno: DataFrame, index: DataFrame) -> DataFrame:
+    """(sample_id, idx, val): the cells with a dosage."""
+    there = geno.where(F.col("dosage").isNotNull() & ~F.isnan(F.col("dosage").cast("double")))
+    return there.join(index, "var_id").select("sample_id", "idx", F.col("dosage").cast("double").alias("val"))
+
+
 def nearest_hamming(synth: DataFrame, real: DataFrame) -> DataFrame:
     """(sample_id, distance): least share of differing variants to a real sample.
 
@@ -249,10 +256,7 @@ def nearest_hamming(synth: DataFrame, real: DataFrame) -> DataFrame:
     shared = synth.select("var_id").distinct().join(real.select("var_id").distinct(), "var_id", "left_semi")
     index, p = variant_index(shared)
 
-    def vectors(df):
-        return dense_rows(sparse_rows(df, index, "dosage"), p, fill=-1.0).withColumnRenamed("sample_id", "id")
-
-    return nearest_distance(vectors(synth), vectors(real), kind="hamming").withColumnRenamed("id", "sample_id")
+    return nearest_mismatch(_known(synth, index), _known(real, index), p)
 
 
 def paired_hamming(synth: DataFrame, real: DataFrame) -> DataFrame:
@@ -302,8 +306,7 @@ def impute_knn(geno: DataFrame, k: int = 5) -> DataFrame:
     A cell without a donor takes the variant's mean.
     """
     index, p = variant_index(geno)
-    rows = cut_lineage(sparse_rows(geno, index, "dosage"))
-    donors = knn_donors(rows, p, rows.count(), k)
+    donors, _ = knn_search(_known(geno, index), p, k)
     zero = F.max(F.when(F.col("distance") == 0, 1).otherwise(0)) == 1
     near = F.avg(F.when(F.col("distance") == 0, F.col("value")))
     w = safe_div(F.lit(1.0), "distance")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from cohortframe.session import cut_lineage, measured
 
-ROWS, COLS, SLOTS = 256, 4096, 16      # a tile is at most about 8 MB; least tasks of a small KNN
+ROWS, COLS = 256, 4096      # a tile is at most about 8 MB
 
 _TILE = "chr string, w long, rb long, cb long, ids array<string>, pos array<long>, cols array<string>, data binary"
 
@@ -163,38 +163,28 @@ def _tile_rows(rows: int, width: int) -> int:
     return max(1, min(rows, CELLS // max(width, 1)))
 
 
-def _metric(kind: str):
-    """Distance matrix between two dense blocks."""
-    def euclid(a, b):
-        sq = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
-        return np.sqrt(np.maximum(sq, 0.0))
-
-    def hamming(a, b):
-        same = np.zeros((len(a), len(b)))
-        for v in np.unique(a):
-            same += (a == v).astype(np.float32) @ (b == v).astype(np.float32).T
-        return 1.0 - same / max(a.shape[1], 1)
-
-    return {"euclid": euclid, "hamming": hamming}[kind]
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distance matrix between two dense blocks."""
+    sq = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
+    return np.sqrt(np.maximum(sq, 0.0))
 
 
 def _stack(vectors) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=float) for v in vectors]) if len(vectors) else np.zeros((0, 0))
 
 
-def _cells(pivots: np.ndarray, kind: str):
+def _cells(pivots: np.ndarray):
     """Assign base rows to their nearest pivot."""
     def run(batches):
-        dist = _metric(kind)
         for pdf in batches:
             if len(pdf):
-                d = dist(_stack(pdf["vec"]), pivots)
+                d = _distances(_stack(pdf["vec"]), pivots)
                 cell = d.argmin(1)
                 yield pdf.assign(cell=cell.astype("int64"), r=d[np.arange(len(d)), cell])
     return run
 
 
-def _candidates(pivots: np.ndarray, lo: np.ndarray, hi: np.ndarray, kind: str, slack: float):
+def _candidates(pivots: np.ndarray, lo: np.ndarray, hi: np.ndarray, slack: float):
     """Cells that may hold a query's nearest row.
 
     Some base row of cell c lies within d(q, c) + lo_c, so the smallest of these
@@ -202,10 +192,9 @@ def _candidates(pivots: np.ndarray, lo: np.ndarray, hi: np.ndarray, kind: str, s
     beyond that bound cannot hold it.  ``slack`` covers rounding.
     """
     def run(batches):
-        dist = _metric(kind)
         for pdf in batches:
             if len(pdf):
-                d = dist(_stack(pdf["vec"]), pivots)
+                d = _distances(_stack(pdf["vec"]), pivots)
                 bound = (d + lo).min(1) + slack
                 q, c = np.nonzero(d - hi <= bound[:, None])
                 yield pd.DataFrame({"id": pdf["id"].to_numpy()[q], "cell": c.astype("int64"),
@@ -213,18 +202,15 @@ def _candidates(pivots: np.ndarray, lo: np.ndarray, hi: np.ndarray, kind: str, s
     return run
 
 
-def _nearest_kernel(kind: str):
-    def run(batches):
-        dist = _metric(kind)
-        for pdf in batches:
-            for t in pdf.itertuples(index=False):
-                d = dist(_stack(t.q_vecs), _stack(t.b_vecs))
-                yield pd.DataFrame({"id": np.asarray(t.q_ids, object), "distance": d.min(1)})
-    return run
+def _nearest_kernel(batches):
+    for pdf in batches:
+        for t in pdf.itertuples(index=False):
+            d = _distances(_stack(t.q_vecs), _stack(t.b_vecs))
+            yield pd.DataFrame({"id": np.asarray(t.q_ids, object), "distance": d.min(1)})
 
 
-def nearest_distance(queries: DataFrame, base: DataFrame, kind: str = "euclid", n_pivots: int = 32) -> DataFrame:
-    """(id, distance): exact distance from each query row to its nearest base row.
+def nearest_distance(queries: DataFrame, base: DataFrame, n_pivots: int = 32) -> DataFrame:
+    """(id, distance): exact Euclidean distance from each query row to its nearest base row.
 
     Both tables are (id, vec) with vectors of one length.  Base rows are grouped
     around a fixed number of pivots; the triangle inequality rules out whole
@@ -239,13 +225,13 @@ def nearest_distance(queries: DataFrame, base: DataFrame, kind: str = "euclid",
     pivots = _stack([r.vec for r in picked])
     schema = "id string, vec array<double>, cell long, r double"
     celled = base.select("id", F.col("vec").cast("array<double>").alias("vec")).mapInPandas(
-        _cells(pivots, kind), schema)
+        _cells(pivots), schema)
     sizes = {r.cell: r for r in celled.groupBy("cell").agg(
         F.count(F.lit(1)).alias("n"), F.min("r").alias("lo"), F.max("r").alias("hi")).collect()}
     lo = np.array([sizes[c].lo if c in sizes else np.inf for c in range(len(pivots))])
     hi = np.array([sizes[c].hi if c in sizes else -np.inf for c in range(len(pivots))])
     cand = queries.select("id", F.col("vec").cast("array<double>").alias("vec")).mapInPandas(
-        _candidates(pivots, lo, hi, kind, 1e-6 * (1.0 + np.abs(hi[np.isfinite(hi)]).max())),
+        _candidates(pivots, lo, hi, 1e-6 * (1.0 + np.abs(hi[np.isfinite(hi)]).max())),
         "id string, cell long, vec array<double>")
     asked = {r.cell: r["count"] for r in cand.groupBy("cell").count().collect()}
     per_q, per_b = _tile_rows(QUERIES, pivots.shape[1]), _tile_rows(BASES, pivots.shape[1])
@@ -262,74 +248,5 @@ def nearest_distance(queries: DataFrame, base: DataFrame, kind: str = "euclid",
     b = (tiled(celled.select("id", "cell", "vec"), "nb", "bb", "b")
          .withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nq") - 1))))
     met = q.join(b, ["cell", "qb"]).select("q_ids", "q_vecs", "b_vecs")
-    return met.mapInPandas(_nearest_kernel(kind), "id string, distance double") \
+    return met.mapInPandas(_nearest_kernel, "id string, distance double") \
         .groupBy("id").agg(F.min("distance").alias("distance"))
-
-
-# ---- k nearest donors for missing cells -------------------------------------
-
-def _knn_kernel(p: int, k: int):
-    def dense(idx, val):
-        out = np.full((len(idx), p), np.nan)
-        for r, (i, v) in enumerate(zip(idx, val)):
-            out[r, np.asarray(i, dtype=int)] = np.asarray(v, dtype=float)
-        return out
-
-    def run(batches):
-        for pdf in batches:
-            for t in pdf.itertuples(index=False):
-                a, b = dense(t.q_idx, t.q_val), dense(t.b_idx, t.b_val)
-                ma, mb = ~np.isnan(a), ~np.isnan(b)
-                fa, fb = np.where(ma, a, 0.0), np.where(mb, b, 0.0)
-                both = ma.astype(float) @ mb.T.astype(float)
-                sq = (fa * fa) @ mb.T + ma @ (fb * fb).T - 2.0 * (fa @ fb.T)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    d = np.where(both > 0, np.sqrt(np.maximum(np.rint(sq * 1e9) / 1e9, 0.0) * p / both), np.inf)
-                donors = np.asarray(t.b_ids, object)
-                by_name = np.argsort(np.asarray(t.b_ids, str), kind="stable")
-                rows = []
-                for r in range(len(a)):
-                    gaps = np.nonzero(~ma[r])[0]
-                    if not len(gaps):
-                        continue
-                    order = by_name[np.argsort(d[r][by_name], kind="stable")]
-                    order = order[np.isfinite(d[r][order])]
-                    has = mb[np.ix_(order, gaps)]
-                    first = has & (np.cumsum(has, axis=0) <= k)
-                    o, g = np.nonzero(first)
-                    if len(o):
-                        rows.append(pd.DataFrame({
-                            "sample_id": t.q_ids[r], "idx": gaps[g].astype("int64"),
-                            "donor": donors[order[o]], "distance": d[r][order[o]],
-                            "value": b[order[o], gaps[g]]}))
-                if rows:
-                    yield pd.concat(rows, ignore_index=True)
-    return run
-
-
-def knn_donors(rows: DataFrame, p: int, n_rows: int, k: int = 5) -> DataFrame:
-    """(sample_id, idx, donor, distance, value): the k nearest donors of every missing cell.
-
-    ``rows(sample_id, idx, val)`` are sparse vectors of length p.  The distance is
-    Euclidean over coordinates present on both sides, scaled by p / present.
-    Every target tile meets every donor tile; each keeps k candidates per cell,
-    and the final k come from a window whose groups have k rows per donor tile.
-    """
-    from pyspark.sql import Window as W
-
-    nq = max(1, math.ceil(n_rows / _tile_rows(QUERIES, p)))
-    nb = max(1, math.ceil(n_rows / _tile_rows(BASES, p)))
-    nq = max(nq, min(SLOTS, math.ceil(n_rows / 64)))      # enough tasks on a small table
-
-    def tiled(df, n, block, prefix):
-        return (df.withColumn(block, F.pmod(F.xxhash64("sample_id"), F.lit(n))).groupBy(block)
-                .agg(F.collect_list("sample_id").alias(f"{prefix}_ids"), F.collect_list("idx").alias(f"{prefix}_idx"),
-                     F.collect_list("val").alias(f"{prefix}_val")))
-
-    q = tiled(rows.where(F.size("idx") < p), nq, "qb", "q")
-    b = tiled(rows, nb, "bb", "b").withColumn(
-        "qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)).cast("array<bigint>")))
-    found = q.join(b, "qb").drop("qb", "bb").mapInPandas(
-        _knn_kernel(p, k), "sample_id string, idx long, donor string, distance double, value double")
-    w = W.partitionBy("sample_id", "idx").orderBy("distance", "donor")
-    return found.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortframe.operators import latent, popgen, tiles
+from cohortframe.operators import latent, planes, popgen, tiles
 
 
 @pytest.fixture(scope="module")
@@ -22,8 +22,8 @@ def long_of(spark, x, prefix="s"):
 @pytest.fixture
 def small_tiles(monkeypatch):
     """Tiles far smaller than the data, so that every code path has several."""
-    for name, n in (("ROWS", 5), ("COLS", 7), ("SLOTS", 3), ("QUERIES", 9), ("BASES", 6)):
-        monkeypatch.setattr(tiles, name, n)
+    for module, name, n in ((tiles, "ROWS", 5), (tiles, "COLS", 7), (tiles, "QUERIES", 9), (tiles, "BASES", 6), (planes, "ROWS", 9), (planes, "COLS", 7)):
+        monkeypatch.setattr(module, name, n)
 
 
 def test_ld_matches_numpy(spark, matrix, small_tiles):
@@ -73,6 +73,17 @@ def test_nearest_is_exact(spark, skewed, small_tiles):
     assert all(abs(cos[f"q{i}"] - c[i]) < 1e-7 for i in range(80))
 
 
+def test_hamming_with_missing_calls(spark, matrix, small_tiles):
+    """Missing equals missing; a query without a call has no distance; names may be the same on both sides."""
+    x = matrix.copy()
+    x[np.random.default_rng(6).random(x.shape) < 0.2] = np.nan
+    x[4] = np.nan
+    got = {r.sample_id: r.distance for r in latent.nearest_hamming(long_of(spark, x[:20]), long_of(spark, x[20:])).collect()}
+    y = np.nan_to_num(x, nan=-1.0)
+    want = (y[:20][:, None] != y[20:][None]).mean(2).min(1)
+    assert len(got) == 19 and all(abs(got[f"s{i:03d}"] - want[i]) < 1e-12 for i in range(20) if i != 4)
+
+
 def test_hamming(spark, matrix, small_tiles):
     got = {r.sample_id: r.distance for r in latent.nearest_hamming(long_of(spark, matrix[:20], "q"), long_of(spark, matrix[20:], "s")).collect()}
     want = (matrix[:20][:, None] != matrix[20:][None]).mean(2).min(1)
@@ -100,15 +111,54 @@ def brute_knn(x, k):
     return out
 
 
-def test_knn_imputation(spark, matrix, small_tiles):
+@pytest.mark.parametrize("kind", ["calls", "fractions", "holes"])
+def test_knn_imputation(spark, matrix, small_tiles, kind):
     x = matrix.copy()
     x[np.random.default_rng(1).random(x.shape) < 0.1] = np.nan
+    if kind == "fractions":
+        x[::3] += 0.25
+    if kind == "holes":                          # nobody, two donors only, a sample with one call, equal samples
+        x[:, 3], x[2:, 5], x[7, 1:], x[20:30] = np.nan, np.nan, np.nan, x[20]
     want = brute_knn(x, 5)
     rows = latent.impute_knn(long_of(spark, x)).collect()
     assert len(rows) == x.size
     assert all(abs(r.dosage - want[int(r.sample_id[1:]), int(r.var_id[1:])]) < 1e-6 for r in rows)
 
 
+def test_hopeless_pairs_are_stopped(spark, monkeypatch):
+    """Clustered samples: the donors are exact, and far fewer pairs than half of all are summed to the end."""
+    monkeypatch.setattr(planes, "ROWS", 16)
+    monkeypatch.setattr(planes, "COLS", 12)
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 3, size=(8, 96))[np.repeat(np.arange(8), 20)].astype(float)
+    x = np.where(rng.random(x.shape) < 0.05, (x + 1) % 3, x)
+    x[rng.random(x.shape) < 0.03] = np.nan
+    rows = [(f"s{i:03d}", j, x[i, j]) for i, j in zip(*np.where(~np.isnan(x)))]
+    cells = spark.createDataFrame([(s, int(j), float(v)) for s, j, v in rows], "sample_id string, idx int, val double")
+    donors, work = planes.knn_search(cells, 96, 5)
+    got = {}
+    for r in donors.collect():
+        got.setdefault((r.sample_id, r.idx), []).append((round(r.distance, 9), r.donor, r.value))
+    there = ~np.isnan(x)
+    both = there.astype(float) @ there.T
+    sq = ((np.nan_to_num(x)[:, None] - np.nan_to_num(x)[None]) ** 2 * there[:, None] * there[None]).sum(2)
+    d = np.sqrt(sq * 96 / both)
+    assert set(got) == {(f"s{i:03d}", j) for i, j in zip(*np.where(~there))}
+    for (s, j), near in got.items():
+        i = int(s[1:])
+        assert sorted(near) == sorted((round(d[i, t], 9), f"s{t:03d}", x[t, j]) for t in range(160) if t != i and there[t, j])[:5]
+    done = work.first()
+    assert done.completed < 0.6 * 160 * 159 / 2 and done.completed < 0.5 * done.pairs
+
+
+@pytest.mark.parametrize("values", [[0, 1, 2], [0.5, 1, 2]])
+def test_tiles_come_back(values):
+    x = np.random.default_rng(2).choice([*values, np.nan], size=(11, 13))
+    got, there = planes.unpack(planes.pack(x), 11, 13)
+    assert np.array_equal(there, ~np.isnan(x)) and np.array_equal(got, np.nan_to_num(x))
+    assert (len(planes.pack(x)) < 60) == (values[0] == 0)
+
+
 @pytest.mark.parametrize("max_local", [1000, 5])
 def test_components_match_numpy(spark, matrix, max_local):
     """The covariance path and the distributed iteration give the same components."""
