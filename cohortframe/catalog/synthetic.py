@@ -227,6 +227,37 @@ def _(t):
     return round_columns(S.correlated_labels(pairs, t.pheno), ["real_y", "y"])
 
 
+def _targeted(least: str) -> str:
+    return f"""
+WITH ys AS (SELECT avg(y) AS m, stddev_samp(y) AS sd, min(y) AS lo, max(y) AS hi FROM pheno),
+a AS (SELECT sample_id, y AS real_y, {n01("'42'", "'target'", 'sample_id')} AS e FROM pheno WHERE y IS NOT NULL),
+g AS (SELECT sample_id, real_y, i, real_y + CASE WHEN i = 7 THEN 0e0 ELSE sd * sqrt(1e0 / 64e-2 - 1) * pow(7e-1, i - 1) END * e AS y
+      FROM a, ys, (SELECT unnest(range(1, 8)) AS i) z),
+k AS (SELECT i, avg(y) AS am, stddev_samp(y) AS asd FROM g GROUP BY i),
+c AS (SELECT sample_id, real_y, g.i, least(hi, greatest(lo, m + (y - am) * (sd / asd))) AS y FROM g JOIN k ON g.i = k.i, ys),
+j AS (SELECT i, corr(real_y, y) AS r, avg(y) AS bm, stddev_samp(y) AS bsd FROM c GROUP BY i),
+w AS (SELECT coalesce(min(i) FILTER (r >= {least}), 7) AS i FROM j)
+SELECT sample_id, round(real_y, 6) AS real_y, round(y, 6) AS y, CAST(c.i AS INT) AS attempt, round(r, 6) AS correlation,
+       r >= {least} AND abs(bm - m) <= 2e-2 AND abs(bsd - sd) <= 1e-2 AS reached
+FROM c JOIN w ON c.i = w.i JOIN j ON j.i = c.i, ys"""
+
+
+def _targets(t, least: float):
+    pairs = t.pheno.where("y IS NOT NULL").select("sample_id", F.col("y").alias("real_y"))
+    return round_columns(S.targeted_labels(pairs, t.pheno, 0.8, least), ["real_y", "y", "correlation"])
+
+
+@query("sy10_targeted_labels", _targeted("7e-1"))
+def _(t):
+    return _targets(t, 0.7)
+
+
+# more than the first noise allows: shrunk until it does, or left out
+@query("sy10_targeted_labels_shrunk", _targeted("9e-1"))
+def _(t):
+    return _targets(t, 0.9)
+
+
 @query("sy10_noisy_labels", f"""
 WITH ys AS (SELECT avg(y) AS m, stddev_samp(y) AS sd, min(y) AS lo, max(y) AS hi FROM pheno),
 a AS (SELECT sample_id, y AS real_y, {n01("'42'", "'noise'", 'sample_id')} AS e FROM pheno WHERE y IS NOT NULL),

@@ -244,7 +244,7 @@ def correlated_labels(pairs: DataFrame, real_y: DataFrame, r: float = 0.8, seed:
     """Targets correlated with ``pairs(sample_id, real_y)``: slope r, matching noise, clipped.
 
     Recentred when the mean is off by more than ``mean_band`` and rescaled when
-    the sd is off by more than ``sd_band``.
+    the sd is off by more than ``sd_band``; both bands are fixed values of the definition.
     """
     s = one_row(real_y.agg(F.avg("y").alias("m"), F.stddev_samp("y").alias("sd"),
                            F.min("y").alias("lo"), F.max("y").alias("hi")))
@@ -286,6 +286,47 @@ def noisy_labels(pairs: DataFrame, real_y: DataFrame, r: float = 0.8, seed: int
     return rows.select("sample_id", "real_y", clip(y, F.col("_s.lo"), F.col("_s.hi")).alias("y"))
 
 
+def targeted_labels(pairs: DataFrame, real_y: DataFrame, r: float = 0.8, least: float = 0.7, seed: int = 42, shrink: float = 0.7,
+                    tries: int = 6, mean_band: float = 0.02, sd_band: float = 0.01) -> DataFrame:
+    """Targets made of ``pairs(sample_id, real_y)`` and as much noise as a correlation of ``least`` allows.
+
+    The noise is first sized for correlation ``r``, then shrunk by ``shrink`` until the values, brought to the real mean and sd
+    and cut to the real range, correlate with ``real_y`` by ``least``; after ``tries`` sizes there is none.  Every size is
+    judged in the same two aggregates, so no try costs another pass.  Adds ``attempt``, the ``correlation`` reached, and
+    ``reached``: whether it, the mean and the sd are what was asked for (within ``mean_band`` and ``sd_band``).
+    """
+    s = one_row(real_y.agg(F.avg("y").alias("m"), F.stddev_samp("y").alias("sd"), F.min("y").alias("lo"), F.max("y").alias("hi")))
+    sizes = F.array(*[F.col("_s.sd") * float((1 / (r * r) - 1) ** 0.5 * shrink ** i) for i in range(tries)], F.lit(0.0))
+    noise = std_normal(seed, F.lit("target"), "sample_id")
+    raw = pairs.select("sample_id", "real_y", noise.alias("_e")).withColumn("_s", s).withColumn(
+        "_y", F.transform(sizes, lambda c: F.col("real_y") + c * F.col("_e")))
+    every = range(tries + 1)
+
+    def per_size(f):
+        return F.array(*[f(F.col("_y")[i]) for i in every])
+
+    moments = one_row(raw.agg(per_size(F.avg).alias("m"), per_size(F.stddev_samp).alias("sd")))
+    made = raw.withColumn("_n", moments).withColumn("_y", F.transform("_y", lambda v, i: clip(
+        F.col("_s.m") + (v - F.col("_n.m")[i]) * F.coalesce(F.col("_s.sd") / F.nullif(F.col("_n.sd")[i], F.lit(0.0)), F.lit(1.0)),
+        F.col("_s.lo"), F.col("_s.hi")))).select("sample_id", "real_y", "_y", "_s")
+
+    def correlation(v):             # none without spread
+        return F.coalesce(F.covar_samp("real_y", v) / F.nullif(F.stddev_samp("real_y") * F.stddev_samp(v), F.lit(0.0)), F.lit(0.0))
+
+    judged = one_row(made.agg(per_size(correlation).alias("r"),
+                              per_size(F.avg).alias("m"), per_size(F.stddev_samp).alias("sd")))
+    first = F.array_position(F.transform("_j.r", lambda c: c >= least), True)
+    at = F.when(first > 0, first).otherwise(tries + 1).cast("int")
+    rows = made.withColumn("_j", judged).withColumn("attempt", at)
+
+    def chosen(name):
+        return F.element_at(name, F.col("attempt"))
+
+    kept = (chosen("_j.r") >= least) & (F.abs(chosen("_j.m") - F.col("_s.m")) <= mean_band) & (F.abs(chosen("_j.sd") - F.col("_s.sd")) <= sd_band)
+    return rows.select("sample_id", "real_y", chosen("_y").alias("y"), "attempt", chosen("_j.r").alias("correlation"),
+                       F.coalesce(kept, F.lit(False)).alias("reached"))
+
+
 def enforce_moments(y: DataFrame, mean: float | Column, sd: float | Column, lo: float | Column,
                     hi: float | Column) -> DataFrame:
     """The affine map that gives the values inside [lo, hi] the wanted mean and sd, cut to [lo, hi]; a null becomes the mean."""

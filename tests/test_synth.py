@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from cohortframe.operators import popgen, synth
@@ -117,6 +118,31 @@ def test_labels(spark):
         assert p.y.min() >= y.min() - 1e-9 and p.y.max() <= y.max() + 1e-9
 
 
+@pytest.mark.parametrize("least", [0.5, 0.9, 0.999, 1.1])
+def test_targeted_labels_shrink_the_noise_as_far_as_needed(spark, least):
+    rng = np.random.default_rng(11)
+    y = rng.exponential(3.0, 400)
+    real = spark.createDataFrame([(f"s{i}", float(v)) for i, v in enumerate(y)], "sample_id string, y double")
+    p = synth.targeted_labels(real.withColumnRenamed("y", "real_y"), real, 0.6, least).toPandas()
+    assert p.attempt.nunique() == p.correlation.nunique() == 1 and len(p) == 400
+    r, attempt = p.correlation[0], p.attempt[0]
+    assert abs(np.corrcoef(p.real_y, p.y)[0, 1] - r) < 1e-9
+    assert p.y.min() >= y.min() - 1e-9 and p.y.max() <= y.max() + 1e-9
+    if attempt < 7:
+        assert r >= least
+    else:                                        # no noise left: the values themselves
+        assert np.allclose(p.y, p.real_y)
+    assert bool(p.reached[0]) == (r >= least and abs(p.y.mean() - y.mean()) <= 0.02 and abs(p.y.std() - y.std(ddof=1)) <= 0.01)
+    assert (attempt == 1) == (least == 0.5) and (attempt == 7) == (least > 0.99)
+
+
+def test_targeted_labels_of_odd_tables(spark):
+    real = spark.createDataFrame([(f"s{i}", 2.0) for i in range(5)], "sample_id string, y double")
+    flat = synth.targeted_labels(real.withColumnRenamed("y", "real_y"), real).collect()
+    assert len(flat) == 5 and all(r.y == 2.0 and not r.reached and r.attempt == 7 for r in flat)
+    assert synth.targeted_labels(real.withColumnRenamed("y", "real_y").where("false"), real).collect() == []
+
+
 def test_top_up_is_exact_under_skew(spark):
     rows = spark.range(1003).select(F.when(F.col("id") < 3, "small").otherwise("big").alias("source"),
                                     F.format_string("s%04d", "id").alias("sample_id"), F.col("id").cast("double").alias("y"))
