@@ -213,6 +213,21 @@ def _(t):
     return t.spark.read.parquet(path).select("model", "run_id", "written", "cv_r2")
 
 
+@query("io11_two_writers", """
+WITH a AS (SELECT model, run_id, count(*) AS n, max(cv_r2) AS cv_r2 FROM runs GROUP BY 1, 2)
+SELECT model, run_id, CASE WHEN n > 2 THEN 'first' ELSE 'second' END AS written, round(cv_r2, 6) AS cv_r2, CAST(2 AS INT) AS version FROM a""")
+def _(t):
+    from cohortframe.sources.runtable import RunTable
+    table = RunTable(t.spark, folder(t, "claimed"))
+    agg = round_columns(t.runs.groupBy("model", "run_id").agg(F.count(F.lit(1)).alias("n"), F.max("cv_r2").alias("cv_r2")), ["cv_r2"])
+    # both writers start from the empty table; the second loses the claim, and with it the runs of the first
+    one = table.prepare(agg.where("n > 2").withColumn("written", F.lit("first")))
+    two = table.prepare(agg.withColumn("written", F.lit("second")))
+    table.commit(one)
+    table.commit(two)
+    return table.read().select("model", "run_id", "written", "cv_r2").withColumn("version", F.lit(table.version()))
+
+
 @query("io12_discover", "SELECT sample_id, round(y, 6) AS y, source, context FROM synth_pheno")
 def _(t):
     root = folder(t, "sets")

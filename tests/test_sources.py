@@ -121,6 +121,36 @@ def test_guarded_append(spark, tmp_path):
     assert sorted(tuple(r) for r in spark.read.parquet(path).collect()) == [("m", "1", 0.1), ("m", "2", 0.2)]
 
 
+def test_writers_of_one_run_leave_one(spark, tmp_path):
+    """Writers that started from the same version: the first claim stands, the others add what is left; versions stay readable."""
+    from cohortframe.sources.runtable import RunTable
+
+    table = RunTable(spark, str(tmp_path / "runs"))
+    def runs(who, *ids):
+        return spark.createDataFrame([("m", i, who) for i in ids], "model string, run_id string, who string")
+    def rows(version=None):
+        return sorted(((r.run_id or "", r.who) for r in table.read(version).collect()))
+    assert table.read() is None and table.version() == 0
+    a, b, c = table.prepare(runs("a", "1", "2")), table.prepare(runs("b", "2", "3", None)), table.prepare(runs("c", "1", "3", "4", None))
+    assert table.read() is None                  # nothing is listed yet
+    assert table.commit(b).count() == 3
+    assert rows() == [("", "b"), ("2", "b"), ("3", "b")]
+    seen = table.read()
+    assert [r.run_id for r in table.commit(a).collect()] == ["1"]
+    assert [r.run_id for r in table.commit(c).collect()] == ["4"]
+    assert rows() == [("", "b"), ("1", "a"), ("2", "b"), ("3", "b"), ("4", "c")] and table.version() == 3
+    assert seen.count() == 3 and rows(1) == [("", "b"), ("2", "b"), ("3", "b")]
+    late = table.prepare(runs("late", "9"))
+    table.replace(runs("new", "7"))
+    assert rows() == [("7", "new")]
+    table.commit(late)
+    assert rows() == [("7", "new"), ("9", "late")]
+    # a claim leaves no draft, a lost one no folder
+    left = {p.name for p in (tmp_path / "runs").iterdir() if p.name.startswith("data-")}
+    assert left >= set(table.folders(5)) and not [p for p in (tmp_path / "runs" / "_log").iterdir() if p.suffix != ".json" and not p.name.endswith(".crc")]
+    assert table.append_new(runs("again", "7", "9")).count() == 0
+
+
 def test_discovery(spark, tmp_path):
     write(tmp_path / "m1" / "context_A" / "x.csv", "Sample_ID,y\na,1\n")
     write(tmp_path / "m2" / "context_B" / "y.csv", "Sample_ID,y\nb,2\n")
