@@ -188,6 +188,15 @@ def _(t):
     return round_columns(G.correlation_structure_diff(t.geno, t.synth, shared), ["mean_abs_diff"])
 
 
+@query("gx14_structure_diff_windowed", f"""
+WITH {ld_over('geno', 'ra')}, {ld_over('synth', 'sb')}
+SELECT count(*) AS n_pairs, round(avg(abs(rap.r - sbp.r)), 6) AS mean_abs_diff FROM rap JOIN sbp USING (var1, var2)
+JOIN variants a ON a.var_id = var1 JOIN variants b ON b.var_id = var2 WHERE a.chr = b.chr AND abs(a.pos - b.pos) <= 30000""")
+def _(t):
+    shared = t.variants.join(t.geno.select("var_id").distinct(), "var_id", "left_semi").join(t.synth.select("var_id").distinct(), "var_id", "left_semi")
+    return round_columns(G.correlation_structure_diff(t.geno, t.synth, shared, 30000), ["mean_abs_diff"])
+
+
 @query("gx14_correlation_preserved", f"""
 WITH {CORR}, cs AS (SELECT var_id, covar_pop(dosage, y) / nullif(stddev_pop(dosage) * stddev_pop(y), 0) AS r
   FROM synth s JOIN synth_pheno p ON p.sample_id = s.sample_id WHERE dosage IS NOT NULL GROUP BY 1)

@@ -339,14 +339,21 @@ def enforce_moments(y: DataFrame, mean: float | Column, sd: float | Column, lo:
 
 # ---- set size, checks, scenarios ----------------------------------------------------------
 
+FEW = 1000      # the engine limits ranked groups before the shuffle up to here (spark.sql.optimizer.windowGroupLimitThreshold)
+
+
 def top_up(rows: DataFrame, target: int = 200, by: str = "source", seed: int = 42) -> DataFrame:
     """Exactly ``target`` rows per source: a hashed subset, or the rows repeated in turn.
 
-    Rows are ranked over as many tasks as they need, so a source that holds most rows costs no more than another.
+    Up to ``FEW`` rows every task keeps its own first ``target`` of a source before the shuffle (the engine's limit on ranked
+    groups); for more, all rows are ranked over as many tasks as they need.  Either way a source that holds most rows costs no
+    more than another.
     """
     sizes = rows.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
     drawn = rows.withColumn("_u", u01(seed, F.lit("topup"), by, "sample_id"))
-    first = ranked(drawn, ["_u", "sample_id"], by=[by], name="_r").where(F.col("_r") <= target)
+    place = (drawn.withColumn("_r", F.row_number().over(W.partitionBy(by).orderBy("_u", "sample_id"))) if target <= FEW
+             else ranked(drawn, ["_u", "sample_id"], by=[by], name="_r"))
+    first = place.where(F.col("_r") <= target)
     copies = F.floor((F.lit(target) - F.col("_r")) / F.col("_n"))
     out = first.join(sizes, by).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), copies)))
     new_id = F.when(F.col("copy") == 0, F.col("sample_id")).otherwise(

@@ -3,25 +3,50 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from cohortframe.session import cut_lineage
 from cohortframe.sources.genotypes import DELIMITERS, MAX_BROADCAST_FILES, best_delimiter
 
 # Id columns by priority.
 ID_COLUMNS = ("Sample_ID", "IID")
 
 
+def _first_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, head): the first line of every file that has one."""
+    lines = spark.read.text(path)
+    files = lines.inputFiles()
+    if len(files) == 1:                     # a look at one line in place of a pass over all
+        return lines.limit(1).select(F.lit(files[0]).alias("file"), F.col("value").alias("head"))
+    at = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_b"),
+                      F.monotonically_increasing_id().alias("_i"))
+    return at.where("_b = 0").groupBy("file").agg(F.min_by("value", "_i").alias("head"))
+
+
 def read_delimited(spark: SparkSession, path: str, delimiters: Sequence[str] = DELIMITERS,
                    schema: StructType | str | None = None) -> DataFrame:
-    """A headed text table whose delimiter is found from its first line; columns are text by default."""
-    first = spark.read.text(path).first()
-    if first is None:
+    """Headed text tables whose delimiters are found from their first lines; columns are text by default.
+
+    Files of one path may differ in delimiter and header: those with the same first line are read together, columns meet by
+    name, and one that a file does not have is null in its rows.  With a ``schema`` only delimiters may differ.
+    """
+    heads = cut_lineage(_first_lines(spark, path))
+    kinds = [r.head for r in heads.select("head").distinct().orderBy("head").collect()]       # a header line each
+    if not kinds:
         raise ValueError(f"{path} is empty")
-    reader = spark.read.option("header", True).option("sep", best_delimiter(first.value, delimiters))
-    return (reader.schema(schema) if schema is not None else reader).csv(path)
+
+    def read(kind: str, files: str | list[str]) -> DataFrame:
+        reader = spark.read.option("header", True).option("sep", best_delimiter(kind, delimiters))
+        return (reader.schema(schema) if schema is not None else reader).csv(files)
+
+    if len(kinds) == 1:
+        return read(kinds[0], path)
+    parts = [read(k, [r.file for r in heads.where(F.col("head") == k).select("file").collect()]) for k in kinds]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def read_tolerant(spark: SparkSession, path: str, schema: str, sep: str = ",",

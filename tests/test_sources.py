@@ -65,6 +65,18 @@ def test_marker_matrix_drops_metadata(spark, tmp_path):
     assert sorted(tuple(r) for r in G.read_sample_matrix(spark, x).collect()) == [("s1", "v1", 0.0), ("s1", "v2", 2.0)]
 
 
+def test_files_of_one_path_have_their_own_delimiter_and_header(spark, tmp_path):
+    write(tmp_path / "t" / "a.csv", "IID,y\n1,2\n")
+    write(tmp_path / "t" / "b.csv", "IID\ty\n3\t4\n")
+    write(tmp_path / "t" / "c.csv", "y;IID;z\n6;5;q\n")
+    write(tmp_path / "t" / "d.csv", "IID,y\n7,8\n")
+    write(tmp_path / "t" / "e.csv", "")
+    got = {tuple(r) for r in T.read_delimited(spark, str(tmp_path / "t"), [",", "\t", ";"]).select("IID", "y", "z").collect()}
+    assert got == {("1", "2", None), ("3", "4", None), ("5", "6", "q"), ("7", "8", None)}
+    with pytest.raises(ValueError):
+        T.read_delimited(spark, str(tmp_path / "t" / "e.csv"))
+
+
 def test_delimiter_and_id(spark, tmp_path):
     df = T.read_delimited(spark, write(tmp_path / "d.txt", "IID\ta,b\tc\n007\t1\t2\n"))
     assert df.columns == ["IID", "a,b", "c"] and T.with_string_id(df).first().sample_id == "007"

@@ -179,3 +179,15 @@ def test_parse_repairs_header_renumbers_and_limits(spark):
     assert sorted((r.sample_id, r.V1, r.y) for r in rows.collect()) == [("SYNTH_000001", 0, 2.0), ("SYNTH_000002", 1, 3.0)]
     none, bad = synth.parse_responses(answers(spark, "a,b,c"), ["V1", "V2"])
     assert none.count() == 0 and bad.first().reason == "no header"
+
+
+@pytest.mark.parametrize("target", [300, 1500])
+def test_top_up_limits_groups_before_the_shuffle(spark, target):
+    """Both ways of ranking choose the same rows; the small one keeps only a task's first rows of a source."""
+    rows = spark.range(4000).select(F.when(F.col("id") % 40 == 0, "small").otherwise("big").alias("source"), F.format_string("s%04d", "id").alias("sample_id"))
+    out = synth.top_up(rows, target)
+    assert {(r.source, r["count"]) for r in out.groupBy("source").count().collect()} == {("small", target), ("big", target)}
+    limited = "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()
+    assert limited == (target <= synth.FEW)
+    least = rows.where("source = 'big'").withColumn("u", synth.u01(42, F.lit("topup"), "source", "sample_id")).orderBy("u", "sample_id").limit(target)
+    assert out.where("source = 'big'").select("sample_id").exceptAll(least.select("sample_id")).isEmpty()
