@@ -184,8 +184,31 @@ def _(t):
     return round_columns(S.sample_gaussian(new_samples(t), t.geno, head=3), ["dosage"])
 
 
-# the operator's own head; the SQL above says a head of three, so a test compares this with the factor by numpy
-@query("sy7_gaussian_sampler_head")
+def _factor(n: int) -> str:
+    """CTEs from ``rr(i, j, r)``: one row with the lower Cholesky factor l<row>_<column> of n correlations, column by column; then long as ``wl(j, m, w)``."""
+    pairs = [(i, j) for j in range(1, n + 1) for i in range(1, j)]
+    out = ["f0 AS (SELECT " + ", ".join(f"coalesce(max(r) FILTER (i = {i} AND j = {j}), 0) AS c{i}_{j}" for i, j in pairs) + " FROM rr)"]
+    for k in range(1, n + 1):
+        inner = [f"sqrt(1 + 1e-9{''.join(f' - l{k}_{m} * l{k}_{m}' for m in range(1, k))}) AS l{k}_{k}"]
+        inner += [f"(c{k}_{j}{''.join(f' - l{j}_{m} * l{k}_{m}' for m in range(1, k))}) / l{k}_{k} AS l{j}_{k}" for j in range(k + 1, n + 1)]
+        out.append(f"f{k} AS (SELECT *, {', '.join(inner)} FROM f{k - 1})")
+    cells = ", ".join(f"{{'j': {j}, 'm': {m}, 'w': l{j}_{m}}}" for j in range(1, n + 1) for m in range(1, j + 1))
+    return ",\n".join([*out, f"wl AS (SELECT u.j AS j, u.m AS m, u.w AS w FROM (SELECT unnest([{cells}]) AS u FROM f{n}) z)"])
+
+
+# the operator's own head
+@query("sy7_gaussian_sampler_head", f"""
+WITH {NEW}, st AS (SELECT var_id, avg(dosage) AS m, stddev_samp(dosage) AS sd FROM geno GROUP BY 1),
+hd AS (SELECT * FROM (SELECT var_id, row_number() OVER (ORDER BY var_id) AS i FROM st) z WHERE i <= 12),
+ce AS (SELECT sample_id, i, coalesce(dosage - avg(dosage) OVER (PARTITION BY i), 0) AS x FROM geno JOIN hd USING (var_id)),
+ss AS (SELECT i, sqrt(sum(x * x)) AS s FROM ce GROUP BY 1),
+rr AS (SELECT l.i AS i, r.i AS j, sum(l.x * r.x) / nullif(any_value(p.s) * any_value(q.s), 0) AS r FROM ce l JOIN ce r ON l.sample_id = r.sample_id AND l.i < r.i
+  JOIN ss p ON p.i = l.i JOIN ss q ON q.i = r.i GROUP BY 1, 2),
+{_factor(12)},
+zz AS (SELECT sample_id, i, {n01("'42'", "'gauss'", 'sample_id', 'var_id')} AS z FROM ns CROSS JOIN hd),
+mx AS (SELECT sample_id, j, sum(w * z) AS z FROM zz JOIN wl ON wl.m = zz.i GROUP BY 1, 2)
+SELECT ns.sample_id, st.var_id, round(st.m + sd * coalesce(mx.z, {n01("'42'", "'gauss'", 'ns.sample_id', 'st.var_id')}), 6) AS dosage
+FROM ns CROSS JOIN st LEFT JOIN hd ON hd.var_id = st.var_id LEFT JOIN mx ON mx.j = hd.i AND mx.sample_id = ns.sample_id""")
 def _(t):
     return round_columns(S.sample_gaussian(new_samples(t), t.geno), ["dosage"])
 
