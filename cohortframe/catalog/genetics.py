@@ -260,6 +260,48 @@ def _(t):
     return out.loadings.select("var_id", *[rounded(F.col("loading")[i]).alias(f"l{i + 1}") for i in range(len(out.eigenvalues))])
 
 
+FIVE = "(SELECT unnest(range(1, 6)) AS component) k"
+
+
+# what the scores and loadings above are: eigenvectors of Z'Z, told by going through all cells again
+@query("gx8_pca_residuals", f"SELECT var_id, CAST(component AS INT) AS component, 0e0 AS residual FROM (SELECT DISTINCT var_id FROM geno WHERE dosage IS NOT NULL) v, {FIVE}")
+def _(t):
+    from cohortframe.operators import latent as L
+    z = L.standard_cells(t.geno)
+    fit = L.pca(z, 5)
+    again = z.join(L.project(t.geno, t.geno, fit), "sample_id").groupBy("var_id").agg(
+        F.array(*[F.sum(F.col("z") * F.col("pc")[i]) for i in range(5)]).alias("up")).join(fit.loadings, "var_id")
+    left = [(F.col("up")[i] - F.col("loading")[i] * fit.eigenvalues[i]) / fit.eigenvalues[0] for i in range(5)]
+    return again.select("var_id", F.posexplode(F.array(*left)).alias("at", "residual")).select(
+        "var_id", (F.col("at") + 1).alias("component"), (rounded("residual", 4) + 0.0).alias("residual"))
+
+
+@query("gx8_pca_gram", f"""
+SELECT CAST(k.component AS INT) AS component, CAST(o.component AS INT) AS other, CASE WHEN k.component = o.component THEN 1e0 ELSE 0e0 END AS loadings,
+  CASE WHEN k.component = o.component THEN 1e0 ELSE 0e0 END AS scores, (SELECT count(DISTINCT sample_id) FROM geno WHERE dosage IS NOT NULL) AS n_samples
+FROM {FIVE}, {FIVE.replace(") k", ") o")}""")
+def _(t):
+    from cohortframe.operators import latent as L
+    fit = L.pca(L.standard_cells(t.geno), 5)
+
+    def products(df, column, scale):
+        each = [F.struct(F.lit(i + 1).alias("component"), F.lit(j + 1).alias("other"), (rounded(F.sum(F.col(column)[i] * F.col(column)[j]) / scale[i], 4) + 0.0).alias("v"))
+                for i in range(5) for j in range(5)]
+        return df.agg(F.array(*each).alias("e"), F.count(F.lit(1)).alias("n_samples")).select(F.inline("e"), "n_samples")
+
+    load = products(fit.loadings, "loading", [1.0] * 5).drop("n_samples").withColumnRenamed("v", "loadings")
+    return load.join(products(fit.scores, "pc", fit.eigenvalues).withColumnRenamed("v", "scores"), ["component", "other"])
+
+
+# real samples on their own whitened components: mean 0, variance 1
+@query("gx9_whitened_real", f"SELECT CAST(component AS INT) AS component, (SELECT count(DISTINCT sample_id) FROM geno WHERE dosage IS NOT NULL) AS n, 0e0 AS mean, 1e0 AS variance FROM {FIVE}")
+def _(t):
+    from cohortframe.operators import latent as L
+    out = L.project(t.geno, t.geno, L.pca(L.standard_cells(t.geno), 5), whiten=True)
+    rows = out.select(F.posexplode("pc").alias("at", "x")).groupBy((F.col("at") + 1).alias("component"))
+    return rows.agg(F.count("x").alias("n"), (rounded(F.avg("x"), 4) + 0.0).alias("mean"), rounded(F.var_samp("x"), 4).alias("variance"))
+
+
 @query("gx9_project_synthetic")
 def _(t):
     from cohortframe.operators import latent as L

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from cohortframe.catalog import query
@@ -244,6 +244,34 @@ def _scored(t, kind, params):
     return round_columns(pred, ["y", "prediction"])
 
 
+# the normal equations X'(Xw + c) + alpha w = X'y, feature by feature, and for the intercept (feature -1)
+NORMAL = """
+WITH f AS (SELECT CAST(features AS DOUBLE[]) AS f, y + features[1] * 3 AS y FROM vectors),
+u AS (SELECT y, unnest(f) AS x, generate_subscripts(f, 1) - 1 AS feature FROM f)
+SELECT CAST(feature AS INT) AS feature, round(sum(x * y), 3) + 0.0 AS product FROM u GROUP BY 1 UNION ALL SELECT -1, round(sum(y), 3) + 0.0 FROM f"""
+
+
+def _normal(t, kind, alpha):
+    rows = embedded(t).drop("origin")
+    model = M.fit(kind, {"alpha": alpha}, rows)
+    pred = M.predict(model, rows).join(rows.select("sample_id", vector_to_array("features").alias("x")), "sample_id")
+    weights = F.array(*[F.lit(float(w)) for w in model.coefficients])
+    sums = pred.select(F.posexplode("x").alias("feature", "x"), "prediction").groupBy("feature").agg(F.sum(F.col("x") * F.col("prediction")).alias("s"))
+    out = sums.select("feature", (F.col("s") + alpha * F.element_at(weights, F.col("feature") + 1)).alias("product"))
+    whole = pred.agg(F.lit(-1).alias("feature"), F.sum("prediction").alias("product"))
+    return out.unionByName(whole).select("feature", (rounded("product", 3) + 0.0).alias("product"))
+
+
+@query("ml3_ridge_normal_equations", NORMAL)
+def _(t):
+    return _normal(t, "ridge", 1.0)
+
+
+@query("ml4_ols_normal_equations", NORMAL)
+def _(t):
+    return _normal(t, "ols", 0.0)
+
+
 @query("ml3_ridge")
 def _(t):
     return _scored(t, "ridge", {"alpha": 1.0})
