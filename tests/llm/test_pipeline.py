@@ -70,7 +70,7 @@ def test_run_is_its_stages_and_empty_documents_pass(spark, tmp_path):
 
 
 def test_registered():
-    assert [re.match(r"op(\d+)_|pipeline", q)[1] for q in queries.QUERIES] == [*map(str, range(1, 11)), None]
+    assert [re.match(r"op(\d+)_|pipeline", q)[1] for q in queries.QUERIES] == [*map(str, range(1, 14)), None]
     assert set(queries.CHECKS) <= set(queries.QUERIES) <= set(entry.queries()) and set(queries.CHECKS) <= set(entry.oracle_sql())
 
 
