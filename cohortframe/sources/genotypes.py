@@ -78,7 +78,8 @@ def _fitting(lines: DataFrame, header: Sequence[str], first: int, sep: str | Non
 
 def _cells(rows: DataFrame, keys: Sequence[Column], first: int, dosage: Callable[[Column], Column]) -> DataFrame:
     pairs = F.arrays_zip(F.col("names").alias("s"), F.slice("fields", first + 1, 1 << 30).alias("g"))
-    return rows.select(*keys, F.explode(pairs).alias("_c")).select(
+    # keys first: a key taken from ``fields`` afterwards would put the whole line into every cell's row
+    return rows.select(*keys, pairs.alias("_p")).select("var_id", F.explode("_p").alias("_c")).select(
         F.trim(F.col("_c.s")).alias("sample_id"), "var_id", dosage(F.col("_c.g")).alias("dosage"))
 
 

@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import re
 
 import pytest
 
@@ -27,6 +28,16 @@ def test_vcf_files_with_their_own_samples(spark, tmp_path):
         G.read_vcf(spark, write(tmp_path / "c.txt", "nothing\n"))[1].collect()
 
 
+def test_a_cell_does_not_carry_its_line(spark, tmp_path):
+    vcf = write(tmp_path / "a.vcf", "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts1\ts2\n1\t5\tx\tA\tG\t.\t.\t.\tGT\t1/1\t0/0\n")
+    markers = write(tmp_path / "m.csv", "Marker,s1,s2\nm1,0,2\n")
+    samples = write(tmp_path / "x.csv", "Sample_ID,v1,v2\ns1,0,2\n")
+    for geno in (G.read_vcf(spark, vcf)[1], G.read_marker_matrix(spark, markers), G.read_sample_matrix(spark, samples)):
+        plan = geno._jdf.queryExecution().executedPlan().toString()
+        carried = re.findall(r"Generate explode\(.*\), \[(.*)\], false", plan)
+        assert carried and not any("fields#" in c or "value#" in c for c in carried)
+
+
 def test_vcf_without_broadcast(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(G, "MAX_BROADCAST_NAMES", 0)
     path = write(tmp_path / "a.vcf", "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts1\n1\t5\tx\tA\tG\t.\t.\t.\tGT\t1/1\n")
