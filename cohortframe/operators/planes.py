@@ -30,6 +30,8 @@ ROWS, COLS = 256, 1024      # of a tile, at most
 LEAST_BLOCKS = 8            # row blocks of a small table, for enough tasks
 PROBE = 8                   # one in so many column blocks is tried on all pairs of row blocks
 PIVOTS = 16                 # rows of one column block that sort the others by likeness
+SIDES = 64                  # groups of row blocks, so a tile is sent to about as many tasks, while a group fits
+HELD = 32 << 20             # bytes of the tiles of a group
 BOUND, WORK = -1, -2        # marks in place of a column: a row's bound, a meeting's (pairs completed, pairs)
 
 _FOUND = "row string, idx long, donor string, distance double, value double"
@@ -37,15 +39,25 @@ _HEAD = ["ids", "present", "wants", "gives", "bound"]
 
 
 def pack(values: np.ndarray) -> bytes:
-    """A tile of values, NaN where there is none: bit planes if all are hard calls, else the numbers themselves."""
+    """A tile of values, NaN where there is none: bit planes if all are hard calls, else a byte each that names one of a few
+    numbers, else the numbers themselves."""
     there = ~np.isnan(values)
     if np.isin(values[there], (0.0, 1.0, 2.0)).all():
         return b"\1" + np.packbits(np.stack([there, values >= 1.0, values == 2.0])).tobytes()
+    book, named = np.unique(values[there], return_inverse=True)
+    if len(book) < 256:
+        codes = np.zeros(values.shape, np.uint8)
+        codes[there] = named + 1
+        return b"\2" + bytes([len(book)]) + book.tobytes() + codes.tobytes()
     return b"\0" + values.tobytes()
 
 
 def unpack(data: bytes, rows: int, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Values, 0 where there is none, and which are there."""
+    if data[0] == 2:
+        book = np.frombuffer(data, float, count=data[1], offset=2)
+        codes = np.frombuffer(data, np.uint8, offset=2 + 8 * data[1]).reshape(rows, width)
+        return np.concatenate([[0.0], book])[codes], codes > 0
     if data[0]:
         planes = np.unpackbits(np.frombuffer(data, np.uint8, offset=1), count=3 * rows * width).reshape(3, rows, width)
         return (planes[1] + planes[2]).astype(np.float32), planes[0].astype(bool)
@@ -187,6 +199,62 @@ class _Meeting:
         return pd.DataFrame(rows, columns=["row", "idx", "donor", "distance", "value"])
 
 
+def _best(found: list[pd.DataFrame], kind: str, k: int) -> pd.DataFrame:
+    """What the meetings of one task found, merged: the nearest of a row, the k nearest donors of a gap, the work in all."""
+    rows = pd.concat(found, ignore_index=True)
+    work, near = rows[rows["idx"] == WORK], rows[rows["idx"] != WORK]
+    near = near.sort_values(["distance", "donor"], kind="stable").groupby(["row", "idx"], sort=False).head(k if kind == "euclid" else 1)
+    total = pd.DataFrame([(None, WORK, None, work["distance"].sum(), work["value"].sum())], columns=rows.columns)
+    return pd.concat([total, near], ignore_index=True)
+
+
+def _meet_groups(kind: str, p: int, n_cb: int, k: int, steps: list[int], probe: bool):
+    """Records sorted by pair of groups, step, row block and column block: the pairs of row blocks wanted, heads, tiles.
+
+    Two groups are held as packed tiles; their row blocks meet one pair after the other.
+    """
+    def run(batches):
+        key, held = None, ([], {}, {})
+        for pdf in batches:
+            for t in pdf.itertuples(index=False):
+                if (t.gi, t.gj) != key:
+                    yield from met(*held)
+                    key, held = (t.gi, t.gj), ([], {}, {})
+                wanted, heads, tiles = held
+                if t.step < 0:
+                    wanted.append((t.rb, t.cb))
+                elif t.step == 0:
+                    heads[t.rb] = t
+                else:
+                    tiles.setdefault(t.rb, []).append(t)
+        yield from met(*held)
+
+    def met(wanted, heads, tiles):
+        found = []
+        for i, j in wanted:
+            meeting = _Meeting(kind, p, n_cb, k, i == j)
+            meeting.take(heads[i])
+            if i != j:
+                meeting.take(heads[j]._replace(side=1))
+            for step in steps:
+                for t, u in zip(tiles[i], tiles[j]):
+                    if not meeting.alive.any():
+                        break
+                    outs = [meeting.take(t._replace(step=step))]
+                    if i != j:
+                        outs.append(meeting.take(u._replace(step=step, side=1)))
+                    found += [out for out in outs if out is not None and len(out)]
+            if not probe:
+                found.append(meeting.end())
+            elif meeting.alive.any():
+                found.append(pd.DataFrame({"i": [i], "j": [j]}))
+            if not probe and len(found) > 1000:
+                found = [_best(found, kind, k)]
+        if found:
+            yield pd.concat(found) if probe else _best(found, kind, k)
+    return run
+
+
 def _meet(kind: str, p: int, n_cb: int, k: int, probe: bool):
     """Records sorted by block pair, step, column block and side; one block pair is held at a time."""
     def run(batches):
@@ -268,6 +336,8 @@ class _Laid:
                 yield pd.DataFrame({"rb": pdf["rb"], "cb": pdf["cb"], "data": data})
 
         self.tiles = cut_lineage(filled.mapInPandas(tile, "rb long, cb long, data binary"))
+        largest = self.tiles.agg(F.max(F.length("data")).alias("n")).first().n or 1
+        self.group = max(1, min(math.ceil(self.n_rb / SIDES), HELD // (n_cb * largest)))
 
     def _heads(self, bounds: DataFrame | None) -> DataFrame:
         rows = self.roster.withColumn("bound", F.lit(None).cast("double"))
@@ -287,6 +357,30 @@ class _Laid:
         high = pairs.where("i < j").select("i", "j", F.col("j").alias("rb")).join(body, "rb").withColumn("side", F.lit(1))
         return low.unionByName(high).drop("rb")
 
+    def _sent_groups(self, pairs: DataFrame, heads: DataFrame, tiles: DataFrame) -> DataFrame:
+        """Heads and tiles of both groups of each pair of groups, once, and the pairs of row blocks that are to meet there."""
+        def group(name):
+            return F.expr(f"{name} div {self.group}")
+
+        none = [F.lit(None).cast(heads.schema[c].dataType).alias(c) for c in _HEAD]
+        no_data = F.lit(None).cast("binary").alias("data")
+        body = tiles.select(group("rb").alias("g"), F.lit(1).alias("step"), "rb", "cb", "data", *none).unionByName(
+            heads.select(group("rb").alias("g"), F.lit(0).alias("step"), "rb", F.lit(0).cast("long").alias("cb"), no_data, *_HEAD))
+        wanted = pairs.select(group("i").alias("gi"), group("j").alias("gj"), F.lit(-1).alias("step"),
+                              F.col("i").alias("rb"), F.col("j").alias("cb"), no_data, *none)
+        groups = wanted.select("gi", "gj").distinct()
+        low = groups.withColumn("g", F.col("gi")).join(body, "g").drop("g")
+        high = groups.where("gi < gj").withColumn("g", F.col("gj")).join(body, "g").drop("g")
+        return wanted.unionByName(low).unionByName(high).withColumn("side", F.lit(0))
+
+    def _meetings(self, pairs: DataFrame, heads: DataFrame, tiles: DataFrame, steps: list[int], n: int, probe: bool = False) -> DataFrame:
+        if self.group == 1:
+            return self._run(self._sent(pairs, heads, tiles, steps), n, probe)
+        sides = math.ceil(self.n_rb / self.group)
+        parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), min(n, sides * (sides + 1) // 2) // 2)
+        dealt = self._sent_groups(pairs, heads, tiles).repartition(parts, "gi", "gj").sortWithinPartitions("gi", "gj", "step", "rb", "cb")
+        return cut_lineage(dealt.mapInPandas(_meet_groups(self.kind, self.p, self.n_cb, self.k, steps, probe), "i long, j long" if probe else _FOUND))
+
     def _run(self, sent: DataFrame, meetings: int, probe: bool = False) -> DataFrame:
         parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), min(meetings // 4, 20_000))
         dealt = sent.repartition(parts, "i", "j").sortWithinPartitions("i", "j", "step", "cb", "side")
@@ -304,9 +398,9 @@ class _Laid:
         meetings = self.n_rb * (self.n_rb - 1) // 2
         if self.n_cb > 1:
             tried = self.tiles.where(F.col("cb") < math.ceil(self.n_cb / PROBE))
-            pairs = self._run(self._sent(pairs, heads, tried, [1]), meetings, probe=True)
+            pairs = self._meetings(pairs, heads, tried, [1], meetings, probe=True)
             meetings = pairs.count()
-        return first.unionByName(self._run(self._sent(pairs, heads, self.tiles, steps), meetings))
+        return first.unionByName(self._meetings(pairs, heads, self.tiles, steps, meetings))
 
 
 def knn_search(cells: DataFrame, p: int, k: int = 5) -> tuple[DataFrame, DataFrame]:

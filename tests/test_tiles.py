@@ -151,6 +151,43 @@ def test_hopeless_pairs_are_stopped(spark, monkeypatch):
     assert done.completed < 0.6 * 160 * 159 / 2 and done.completed < 0.5 * done.pairs
 
 
+@pytest.mark.parametrize("kind", ["calls", "fractions"])
+def test_row_blocks_travel_in_groups(spark, matrix, small_tiles, monkeypatch, kind):
+    """The same results, and a tile is sent to as many tasks as there are groups, not row blocks."""
+    monkeypatch.setattr(planes, "ROWS", 3)
+    monkeypatch.setattr(planes, "SIDES", 4)
+    sent = []
+    whole = planes._Laid._sent_groups
+
+    def seen(self, pairs, heads, tiles):
+        out = whole(self, pairs, heads, tiles)
+        sent.append((out.where("step = 1").count(), tiles.count(), self.n_rb))
+        return out
+
+    monkeypatch.setattr(planes._Laid, "_sent_groups", seen)
+    x = matrix.copy()
+    x[np.random.default_rng(3).random(x.shape) < 0.15] = np.nan
+    if kind == "fractions":
+        x[::3] += 0.25
+    got = {r.sample_id: r.distance for r in latent.nearest_hamming(long_of(spark, x[:20]), long_of(spark, x[20:])).collect()}
+    y = np.nan_to_num(x, nan=-1.0)
+    want = (y[:20][:, None] != y[20:][None]).mean(2).min(1)
+    assert len(got) == 20 and all(abs(got[f"s{i:03d}"] - want[i]) < 1e-12 for i in range(20))
+    want = brute_knn(x, 5)
+    rows = latent.impute_knn(long_of(spark, x)).collect()
+    assert len(rows) == x.size
+    assert all(abs(r.dosage - want[int(r.sample_id[1:]), int(r.var_id[1:])]) < 1e-6 for r in rows)
+    assert sent and all(n <= 4 * tiles and 4 < n_rb - 1 for n, tiles, n_rb in sent)
+
+
+def test_a_tile_of_few_numbers_is_a_byte_each():
+    x = np.random.default_rng(2).choice([0.0, 1.0, 1.4, 3.0, np.nan], size=(64, 64))
+    got, there = planes.unpack(planes.pack(x), 64, 64)
+    assert np.array_equal(there, ~np.isnan(x)) and np.array_equal(got, np.nan_to_num(x)) and len(planes.pack(x)) < 4200
+    many = np.random.default_rng(2).random((64, 64))
+    assert np.array_equal(planes.unpack(planes.pack(many), 64, 64)[0], many)
+
+
 @pytest.mark.parametrize("values", [[0, 1, 2], [0.5, 1, 2]])
 def test_tiles_come_back(values):
     x = np.random.default_rng(2).choice([*values, np.nan], size=(11, 13))
