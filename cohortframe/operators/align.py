@@ -15,6 +15,7 @@ from cohortframe.functions.expr import first_by, one_row, safe_div
 from cohortframe.operators.impute import align_to_variants
 from cohortframe.operators.profile import as_long
 from cohortframe.operators.ranking import ranked
+from cohortframe.session import cut_lineage, measured
 
 # Header texts that name an id column.
 ID_TOKENS = ("IID", "Taxa", "Genotype", "ID", "Sample", "Accession", "Accession_ID", "Variety",
@@ -52,18 +53,22 @@ def fuzzy_match(samples: DataFrame, phenos: DataFrame, key: str, min_length: int
     """(sample_id, part, key): the first id part that occurs in exactly one phenotype id.
 
     "Occurs in" is a substring test.  All substrings of a phenotype id whose
-    length equals that of some part are written out and counted; only those
-    seen in a single phenotype row survive, so the equi-join emits at most one
-    row per part however common a fragment is.
+    length equals that of some part are written out, in as many tasks as a
+    shuffle has; those that are no part go before anything is sorted.  Of the
+    others, only those seen in a single phenotype row survive, so the equi-join
+    emits at most one row per part however common a fragment is.
     """
     parts = (samples.select("sample_id", F.posexplode(F.split("sample_id", "_")).alias("pos", "part"))
              .where(F.length("part") >= min_length))
+    parts = cut_lineage(parts)                          # read three times
+    wanted = measured(parts.select("part").distinct())
     lengths = one_row(parts.agg(F.collect_set(F.length("part")).alias("l"))).getField("l")
-    spans = (phenos.select(F.col(key).alias("_id"), F.explode(lengths).alias("_l"))
+    spread = phenos.select(F.col(key).alias("_id")).repartition(int(phenos.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    spans = (spread.select("_id", F.explode(lengths).alias("_l"))
              .where(F.length("_id") >= F.col("_l")))
     grams = spans.select("_id", F.explode(F.array_distinct(F.transform(
         F.sequence(F.lit(1), F.length("_id") - F.col("_l") + 1),
-        lambda i: F.substring(F.col("_id"), i, F.col("_l"))))).alias("part"))
+        lambda i: F.substring(F.col("_id"), i, F.col("_l"))))).alias("part")).join(wanted, "part", "left_semi")
     single = (grams.groupBy("part").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias(key))
               .where("_n = 1").drop("_n"))
     hits = parts.join(single, "part")

@@ -13,6 +13,13 @@ def test_fuzzy_needs_one_match_and_takes_the_first_part(spark):
     assert got == {"AAAAA_11111": ("11111", "q11111"), "lib_33333_44444": ("33333", "u33333")}
 
 
+def test_fuzzy_sorts_only_substrings_that_are_parts(spark):
+    got = A.fuzzy_match(ids(spark, "x_12345"), spark.createDataFrame([("a12345",), ("b67890",)], "gbs string"), "gbs")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate [part") < plan.index("LeftSemi") < plan.index("Generate explode") < plan.index("Repartition")
+    assert [tuple(r) for r in got.collect()] == [("x_12345", "12345", "a12345")]
+
+
 def test_fuzzy_counts_rows_not_ids(spark):
     got = A.fuzzy_match(ids(spark, "x_12345"), spark.createDataFrame([("a12345",), ("a12345",)], "gbs string"), "gbs")
     assert got.count() == 0
