@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 
 from cohortframe.functions.expr import one_row, u01
 from cohortframe.operators.impute import standardize
-from cohortframe.operators.latent import dense_rows, pca, project, selection_index, sparse_rows, standard_cells
+from cohortframe.operators.latent import MAX_LOCAL_FEATURES, dense_rows, pca, project, selection_index, sparse_rows, standard_cells
 from cohortframe.operators.popgen import fold_sums, select_k_without
 from cohortframe.operators.ranking import ranked
 from cohortframe.operators.runs import r2_weighted_ensemble, regression_metrics
+from cohortframe.operators.tiles import marker_products
 from cohortframe.session import MAX_BROADCAST_ROWS, cut_lineage, measured
 
 # Hyper-parameter grids of the regressors.
@@ -337,20 +338,38 @@ def _dots(table: DataFrame, pairs: Sequence[tuple[str, str]]) -> list[float]:
     return [float(v or 0.0) for v in row]
 
 
+def _slopes(z: DataFrame, at: DataFrame, column: str, names: Sequence[str]) -> np.ndarray:
+    """Z'r for the named markers."""
+    found = {r["var_id"]: r["g"] for r in z.join(measured(at), "sample_id").groupBy("var_id").agg(F.sum(F.col("z") * F.col(column)).alias("g")).collect()}
+    return np.array([found.get(v) or 0.0 for v in names])
+
+
 def marker_ridge(z: DataFrame, y: DataFrame, alphas: Sequence[float] = (1.0,), tol: float = 1e-6,
                  rounds: int = 500) -> tuple[DataFrame, float]:
     """Ridge weights of every marker for each penalty, and the intercept.
 
     ``z(sample_id, var_id, z)`` holds centred cells (absent ones count as 0) of any number of variants, ``y(sample_id,
-    y)`` the targets.  With p >> n the dual (Z Z' + alpha) a = y - mean is solved by conjugate gradients, all penalties
-    at once: a round is two join-and-sum passes over the cells and one small aggregate, and nothing but scalars
-    reaches the driver.  The weights are Z'a.  Raises when ``tol`` (of the residual's length) is not reached.
+    y)`` the targets.  Fewer markers than samples, ``MAX_LOCAL_FEATURES`` at most, are solved from their products (Z'Z +
+    alpha) w = Z'(y - mean), which one pass over the cells adds up.  Otherwise the dual (Z Z' + alpha) a = y - mean is
+    solved by conjugate gradients, all penalties at once: a round is two join-and-sum passes over the cells and one small
+    aggregate, and nothing but scalars reaches the driver.  The weights are Z'a.  Raises when ``tol`` (of the residual's
+    length) is not reached.
     """
     k = range(len(alphas))
     known = y.where(F.col("y").isNotNull())
     mean = known.agg(F.avg("y").alias("m")).first().m or 0.0
     z = cut_lineage(z.join(measured(known.select("sample_id")), "sample_id", "left_semi").select("sample_id", "var_id", "z"))
     at = known.select("sample_id", (F.col("y") - mean).alias("_y"))
+    n, once = known.agg(F.count(F.lit(1)), F.count_distinct("sample_id")).first()
+    p = z.select("var_id").distinct().count()
+    if p <= min(n, MAX_LOCAL_FEATURES) and n == once:
+        names, gram = marker_products(z, p, n)
+        values, vectors = np.linalg.eigh(gram)
+        slope = vectors.T @ _slopes(z, at, "_y", names)
+        floor = max(values[-1], 0.0) * p * np.finfo(float).eps if p else 0.0
+        solved = [(float(a), v, float(w)) for a in alphas for v, w in zip(names, vectors @ np.divide(
+            slope, values + a, out=np.zeros(len(slope)), where=values + a > floor))]
+        return z.sparkSession.createDataFrame(solved, "alpha double, var_id string, weight double").select("var_id", "alpha", "weight"), float(mean)
     state = cut_lineage(at.select("sample_id", *[c for i in k for c in (F.lit(0.0).alias(f"x{i}"), F.col("_y").alias(f"r{i}"), F.col("_y").alias(f"p{i}"))]))
     size = _dots(state, [(f"r{i}", f"r{i}") for i in k])
     goal = [tol * tol * s for s in size]
@@ -454,8 +473,17 @@ def marker_lasso(z: DataFrame, y: DataFrame, alpha: float, l1_ratio: float = 1.0
 
 
 def marker_predictions(z: DataFrame, weights: DataFrame, intercept: float) -> DataFrame:
-    """(alpha, sample_id, prediction) for samples whose cells are centred as the training cells were."""
-    return z.join(weights, "var_id").groupBy("alpha", "sample_id").agg((F.sum(F.col("z") * F.col("weight")) + intercept).alias("prediction"))
+    """(alpha, sample_id, prediction) for samples whose cells are centred as the training cells were.
+
+    A cell meets the weights of all penalties in one row, so that no cell is written once per penalty.
+    """
+    alphas = sorted(r["alpha"] for r in weights.select("alpha").distinct().collect())       # a number per penalty
+    if not alphas:
+        return z.limit(0).select(F.lit(0.0).alias("alpha"), "sample_id", F.lit(0.0).alias("prediction"))
+    wide = weights.groupBy("var_id").agg(*[F.sum(F.when(F.col("alpha") == a, F.col("weight"))).alias(f"_w{i}") for i, a in enumerate(alphas)])
+    sums = z.join(wide, "var_id").groupBy("sample_id").agg(*[F.sum(F.coalesce("z", F.lit(0.0)) * F.col(f"_w{i}")).alias(f"_p{i}") for i in range(len(alphas))])
+    each = F.explode(F.array(*[F.struct(F.lit(float(a)).alias("alpha"), (F.col(f"_p{i}") + intercept).alias("prediction")) for i, a in enumerate(alphas)]))
+    return sums.select("sample_id", each.alias("_e")).select("_e.alpha", "sample_id", "_e.prediction").where("prediction IS NOT NULL")
 
 
 def pca_regression(geno: DataFrame, pheno: DataFrame, train_ids: DataFrame, test_ids: DataFrame, latent: int = 16,

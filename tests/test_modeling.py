@@ -46,6 +46,38 @@ def test_marker_ridge_is_the_closed_form_with_more_markers_than_samples(spark):
         M.estimator("randomforest", {"max_depth": 31}, M.Shape(10, 2))
 
 
+def test_marker_ridge_of_few_markers_needs_no_rounds(spark, monkeypatch):
+    from cohortframe.operators import tiles
+    monkeypatch.setattr(tiles, "COLS", 7)
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=(40, 5)), rng.normal(size=40)
+    x = np.column_stack([x - x.mean(0), x[:, 0] - x[:, 0].mean()])       # the last marker repeats the first
+    z = spark.createDataFrame([(f"s{i}", f"v{j}", float(x[i, j])) for i in range(40) for j in range(6)], "sample_id string, var_id string, z double")
+    pheno = spark.createDataFrame([(f"s{i}", float(y[i])) for i in range(40)], "sample_id string, y double")
+    weights, mean = M.marker_ridge(z, pheno, [0.5, 50.0], rounds=0)
+    got = weights.toPandas().pivot(index="var_id", columns="alpha", values="weight")
+    told = M.marker_predictions(z, weights, mean).toPandas().pivot(index="sample_id", columns="alpha", values="prediction")
+    for alpha in (0.5, 50.0):
+        want = np.linalg.solve(x.T @ x + alpha * np.eye(6), x.T @ (y - y.mean()))
+        assert np.allclose(got[alpha].to_numpy(), want, atol=1e-9)
+        assert np.allclose(told[alpha].reindex([f"s{i}" for i in range(40)]).to_numpy(), x @ want + y.mean(), atol=1e-9)
+
+
+def test_baseline_signal_of_few_markers(spark):
+    rng = np.random.default_rng(7)
+    x = rng.integers(0, 3, (120, 4))
+    geno = spark.createDataFrame([(f"s{i:03d}", f"v{j}", int(x[i, j])) for i in range(120) for j in range(4)] + [("s000", "null", None)], "sample_id string, var_id string, dosage int")
+    pheno = spark.createDataFrame([(f"s{i:03d}", float(x[i, 0] - 2 * x[i, 1])) for i in range(120)], "sample_id string, y double")
+    got = M.baseline_signal(geno, pheno).first()
+    part = {r["sample_id"]: r["part"] for r in M.plain_split(pheno, {"train": 0.8, "test": 0.2}, 42).collect()}
+    train = np.array([part[f"s{i:03d}"] == "train" for i in range(120)])
+    y = (x[:, 0] - 2 * x[:, 1]).astype(float)
+    z = (x - x[train].mean(0)) / x[train].std(0)
+    w = np.linalg.solve(z[train].T @ z[train] + np.eye(4), z[train].T @ (y[train] - y[train].mean()))
+    told = z[~train] @ w + y[train].mean()
+    assert got["n"] == 120 and abs(got["baseline_r2"] - (1 - ((y[~train] - told) ** 2).sum() / ((y[~train] - y[~train].mean()) ** 2).sum())) < 1e-6
+
+
 @pytest.mark.parametrize("ratio", [0.3, 1.0])
 def test_elastic_net_meets_its_optimality_conditions(data, ratio):
     x, y, df = data

@@ -54,6 +54,30 @@ def test_relationship_matrix(spark, matrix, small_tiles):
     assert all(abs(r.g - want[int(r.sample1[1:]), int(r.sample2[1:])]) < 1e-9 for r in rows)
 
 
+def test_few_rows_with_many_columns_are_shared_by_several_tasks(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(tiles, "COLS", 10)
+    folder, kernel = str(tmp_path), tiles._pair_kernel
+
+    def told(*args):
+        def run(batches):
+            from pyspark import TaskContext
+            for pdf in kernel(*args)(batches):
+                open(f"{folder}/{TaskContext.get().partitionId()}", "w").close()
+                yield pdf
+        return run
+    monkeypatch.setattr(tiles, "_pair_kernel", told)
+    x = np.random.default_rng(8).normal(size=(3, 400))
+    cells = spark.createDataFrame([(f"v{i}", f"s{j}", float(x[i, j])) for i in range(3) for j in range(400)], "row string, col string, val double")
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"      # a table as small as this one would go to one task
+    spark.conf.set(coalesce, "false")
+    try:
+        got = {(r["row1"], r["row2"]): r["dot"] for r in tiles.pair_dots(cells, 3, 400, self_pairs=True).collect()}
+    finally:
+        spark.conf.unset(coalesce)
+    assert len(got) == 6 and all(abs(d - x[int(a[1])] @ x[int(b[1])]) < 1e-9 for (a, b), d in got.items())
+    assert len(list(tmp_path.iterdir())) > 1
+
+
 def test_constant_variant_has_zero_r(spark):
     x = np.array([[1.0, 0], [1, 1], [1, 2]])
     assert popgen.pairwise_r2(long_of(spark, x)).first().r == 0.0
