@@ -564,16 +564,17 @@ def baseline_signal(geno: DataFrame, pheno: DataFrame, max_features: int | None
     """
     from cohortframe.operators.popgen import variable_variants
     known = pheno.where(F.col("y").isNotNull()).select("sample_id", "y")
-    rows = geno.join(known.select("sample_id"), "sample_id", "left_semi")
+    rows = geno.where(F.col("dosage").isNotNull()).join(measured(known.select("sample_id")), "sample_id", "left_semi")
+    rows = cut_lineage(rows.select("sample_id", "var_id", "dosage").repartition("sample_id"))
     good = variable_variants(rows, 1e-6).select("var_id")
     if max_features is not None:
         good = good.orderBy(u01(seed, F.lit("feature"), "var_id"), "var_id").limit(max_features)
-    cells = rows.join(good, "var_id", "left_semi").where(F.col("dosage").isNotNull())
+    cells = rows.join(good, "var_id", "left_semi")
     both = cut_lineage(known.join(cells.select("sample_id").distinct(), "sample_id", "left_semi"))
     n = both.count()
     if n < min_samples:
         return both.sparkSession.range(1).select(F.lit(n).cast("long").alias("n"), F.lit(None).cast("double").alias("baseline_r2"))
-    parts = both.join(plain_split(both, {"train": 0.8, "test": 0.2}, seed), "sample_id")
+    parts = cut_lineage(both.join(plain_split(both, {"train": 0.8, "test": 0.2}, seed), "sample_id"))
     train = parts.where("part = 'train'").select("sample_id", "y")
     z = standardize(cells, fit=cells.join(train.select("sample_id"), "sample_id", "left_semi")).select("sample_id", "var_id", "z")
     weights, mean = marker_ridge(z, train, [alpha])
