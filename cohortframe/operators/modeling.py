@@ -433,7 +433,7 @@ def marker_lasso(z: DataFrame, y: DataFrame, alpha: float, l1_ratio: float = 1.0
     l1, l2 = alpha * l1_ratio, alpha * (1.0 - l1_ratio)
     z = cut_lineage(z.join(measured(known.select("sample_id")), "sample_id", "left_semi").select("sample_id", "var_id", "z"))
     at = cut_lineage(known.select("sample_id", (F.col("y") - mean).alias("r")))
-    spark, names, weights, gram, slack = z.sparkSession, [], np.zeros(0), np.zeros((0, 0)), None
+    spark, names, weights, slack = z.sparkSession, [], np.zeros(0), None
 
     def table() -> DataFrame:
         return F.broadcast(spark.createDataFrame(list(zip(names, weights.tolist())), "var_id string, weight double"))       # ``most`` rows at most
@@ -442,8 +442,8 @@ def marker_lasso(z: DataFrame, y: DataFrame, alpha: float, l1_ratio: float = 1.0
         left = at
         if names:
             told = z.join(table(), "var_id").groupBy("sample_id").agg(F.sum(F.col("z") * F.col("weight")).alias("_p"))
-            left = at.join(told, "sample_id", "left").select("sample_id", (F.col("r") - F.coalesce("_p", F.lit(0.0))).alias("r"))
-        slopes = cut_lineage(z.join(left, "sample_id").groupBy("var_id").agg((F.sum(F.col("z") * F.col("r")) / n).alias("g")))
+            left = cut_lineage(at.join(told, "sample_id", "left").select("sample_id", (F.col("r") - F.coalesce("_p", F.lit(0.0))).alias("r")))
+        slopes = cut_lineage(z.join(measured(left), "sample_id").groupBy("var_id").agg((F.sum(F.col("z") * F.col("r")) / n).alias("g")))
         if slack is None:
             slack = tol * float(slopes.agg(F.max(F.abs("g")).alias("g")).first()["g"] or 0.0)
         outside = slopes.join(table().select("var_id"), "var_id", "left_anti") if names else slopes
@@ -452,19 +452,15 @@ def marker_lasso(z: DataFrame, y: DataFrame, alpha: float, l1_ratio: float = 1.0
             break
         if len(names) + len(bad) > most:
             raise ValueError(f"more than {most} markers have a weight; take a larger alpha or marker_ridge")
-        # products of the new members with all members
+        # products of all members: tiles of the cells, no row per sample and pair of markers
         names, weights = names + [r["var_id"] for r in bad], np.concatenate([weights, np.zeros(len(bad))])
         place = {v: i for i, v in enumerate(names)}
         own = z.join(table().select("var_id"), "var_id")
-        new = spark.createDataFrame([(r["var_id"],) for r in bad], "var_id string")
-        pairs = own.join(F.broadcast(new), "var_id").select("sample_id", F.col("var_id").alias("a"), F.col("z").alias("za")).join(
-            own.select("sample_id", F.col("var_id").alias("b"), F.col("z").alias("zb")), "sample_id").groupBy("a", "b").agg((F.sum(F.col("za") * F.col("zb")) / n).alias("d"))
-        gram = np.pad(gram, (0, len(bad)))
-        for r in pairs.collect():
-            gram[place[r["a"]], place[r["b"]]] = gram[place[r["b"]], place[r["a"]]] = r["d"]
-        base = own.join(at, "sample_id").groupBy("var_id").agg((F.sum(F.col("z") * F.col("r")) / n).alias("g")).collect()
-        slope = np.zeros(len(names))
-        slope[[place[r["var_id"]] for r in base]] = [r["g"] for r in base]
+        found, products = marker_products(own, len(names), n)
+        at_found = [place[v] for v in found]
+        gram = np.zeros((len(names), len(names)))
+        gram[np.ix_(at_found, at_found)] = products / n
+        slope = _slopes(own, at, "r", names) / n
         weights = _soft_threshold(gram, slope, l1, l2, weights, slack * 0.1)
     else:
         raise RuntimeError(f"screening: markers still break the conditions after {rounds} rounds")

@@ -101,3 +101,20 @@ def test_marker_lasso_meets_its_conditions_in_several_rounds(spark):
         modeling.marker_lasso(cells, pheno, 0.001, most=5, step=4)
     none, mean = modeling.marker_lasso(cells, pheno, 100.0)
     assert none.count() == 0 and abs(mean - y.mean()) < 1e-12
+
+
+def test_marker_lasso_writes_no_row_per_pair_of_markers(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 3, (60, 8)).astype(float)
+    z = x - x.mean(0)
+    y = z @ rng.normal(size=8)
+    cells = spark.createDataFrame([(f"s{i}", f"v{j}", float(z[i, j])) for i in range(60) for j in range(8)], "sample_id string, var_id string, z double")
+    pheno = spark.createDataFrame([(f"s{i}", float(v)) for i, v in enumerate(y)], "sample_id string, y double")
+    asked, products = [], modeling.marker_products
+
+    def told(own, p, n):
+        asked.append((own.count(), p, n))
+        return products(own, p, n)
+    monkeypatch.setattr(modeling, "marker_products", told)
+    weights, _ = modeling.marker_lasso(cells, pheno, 0.001, step=3)
+    assert weights.count() == 8 and asked == [(180, 3, 60), (360, 6, 60), (480, 8, 60)]
