@@ -29,10 +29,11 @@ class Settings:
 def process(geno: DataFrame, pheno: DataFrame, variants: DataFrame, settings: Settings | None = None) -> Mapping[str, DataFrame]:
     """Tables X, y, pcs, manifest, sample_map and qc_report of one dataset.
 
-    The filtered cells are written out once, because imputation, components and
-    alignment all read them.
+    The cells and the filtered cells are written out once, because filters and
+    report, imputation, components and alignment all read them.
     """
     s = settings or Settings()
+    geno = cut_lineage(geno)
     kept_v = qc.filter_variants(geno, s.max_missing, s.min_maf, s.min_hwe_p)
     judged = qc.judge_samples(qc.sample_stats(kept_v), s.max_sample_missing, s.het_k, s.het_dialect)
     judged = cut_lineage(judged)
