@@ -198,6 +198,7 @@ def pc_variance(scores: DataFrame, k: int) -> DataFrame:
 
 def capture_ratios(real: DataFrame, synth: DataFrame, k: int = 20, share: float = 0.95) -> DataFrame:
     """How much of the synthetic variance the real components carry, four ways."""
+    real, synth = (cut_lineage(df.select("sample_id", "var_id", "dosage")) for df in (real, synth))
     fit = pca(standard_cells(real), k)
     kk = len(fit.eigenvalues)
     syn_z = standard_cells(synth, fit=real)
