@@ -361,8 +361,9 @@ def correlation_structure_diff(real: DataFrame, synth: DataFrame, variants: Data
     since without it the work is quadratic in the variants.
     """
     def side(df):
-        cells = df.join(variants.select("var_id"), "var_id", "left_semi")
-        return pairwise_r2(cells) if max_distance is None else windowed_r2(cells, variants, max_distance)
+        cells = cut_lineage(df.select("sample_id", "var_id", "dosage").join(places.select("var_id"), "var_id", "left_semi"))
+        return pairwise_r2(cells) if max_distance is None else windowed_r2(cells, places, max_distance)
+    places = cut_lineage(variants)
     a, b = side(real), side(synth).select("var1", "var2", F.col("r").alias("r_s"))
     return a.join(b, ["var1", "var2"]).agg(
         F.count(F.lit(1)).alias("n_pairs"), F.avg(F.abs(F.col("r") - F.col("r_s"))).alias("mean_abs_diff"))
