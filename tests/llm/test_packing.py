@@ -34,6 +34,34 @@ def test_chunks_give_the_ids_of_whole_texts(tokenizer, monkeypatch):
         assert got == want
 
 
+def test_a_repeated_chunk_is_looked_up_once_a_batch(tokenizer):
+    class Counted(dict):
+        looks = 0
+
+        def get(self, key):
+            Counted.looks += 1
+            return super().get(key)
+
+        def __getitem__(self, key):
+            Counted.looks += 1
+            return super().__getitem__(key)
+
+    bpe = Subwords(vocabulary_path())
+    bpe.known = Counted()
+    text = "the same, words\nagain and again; "
+    got = list(bpe.encode([text * 10] * 100))
+    assert [np.frombuffer(b, "<u4").tolist() for b in got] == [tokenizer.encode(text * 10, add_special_tokens=False).ids] * 100
+    assert Counted.looks < 50
+
+
+def test_white_space_and_letters_of_more_bytes(tokenizer):
+    rng = random.Random(8)
+    alphabet = [*" \n\u3000\xa0\u2009\u1680\u202f\u205f\x85.,!|", "wörter", "×", "÷", "ÿ", "ɏ", "ɐ", "Āž", "а", "|>", "<|endoftext|>", "don't"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(40))) for _ in range(4000)]
+    got = [np.frombuffer(b, "<u4").tolist() for b in Subwords(vocabulary_path()).encode(texts)]
+    assert got == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
 def check(rows, docs, tokenizer, capacity):
     by_doc, bins = defaultdict(list), defaultdict(list)
     for r in rows:
