@@ -111,7 +111,9 @@ class Attention:
             self.g2[name] += d.astype(np.float32) ** 2
             w[name] = (w[name] - rate * d / np.sqrt(self.g2[name])).astype(np.float32)
         # a symbol that does not occur has no slope and keeps its embedding
-        met, at = np.unique(s.reshape(-1), return_inverse=True)
-        d = np.stack([np.bincount(at, dx[:, :, i].reshape(-1), len(met)) for i in range(WIDTH)], 1)
+        order = np.argsort(s, axis=None, kind="stable")
+        told = s.reshape(-1)[order]
+        first = np.flatnonzero(np.append(True, told[1:] != told[:-1]))
+        met, d = told[first], np.add.reduceat(dx.reshape(-1, WIDTH)[order], first, axis=0, dtype=np.float64)
         self.g2["e"][met] += d.astype(np.float32) ** 2
         w["e"][met] -= rate * d / np.sqrt(self.g2["e"][met])

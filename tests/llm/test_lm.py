@@ -112,6 +112,15 @@ def test_slopes_equal_differences():
         net.learn(s, t, valid, 1e6)
 
 
+def test_a_symbol_adds_up_its_slopes_in_one_pass(monkeypatch):
+    net = Attention(12, 4, seed=1)
+    before = net.w["e"].copy()
+    s = np.random.default_rng(3).integers(0, 9, (3, WINDOW))
+    monkeypatch.setattr(np, "bincount", lambda *a: pytest.fail("a pass per column of the embeddings"))
+    net.learn(s, s % 4, np.ones(s.shape, bool), 0.1)
+    assert ((net.w["e"] != before).any(1) == np.isin(np.arange(12), s)).all()
+
+
 def test_empty_table_and_no_training_rows(docs_of):
     docs = docs_of([(i, "a b") for i in range(60)])
     assert lm.score_documents(docs.where("doc_id = -1")).collect() == []
