@@ -49,20 +49,24 @@ class Attention:
             at += n
         return self
 
-    def _attend(self, s: np.ndarray) -> tuple:
-        """The hidden state of each position of windows of symbols, and what led to it."""
+    def _attend(self, s: np.ndarray, lo: int = 0) -> tuple:
+        """The hidden state of each position from ``lo`` on of windows of symbols, and what led to it; those before are only looked back at."""
         w = self.w
-        x = w["e"][s] + w["p"]
-        mixed = x.reshape(-1, WIDTH) @ np.concatenate([w["wq"] / np.float32(np.sqrt(WIDTH)), w["wk"], w["wv"]], 1)
-        q, k, v = (mixed[:, i:i + WIDTH].reshape(x.shape) for i in (0, WIDTH, 2 * WIDTH))
+        x = w["e"].take(s, 0)
+        x += w["p"]
+        mixed = (x.reshape(-1, WIDTH) @ np.concatenate([w["wk"], w["wv"]], 1)).reshape(len(s), WINDOW, 2 * WIDTH)
+        k, v = mixed[:, :, :WIDTH], mixed[:, :, WIDTH:]
+        own = x[:, lo:]
+        q = (own.reshape(-1, WIDTH) @ (w["wq"] / np.float32(np.sqrt(WIDTH)))).reshape(own.shape)
         a = q @ k.transpose(0, 2, 1)
         if a.max(initial=0) > LARGE:
             a -= a.max(2, keepdims=True)
-        a += _MASK                      # a token sees itself and those before it
+        a += _MASK[lo:]                 # a token sees itself and those before it
         np.exp(a, out=a)
-        mixed = a @ np.concatenate([v, np.ones_like(v[:, :, :1])], 2)
-        h = x + mixed[:, :, :WIDTH] / mixed[:, :, WIDTH:]
-        return x, q, k, v, a, mixed[:, :, WIDTH:], h
+        total = a @ np.ones((WINDOW, 1), a.dtype)
+        got = a @ v
+        got /= total
+        return x, q, k, v, a, total, got, own + got
 
     def _judge(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hidden layer and class scores of hidden states."""
@@ -78,42 +82,65 @@ class Attention:
 
     def log_classes(self, s: np.ndarray, target: np.ndarray, scored: np.ndarray) -> np.ndarray:
         """Natural log-probability of the target class at the scored positions, one after the other (all n x WINDOW)."""
-        z = self._judge(self._attend(s)[-1][scored])[1]
-        picked = z[np.arange(len(z)), target[scored]]
+        lo = _first(scored)
+        scored = scored[:, lo:]
+        z = self._judge(self._attend(s, lo)[-1][scored])[1]
+        picked = z[np.arange(len(z)), target[:, lo:][scored]]
         np.exp(z, out=z)
         return picked - np.log(z @ np.ones(z.shape[1], z.dtype))
 
     def learn(self, s: np.ndarray, target: np.ndarray, valid: np.ndarray, rate: float) -> None:
         """One Adagrad step on the mean cross-entropy of the valid positions."""
         w = self.w
-        x, q, k, v, a, total, h = self._attend(s)
-        u, z = self._judge(h.reshape(-1, WIDTH))
-        a /= total
-        p = np.exp(z)
-        p /= p.sum(1, keepdims=True)
-        p[np.arange(len(p)), target.reshape(-1)] -= 1
-        p *= (valid.reshape(-1, 1) / max(1, valid.sum())).astype(np.float32)
-        g = {"w2": u.T @ p, "b2": p.sum(0)}
-        du = (p @ w["w2"].T) * (u > 0)
-        g["w1"], g["b1"] = h.reshape(-1, WIDTH).T @ du, du.sum(0)
+        lo = _first(valid)
+        target, valid = target[:, lo:].reshape(-1), valid[:, lo:].reshape(-1, 1)
+        x, q, k, v, a, total, got, h = self._attend(s, lo)
+        flat = h.reshape(-1, WIDTH)
+        u, p = self._judge(flat)
+        np.exp(p, out=p)
+        share = np.float32(1 / max(1, np.count_nonzero(valid)))
+        p *= share / (p @ np.ones((p.shape[1], 1), p.dtype))
+        p[np.arange(len(p)), target] -= share
+        if not valid.all():
+            p *= valid
+        g = {"w2": u.T @ p, "b2": np.ones(len(p), p.dtype) @ p}
+        du = p @ w["w2"].T
+        du *= u > 0
+        g["w1"], g["b1"] = flat.T @ du, np.ones(len(du), du.dtype) @ du
         dh = (du @ w["w1"].T).reshape(h.shape)
-        da = dh @ v.transpose(0, 2, 1)
-        dv = a.transpose(0, 2, 1) @ dh
-        ds = a * (da - (da * a).sum(2, keepdims=True))
-        scale = np.float32(1 / np.sqrt(WIDTH))
-        dq, dk = ds @ k * scale, ds.transpose(0, 2, 1) @ q
-        rows = x.reshape(-1, WIDTH)
-        for name, d in (("wq", dq), ("wk", dk), ("wv", dv)):
-            g[name] = rows.T @ d.reshape(-1, WIDTH)
-        dx = dh + dq @ w["wq"].T + dk @ w["wk"].T + dv @ w["wv"].T
+        part = dh / total               # the weights of the attention are a / total
+        ds = part @ v.transpose(0, 2, 1)
+        ds -= np.einsum("ijk,ijk->ij", part, got)[:, :, None]
+        ds *= a
+        dq = (ds @ k).reshape(-1, WIDTH)
+        dq *= np.float32(1 / np.sqrt(WIDTH))
+        dkv = np.empty((len(s), WINDOW, 2 * WIDTH), dq.dtype)
+        np.matmul(ds.transpose(0, 2, 1), q, out=dkv[:, :, :WIDTH])
+        np.matmul(a.transpose(0, 2, 1), part, out=dkv[:, :, WIDTH:])
+        dkv = dkv.reshape(-1, 2 * WIDTH)
+        g["wq"] = x[:, lo:].reshape(-1, WIDTH).T @ dq
+        both = x.reshape(-1, WIDTH).T @ dkv
+        g["wk"], g["wv"] = both[:, :WIDTH], both[:, WIDTH:]
+        dx = (dkv @ np.concatenate([w["wk"], w["wv"]], 1).T).reshape(x.shape)
+        dq = dq @ w["wq"].T
+        dq += dh.reshape(-1, WIDTH)
+        dx[:, lo:] += dq.reshape(h.shape)
         g["p"] = dx.sum(0)
-        for name, d in g.items():
-            self.g2[name] += d.astype(np.float32) ** 2
-            w[name] = (w[name] - rate * d / np.sqrt(self.g2[name])).astype(np.float32)
         # a symbol that does not occur has no slope and keeps its embedding
-        order = np.argsort(s, axis=None, kind="stable")
-        told = s.reshape(-1)[order]
-        first = np.flatnonzero(np.append(True, told[1:] != told[:-1]))
-        met, d = told[first], np.add.reduceat(dx.reshape(-1, WIDTH)[order], first, axis=0, dtype=np.float64)
-        self.g2["e"][met] += d.astype(np.float32) ** 2
-        w["e"][met] -= rate * d / np.sqrt(self.g2["e"][met])
+        every, met = np.zeros(w["e"].size, dx.dtype), np.zeros(len(w["e"]), bool)
+        np.add.at(every, (s.reshape(-1, 1) * WIDTH + np.arange(WIDTH)).reshape(-1), dx.reshape(-1))
+        met[s.reshape(-1)] = True
+        met = np.flatnonzero(met)
+        d = every.reshape(-1, WIDTH).take(met, 0)
+        for name, slope in g.items():
+            self.g2[name] += slope * slope
+            w[name] -= rate * slope / np.sqrt(self.g2[name])
+        g2 = self.g2["e"].take(met, 0)
+        g2 += d * d
+        self.g2["e"][met] = g2
+        w["e"][met] = w["e"].take(met, 0) - rate * d / np.sqrt(g2)
+
+
+def _first(asked: np.ndarray) -> int:
+    """From where on windows are asked about: all of them, or what follows the context of later windows."""
+    return 0 if asked[:, :CONTEXT].any() else CONTEXT

@@ -7,8 +7,9 @@ the document has them.
 
 What is learned from the training rows: the counts of all ids, and the weights, in ``ROUNDS`` rounds of averaging.  In a
 round every task fits the weights of the round before on its own rows, on one window in ``ROUNDS`` of all of them, another
-in each round, so that all windows are learned from once; the tasks' weights are averaged by the number of windows they saw.  Vectors of all tasks are summed by an aggregation,
-so the driver sees one vector.  The work grows with the corpus; nothing has a size of its own.
+in each round, so that all windows are learned from once, and every id is a target once, in the window that scores it; the
+tasks' weights are averaged by the number of windows they saw.  Vectors of all tasks are summed by an aggregation, so the
+driver sees one vector.  The work grows with the corpus; nothing has a size of its own.
 
 Base: the add-one unigram score over words.  Words are counted in hash buckets that grow with the corpus; a bucket holds
 a word's occurrences of all rows, gives each row its share of the sum, and shares meet per group of rows.
@@ -35,7 +36,7 @@ FREQUENT = 2000         # ids with an embedding of their own; the others share S
 SHARED = 48
 ROUNDS = 3              # rounds of averaging; each learns from its share of the windows, and together from all
 STEP = 64               # windows scored at once: their arrays stay in a core's cache
-BATCH, RATE = 16, 0.2   # windows of a step; the first round's rate
+BATCH, RATE = 32, 0.3   # windows of a step, each asked about half its ids; the first round's rate
 PER_BUCKET = 6_000_000  # subword ids of the corpus per word bucket
 CHUNK = 4096            # numbers of a summed vector in one row
 BLOCK = 500_000         # ids handled at once in a task
@@ -140,21 +141,31 @@ class Model:
         """log10 probability of each text."""
         out = np.zeros(len(ids))
         symbols, target, _, scored, of = self.laid(ids)
-        for i in range(0, len(of), STEP):
-            s = slice(i, i + STEP)
-            logs = self.net.log_classes(symbols[s], self.of_class[target[s]], scored[s]) + self.log_inside[target[s][scored[s]]]
-            out += np.bincount(np.repeat(of[s], scored[s].sum(1)), logs, len(ids))
+        for own in _by_kind(scored, np.arange(len(of))):
+            for i in range(0, len(own), STEP):
+                s = own[i:i + STEP]
+                there, goal = scored[s], target[s]
+                logs = self.net.log_classes(symbols[s], self.of_class[goal], there) + self.log_inside[goal[there]]
+                out += np.bincount(np.repeat(of[s], there.sum(1)), logs, len(ids))
         return out / math.log(10)
 
     def learn(self, ids: list[np.ndarray], rate: float, pick: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> int:
-        symbols, target, valid, _, of = self.laid(ids, pick)
-        order = np.random.default_rng(5).permutation(len(of))
-        for i in range(0, len(of), BATCH):
-            s = order[i:i + BATCH]
-            self.net.learn(symbols[s], self.of_class[target[s]], valid[s], rate)
+        """Learns from each window what it scores, so that every id is a target once.  How many windows there were."""
+        symbols, target, _, scored, of = self.laid(ids, pick)
+        rng = np.random.default_rng(5)
+        steps = [own[i:i + BATCH] for own in _by_kind(scored, rng.permutation(len(of))) for i in range(0, len(own), BATCH)]
+        for i in rng.permutation(len(steps)):
+            s = steps[i]
+            self.net.learn(symbols[s], self.of_class[target[s]], scored[s], rate)
         return len(of)
 
 
+def _by_kind(scored: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The windows of ``order`` that begin a text, and the later ones, of which only what follows their context is asked."""
+    begins = scored[order, 0]
+    return order[begins], order[~begins]
+
+
 def _ids(frame: pd.DataFrame) -> Iterator[list[np.ndarray]]:
     for block in _blocks(frame["ids"], frame["ids"].str.len(), 2 * BLOCK):
         yield [np.frombuffer(b, "<u2").astype(np.int64) for b in block]
@@ -249,7 +260,7 @@ def base_sums(rows: DataFrame, path: str) -> tuple[DataFrame, int]:
     spark = rows.sparkSession
     total = rows.agg(F.sum("n_ids")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PER_BUCKET))
-    begins = _space_ids(path)
+    begins = subwords(path, literal=True).begins()
 
     def emit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -302,14 +313,6 @@ def base_sums(rows: DataFrame, path: str) -> tuple[DataFrame, int]:
     return shares.where("block >= 0").groupBy("block").applyInPandas(gather, "row long, share double, known long"), distinct
 
 
-def _space_ids(path: str) -> np.ndarray:
-    """Which ids begin with a space (byte-level vocabularies write it as U+0120)."""
-    vocabulary = subwords(path, literal=True).tokenizer.get_vocab()
-    out = np.zeros(1 << 16, bool)
-    out[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
-    return out
-
-
 def score_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     """One row per input row: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 

@@ -144,3 +144,61 @@ def test_every_later_token_is_predicted_from_half_a_window(model):
     _, _, _, scored, of = model.laid([np.arange(n) % 1000 for n in (5, WINDOW, WINDOW + 1, 500)])
     later = np.append(False, of[1:] == of[:-1])
     assert later.any() and scored[later].argmax(1).min() >= WINDOW // 2
+
+
+def test_every_id_is_a_target_once(model, monkeypatch):
+    """Also where windows overlap; later windows look back at their first half and ask only about the second."""
+    asked = []
+    monkeypatch.setattr(Attention, "learn", lambda self, s, target, valid, rate: asked.append(valid))
+    lengths = [1, 5, CONTEXT, WINDOW, WINDOW + 1, 500]
+    model.learn([np.arange(n) % 1000 for n in lengths], 0.1)
+    assert sum(int(v.sum()) for v in asked) == sum(lengths)
+    assert all(v[:, 0].all() or not v[:, :CONTEXT].any() for v in asked) and len({bool(v[0, 0]) for v in asked}) == 2
+
+
+@pytest.mark.parametrize("name", ["e", "p", "wq", "wk", "wv", "w1", "b1", "w2", "b2"])
+def test_slopes_of_later_windows_equal_differences(name):
+    net = Attention(12, 4, seed=1)
+    rng = np.random.default_rng(4)
+    s, t = rng.integers(0, 12, (3, WINDOW)), rng.integers(0, 4, (3, WINDOW))
+    asked = (rng.random((3, WINDOW)) < 0.8) & (np.arange(WINDOW) >= CONTEXT)
+    net.w = {k: w.astype(np.float64) for k, w in net.w.items()}
+    before = {k: w.copy() for k, w in net.w.items()}
+    net.g2 = {k: np.full(w.shape, 1e12) for k, w in net.w.items()}
+    net.learn(s, t, asked, 1e6)
+    slope = before[name] - net.w[name]
+    at = np.unravel_index(np.abs(slope).argmax(), slope.shape)
+    loss = []
+    for d in (1e-3, -1e-3):
+        net.w = {k: w.copy() for k, w in before.items()}
+        net.w[name][at] += d
+        loss.append(-net.log_classes(s, t, asked).sum() / asked.sum())
+    assert slope[at] == pytest.approx((loss[0] - loss[1]) / 2e-3, rel=0.05, abs=1e-4)
+
+
+def test_later_windows_score_alike_alone_and_among_first_ones(model):
+    symbols, target, _, scored, _ = model.laid([np.arange(n) * 7 % 1000 for n in (40, 300)])
+    goal, later = model.of_class[target], ~scored[:, 0]
+    every = np.full(scored.shape, np.nan)
+    every[scored] = model.net.log_classes(symbols, goal, scored)
+    assert np.allclose(every[later][scored[later]], model.net.log_classes(symbols[later], goal[later], scored[later]), rtol=1e-4)
+
+
+def test_words_encoded_together_have_the_ids_of_each_alone(monkeypatch):
+    odd = ["a\xa0", "　", "\x85b", "x y", "'s", "it's", "...", "1st", "é日", "<|endoftext|>", "a" * 5000, "\x1c", "!?", "ab,cd"]
+    found = [w.encode() for w in odd + [f"w{i}" for i in range(200)]]
+    bpe = lm.subwords(lm.vocabulary_path(), literal=True)
+    bpe.words, bpe.older_words = {}, {}
+    sent, batch = [], type(bpe.tokenizer).encode_batch_fast
+    class Counted:
+        def __getattr__(self, name):
+            return getattr(bpe_tokenizer, name)
+
+        def encode_batch_fast(self, texts, **options):
+            sent.extend(texts)
+            return batch(bpe_tokenizer, texts, **options)
+    bpe_tokenizer = bpe.tokenizer
+    monkeypatch.setattr(bpe, "tokenizer", Counted())
+    got = bpe.encode_words([[w] for w in found])
+    assert got == [np.array(bpe_tokenizer.encode(" " + w.decode(), add_special_tokens=False).ids, "<u2").tobytes() for w in found]
+    assert len(sent) < len(found) / 4
