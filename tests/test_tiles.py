@@ -78,6 +78,34 @@ def test_few_rows_with_many_columns_are_shared_by_several_tasks(spark, monkeypat
     assert len(list(tmp_path.iterdir())) > 1
 
 
+def test_all_pairs_travel_in_groups(spark, matrix, small_tiles, monkeypatch):
+    """A tile goes to about as many tasks as there are groups, not as there are row blocks, and dosages take two bits each."""
+    monkeypatch.setattr(tiles, "SIDES", 3)
+    sent, group = [], tiles._group_kernel
+    monkeypatch.setattr(tiles, "_group_kernel", lambda *a: sent.append(a) or group(*a))
+    x = matrix.copy()
+    x[np.random.default_rng(6).random(x.shape) < 0.2] = np.nan
+    z = np.nan_to_num(x - np.nanmean(x, 0))
+    p = np.nanmean(x, 0) / 2
+    rows = popgen.relationship_matrix(long_of(spark, x)).collect()
+    assert len(rows) == len({(r.sample1, r.sample2) for r in rows}) == 60 * 61 // 2 and sent == [(True,)]
+    want = z @ z.T / (2 * (p * (1 - p)).sum())
+    assert all(r.sample1 <= r.sample2 and abs(r.g - want[int(r.sample1[1:]), int(r.sample2[1:])]) < 1e-9 for r in rows)
+    monkeypatch.setattr(tiles, "HELD", 1)               # rows too wide for groups
+    assert sorted(popgen.relationship_matrix(long_of(spark, x)).select("sample1", "sample2").collect()) == sorted((r.sample1, r.sample2) for r in rows)
+
+
+@pytest.mark.parametrize("shape", [(256, 200), (5, 3), (1, 7), (60, 1)])
+def test_a_tile_of_dosages_is_small_and_comes_back(shape):
+    rng = np.random.default_rng(1)
+    x = rng.choice([0.0, 1.0, 2.0], size=shape) - rng.random(shape[1])
+    x[rng.random(shape) < 0.1] = 0.0
+    for block in (x, rng.normal(size=shape), np.zeros(shape)):
+        data = tiles._shrunk(block)
+        assert np.array_equal(tiles._block(range(shape[0]), range(shape[1]), data), block)
+    assert len(tiles._shrunk(x)) <= x.nbytes and (shape[0] < 256 or len(tiles._shrunk(x)) < x.nbytes // 16)
+
+
 def test_constant_variant_has_zero_r(spark):
     x = np.array([[1.0, 0], [1, 1], [1, 2]])
     assert popgen.pairwise_r2(long_of(spark, x)).first().r == 0.0
