@@ -6,16 +6,19 @@ Two row blocks meet in one task, which reads their tiles column block by column
 rows.  Partial sums bound the distance from below; a pair beyond its rows' bounds is stopped, and once no pair is left
 the remaining tiles are not even unpacked.
 
-1. Every row block meets itself: rows near each other are together, so this gives good answers and an upper bound per row.
+1. Every group of row blocks meets itself: rows near each other are together, so this gives good answers and an upper bound per row.
 2. All pairs of row blocks meet on an eighth of the columns.  Those in which every pair is hopeless are done.
 3. The others meet on all columns, and what they find is merged with the first answers.
 
+Meanwhile a task keeps no more than the nearest donors of each gap, and what it has found bounds what it still looks for.
+
 Alikeness only saves work; the result is exact for any order of the rows.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,6 +35,8 @@ PROBE = 8                   # one in so many column blocks is tried on all pairs
 PIVOTS = 16                 # rows of one column block that sort the others by likeness
 SIDES = 64                  # groups of row blocks, so a tile is sent to about as many tasks, while a group fits
 HELD = 32 << 20             # bytes of the tiles of a group
+GATHERED = 200_000          # donors that come before those beyond the k nearest go
+BATCH = 100_000             # donors given back at once
 BOUND, WORK = -1, -2        # marks in place of a column: a row's bound, a meeting's (pairs completed, pairs)
 
 _FOUND = "row string, idx long, donor string, distance double, value double"
@@ -89,7 +94,7 @@ class _Meeting:
         self.heads: list = [None, None]
         self.held = self.distance = None
 
-    def take(self, t) -> pd.DataFrame | None:
+    def take(self, t) -> list | None:
         if t.step == 0:
             self.heads[t.side] = t
             if self.own:
@@ -122,7 +127,7 @@ class _Meeting:
         self.sums, self.both = np.zeros(self.n), np.zeros(self.n)
         self.alive = self.ahead | self.back
 
-    def _tile(self, t, u) -> pd.DataFrame | None:
+    def _tile(self, t, u) -> list | None:
         a, ma = unpack(t.data, self.n[0], self.width)
         b, mb = (a, ma) if self.own else unpack(u.data, self.n[1], self.width)
         if t.step == 1:
@@ -139,8 +144,13 @@ class _Meeting:
             by_name = [np.argsort(n.astype(str), kind="stable") for n in self.names]
             self.order = [[g[np.argsort(d[g], kind="stable")] for d in m] for m, g in (
                 (np.where(self.ahead, self.distance, np.inf), by_name[1]), (np.where(self.back, self.distance, np.inf).T, by_name[0]))]
-        out = self._donors(0, int(t.cb), ma, b, mb)
-        return out if self.own else pd.concat([out, self._donors(1, int(t.cb), mb, a, ma)])
+        out = [(0, self._donors(0, int(t.cb), ma, b, mb))]
+        return out if self.own else [*out, (1, self._donors(1, int(t.cb), mb, a, ma))]
+
+    def named(self, out: list | None) -> Iterator[pd.DataFrame]:
+        for side, (r, idx, o, distance, value) in out or ():
+            if len(r):
+                yield pd.DataFrame({"row": self.names[side][r], "idx": idx, "donor": self.names[1 - side][o], "distance": distance, "value": value})
 
     def _stop(self) -> None:
         """Drop the pairs whose distance, whatever the columns to come hold, is beyond the asking row's bound."""
@@ -162,9 +172,8 @@ class _Meeting:
         else:
             self.distance = np.where(self.alive, self.sums / self.p, np.inf)
 
-    def _donors(self, side: int, cb: int, asks: np.ndarray, values: np.ndarray, there: np.ndarray) -> pd.DataFrame:
-        """The k nearest donors of this block pair for every gap of the asking rows in one column block."""
-        names, givers = self.names[side], self.names[1 - side]
+    def _donors(self, side: int, cb: int, asks: np.ndarray, values: np.ndarray, there: np.ndarray) -> list[np.ndarray]:
+        """The k nearest donors of this block pair for every gap of the asking rows in one column block; rows by their place."""
         distance, mask = (self.distance, self.ahead) if side == 0 else (self.distance.T, self.back.T)
         inside = np.arange(self.width) * self.n_cb + cb < self.p
         found = []
@@ -180,10 +189,9 @@ class _Meeting:
             if self.own:
                 whole = len(order) and (place[-1] >= self.k).all()
                 self.worst[r] = max(self.worst[r], distance[r][order[o]].max() if whole else np.inf)
-            found.append((np.full(len(o), names[r], object), gaps[g] * self.n_cb + cb, givers[order[o]], distance[r][order[o]], values[order[o], gaps[g]]))
-        columns = [np.concatenate(c) for c in zip(*found)] if found else [[]] * 5
-        return pd.DataFrame({"row": columns[0], "idx": np.asarray(columns[1], np.int64), "donor": columns[2],
-                             "distance": np.asarray(columns[3], float), "value": np.asarray(columns[4], float)})
+            found.append((np.full(len(o), r), gaps[g] * self.n_cb + cb, order[o], distance[r][order[o]], values[order[o], gaps[g]]))
+        kinds = (np.int64, np.int64, np.int64, float, float)
+        return [np.concatenate(c).astype(t) for c, t in zip(zip(*found), kinds)] if found else [np.empty(0, t) for t in kinds]
 
     def end(self) -> pd.DataFrame:
         """Bounds (a block with itself) or nearest distances (Hamming), and the work done."""
@@ -199,20 +207,86 @@ class _Meeting:
         return pd.DataFrame(rows, columns=["row", "idx", "donor", "distance", "value"])
 
 
-def _best(found: list[pd.DataFrame], kind: str, k: int) -> pd.DataFrame:
-    """What the meetings of one task found, merged: the nearest of a row, the k nearest donors of a gap, the work in all."""
-    rows = pd.concat(found, ignore_index=True)
-    work, near = rows[rows["idx"] == WORK], rows[rows["idx"] != WORK]
-    near = near.sort_values(["distance", "donor"], kind="stable").groupby(["row", "idx"], sort=False).head(k if kind == "euclid" else 1)
-    total = pd.DataFrame([(None, WORK, None, work["distance"].sum(), work["value"].sum())], columns=rows.columns)
-    return pd.concat([total, near], ignore_index=True)
-
-
-def _meet_groups(kind: str, p: int, n_cb: int, k: int, steps: list[int], probe: bool):
-    """Records sorted by pair of groups, step, row block and column block: the pairs of row blocks wanted, heads, tiles.
-
-    Two groups are held as packed tiles; their row blocks meet one pair after the other.
-    """
+class _Gathered:
+    """What the meetings of two groups find: the nearest of a row, the k nearest donors of a gap.  Rows are numbers here, and
+    whenever ``GATHERED`` more donors have come, all beyond the k nearest go and the rows' bounds become tighter."""
+
+    def __init__(self, kind: str, p: int, k: int, heads: dict):
+        self.kind, self.p, self.k = kind, p, k
+        first, self.base = 0, {}
+        for rb in sorted(heads):
+            self.base[rb] = first
+            first += len(heads[rb].ids)
+        each = [heads[rb] for rb in sorted(heads)]
+        self.names = np.concatenate([np.asarray(h.ids, object) for h in each])
+        self.by_name = np.argsort(self.names.astype(str), kind="stable")
+        self.place = np.empty(first, np.int64)
+        self.place[self.by_name] = np.arange(first)
+        self.wants = np.concatenate([np.asarray(h.wants, bool) for h in each])
+        self.gaps = p - np.concatenate([np.asarray(h.present, np.int64) for h in each])
+        self.limit = np.concatenate([np.full(len(h.ids), np.inf) if h.bound is None else np.asarray(h.bound, float) for h in each])
+        self.near = np.full(first, np.inf)
+        self.found, self.n, self.kept = [], 0, 0
+        self.pairs = self.completed = 0.0
+
+    def rows(self, rb: int, n: int) -> slice:
+        return slice(self.base[rb], self.base[rb] + n)
+
+    def add(self, ends: tuple[int, int], out: list | None) -> None:
+        for side, (r, idx, o, distance, value) in out or ():
+            if len(r):
+                self.found.append(((self.base[ends[side]] + r) * self.p + idx, self.place[self.base[ends[1 - side]] + o], distance, value))
+                self.n += len(r)
+        if self.n > 2 * self.kept + GATHERED:
+            self.settle()
+
+    def end(self, ends: tuple[int, int], meeting: _Meeting) -> None:
+        if meeting.distance is None:
+            meeting._close()
+        self.pairs, self.completed = self.pairs + meeting.pairs, self.completed + meeting.alive.sum()
+        if self.kind == "hamming":
+            for side, d in ((0, np.where(meeting.ahead, meeting.distance, np.inf)), (1, np.where(meeting.back, meeting.distance, np.inf).T)):
+                at = self.rows(ends[side], len(d))
+                self.near[at] = np.minimum(self.near[at], d.min(1, initial=np.inf))
+                self.limit[at] = np.minimum(self.limit[at], self.near[at])
+        elif meeting.own:
+            at = self.rows(ends[0], meeting.n[0])
+            self.limit[at] = np.where(meeting.asked, np.minimum(self.limit[at], meeting.worst), self.limit[at])
+
+    def settle(self) -> None:
+        if not self.found:
+            return
+        gap, donor, distance, value = (np.concatenate(c) for c in zip(*self.found))
+        order = np.lexsort((donor, distance, gap))
+        gap = gap[order]
+        new = np.flatnonzero(np.append(True, gap[1:] != gap[:-1]))
+        place = np.arange(len(gap)) - np.repeat(new, np.diff(np.append(new, len(gap))))
+        near = place < self.k
+        last = order[place == self.k - 1]               # of a gap with k donors, the farthest
+        row = gap[place == self.k - 1] // self.p
+        whole = np.bincount(row, minlength=len(self.gaps)) == self.gaps
+        worst = np.full(len(self.gaps), -np.inf)
+        np.maximum.at(worst, row, distance[last])
+        self.limit = np.where(whole & (self.gaps > 0), np.minimum(self.limit, worst), self.limit)
+        order = order[near]
+        self.found = [(gap[near], donor[order], distance[order], value[order])]
+        self.n = self.kept = len(order)
+
+    def records(self, bounds: bool) -> Iterator[pd.DataFrame]:
+        self.settle()
+        yield pd.DataFrame([(None, WORK, None, float(self.pairs), float(self.completed))], columns=["row", "idx", "donor", "distance", "value"])
+        told = self.near if self.kind == "hamming" else np.where(self.wants & bounds, self.limit, np.inf)
+        at = np.flatnonzero(np.isfinite(told))
+        yield pd.DataFrame({"row": self.names[at], "idx": BOUND, "donor": None, "distance": told[at], "value": np.nan})
+        for gap, donor, distance, value in self.found:
+            for lo in range(0, len(gap), BATCH):
+                part = slice(lo, lo + BATCH)
+                yield pd.DataFrame({"row": self.names[gap[part] // self.p], "idx": gap[part] % self.p, "donor": self.names[self.by_name[donor[part]]],
+                                    "distance": distance[part], "value": value[part]})
+
+
+def _grouped(met: Callable[[list, dict, dict], Iterator[pd.DataFrame]]):
+    """Records sorted by pair of groups, step, row block and column block: the pairs of row blocks wanted, heads, tiles."""
     def run(batches):
         key, held = None, ([], {}, {})
         for pdf in batches:
@@ -228,31 +302,33 @@ def _meet_groups(kind: str, p: int, n_cb: int, k: int, steps: list[int], probe:
                 else:
                     tiles.setdefault(t.rb, []).append(t)
         yield from met(*held)
+    return run
+
 
+def _met_all(kind: str, p: int, n_cb: int, k: int, steps: list[int], probe: bool, bounds: bool):
+    """Two groups are held as packed tiles; their row blocks meet one pair after the other, those that meet themselves first."""
     def met(wanted, heads, tiles):
-        found = []
-        for i, j in wanted:
+        if not wanted:
+            return
+        got = _Gathered(kind, p, k, heads)
+        for i, j in sorted(wanted, key=lambda ends: (ends[0] != ends[1], ends)):
             meeting = _Meeting(kind, p, n_cb, k, i == j)
-            meeting.take(heads[i])
-            if i != j:
-                meeting.take(heads[j]._replace(side=1))
+            for side, rb in enumerate((i, j)[:1 + (i != j)]):
+                meeting.take(heads[rb]._replace(side=side, bound=got.limit[got.rows(rb, len(heads[rb].ids))]))
             for step in steps:
                 for t, u in zip(tiles[i], tiles[j]):
                     if not meeting.alive.any():
                         break
-                    outs = [meeting.take(t._replace(step=step))]
+                    got.add((i, j), meeting.take(t._replace(step=step)))
                     if i != j:
-                        outs.append(meeting.take(u._replace(step=step, side=1)))
-                    found += [out for out in outs if out is not None and len(out)]
+                        got.add((i, j), meeting.take(u._replace(step=step, side=1)))
             if not probe:
-                found.append(meeting.end())
+                got.end((i, j), meeting)
             elif meeting.alive.any():
-                found.append(pd.DataFrame({"i": [i], "j": [j]}))
-            if not probe and len(found) > 1000:
-                found = [_best(found, kind, k)]
-        if found:
-            yield pd.concat(found) if probe else _best(found, kind, k)
-    return run
+                yield pd.DataFrame({"i": [i], "j": [j]})
+        if not probe:
+            yield from got.records(bounds)
+    return met
 
 
 def _meet(kind: str, p: int, n_cb: int, k: int, probe: bool):
@@ -265,9 +341,7 @@ def _meet(kind: str, p: int, n_cb: int, k: int, probe: bool):
                     if meeting is not None:
                         yield from done(key, meeting)
                     key, meeting = (t.i, t.j), _Meeting(kind, p, n_cb, k, t.i == t.j)
-                out = meeting.take(t)
-                if out is not None and len(out):
-                    yield out
+                yield from meeting.named(meeting.take(t))
         if meeting is not None:
             yield from done(key, meeting)
 
@@ -373,13 +447,16 @@ class _Laid:
         high = groups.where("gi < gj").withColumn("g", F.col("gj")).join(body, "g").drop("g")
         return wanted.unionByName(low).unionByName(high).withColumn("side", F.lit(0))
 
-    def _meetings(self, pairs: DataFrame, heads: DataFrame, tiles: DataFrame, steps: list[int], n: int, probe: bool = False) -> DataFrame:
+    def _meetings(self, pairs: DataFrame, heads: DataFrame, tiles: DataFrame, steps: list[int], n: int, probe: bool = False, bounds: bool = False) -> DataFrame:
         if self.group == 1:
             return self._run(self._sent(pairs, heads, tiles, steps), n, probe)
+        return self._run_groups(pairs, heads, tiles, n, _grouped(_met_all(self.kind, self.p, self.n_cb, self.k, steps, probe, bounds)), "i long, j long" if probe else _FOUND)
+
+    def _run_groups(self, pairs: DataFrame, heads: DataFrame, tiles: DataFrame, n: int, kernel, schema: str) -> DataFrame:
         sides = math.ceil(self.n_rb / self.group)
         parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), min(n, sides * (sides + 1) // 2) // 2)
         dealt = self._sent_groups(pairs, heads, tiles).repartition(parts, "gi", "gj").sortWithinPartitions("gi", "gj", "step", "rb", "cb")
-        return cut_lineage(dealt.mapInPandas(_meet_groups(self.kind, self.p, self.n_cb, self.k, steps, probe), "i long, j long" if probe else _FOUND))
+        return cut_lineage(dealt.mapInPandas(kernel, schema))
 
     def _run(self, sent: DataFrame, meetings: int, probe: bool = False) -> DataFrame:
         parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), min(meetings // 4, 20_000))
@@ -388,13 +465,15 @@ class _Laid:
 
     def found(self) -> DataFrame:
         steps = [1, 2] if self.kind == "euclid" else [1]
-        blocks = self.spark.range(self.n_rb).select(F.col("id").alias("i"), F.col("id").alias("j"))
-        first = self._run(self._sent(blocks, self._heads(None), self.tiles, steps), self.n_rb)
-        if self.n_rb < 2:
+        blocks = self.spark.range(self.n_rb).select(F.col("id").alias("i"), F.expr(f"least((id div {self.group} + 1) * {self.group}, {self.n_rb}) - 1").alias("_last"))
+        blocks = blocks.select("i", F.explode(F.sequence("i", "_last")).alias("j"))             # every group meets itself
+        first = self._meetings(blocks, self._heads(None), self.tiles, steps, self.n_rb, bounds=True)
+        if self.n_rb <= self.group:
             return first
         heads = cut_lineage(self._heads(first.where(F.col("idx") == BOUND)))
         pairs = self.spark.range(self.n_rb - 1).select(F.col("id").alias("i")).withColumn(
             "j", F.explode(F.sequence(F.col("i") + 1, F.lit(self.n_rb - 1).cast("long"))))
+        pairs = pairs.where(F.expr(f"i div {self.group} < j div {self.group}"))
         meetings = self.n_rb * (self.n_rb - 1) // 2
         if self.n_cb > 1:
             tried = self.tiles.where(F.col("cb") < math.ceil(self.n_cb / PROBE))

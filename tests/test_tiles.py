@@ -1,3 +1,5 @@
+from collections import namedtuple
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -334,3 +336,34 @@ def test_correlation_p_values():
     # t(10) = 2.228139 is the two-sided 5 % point; t(1) = 1 gives one half
     p = popgen.t_two_sided(np.array([2.228139, 1.0, 0.0, 30.0]), np.array([10.0, 1.0, 5.0, 100.0]))
     assert np.allclose(p[:3], [0.05, 0.5, 1.0], atol=1e-6) and p[3] < 1e-40
+
+
+def test_a_task_keeps_the_nearest_donors_only(monkeypatch):
+    """However many meetings there are; rows with all gaps answered get a bound, which stops what comes later."""
+    monkeypatch.setattr(planes, "GATHERED", 40)
+    rng = np.random.default_rng(2)
+    n, p, k = 6, 5, 2
+    x = rng.integers(0, 3, size=(4, n, p)).astype(float)
+    x[rng.random(x.shape) < 0.3] = np.nan
+    record = namedtuple("record", "step side rb cb ids present wants gives bound data")
+    heads = {b: record(0, 0, b, 0, [f"s{(7 * (b * n + i)) % 24:02d}" for i in range(n)], list((~np.isnan(x[b])).sum(1)), list(np.isnan(x[b]).any(1)), [True] * n, None, None) for b in range(4)}
+    tiles = {b: [record(1, 0, b, 0, None, None, None, None, None, planes.pack(x[b]))] for b in range(4)}
+    most, settle, limits = [], planes._Gathered.settle, []
+
+    def settled(self):
+        most.append(self.n)
+        settle(self)
+        assert self.n <= k * self.gaps.sum()
+        limits.append(self.limit.copy())
+    monkeypatch.setattr(planes._Gathered, "settle", settled)
+    wanted = [(i, j) for i in range(4) for j in range(i, 4)]
+    out = pd.concat(planes._met_all("euclid", p, 1, k, [1, 2], False, True)(wanted, heads, tiles))
+    assert len(most) > 2 and max(most) < 3 * k * np.isnan(x).sum() + 40
+    assert all((b <= a).all() for a, b in zip(limits, limits[1:])) and np.isfinite(limits[-1]).any()
+    flat, names = x.reshape(-1, p), [name for b in range(4) for name in heads[b].ids]
+    got = {g: sorted(zip(d["distance"].round(9), d["donor"])) for g, d in out[out["idx"] >= 0].groupby(["row", "idx"])}
+    for i, j in zip(*np.where(np.isnan(flat))):
+        both = ~np.isnan(flat[i]) & ~np.isnan(flat)
+        near = sorted((round(float(np.sqrt(((flat[i] - flat[t])[both[t]] ** 2).sum() * p / both[t].sum())), 9), names[t])
+                      for t in range(len(flat)) if t != i and both[t].any() and not np.isnan(flat[t, j]))[:k]
+        assert got.get((names[i], j), []) == near
