@@ -11,6 +11,7 @@ the remaining tiles are not even unpacked.
 3. The others meet on all columns, and what they find is merged with the first answers.
 
 Meanwhile a task keeps no more than the nearest donors of each gap, and what it has found bounds what it still looks for.
+Hamming distances in a single column block have nothing to stop early; there two groups meet in a few products.
 
 Alikeness only saves work; the result is exact for any order of the rows.
 """
@@ -37,6 +38,7 @@ SIDES = 64                  # groups of row blocks, so a tile is sent to about a
 HELD = 32 << 20             # bytes of the tiles of a group
 GATHERED = 200_000          # donors that come before those beyond the k nearest go
 BATCH = 100_000             # donors given back at once
+TOGETHER = 16               # row blocks of base rows that queries meet at once
 BOUND, WORK = -1, -2        # marks in place of a column: a row's bound, a meeting's (pairs completed, pairs)
 
 _FOUND = "row string, idx long, donor string, distance double, value double"
@@ -331,6 +333,71 @@ def _met_all(kind: str, p: int, n_cb: int, k: int, steps: list[int], probe: bool
     return met
 
 
+# four points as far from each other: the product of two is 3 if they are the same and else -1
+_FOUR = np.array([[1, 1, 1], [1, -1, -1], [-1, 1, -1], [-1, -1, 1]], np.float32)
+
+
+def _coded(data: bytes, rows: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of a tile, and per cell 0 where there is none, else one more than its number's place among them."""
+    if data[0] == 2:
+        return np.frombuffer(data, float, count=data[1], offset=2), np.frombuffer(data, np.uint8, offset=2 + 8 * data[1]).reshape(rows, width)
+    values, there = unpack(data, rows, width)
+    if data[0]:
+        return np.arange(3.0), (values.astype(np.uint8) + 1) * there
+    book, named = np.unique(values, return_inverse=True)
+    return book, (named.reshape(rows, width) + 1) * there
+
+
+def _nearest_groups(p: int, group: int):
+    """As ``_met_all`` for Hamming distances in one column block, where no partial sum can stop a pair: all queries and base
+    rows of two groups in a few products.  Of a pair, the columns that agree come from points for each kind of call."""
+    def met(wanted, heads, tiles):
+        if not wanted:
+            return
+        first, second = ([rb for rb in sorted(heads) if rb // group == end // group] for end in wanted[0])
+        sides = [(first, second)] if first == second else [(first, second), (second, first)]
+        coded = {rb: _coded(tiles[rb][0].data, len(heads[rb].ids), p) for rb in heads}
+        near = {}
+        for asking, giving in sides:
+            asks = [(rb, np.flatnonzero(np.asarray(heads[rb].wants, bool))) for rb in asking]
+            gives = [(rb, np.flatnonzero(np.asarray(heads[rb].gives, bool))) for rb in giving]
+            asks, gives = ([(rb, at) for rb, at in x if len(at)] for x in (asks, gives))
+            if not asks or not gives:
+                continue
+            met = [np.unique(np.concatenate([coded[rb][0][np.flatnonzero(np.bincount(coded[rb][1][at].reshape(-1), minlength=len(coded[rb][0]) + 1)[1:])] for rb, at in x]))
+                   for x in (asks, gives)]
+            kinds = np.intersect1d(*met)
+            four = len(kinds) < 4 and min(len(m) for m in met) == len(kinds)      # one side has no other calls than these
+            points = _FOUR if four else np.eye(len(kinds) + 1, dtype=np.float32)
+
+            def placed(rb, at):
+                """A point per cell, none where the other side has no such call, and how many cells have one."""
+                book, codes = coded[rb]
+                table = np.zeros((len(book) + 1, points.shape[1]), np.float32)
+                table[0] = points[0]
+                known = np.isin(book, kinds)
+                table[1:][known] = points[1 + np.searchsorted(kinds, book[known])]
+                codes = codes[at]
+                return table[codes].reshape(len(at), -1), np.append(True, known)[codes].sum(1)
+
+            for lo in range(0, len(gives), TOGETHER):
+                base, told = (np.concatenate(x) for x in zip(*[placed(rb, at) for rb, at in gives[lo:lo + TOGETHER]]))
+                for rb, at in asks:
+                    query, said = placed(rb, at)
+                    same = query @ base.T
+                    if four:                        # 3 for each cell that agrees, -1 for each other that both have
+                        same += (told - p).astype(np.float32)
+                        most = (same.max(1).astype(np.float64) + said) / 4
+                    else:
+                        most = same.max(1).astype(np.float64)
+                    near.setdefault(rb, np.full(len(heads[rb].ids), np.inf))
+                    near[rb][at] = np.minimum(near[rb][at], (p - most) / p)
+        for rb, d in near.items():
+            at = np.flatnonzero(np.isfinite(d))
+            yield pd.DataFrame({"row": np.asarray(heads[rb].ids, object)[at], "idx": BOUND, "donor": None, "distance": d[at], "value": np.nan})
+    return _grouped(met)
+
+
 def _meet(kind: str, p: int, n_cb: int, k: int, probe: bool):
     """Records sorted by block pair, step, column block and side; one block pair is held at a time."""
     def run(batches):
@@ -465,6 +532,10 @@ class _Laid:
 
     def found(self) -> DataFrame:
         steps = [1, 2] if self.kind == "euclid" else [1]
+        if self.kind == "hamming" and self.n_cb == 1:
+            groups = math.ceil(self.n_rb / self.group)          # a group is named by its first row block
+            pairs = self.spark.range(groups).select((F.col("id") * self.group).alias("i"), F.explode(F.sequence("id", F.lit(groups - 1).cast("long"))).alias("_h"))
+            return self._run_groups(pairs.select("i", (F.col("_h") * self.group).alias("j")), self._heads(None), self.tiles, groups * groups, _nearest_groups(self.p, self.group), _FOUND)
         blocks = self.spark.range(self.n_rb).select(F.col("id").alias("i"), F.expr(f"least((id div {self.group} + 1) * {self.group}, {self.n_rb}) - 1").alias("_last"))
         blocks = blocks.select("i", F.explode(F.sequence("i", "_last")).alias("j"))             # every group meets itself
         first = self._meetings(blocks, self._heads(None), self.tiles, steps, self.n_rb, bounds=True)

@@ -338,6 +338,31 @@ def test_correlation_p_values():
     assert np.allclose(p[:3], [0.05, 0.5, 1.0], atol=1e-6) and p[3] < 1e-40
 
 
+@pytest.mark.parametrize("odd", ["none", "queries", "base", "both", "many"])
+def test_hamming_in_one_column_block_is_a_product(spark, matrix, monkeypatch, odd):
+    """No pair of row blocks has sums of its own there, whatever other values than calls one side or both have."""
+    monkeypatch.setattr(planes, "ROWS", 7)
+    monkeypatch.setattr(planes, "SIDES", 3)
+    monkeypatch.setattr(planes, "TOGETHER", 2)
+
+    def never(*args):
+        raise AssertionError("row blocks met one by one")
+    monkeypatch.setattr(planes, "_met_all", never)
+    monkeypatch.setattr(planes, "_meet", never)
+    rng = np.random.default_rng(4)
+    x, y = matrix[:25].copy(), matrix[25:].copy()
+    for side, own in ((x, "queries"), (y, "base")):
+        if odd in (own, "both"):
+            side[rng.random(side.shape) < 0.2] = 1.4 if own == "queries" else 3.0
+            side[rng.random(side.shape) < 0.1] = 0.25
+        if odd == "many":
+            side[:] = rng.integers(0, 300, side.shape) / 7
+        side[rng.random(side.shape) < 0.15] = np.nan
+    got = {r.sample_id: r.distance for r in latent.nearest_hamming(long_of(spark, x), long_of(spark, y)).collect()}
+    want = (np.nan_to_num(x, nan=-1.0)[:, None] != np.nan_to_num(y, nan=-1.0)[None]).mean(2).min(1)
+    assert len(got) == 25 and all(abs(got[f"s{i:03d}"] - want[i]) < 1e-12 for i in range(25))
+
+
 def test_a_task_keeps_the_nearest_donors_only(monkeypatch):
     """However many meetings there are; rows with all gaps answered get a bound, which stops what comes later."""
     monkeypatch.setattr(planes, "GATHERED", 40)
