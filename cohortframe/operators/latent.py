@@ -221,10 +221,13 @@ def capture_ratios(real: DataFrame, synth: DataFrame, k: int = 20, share: float
 
 # ---- distances ----------------------------------------------------------------
 
+def _norm():
+    return F.sqrt(F.aggregate("vec", F.lit(0.0), lambda acc, x: acc + x * x))
+
+
 def unit_vectors(rows: DataFrame) -> DataFrame:
     """Vectors scaled to length 1; zero vectors are left out."""
-    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda acc, x: acc + x * x))
-    return (rows.withColumn("_n", norm).where(F.col("_n") > 0)
+    return (rows.withColumn("_n", _norm()).where(F.col("_n") > 0)
             .select("id", F.transform("vec", lambda x: x / F.col("_n")).alias("vec")))
 
 
@@ -233,7 +236,7 @@ def nearest_real(synth: DataFrame, real: DataFrame) -> DataFrame:
     s = synth.select("id", F.col("vec").cast("array<double>").alias("vec"))
     r = real.select("id", F.col("vec").cast("array<double>").alias("vec"))
     euclid = nearest_distance(s, r)
-    on_sphere = nearest_distance(unit_vectors(s), unit_vectors(r))
+    on_sphere = nearest_distance(s.where(_norm() > 0), r.where(_norm() > 0), unit=True)
     cosine = on_sphere.select("id", (1.0 - F.col("distance") * F.col("distance") / 2).alias("cosine"))
     return euclid.join(cosine, "id", "left").withColumn("cosine", F.coalesce("cosine", F.lit(0.0)))
 

@@ -1,3 +1,4 @@
+import uuid
 from collections import namedtuple
 
 import numpy as np
@@ -129,6 +130,44 @@ def test_nearest_is_exact(spark, skewed, small_tiles):
     assert all(abs(cos[f"q{i}"] - c[i]) < 1e-7 for i in range(80))
 
 
+@pytest.mark.parametrize("single", [False, True])
+def test_a_query_goes_once_to_each_group(spark, small_tiles, monkeypatch, tmp_path, single):
+    """Not once for each cell that may hold its nearest row, nor a base row to every tile of queries; also with groups that fill up."""
+    folder, kernel = str(tmp_path), tiles._nearest_kernel
+
+    def told(*args):
+        def run(batches):
+            def seen():
+                for pdf in batches:
+                    with open(f"{folder}/{uuid.uuid4().hex}", "w") as out:
+                        out.write(f"{(pdf['side'] == 0).sum()} {(pdf['side'] == 1).sum()}")
+                    yield pdf
+            yield from kernel(*args)(seen())
+        return run
+    monkeypatch.setattr(tiles, "_nearest_kernel", told)
+    monkeypatch.setattr(tiles, "GROUPS", 3)
+    rng = np.random.default_rng(7)
+    base, query = rng.normal(size=(200, 12)), rng.normal(size=(90, 12))
+    if single:
+        base, query = base.astype(np.float32).astype(float), query.astype(np.float32).astype(float)
+    base[0] = query[0] = 0.0
+    b = spark.createDataFrame([(f"b{i}", v.tolist()) for i, v in enumerate(base)], "id string, vec array<double>")
+    q = spark.createDataFrame([(f"q{i}", v.tolist()) for i, v in enumerate(query)], "id string, vec array<double>")
+    d = np.sqrt(((query[:, None] - base[None]) ** 2).sum(2)).min(1)
+    with np.errstate(invalid="ignore"):
+        c = np.nan_to_num(query @ base.T / np.outer(np.linalg.norm(query, axis=1), np.linalg.norm(base, axis=1)), nan=-9.0).max(1)
+    c[0] = 0.0
+    got = {r.id: r.distance for r in tiles.nearest_distance(q, b).collect()}
+    assert len(got) == 90 and all(abs(got[f"q{i}"] - d[i]) < 1e-7 for i in range(90))
+    sent = np.array([[int(n) for n in p.read_text().split()] for p in tmp_path.iterdir()]).sum(0)
+    assert sent[0] == 3 * 200 and sent[1] <= 3 * 90
+    monkeypatch.setattr(tiles, "HELD", 3000)
+    rows = latent.nearest_real(q, b).collect()
+    assert len(rows) == 90 and all(abs(r.cosine - c[int(r.id[1:])]) < 1e-7 and abs(r.distance - d[int(r.id[1:])]) < 1e-7 for r in rows)
+    none = tiles.nearest_distance(q, b.where("id = 'x'")).collect()
+    assert len(none) == 90 and all(r.distance is None for r in none) and not tiles.nearest_distance(q.where("id = 'x'"), b).collect()
+
+
 def test_hamming_with_missing_calls(spark, matrix, small_tiles):
     """Missing equals missing; a query without a call has no distance; names may be the same on both sides."""
     x = matrix.copy()
